@@ -66,7 +66,7 @@ def chunk_ends(raw: np.ndarray, mean_bits: int = 10, least: int = 256, most: int
     return ends
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies: bytes that print stand for
     themselves, the rest take code points from 256 on in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -85,7 +85,7 @@ class ChunkedBpe:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        alphabet = _byte_alphabet()
+        alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
         self.specials = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.specials.values()]) + 1

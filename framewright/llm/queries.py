@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe
+from framewright.llm import bpe, exact_dedup, token_file
+from framewright.llm.lineage import checkpoint_dir
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +31,25 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_copies(_documents(spark, sf_dir))
+
+
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/framewright-token-ids-{uuid.uuid4().hex}"
+    coded = token_file.encode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    token_file.write(coded, path)
+    return token_file.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op5_exact_dedup": op5_exact_dedup, "op7_token_file": op7_token_file}
+
+_LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_exact_dedup": f"""
+        WITH n AS (SELECT doc_id, sha256({_LOWER_ASCII}) AS text_sha256 FROM documents),
+             g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
+                          count(*) OVER (PARTITION BY text_sha256) AS group_size FROM n)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+}
