@@ -29,14 +29,30 @@ def digest(text: Column) -> Column:
     return F.sha2(lower_ascii(text), 256)
 
 
-def _flagged(rows: DataFrame) -> DataFrame:
+def _flagged(rows: DataFrame, total: int) -> DataFrame:
     """Adds ``_maybe``: whether another row may have the same digest."""
-    bits = bloom.bits_for(rows.count())
+    bits = bloom.bits_for(total)
     rows = rows.withColumn("_key", F.xxhash64("text_sha256"))
     pages = bloom.repeated(rows, "_key", bits)
     return bloom.probe(rows, "_key", pages, bits, "_maybe").drop("_key")
 
 
+#: A group of at least this share of all rows is hot; so there are at most as many as its inverse.
+HOT_SHARE = 0.001
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame, total: int, sha: str) -> DataFrame:
+    """Left join of rows to groups by digest. Hot groups, of which there is a bounded number, are
+    broadcast, so that no task gets all rows of one; the rest meet in a shuffle."""
+    least = max(2.0, HOT_SHARE * total)
+    hot = F.broadcast(groups.filter(F.col("_n") >= least))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    first = rows.join(hot, F.col(sha) == F.col("_sha"), "left")
+    met = first.filter("_sha IS NOT NULL")
+    rest = first.filter("_sha IS NULL").select(*names)
+    return met.unionByName(rest.join(groups.filter(F.col("_n") < least), F.col(sha) == F.col("_sha"), "left"))
+
+
 def _groups(maybe: DataFrame) -> DataFrame:
     return (
         maybe.groupBy(F.col("text_sha256").alias("_sha"))
@@ -70,9 +86,10 @@ def mark_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     kept = [c for c in (keep or [id_col]) if c not in made]
     carried = [F.col(f"`{c}`") for c in kept]
     rows = cut(df.select(*carried, F.col(f"`{id_col}`").alias("_id"), digest(F.col(f"`{text_col}`")).alias("text_sha256")))
-    rows = cut(_flagged(rows))
+    total = rows.count()
+    rows = cut(_flagged(rows, total))
     maybe = rows.filter("_maybe")
-    maybe = maybe.join(_groups(maybe), F.col("text_sha256") == F.col("_sha"), "left")
+    maybe = _with_groups(maybe, cut(_groups(maybe)), total, "text_sha256")
     alone = rows.filter("not _maybe").withColumns(
         {"_sha": F.lit(None).cast("string"), "_keep": F.lit(None).cast(rows.schema["_id"].dataType), "_n": F.lit(None).cast("long")}
     )
@@ -86,7 +103,8 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     pass straight through; only the others meet the groups in a shuffle.
     """
     rows = cut(df.select(F.col(f"`{id_col}`").alias("_id"), digest(F.col(f"`{text_col}`")).alias("text_sha256")))
-    groups = cut(_groups(_flagged(rows).filter("_maybe")))
+    total = rows.count()
+    groups = cut(_groups(_flagged(rows, total).filter("_maybe")))
     bits = bloom.bits_for(groups.count())
     names = [F.col(f"`{c}`") for c in df.columns]
     pages = bloom.members(groups.select(F.xxhash64("_sha").alias("_key")), "_key", bits)
@@ -94,5 +112,5 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     whole = bloom.probe(whole.withColumn("_key", F.xxhash64("_text_sha256")), "_key", pages, bits, "_maybe")
     alone = whole.filter("not _maybe").select(*names)
     stays = F.col("_sha").isNull() | F.col("_keep").eqNullSafe(F.col(f"`{id_col}`"))
-    maybe = whole.filter("_maybe").join(groups, F.col("_text_sha256") == F.col("_sha"), "left").filter(stays)
+    maybe = _with_groups(whole.filter("_maybe"), groups, total, "_text_sha256").filter(stays)
     return alone.unionByName(maybe.select(*names))

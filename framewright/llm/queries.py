@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, exact_dedup, token_file
+from framewright.llm import bpe, exact_dedup, quality, token_file, toxicity
+from framewright.llm.labelled import split_remainder
 from framewright.llm.lineage import checkpoint_dir
 
 
@@ -31,6 +32,27 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_documents(spark, sf_dir))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _predictions(scored: DataFrame, held_out: Column, threshold: float) -> DataFrame:
+    predicted = F.when(F.col("score") >= threshold, 1).otherwise(0)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = _documents(spark, sf_dir), split_remainder(F.col("doc_id"), 5)
+    model = quality.train(docs, _labels(spark, sf_dir), remainder != 0)
+    return _predictions(quality.score(docs, model, keep=["doc_id"]), remainder == 0, 0.3)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = _documents(spark, sf_dir), split_remainder(F.col("doc_id"), 3)
+    model = toxicity.train(docs, _labels(spark, sf_dir), remainder != 1)
+    return _predictions(toxicity.score(docs, model, keep=["doc_id"]), remainder == 1, 0.7)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(_documents(spark, sf_dir))
 
@@ -42,7 +64,13 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_exact_dedup": op5_exact_dedup, "op7_token_file": op7_token_file}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op7_token_file": op7_token_file,
+}
 
 _LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

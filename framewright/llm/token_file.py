@@ -23,13 +23,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from framewright.llm.arrow import append_columns, text_view
+from framewright.llm.arrow import slices, text_view
 from framewright.llm.bpe import byte_alphabet
 
 #: Fixed value: the constant that the record format adds to a rotated checksum.
@@ -141,30 +140,47 @@ def load(path: str) -> WordPieces:
     return WordPieces(path)
 
 
+ENCODED = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("block", T.IntegerType()),
+        T.StructField("width", T.IntegerType()),
+        T.StructField("ids", T.BinaryType()),
+    ]
+)
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
-    """(doc_id, width, ids): the ids of each whole text, ``width`` bytes each, ``end_id`` last.
+    """(doc_id, block, width, ids): the ids of each whole text, ``width`` bytes each, ``end_id`` last.
 
     A null or empty text has the end id alone. A null doc_id is written as the least 64-bit integer
-    and read back as null; repeated rows are repeated records. Other columns are left out.
+    and read back as null; repeated rows are repeated records. Other columns are left out. ``block``
+    is the range of doc_id that a row falls into; the ranges come from quantiles of the ids alone, so
+    that no text is encoded twice for them.
     """
-
-    def make():
+    doc_id = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    rows = df.select(doc_id.alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [k / n for k in range(1, n)] or [0.5]
+    quantiles = rows.select(F.percentile_approx("doc_id", shares, max(10_000, 20 * n)).alias("q")).first()["q"]
+    ends = np.unique(np.array(quantiles or [], np.int64))
+    schema = to_arrow_schema(ENCODED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
         end = end_id.to_bytes(coder.width, "little")
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                raw, off = text_view(batch.column(1).slice(a, b - a))
+                data = raw[off[0] : off[-1]].tobytes()
+                off = (off - off[0]).tolist()
+                ids = [coder.encode(data[x:y]) + end for x, y in zip(off[:-1], off[1:], strict=True)]
+                own = batch.column(0).slice(a, b - a)
+                block = np.searchsorted(ends, own.to_numpy()).astype(np.int32)
+                columns = [own, pa.array(block), pa.array(np.full(b - a, coder.width, np.int32)), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        def run(col: pa.Array) -> list:
-            raw, off = text_view(col)
-            data = raw[off[0] : off[-1]].tobytes()
-            off = (off - off[0]).tolist()
-            ids = [coder.encode(data[a:b]) + end for a, b in zip(off[:-1], off[1:], strict=True)]
-            return [[coder.width] * len(ids), ids]
-
-        return run
-
-    doc_id = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
-    rows = df.select(doc_id.alias("doc_id"), F.col(f"`{text_col}`").alias("_text"))
-    made = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType())])
-    return append_columns(rows, "_text", made, make, ["doc_id"])
+    return rows.mapInArrow(run, ENCODED)
 
 
 PART = T.StructType(
@@ -179,24 +195,25 @@ PART = T.StructType(
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs (doc_id, width, ids) rows in order into parts. A block is a task's run of parts."""
-    block = TaskContext.get().partitionId()
+    """Packs (doc_id, block, width, ids) rows, in order of block and id, into parts."""
     schema = to_arrow_schema(PART)
     held: list[bytes] = []
     index: list[tuple[int, int, int]] = []
-    part = at = ids = 0
+    block, part, at, ids = None, 0, 0, 0
 
     def flush() -> pa.RecordBatch:
         row = {"block": block, "part": part, "n_ids": ids, "records": b"".join(held), "index": np.array(index, "<i8").tobytes()}
         return pa.RecordBatch.from_pylist([row], schema=schema)
 
     for batch in batches:
-        for doc_id, width, raw in zip(*(batch.column(i) for i in range(3)), strict=True):
-            doc_id, width, raw = doc_id.as_py(), width.as_py(), raw.as_py()
+        for doc_id, own, width, raw in zip(*(batch.column(i) for i in range(4)), strict=True):
+            doc_id, own, width, raw = doc_id.as_py(), own.as_py(), width.as_py(), raw.as_py()
             record = frame_record(struct.pack("<qB", doc_id, width) + raw)
-            if held and at + len(record) > PART_BYTES:
+            if held and (own != block or at + len(record) > PART_BYTES):
                 yield flush()
                 held, index, at, ids, part = [], [], 0, 0, part + 1
+            if own != block:
+                block, part = own, 0
             index.append((doc_id, at, len(record)))
             held.append(record)
             at += len(record)
@@ -206,13 +223,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write(encoded: DataFrame, path: str) -> None:
-    """Writes (doc_id, width, ids) rows as parts in ascending doc_id order, null ids first.
+    """Writes ``encode``'s rows as parts in ascending doc_id order, null ids first.
 
-    Texts are encoded before this, so what the range sort shuffles are ids alone. The files' order
-    is (block, part).
+    What the shuffle moves are ids alone. The files' order is (block, part).
     """
     n = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = encoded.repartition(n, "block").sortWithinPartitions("block", "doc_id")
     ordered.mapInArrow(_parts, PART).write.mode("overwrite").parquet(path)
 
 
