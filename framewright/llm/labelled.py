@@ -36,10 +36,14 @@ class Sample:
 Features = Callable[[Words], tuple[np.ndarray, np.ndarray]]
 
 
-def distinct_pairs(docs: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, bucket) pairs; a bucket is the top ``bits`` bits of a hash."""
-    keys = np.unique((docs.astype(U64) << U64(bits)) | (hashes >> U64(64 - bits)))
-    return (keys >> U64(bits)).astype(np.int64), (keys & U64((1 << bits) - 1)).astype(np.int64)
+def buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> U64(64 - bits)).astype(np.int64)
+
+
+def distinct(docs: np.ndarray, numbers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, number) pairs, sorted; numbers are below 2**bits."""
+    keys = np.unique((docs.astype(np.int64) << bits) | numbers)
+    return keys >> bits, keys & ((1 << bits) - 1)
 
 
 def prefix_hashes(w: Words, length: int) -> np.ndarray:
@@ -50,7 +54,7 @@ def prefix_hashes(w: Words, length: int) -> np.ndarray:
     value = np.zeros(len(at), U64)
     for k in range(length):
         value = (value << U64(8)) | LOWER[w.raw[at + k]].astype(U64)
-    packed[whole] = mix(value + U64(length) * U64(0x9E3779B97F4A7C15))
+    packed[whole] = combine(value, np.full(len(at), length, U64))
     return packed
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from framewright.llm.labelled import Sample, bounded_sample, calibrate, distinct_pairs, grams, score_texts, shapes, sigmoid, word_docs
+from framewright.llm.labelled import Sample, bounded_sample, buckets, calibrate, distinct, grams, score_texts, shapes, sigmoid, word_docs
 from framewright.llm.text import Words
 
 BITS = 20
@@ -28,13 +28,17 @@ EPOCHS = 12
 SHAPE_GRAM = 5
 
 
-def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, bucket) pairs of a block's n-grams; a text of no words has none."""
+def n_grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) pairs of a block's n-grams, repeats included; a text of no words has none."""
     docs = word_docs(w)
     found = [grams(w.hashes, docs, 1, 1), grams(w.hashes, docs, 2, 2)]
     shape = shapes(w)
     found += [grams(shape, docs, k, 3) for k in range(1, SHAPE_GRAM + 1)]
-    return distinct_pairs(np.concatenate([d for d, _ in found]), np.concatenate([h for _, h in found]), BITS)
+    return np.concatenate([d for d, _ in found]), buckets(np.concatenate([h for _, h in found]), BITS)
+
+
+def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    return distinct(*n_grams(w), BITS)
 
 
 @dataclass
@@ -45,7 +49,9 @@ class NaiveBayesSvm:
     offset: float
 
     def score(self, w: Words) -> np.ndarray:
-        d, f = features(w)
+        d, f = n_grams(w)
+        live = self.weights[f] != 0
+        d, f = distinct(d[live], f[live], BITS)
         margin = np.bincount(d, weights=self.weights[f], minlength=w.n_docs) + self.bias
         return sigmoid(self.slope * margin + self.offset)
 

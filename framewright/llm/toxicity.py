@@ -2,9 +2,9 @@
 
 Terms are a text's distinct words and word beginnings, hashed to a fixed number of buckets. Beside a
 weight, each term has a short vector; the product of two terms' vectors is the weight of their meeting
-in one text, so that an insult beside the mention of a group can weigh more than both alone. Weights
-and vectors minimise the logistic loss by adaptive gradient steps, with a penalty that sets those
-weights to nothing that the labels don't call for.
+in one text, so that an insult beside the mention of a group can weigh more than both alone. Terms
+whose share of texts tells the classes apart in the sample get weights and vectors; they minimise the
+logistic loss by adaptive gradient steps with penalties on their size.
 
 The fit uses at most ``PER_CLASS`` labelled documents of each class; scoring covers every text whole.
 """
@@ -16,24 +16,25 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from framewright.llm.labelled import Sample, bounded_sample, calibrate, distinct_pairs, prefix_hashes, score_texts, sigmoid, word_docs
+from framewright.llm.labelled import Sample, bounded_sample, buckets, calibrate, distinct, prefix_hashes, score_texts, sigmoid, word_docs
 from framewright.llm.text import Words, combine
 
 BITS = 20
 PER_CLASS = 3000
 FACTORS = 6
-EPOCHS = 12
+EPOCHS = 20
 BATCH = 256
-RATE = 0.15
+RATE = 0.3
 #: Penalties on the size of weights and of vectors, and how many sample texts a term must be in.
-LASSO = 3e-4
-RIDGE = 1e-4
+LASSO = 1e-3
+RIDGE = 1e-3
 LEAST_TEXTS = 4
+LEAST_Z = 3.5
 PREFIXES = (4, 5, 6)
 
 
-def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, bucket) pairs of a block's terms; a text of no words has none."""
+def terms(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) pairs of a block's terms, repeats included; a text of no words has none."""
     docs = word_docs(w)
     found, where = [combine(w.hashes, np.uint64(1))], [docs]
     for k in PREFIXES:
@@ -41,7 +42,11 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
         live = h != 0
         found.append(h[live])
         where.append(docs[live])
-    return distinct_pairs(np.concatenate(where), np.concatenate(found), BITS)
+    return np.concatenate(where), buckets(np.concatenate(found), BITS)
+
+
+def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    return distinct(*terms(w), BITS)
 
 
 @dataclass
@@ -64,7 +69,19 @@ class FactorizationMachine:
         return total
 
     def score(self, w: Words) -> np.ndarray:
-        return sigmoid(self.slope * self.margins(*features(w), w.n_docs) + self.offset)
+        d, f = terms(w)
+        live = self.number[f] >= 0
+        return sigmoid(self.slope * self.margins(*distinct(d[live], f[live], BITS), w.n_docs) + self.offset)
+
+
+def telling_terms(s: Sample, picked: np.ndarray, row_of: np.ndarray) -> np.ndarray:
+    """Buckets whose share of texts differs between the classes by ``LEAST_Z`` standard errors."""
+    texts = [np.bincount(s.features[(picked & (s.labels == y))[row_of]], minlength=1 << BITS) for y in (0, 1)]
+    n = [max(1, (picked & (s.labels == y)).sum()) for y in (0, 1)]
+    pooled = (texts[0] + texts[1]) / (n[0] + n[1])
+    error = np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1])) + 1e-12
+    z = np.abs(texts[1] / n[1] - texts[0] / n[0]) / error
+    return np.flatnonzero((z >= LEAST_Z) & (texts[0] + texts[1] >= LEAST_TEXTS))
 
 
 def descend(s: Sample, rows: np.ndarray, seed: int = 0) -> FactorizationMachine:
@@ -72,18 +89,17 @@ def descend(s: Sample, rows: np.ndarray, seed: int = 0) -> FactorizationMachine:
     row_of = np.repeat(np.arange(len(s.labels)), np.diff(s.bounds))
     picked = np.zeros(len(s.labels), bool)
     picked[rows] = True
-    texts = np.bincount(s.features[picked[row_of]], minlength=1 << BITS)
-    terms = np.flatnonzero(texts >= LEAST_TEXTS)
+    telling = telling_terms(s, picked, row_of)
     number = np.full(1 << BITS, -1, np.int32)
-    number[terms] = np.arange(len(terms))
+    number[telling] = np.arange(len(telling))
     live = number[s.features] >= 0
     term, bounds = number[s.features[live]].astype(np.int64), np.searchsorted(row_of[live], np.arange(len(s.labels) + 1))
     y = (s.labels == 1).astype(float)
     share = min(0.95, max(0.05, y[rows].mean()))
     bias, gb = float(np.log(share / (1 - share))), 1.0
-    w, gw = np.zeros(len(terms)), np.full(len(terms), 1.0)
-    v, gv = rng.normal(0, 0.01, (FACTORS, len(terms))), np.full((FACTORS, len(terms)), 1.0)
-    m = len(terms)
+    m = len(telling)
+    w, gw = np.zeros(m), np.full(m, 1.0)
+    v, gv = rng.normal(0, 0.01, (FACTORS, m)), np.full((FACTORS, m), 1.0)
     for _ in range(EPOCHS):
         order = rng.permutation(rows)
         for i in range(0, len(order), BATCH):
