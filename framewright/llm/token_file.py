@@ -84,7 +84,7 @@ class WordPieces(dict):
     it merge first. Any other piece goes to the library.
     """
 
-    def __init__(self, path: str, cached: int = 1_000_000):
+    def __init__(self, path: str, cached: int = 250_000):
         super().__init__({b"": b""})
         from tokenizers import Tokenizer
 
