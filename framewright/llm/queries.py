@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, exact_dedup, quality, token_file, toxicity
+from framewright.llm import bpe, exact_dedup, lm_score, quality, token_file, toxicity
 from framewright.llm.labelled import split_remainder
 from framewright.llm.lineage import checkpoint_dir
 
@@ -64,12 +64,21 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = _documents(spark, sf_dir), split_remainder(F.col("doc_id"), 10)
+    model = lm_score.train(docs.filter(F.coalesce(remainder != 0, F.lit(True))))
+    scored = lm_score.score(docs, model, keep=["doc_id"])
+    held_out = F.coalesce(remainder == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_file": op7_token_file,
+    "op8_lm_score": op8_lm_score,
 }
 
 _LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
