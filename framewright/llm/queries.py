@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, exact_dedup, lm_score, quality, token_file, toxicity
+from framewright.llm import bpe, exact_dedup, lm_score, near_dedup, quality, token_file, toxicity
 from framewright.llm.labelled import split_remainder
 from framewright.llm.lineage import checkpoint_dir
 
@@ -53,6 +53,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(toxicity.score(docs, model, keep=["doc_id"]), remainder == 1, 0.7)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), size=2, percent=80)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(_documents(spark, sf_dir))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
+    "op4_near_dedup": op4_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_file": op7_token_file,
     "op8_lm_score": op8_lm_score,
