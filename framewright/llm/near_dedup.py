@@ -6,15 +6,17 @@ with equal sets are one class from the start. Between classes:
 1. Inverted lists of the first ``LISTED`` retained values generate overlaps. Lists of up to ``COLD``
    classes give their pairs; a pair goes on when it shares as many values as a similarity at the
    threshold would with near certainty (five standard errors and more below its mean).
-2. Classes with few values outside longer lists (big groups of near copies, texts of very common
-   words) get lists by *pairs* of their first ``PAIRED`` retained values, which part texts of common
-   words. Short lists give their pairs; a long list links each member to a few hubs, and after the
-   components are found, members outside a list's largest component meet all others of the list in
-   other components. So each group is linked whole without forming all its pairs.
-3. Union sketches estimate the similarity of a pair; far lower ones go (again five standard errors).
-4. The rest are verified exactly on full sets.
-
-A link is missed only if the random values disagree beyond those bounds (below one in a million).
+2. Union sketches estimate the similarity of a pair; far lower ones go (again five standard errors).
+3. The rest are verified exactly on full sets.
+
+Classes with few values outside longer lists (big groups of near copies, texts of very common words)
+get lists by *tuples* of retained values, ``BANDS`` of them, which part texts of common words; classes
+that such lists connect are a cluster. A cluster is compared exactly on full sets, in blocks that
+multiply incidence matrices and give links only: small clusters whole; large ones first against a few
+central members, and then every member that is not in the largest component so far against all others.
+So each group is linked whole without forming its pairs.
+
+A link is missed only if random values disagree beyond those bounds (below one in a million).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,9 +40,12 @@ LISTED = 32
 #: Values among which a class's own are told, and how many of them must lie outside long lists.
 TOLD, ENOUGH = 24, 12
 COLD = 32
-PAIRED = 8
-COLD_PAIRED = 64
-HUBS = 4
+#: Tuple lists, how many values a tuple has (for sets of up to 15, and of 13 or more), and members of
+#: a large cluster that all others are compared with first.
+BANDS, SHORT_TUPLE, LONG_TUPLE = 32, 2, 4
+CENTRAL = 8
+#: Classes, and elements of their sets, that one side of a block holds.
+BLOCK, BLOCK_ELEMENTS = 512, 400_000
 
 SKETCH = T.StructType(
     [
@@ -89,12 +94,8 @@ def _near_sizes(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
-
-
 def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b of classes that may be linked, long lists of paired values: key, cls, n)."""
+    """(pairs a < b of classes that may be linked, classes with few values outside long lists)."""
     listed = classes.select("cls", "n", F.posexplode(F.slice("sketch", 1, LISTED)).alias("pos", "value"))
     often = listed.groupBy("value").agg(F.count("*").alias("f")).filter("f > 1")
     met = cut(listed.join(often, "value"))
@@ -114,35 +115,103 @@ def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     # Sets of fewer than four shingles are linked to equal sets only, which are one class already.
     few = in_hot.join(classes, "cls").filter((F.col("n") > 3) & (F.least(F.lit(TOLD), F.col("n")) - F.col("in_hot") < ENOUGH))
-    both = [F.xxhash64(F.col("sketch")[i], F.col("sketch")[j]) for i in range(PAIRED) for j in range(i + 1, PAIRED)]
-    kept = [F.when(F.size("sketch") > j, both[k]) for k, (i, j) in enumerate((i, j) for i in range(PAIRED) for j in range(i + 1, PAIRED))]
-    paired = few.select("cls", "n", F.explode(F.array(*kept)).alias("key")).filter("key IS NOT NULL")
-    often = paired.groupBy("key").agg(F.count("*").alias("f"), *[F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "n")).alias(f"hub{k}") for k in range(HUBS)]).filter("f > 1")
-    often = cut(often)
-    paired = cut(paired.join(often.select("key", "f"), "key"))
-    cold, hot = paired.filter(F.col("f") <= COLD_PAIRED), paired.filter(F.col("f") > COLD_PAIRED)
-    x = cold.select("key", F.col("cls").alias("x"), F.col("n").alias("n_x"))
-    y = cold.select("key", F.col("cls").alias("y"), F.col("n").alias("n_y"))
-    short = x.join(y, "key").filter((F.col("x") < F.col("y")) & _near_sizes(F.col("n_x"), F.col("n_y"), percent))
-    hubs = often.filter(F.col("f") > COLD_PAIRED).select("key", F.explode(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("hub"))
-    hubs = hubs.select("key", F.col("hub.cls").alias("y"), F.col("hub.n").alias("n_y")).distinct()
-    long_ = hot.join(hubs, "key").filter(_near_sizes(F.col("n"), F.col("n_y"), percent)).select(F.col("cls").alias("x"), "y")
-    extra = _ordered(short.select("x", "y").unionByName(long_))
-    return pairs.unionByName(extra).distinct(), hot.select("key", "cls", "n")
-
-
-def rest_of_long_lists(lists: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of a long list's members outside its largest component with all others of the list
-    in other components."""
-    members = cut(lists.join(components, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("comp")))
-    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("k")).filter("k > 1")
-    largest = largest.select("key", F.col("top.comp").alias("top"))
-    split = members.join(largest, "key")
-    x = split.filter("comp <> top").select("key", F.col("cls").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("comp_x"))
-    y = split.select("key", F.col("cls").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("comp_y"))
-    pairs = x.join(y, "key").filter((F.col("comp_x") != F.col("comp_y")) & _near_sizes(F.col("n_x"), F.col("n_y"), percent))
-    return _ordered(pairs.select("x", "y"))
+    return pairs, few.select("cls", "n", "in_hot", "sketch")
+
+
+KEYS = T.StructType([T.StructField("cls", T.LongType()), T.StructField("key", T.LongType())])
+
+
+def tuple_keys(sketch: np.ndarray, size: int) -> np.ndarray:
+    """``BANDS`` keys of a sketch: each of the ``size`` values that come first in that band's order."""
+    salts = mix(np.arange(BANDS, dtype=U64) + U64(0xB0))
+    order = mix(sketch.view(U64)[None, :] ^ salts[:, None])
+    first = np.sort(order, axis=1)[:, :size]
+    return mix((mix(first) * np.arange(1, 2 * first.shape[1], 2, dtype=U64)).sum(axis=1, dtype=U64) + salts)
+
+
+def clusters(few: DataFrame) -> DataFrame:
+    """(cls, cluster, size, elements) of classes that tuple lists connect to others."""
+
+    def run(batches):
+        for batch in batches:
+            out_cls, out_keys = [], []
+            for cls, n, sketch in zip(*(batch.column(i) for i in range(3)), strict=True):
+                values, n = sketch.values.to_numpy(), n.as_py()
+                sizes = [SHORT_TUPLE] * (n <= 15) + [LONG_TUPLE] * (n >= 13)
+                keys = np.concatenate([tuple_keys(values, k) for k in sizes])
+                out_cls.append(np.full(len(keys), cls.as_py()))
+                out_keys.append(keys.view(np.int64))
+            if out_cls:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_cls)), pa.array(np.concatenate(out_keys))], names=KEYS.names)
+
+    keys = cut(few.select("cls", "n", "sketch").mapInArrow(run, KEYS))
+    firsts = keys.groupBy("key").agg(F.min("cls").alias("first"), F.count("*").alias("f")).filter("f > 1")
+    joined = keys.join(firsts.select("key", "first"), "key").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
+    found = connected_components(joined).withColumnRenamed("node", "cls").withColumnRenamed("component", "cluster")
+    found = cut(found.join(few.select("cls", "n", "in_hot"), "cls"))
+    sizes = found.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("elements"))
+    return cut(found.join(sizes, "cluster"))
+
+
+LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _block_links(percent: int):
+    """Links of a block's asking rows to its other rows, one for each (asking row, component)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = np.array(table.column("asks").to_pylist(), bool)
+        cls = table.column("cls").to_numpy()
+        comp = table.column("comp").to_numpy()
+        sets = [x.values.to_numpy() for x in table.column("set")]
+        own, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+        out = []
+        if len(own) and len(others):
+            size = np.array([len(x) for x in sets])
+            number, code = np.unique(np.concatenate([sets[i] for i in (*own, *others)]), return_inverse=True)
+            row = np.repeat(np.arange(len(own) + len(others)), size[np.concatenate((own, others))])
+            split = np.searchsorted(row, len(own))
+            here = np.bincount(code[:split], minlength=len(number)).astype(bool) & np.bincount(code[split:], minlength=len(number)).astype(bool)
+            place = np.cumsum(here) - 1
+            width, common = 8192, np.zeros((len(own), len(others)), np.float32)
+            for at in range(0, int(here.sum()), width):
+                sides = []
+                for part, rows, base in ((slice(0, split), len(own), 0), (slice(split, None), len(others), len(own))):
+                    c, r = code[part], row[part] - base
+                    keep = here[c] & (place[c] >= at) & (place[c] < at + width)
+                    m = np.zeros((rows, width), np.float32)
+                    m[r[keep], place[c[keep]] - at] = 1
+                    sides.append(m)
+                common += sides[0] @ sides[1].T
+            union = size[own][:, None] + size[others][None, :] - common
+            linked = (common * 100 >= union * percent) & (comp[own][:, None] != comp[others][None, :])
+            for i in np.flatnonzero(linked.any(axis=1)):
+                js = np.flatnonzero(linked[i])
+                _, first = np.unique(comp[others][js], return_index=True)
+                out += [(int(cls[own[i]]), int(cls[others[j]])) for j in js[first]]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+def block_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links between asking members of each cluster and all its members, by exact comparison.
+
+    ``members``: (cluster, cls, comp, asks, n, set). Both sides are dealt into blocks by a hash of the
+    class; each pair of blocks is one small group. Rows are copied once for each block they meet.
+    """
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        count = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ELEMENTS)).cast("int")
+        return rows.groupBy("cluster").agg(count.alias(name))
+
+    asking = blocks(members.filter("asks"), "k_own")
+    sizes = cut(blocks(members, "k_other").join(asking, "cluster"))
+    rows = members.join(sizes, "cluster")
+    h = F.xxhash64("cls")
+    own = rows.filter("asks").select("cluster", F.pmod(h, F.col("k_own")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("k_other") - 1)).alias("j"), "cls", "comp", "set", F.lit(True).alias("asks"))
+    others = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("k_own") - 1)).alias("i"), F.pmod(h, F.col("k_other")).cast("int").alias("j"), "cls", "comp", "set", F.lit(False).alias("asks"))
+    both = own.withColumn("i", F.col("i").cast("int")).unionByName(others)
+    return both.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), LINKS)
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -158,19 +227,21 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter(common >= least * F.size(union)).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs with ``100 * intersection >= percent * union`` of their full sets.
+def sets_of(ends: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(cls, set) of the classes in ``ends``, made anew from their texts.
 
-    Sets are made anew from the texts that occur in pairs; a Bloom filter of bounded size finds those
-    texts, so only sets of (about) such texts shuffle.
+    A Bloom filter of bounded size finds those texts, so only (about) their sets shuffle.
     """
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     bits = bloom.bits_for(ends.count())
     pages = bloom.members(ends.select(F.xxhash64("cls").alias("_key")), "_key", bits)
     some = bloom.probe(docs.select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id")), "_key", pages, bits, "_in").filter("_in")
     schema = T.StructType([T.StructField("set", T.ArrayType(T.LongType(), False))])
     sets = append_columns(some, "text", schema, lambda: lambda col: [_lists(_sets(col, size))], ["doc_id"])
-    sets = sets.join(ends, F.col("doc_id") == F.col("cls")).dropDuplicates(["cls"]).select("cls", "set")
+    return sets.join(ends, F.col("doc_id") == F.col("cls"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cls"), "set")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs with ``100 * intersection >= percent * union`` of their full sets."""
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("s_a")), "a")
     both = both.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("s_b")), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -203,16 +274,28 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     sketched = cut(sketches(docs, size))
     classes = cut(classes_of(sketched))
-    pairs, lists = candidates(classes, percent)
-    lists = cut(lists)
-    links = cut(verified(cut(estimated(pairs, classes, percent)), docs, size, percent))
+    pairs, few = candidates(classes, percent)
+    pairs = cut(estimated(pairs, classes, percent))
+    grouped = clusters(cut(few))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(grouped.select("cls")).distinct()
+    sets = cut(sets_of(cut(ends), docs, size))
+    links = verified(pairs, sets, percent)
+    whole = F.col("size") <= BLOCK
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("in_hot"), F.xxhash64("cls")))
+    central = grouped.filter(~whole).select("cluster", "cls", "in_hot", rank.alias("rank")).filter(F.col("rank") <= CENTRAL)
+    asks = grouped.join(central.select("cls", "rank"), "cls", "left").withColumn("asks", whole | F.col("rank").isNotNull())
+    asks = asks.withColumn("comp", F.col("cls")).join(sets, "cls").select("cluster", "cls", "comp", "asks", "n", "set")
+    links = cut(links.unionByName(block_links(asks, percent)))
     components = connected_components(links)
-    if not lists.isEmpty():
-        more = cut(rest_of_long_lists(lists, components, percent))
+    large = grouped.filter(~whole)
+    if not large.isEmpty():
+        large = cut(large.join(components, F.col("cls") == F.col("node"), "left").select("cluster", "cls", "n", F.coalesce("component", "cls").alias("comp")))
+        sizes = large.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
+        top = sizes.groupBy("cluster").agg(F.max(F.struct("m", "comp")).alias("top")).select("cluster", F.col("top.comp").alias("top"))
+        rest = large.join(top, "cluster").withColumn("asks", F.col("comp") != F.col("top")).join(sets, "cls")
+        more = cut(block_links(rest.select("cluster", "cls", "comp", "asks", "n", "set"), percent))
         if not more.isEmpty():
-            more = cut(verified(cut(estimated(more, classes, percent)), docs, size, percent))
-            if not more.isEmpty():
-                components = connected_components(links.unionByName(more))
+            components = connected_components(links.unionByName(more))
     named = classes.join(components, F.col("cls") == F.col("node"), "left")
     named = cut(named.select("key_a", "key_b", F.col("n").alias("n_shingles"), "members", F.coalesce("component", "cls").alias("_component")))
     ids = sketched.drop("sketch")
