@@ -153,7 +153,7 @@ def clusters(few: DataFrame) -> DataFrame:
     return cut(found.join(sizes, "cluster"))
 
 
-LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+LINKS = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "comp_a", "comp_b")])
 
 
 def _block_links(percent: int):
@@ -188,8 +188,8 @@ def _block_links(percent: int):
             for i in np.flatnonzero(linked.any(axis=1)):
                 js = np.flatnonzero(linked[i])
                 _, first = np.unique(comp[others][js], return_index=True)
-                out += [(int(cls[own[i]]), int(cls[others[j]])) for j in js[first]]
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+                out += [[int(x) for x in (cls[own[i]], cls[others[j]], comp[own[i]], comp[others[j]])] for j in js[first]]
+        return pa.table({name: pa.array([r[k] for r in out], pa.int64()) for k, name in enumerate(LINKS.names)})
 
     return run
 
@@ -285,7 +285,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     central = grouped.filter(~whole).select("cluster", "cls", "in_hot", rank.alias("rank")).filter(F.col("rank") <= CENTRAL)
     asks = grouped.join(central.select("cls", "rank"), "cls", "left").withColumn("asks", whole | F.col("rank").isNotNull())
     asks = asks.withColumn("comp", F.col("cls")).join(sets, "cls").select("cluster", "cls", "comp", "asks", "n", "set")
-    links = cut(links.unionByName(block_links(asks, percent)))
+    links = cut(links.unionByName(block_links(asks, percent).select("a", "b")))
     components = connected_components(links)
     large = grouped.filter(~whole)
     if not large.isEmpty():
@@ -294,8 +294,11 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
         top = sizes.groupBy("cluster").agg(F.max(F.struct("m", "comp")).alias("top")).select("cluster", F.col("top.comp").alias("top"))
         rest = large.join(top, "cluster").withColumn("asks", F.col("comp") != F.col("top")).join(sets, "cls")
         more = cut(block_links(rest.select("cluster", "cls", "comp", "asks", "n", "set"), percent))
-        if not more.isEmpty():
-            components = connected_components(links.unionByName(more))
+        if not more.isEmpty():  # components are joined as nodes of their own
+            joined = connected_components(more, "comp_a", "comp_b").select(F.col("node").alias("old"), F.col("component").alias("new"))
+            alone = large.filter("cls = comp").select(F.col("cls").alias("node"), F.col("comp").alias("component"))
+            known = components.unionByName(alone).distinct()
+            components = cut(known.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")))
     named = classes.join(components, F.col("cls") == F.col("node"), "left")
     named = cut(named.select("key_a", "key_b", F.col("n").alias("n_shingles"), "members", F.coalesce("component", "cls").alias("_component")))
     ids = sketched.drop("sketch")
