@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, exact_dedup, lm_score, near_dedup, quality, token_file, toxicity
+from framewright.llm import bpe, chat_format, decontam, exact_dedup, html_extract, lm_score, near_dedup, quality, token_file, toxicity
 from framewright.llm.labelled import split_remainder
 from framewright.llm.lineage import checkpoint_dir
 
@@ -61,6 +61,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(_documents(spark, sf_dir))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/framewright-token-ids-{uuid.uuid4().hex}"
     coded = token_file.encode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -76,19 +80,44 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.matches(_documents(spark, sf_dir), items)
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    texts = html_extract.extract(pages, keep=["page_id", "url"])
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_chat_format": op6_chat_format,
     "op7_token_file": op7_token_file,
     "op8_lm_score": op8_lm_score,
+    "op9_decontam": op9_decontam,
+    "op10_html_extract": op10_html_extract,
 }
 
 _LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_SHINGLES = """
+        SELECT id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+        FROM (SELECT id, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {rows})"""
+
 ORACLE_SQL = {
+    "op9_decontam": f"""
+        WITH d AS (SELECT DISTINCT id, unnest(s) AS g FROM ({_SHINGLES.format(rows=f"(SELECT doc_id AS id, {_LOWER_ASCII} AS t FROM documents)")})),
+             b AS (SELECT DISTINCT id, unnest(s) AS g FROM ({_SHINGLES.format(rows=f"(SELECT item_id AS id, {_LOWER_ASCII} AS t FROM benchmark)")})),
+             n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id)
+        SELECT d.id AS doc_id, b.id AS item_id, any_value(n_item)::INT AS n_item, count(*) AS n_shared
+        FROM d JOIN b USING (g) JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING count(*) * 100 >= any_value(n_item) * 80""",
     "op5_exact_dedup": f"""
         WITH n AS (SELECT doc_id, sha256({_LOWER_ASCII}) AS text_sha256 FROM documents),
              g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
