@@ -6,6 +6,8 @@ bytes as well as by rows, so a run of very long texts cannot blow up a worker.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +18,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of text that one slice of a batch holds (a single longer text makes a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: an idle Python worker shares its executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim:
+        trim(0)
 
 
 def text_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,5 +81,8 @@ def append_columns(
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(a, b - a) for i in range(len(kept))] + made, names=kept + names
                 )
+                del part, made
+        del fn
+        give_back()
 
     return frame.mapInArrow(run, schema)

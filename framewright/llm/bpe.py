@@ -77,7 +77,7 @@ def byte_alphabet() -> dict[str, int]:
 class ChunkedBpe:
     """Encoder and decoder of one vocabulary file, with a bounded chunk cache."""
 
-    def __init__(self, path: str, cache_bytes: int = 96 << 20):
+    def __init__(self, path: str, cache_bytes: int = 48 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         from tokenizers import Tokenizer
