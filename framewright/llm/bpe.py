@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from framewright.llm.arrow import append_columns, text_view
+from framewright.llm.arrow import append_columns, give_back, text_view
 
 #: Fixed value: the public pattern that splits text before byte-level merges.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -80,11 +80,6 @@ class ChunkedBpe:
     def __init__(self, path: str, cache_bytes: int = 48 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
         self.specials = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
@@ -97,12 +92,18 @@ class ChunkedBpe:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
         ordered = all(vocab.get(m.replace(" ", "", 1)) == 256 + i for i, m in enumerate(merges))
-        self.core = None
+        self.core = self.library = None
         if ordered and spec["normalizer"] is None and len(merges) + 256 + len(self.specials) == size:
             import tiktoken
 
             ranks = {self.tokens[i]: i for i in range(256 + len(merges))}
             self.core = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        else:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(path)
+            self.library.no_truncation()
+            self.library.no_padding()
         self.cache: OrderedDict[bytes, np.ndarray] = OrderedDict()
         self.room = self.limit = cache_bytes
         self.encoded = self.reused = 0
@@ -194,7 +195,9 @@ class ChunkedBpe:
 
 @lru_cache(maxsize=4)
 def load(path: str) -> ChunkedBpe:
-    return ChunkedBpe(path)
+    made = ChunkedBpe(path)
+    give_back()  # what reading the file took
+    return made
 
 
 ROUND_TRIP = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])

@@ -11,19 +11,27 @@ from framewright.llm.lineage import cut
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node in ``links``; a component is named by its smallest node.
 
-    Each round every node takes the smallest label among its neighbours' and then the label of that
-    label, so distances halve; minima are taken before each shuffle, so a node with very many
-    neighbours costs one row for each task. Rounds end when no label changes. Links with a null end
-    and links of a node to itself are left out.
+    Each round every node takes its smallest neighbour (or itself) and then that one's, and links are
+    drawn between the nodes so taken; links inside what has come together are gone, so the table
+    shrinks from round to round until none is left. Minima are taken before each shuffle, so a node
+    with very many neighbours costs one row for each task. Links with a null end and links of a node
+    to itself are left out.
     """
-    links = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    edges = cut(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
+    links = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    edges = cut(links.distinct())
+    labels = None
     while True:
-        near = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        taken = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = cut(taken.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
-        labels = moved.select("node", "label")
-        if moved.filter("old <> label").isEmpty():
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("p"))
+        taken = cut(near.join(near.select(F.col("node").alias("p"), F.col("p").alias("label")), "p").select("node", "label"))
+        if labels is None:
+            labels = taken
+        else:
+            now = taken.select(F.col("node").alias("label"), F.col("label").alias("now"))
+            labels = cut(labels.join(now, "label", "left").select("node", F.coalesce("now", "label").alias("label")))
+        x = taken.select(F.col("node").alias("u"), F.col("label").alias("x"))
+        y = taken.select(F.col("node").alias("v"), F.col("label").alias("y"))
+        drawn = edges.join(x, "u").join(y, "v").filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+        edges = cut(drawn.distinct())
+        if edges.isEmpty():
             return labels.select("node", F.col("label").alias("component"))
