@@ -1,6 +1,376 @@
-"""Every query of the library by name, and its SQL."""
+"""Every query of the library by name, and its SQL over the driver's tables."""
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framewright.functions import scalar as S
+from framewright.operators import audit, dedupe, evaluate, quality, queue, scan
+from framewright.operators.evaluate import Rule
+from framewright.plans import views
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+def now():
+    return F.lit(dt.datetime(1998, 1, 1)).cast("timestamp")
+
+
+FILES = """(SELECT '/' || source || '/' || doc_id || '.' || lang AS path, n_chars AS size, doc_id AS seq, lang,
+    sha256(substr(text, 1, 1000) || right(text, 1000)) AS signature FROM documents)"""
+QUEUE = """(SELECT o_orderkey AS id, '/media/' || o_orderkey || '.mkv' AS file_path,
+    CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'leased' ELSE 'completed' END AS state,
+    CASE WHEN o_orderstatus = 'P' THEN 'w0' END AS worker_id, CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority,
+    CAST(o_orderkey % 4 AS INT) AS retry_count, o_orderdate AS scheduled_at,
+    CASE WHEN o_orderstatus = 'P' THEN o_orderdate + INTERVAL 30 MINUTE END AS lease_expires_at FROM orders)"""
+AUDIT = """(SELECT event_id AS seq_id, ts, CASE event_type WHEN 'purchase' THEN 'job_completed' WHEN 'error' THEN 'job_failed'
+    WHEN 'signup' THEN 'job_quality_failed' WHEN 'view' THEN 'job_skipped_growth' ELSE 'job_skipped' END AS event_type,
+    user_id AS queue_id, value AS vmaf, CAST(floor(value * 1000) AS BIGINT) AS saved_bytes, props FROM events)"""
+SIZES = """CASE WHEN w >= 3800 OR h >= 2100 THEN '4k' WHEN w >= 1900 OR h >= 1000 THEN '1080p'
+    WHEN w >= 1200 OR h >= 700 THEN '720p' WHEN w >= 800 OR h >= 450 THEN '480p' ELSE 'sd' END"""
+MEDIA = f"""(SELECT *, {SIZES} AS resolution FROM (SELECT p_partkey, p_brand, p_type, lower(regexp_extract(p_type, '(\\w+)$', 1)) AS video_codec,
+    CAST(floor(p_size * 50 * 16 / 9) AS INT) AS w, p_size * 50 AS h, CAST(trunc(p_retailprice * 1000) AS BIGINT) AS bitrate,
+    p_size % 2 = 0 AS is_hdr, p_size % 3 = 0 AS has_surround FROM part))"""
+NOW_SQL = "TIMESTAMP '1998-01-01'"
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+RULES = [
+    Rule("tall steel", 90, {"codec": "steel, copper", "resolution": "1080p,4k"}, "transcode", "balanced"),
+    Rule("hdr", 70, {"is_hdr": "true", "min_bitrate": "1200000"}, "review"),
+    Rule("surround", 50, {"has_surround": "1", "unknown_key": "x"}, "copy"),
+    Rule("nothing", 95, {"codec": " , "}, "copy"),
+]
+DECIDE_SQL = """CASE WHEN video_codec IN ('steel', 'copper') AND resolution IN ('1080p', '4k') THEN 'tall steel'
+    WHEN is_hdr AND bitrate >= 1200000 THEN 'hdr' WHEN has_surround THEN 'surround' ELSE 'default' END"""
+
+
+@query(f"""WITH f AS {FILES}, d AS (SELECT *, min(seq) OVER (PARTITION BY size, signature) AS first FROM f)
+    SELECT CASE WHEN lang IN ('en', 'de') AND size >= 3000 THEN 'transcode' WHEN size < 300 THEN 'skip' ELSE 'copy' END AS action,
+    count(*) AS n, sum(size)::BIGINT AS bytes FROM d WHERE seq = first GROUP BY 1""")
+def decision_counts(spark: SparkSession, d: str) -> DataFrame:
+    kept = dedupe.mark_duplicates(views.files(spark, d)).filter("not is_duplicate")
+    rules = [Rule("long", 90, {"codec": "en,de", "min_bitrate": "3000"}, "transcode"), Rule("rest", 10, {"min_bitrate": "300"}, "copy")]
+    get = {"video_codec": F.col("lang"), "bitrate": F.col("size")}.__getitem__
+    decided = evaluate.decide(kept, rules, "skip", "", get)
+    return decided.groupBy(F.col("decision.action").alias("action")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query(f"SELECT state, count(*) AS n FROM {QUEUE} GROUP BY state")
+def queue_counts(spark, d):
+    return queue.counts(views.queue(spark, d))
+
+
+@query(f"""SELECT *, pending + leased + completed + failed AS total FROM (SELECT count(*) FILTER (state = 'pending') AS pending,
+    count(*) FILTER (state = 'leased') AS leased, count(*) FILTER (state = 'completed') AS completed, 0::BIGINT AS failed FROM {QUEUE})""")
+def queue_buckets(spark, d):
+    return queue.buckets(views.queue(spark, d))
+
+
+TOP = f"(SELECT id FROM {QUEUE} WHERE state = 'pending' AND scheduled_at <= {NOW_SQL} ORDER BY priority DESC, scheduled_at, id LIMIT 15)"
+
+
+@query(f"SELECT q.id, priority, epoch(scheduled_at)::BIGINT AS at FROM {QUEUE} q JOIN {TOP} t ON q.id = t.id")
+def lease_topk(spark, d):
+    return queue.next_jobs(views.queue(spark, d), now(), 15).select("id", "priority", F.unix_timestamp("scheduled_at").alias("at"))
+
+
+@query(f"""SELECT CASE WHEN id IN {TOP} THEN 'leased' ELSE state END AS state, CASE WHEN id IN {TOP} THEN 'w1' ELSE worker_id END AS worker_id,
+    count(*) AS n FROM {QUEUE} GROUP BY 1, 2""")
+def lease_apply(spark, d):
+    return queue.lease(views.queue(spark, d), "w1", 15, now(), 1800).groupBy("state", "worker_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, state FROM (SELECT * FROM {QUEUE} ORDER BY id DESC LIMIT 100) WHERE file_path LIKE '%7%'")
+def queue_page(spark, d):
+    return queue.page(views.queue(spark, d), "all", 100, 0, "7").select("id", "state")
+
+
+@query(f"""SELECT id, 'pending' AS state, retry_count + 1 AS retry_count, (epoch({NOW_SQL}) + 15 * pow(2, retry_count))::BIGINT AS at
+    FROM {QUEUE} WHERE state = 'leased'""")
+def requeue_backoff(spark, d):
+    q = views.queue(spark, d).withColumn("was", F.col("state"))
+    out = queue.requeue_with_backoff(q, F.col("state") == "leased", now(), S.backoff_seconds(F.col("retry_count")), F.lit("again"))
+    return out.filter("was = 'leased'").select("id", "state", "retry_count", F.unix_timestamp("scheduled_at").alias("at"))
+
+
+EXPIRED = f"(state = 'leased' AND (lease_expires_at IS NULL OR lease_expires_at <= {NOW_SQL}))"
+
+
+@query(f"SELECT CASE WHEN {EXPIRED} THEN 'pending' ELSE state END AS state, sum(retry_count + CASE WHEN {EXPIRED} THEN 1 ELSE 0 END)::BIGINT AS retries, count(*) AS n FROM {QUEUE} GROUP BY 1")
+def crash_recovery(spark, d):
+    return queue.recover_crashed(views.queue(spark, d), now()).groupBy("state").agg(F.sum("retry_count").alias("retries"), F.count("*").alias("n"))
+
+
+@query(f"SELECT CASE WHEN state = 'leased' THEN 'pending' ELSE state END AS state, sum(retry_count)::BIGINT AS retries, count(*) AS n FROM {QUEUE} GROUP BY 1")
+def startup_reset(spark, d):
+    return queue.reset_at_start(views.queue(spark, d)).groupBy("state").agg(F.sum("retry_count").alias("retries"), F.count("*").alias("n"))
+
+
+@query(f"SELECT CASE WHEN state = 'leased' AND retry_count = 1 THEN 'pending' ELSE state END AS state, CASE WHEN retry_count = 1 THEN 99 ELSE priority END AS priority, count(*) AS n FROM {QUEUE} GROUP BY 1, 2")
+def set_priority(spark, d):
+    return queue.set_priority(views.queue(spark, d), F.col("retry_count") == 1, 99).groupBy("state", "priority").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT 'paused' AS state, 'Paused by user' AS error_message, 7::BIGINT AS id UNION ALL SELECT 'skipped', 'Manually excluded by user', 5::BIGINT""")
+def pause_ignore(spark, d):
+    q = queue.ignore(queue.pause(views.queue(spark, d), 7), 5)
+    return q.filter(F.col("id").isin(5, 7)).select("state", "error_message", "id")
+
+
+@query(f"SELECT count(*) AS n, sum(id)::BIGINT AS ids FROM {QUEUE} WHERE id NOT IN (1, 2, 3)")
+def delete_jobs(spark, d):
+    q = views.queue(spark, d)
+    left, _ = queue.delete(q, q.select(F.col("id").alias("queue_id")), [1, 2, 3])
+    return left.agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query(f"""WITH q AS {QUEUE}, n AS (SELECT DISTINCT '/media/' || l_orderkey * 2 || '.mkv' AS p FROM lineitem), m AS (SELECT count(*) AS k FROM n WHERE p NOT IN (SELECT file_path FROM q))
+    SELECT k AS added, (SELECT max(id) FROM q) + k AS last_id FROM m""")
+def enqueue_new(spark, d):
+    q = views.queue(spark, d)
+    paths = views.table(spark, d, "lineitem").select(F.concat(F.lit("/media/"), (F.col("l_orderkey") * 2).cast("string"), F.lit(".mkv")).alias("file_path"))
+    return queue.enqueue(q, paths, now()).filter("error_message IS NULL AND created_at = scheduled_at AND priority = 50").agg(F.count("*").alias("added"), F.max("id").alias("last_id"))
+
+
+@query("""SELECT c_custkey AS queue_id, CASE WHEN o IS NOT NULL THEN o ELSE c_mktsegment END AS preset, c_nationkey AS created FROM customer
+    LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS o FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def upsert_metadata(spark, d):
+    old = views.table(spark, d, "customer").select(F.col("c_custkey").alias("queue_id"), F.col("c_mktsegment").alias("preset"), F.col("c_nationkey").alias("created"))
+    o = views.table(spark, d, "orders")
+    new = o.select(F.col("o_custkey").alias("queue_id"), F.col("o_orderpriority").alias("preset"), F.lit(-1).alias("created"), "o_orderkey")
+    known = new.join(old.select("queue_id"), "queue_id", "left_semi")
+    last = known.groupBy("queue_id").agg(F.max_by("preset", "o_orderkey").alias("preset"), F.first("created").alias("created"))
+    return queue.upsert(old, last, "queue_id", ["created"])
+
+
+STATS = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY seq_id DESC) AS r FROM
+    (SELECT * FROM {AUDIT} ORDER BY seq_id DESC LIMIT 200) WHERE event_type IN ('job_completed', 'job_quality_failed', 'job_skipped_growth') AND queue_id > 0) WHERE r = 1)"""
+
+
+@query(f"SELECT queue_id, seq_id, event_type, saved_bytes FROM {STATS}")
+def latest_job_stats(spark, d):
+    return audit.latest_job_stats(views.audit(spark, d)).select("queue_id", "seq_id", "event_type", "saved_bytes")
+
+
+@query(f"""SELECT queue_id, max(seq_id) AS seq_id FROM {AUDIT} WHERE event_type IN ('job_completed', 'job_quality_failed', 'job_skipped_growth') AND queue_id > 0 GROUP BY 1""")
+def latest_by_job(spark, d):
+    return audit.latest_by_job(views.audit(spark, d)).select("queue_id", "seq_id")
+
+
+@query(f"SELECT id, state, event_type, saved_bytes FROM (SELECT * FROM {QUEUE} ORDER BY id DESC LIMIT 100) q LEFT JOIN {STATS} s ON s.queue_id = q.id")
+def queue_with_stats(spark, d):
+    stats = audit.latest_job_stats(views.audit(spark, d)).select(F.col("queue_id").alias("id"), "event_type", "saved_bytes")
+    return queue.page(views.queue(spark, d)).join(F.broadcast(stats), "id", "left").select("id", "state", "event_type", "saved_bytes")  # 200 rows at most
+
+
+@query(f"SELECT round(coalesce(avg(vmaf) FILTER (vmaf > 0), 0), 6) AS avg_vmaf FROM (SELECT * FROM {AUDIT} ORDER BY seq_id DESC LIMIT 15) WHERE event_type = 'job_completed'")
+def avg_vmaf(spark, d):
+    return audit.average_vmaf(views.audit(spark, d)).select(F.round("avg_vmaf", 6).alias("avg_vmaf"))
+
+
+@query(f"SELECT seq_id, saved_bytes FROM (SELECT * FROM {AUDIT} ORDER BY seq_id DESC LIMIT 15) WHERE event_type = 'job_completed' AND saved_bytes > 0")
+def recent_savings(spark, d):
+    return audit.recent_savings(views.audit(spark, d))
+
+
+@query(f"SELECT path, seq > first AS is_duplicate FROM (SELECT *, min(seq) OVER (PARTITION BY size, signature) AS first FROM {FILES})")
+def dedupe_exact(spark, d):
+    return dedupe.mark_duplicates(views.files(spark, d)).select("path", "is_duplicate")
+
+
+@query(f"""WITH f AS (SELECT *, min(seq) OVER (PARTITION BY size) AS hidden FROM {FILES}),
+    g AS (SELECT size, signature, min(seq) AS first FROM f WHERE seq > hidden GROUP BY 1, 2)
+    SELECT path, coalesce(seq > hidden AND seq > first, false) AS is_duplicate FROM f LEFT JOIN g USING (size, signature)""")
+def dedupe_live(spark, d):
+    return dedupe.mark_duplicates(views.files(spark, d), "live").select("path", "is_duplicate")
+
+
+@query(f"SELECT count(DISTINCT size) AS unique_files FROM {FILES}")
+def unique_sizes(spark, d):
+    return dedupe.unique_sizes(views.files(spark, d))
+
+
+FATE = "CASE WHEN path GLOB '*/1?.*' OR path GLOB '*/*[05].fr' THEN 'excluded' WHEN path LIKE '%.es' THEN 'extension' ELSE 'accepted' END"
+
+
+@query(f"""WITH f AS (SELECT *, seq > min(seq) OVER (PARTITION BY size, signature) AS dup, {FATE} AS fate FROM {FILES})
+    SELECT count(*) AS seen, count(*) FILTER (fate = 'excluded') AS excluded, count(*) FILTER (fate = 'extension') AS other_extension,
+    count(*) FILTER (fate = 'accepted' AND NOT dup) AS accepted, count(*) FILTER (fate = 'accepted' AND dup) AS duplicates FROM f""")
+def scan_report(spark, d):
+    marked = dedupe.mark_duplicates(views.files(spark, d))
+    return scan.report(scan.classify(marked, ["1?.*", "*[05].fr"], ["en", ".DE", "fr"]))
+
+
+@query(f"SELECT {FATE} AS fate, count(*) AS n FROM {FILES} GROUP BY 1")
+def glob_exclude(spark, d):
+    return scan.classify(views.files(spark, d), ["1?.*", "*[05].fr"], ["en", "de", "fr"]).groupBy("fate").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lower(coalesce(regexp_extract(regexp_extract(url, '[^/]*$'), '(\\.[^.]*)$', 1), '')) AS ext, count(*) AS n FROM pages GROUP BY 1")
+def extension_counts(spark, d):
+    return views.table(spark, d, "pages").groupBy(S.extension(F.col("url")).alias("ext")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p_partkey, {DECIDE_SQL} AS matched_rule FROM {MEDIA}")
+def rule_decide(spark, d):
+    return evaluate.decide(views.media(spark, d), RULES).select("p_partkey", F.col("decision.matched_rule").alias("matched_rule"))
+
+
+@query(f"SELECT CASE video_codec WHEN 'steel' THEN 'hevc' WHEN 'tin' THEN 'h264' ELSE video_codec END AS codec, count(*) AS n FROM {MEDIA} GROUP BY 1")
+def codec_alias(spark, d):
+    codec = evaluate.alias_codec(F.col("metadata.video_codec"), {"steel": "hevc", "tin": "h264"})
+    return views.media(spark, d).groupBy(codec.alias("codec")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT resolution, count(*) AS n FROM {MEDIA} GROUP BY 1")
+def resolution_tag(spark, d):
+    return views.media(spark, d).groupBy(F.col("metadata.resolution").alias("resolution")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT f AS pix_fmt, CASE WHEN contains(f, '12') THEN 12 WHEN contains(f, '10') THEN 10 ELSE 8 END AS depth,
+    CASE WHEN contains(f, '444') THEN '4:4:4' WHEN contains(f, '422') THEN '4:2:2' WHEN contains(f, '410') THEN '4:1:0' ELSE '4:2:0' END AS chroma,
+    contains(f, '16') OR contains(f, '10') OR contains(f, '12') OR contains(f, '444') AS review, count(*) AS n
+    FROM (SELECT ['nv12', 'yuv410p', 'yuv444p', 'yuv422p', 'yuv420p10le'][CAST(p_partkey % 5 AS INT) + 1] AS f FROM part) GROUP BY ALL""")
+def pixfmt_review(spark, d):
+    names = F.array(*[F.lit(x) for x in ("nv12", "yuv410p", "yuv444p", "yuv422p", "yuv420p10le")])
+    p = views.table(spark, d, "part").select(F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int")).alias("pix_fmt"))
+    f = F.col("pix_fmt")
+    return p.groupBy("pix_fmt", S.bit_depth(f).alias("depth"), S.chroma(f).alias("chroma"), S.pix_fmt_review(f).isNotNull().alias("review")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p_partkey, CASE video_codec WHEN 'steel' THEN 'Steel' WHEN 'tin' THEN 'TIN' ELSE 'first' END AS preset_name FROM {MEDIA}")
+def preset_lookup(spark, d):
+    presets = spark.createDataFrame([("Steel",), ("TIN",)], "name string")
+    return evaluate.with_presets(views.media(spark, d), presets, "first", F.col("metadata.video_codec")).select("p_partkey", "preset_name")
+
+
+TRACKS = "(SELECT conv_id, turn, role, len(text) AS n FROM conversations)"
+
+
+def _tracks(spark, d):
+    t = views.table(spark, d, "conversations").select("conv_id", F.struct("turn", "role", F.length("text").alias("n")).alias("t"))
+    return t.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("tracks"))  # a file's own few tracks
+
+
+@query(f"SELECT conv_id, string_agg(role || ' ' || n, ' | ' ORDER BY turn, role, n) AS summary FROM {TRACKS} GROUP BY 1")
+def stream_plan_summary(spark, d):
+    return _tracks(spark, d).select("conv_id", F.array_join(F.transform("tracks", lambda t: F.concat(t["role"], F.lit(" "), t["n"].cast("string"))), " | ").alias("summary"))
+
+
+@query(f"SELECT conv_id, count(*) FILTER (role IN ('user', 'system') OR turn = 1) AS kept FROM {TRACKS} GROUP BY 1")
+def audio_filter(spark, d):
+    keep = lambda t: t["role"].isin("user", "system") | (t["turn"] == 1)
+    return _tracks(spark, d).select("conv_id", F.size(F.filter("tracks", keep)).cast("long").alias("kept"))
+
+
+@query("SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")
+def payload_extract(spark, d):
+    e = audit.parse_payload(views.table(spark, d, "events"), "k bigint", "props")
+    return e.groupBy("event_type").agg(F.sum("payload.k").alias("k"), F.count("*").alias("n"))
+
+
+@query(f"""SELECT batch, count(*) AS n, count(*) FILTER (event_type = 'job_completed') AS completed, sum(saved_bytes)::BIGINT AS saved_bytes FROM
+    (SELECT *, (row_number() OVER (ORDER BY seq_id) - 1) // 10 AS batch FROM {AUDIT}) GROUP BY 1""")
+def notify_count_batches(spark, d):
+    b = audit.count_batches(views.audit(spark, d), 10)
+    return audit.batch_summary(b, "batch").select("batch", "n", "completed", "saved_bytes")
+
+
+@query(f"SELECT (CAST(floor(epoch(ts)) AS BIGINT) // 1800) * 1800 AS batch, count(*) AS n, count(*) FILTER (event_type = 'job_failed' OR event_type = 'job_quality_failed') AS failed FROM {AUDIT} GROUP BY 1")
+def notify_time_batches(spark, d):
+    b = audit.time_batches(views.audit(spark, d), 1800)
+    return audit.batch_summary(b, "batch").select(F.unix_timestamp("batch").alias("batch"), "n", "failed")
+
+
+@query("""SELECT event_id, floor((epoch_us(after) - epoch_us(ts)) / 1000000)::BIGINT AS silent FROM
+    (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events) WHERE floor((epoch_us(after) - epoch_us(ts)) / 1000000) > 86400""")
+def stuck_jobs(spark, d):
+    e = views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return audit.stuck(e, "user_id", "ts", 86400).filter("is_stuck").select("event_id", "silent")
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(least(l_quantity / 60.0 * 100, 100), 6) AS pct, round((60.0 - l_quantity) / (1 + l_tax))::BIGINT AS eta FROM lineitem""")
+def eta_progress(spark, d):
+    cur, total, speed = F.col("l_quantity").cast("double"), F.lit(60.0), 1 + F.col("l_tax")
+    pct = S.percentage(cur, total)
+    return views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(pct, 6).alias("pct"), S.eta_seconds(cur, total, speed, pct).alias("eta"))
+
+
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN s > 0 AND s < 0.9 THEN 'ssim too low' WHEN v >= 25 THEN 'vmaf reached' WHEN v IS NOT NULL THEN 'vmaf too low'
+    WHEN s >= 0.92 THEN 'ssim only' ELSE 'no scores' END AS reason FROM (SELECT 1 - l_tax * 2 AS s, CASE WHEN l_linenumber < 6 THEN l_quantity END AS v FROM lineitem)) GROUP BY 1""")
+def quality_verdict(spark, d):
+    v = quality.verdict(1 - F.col("l_tax") * 2, F.when(F.col("l_linenumber") < 6, F.col("l_quantity").cast("double")), 25.0)
+    return views.table(spark, d, "lineitem").groupBy(v["reason"].alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT state, count(*) AS n FROM (SELECT CASE WHEN l_returnflag = 'A' THEN 'skipped' WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'completed'
+    WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN CASE WHEN l_orderkey % 4 < 3 THEN 'pending' ELSE 'permanently_failed' END
+    WHEN l_returnflag = 'N' AND l_linenumber = 2 THEN 'permanently_failed' WHEN l_returnflag = 'N' AND l_discount = 0 THEN 'skipped'
+    WHEN l_returnflag = 'N' AND l_quantity < 10 THEN 'quality_failed' WHEN l_returnflag = 'N' THEN 'completed' ELSE 'review_required' END AS state FROM lineitem) GROUP BY 1""")
+def outcome_state(spark, d):
+    action = F.when(F.col("l_returnflag") == "A", "skip").when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F"), "copy").when(F.col("l_returnflag") == "N", "transcode").otherwise("review")
+    error = F.when(F.col("l_linenumber") == 1, "exit 1").when(F.col("l_linenumber") == 2, "got SIGSEGV")
+    new = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    growth = quality.grew(F.lit(True), F.col("l_extendedprice"), new)
+    no = F.lit(False)
+    out = quality.outcome(F.lit("/a/b.mkv"), action, no, F.lit(None).cast("string"), no, growth, F.col("l_quantity") >= 10, error, no, F.col("l_orderkey") % 4)
+    return views.table(spark, d, "lineitem").groupBy(out["state"].alias("state")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, file_path FROM (SELECT id, unnest([file_path, 'relative/' || id]) AS file_path FROM {QUEUE} WHERE scheduled_at <= {NOW_SQL}) WHERE file_path LIKE '/%'")
+def schedule_due(spark, d):
+    s = views.queue(spark, d).select("id", "priority", F.col("scheduled_at").alias("scheduled"), F.lit(False).alias("executed"), F.array("file_path", F.concat(F.lit("relative/"), F.col("id").cast("string"))).alias("file_paths"))
+    return audit.due_paths(s, now()).select("id", "file_path")
+
+
+@query("""SELECT event_id, w.window, w.edge FROM (SELECT event_id, hour(ts) * 60 + minute(ts) AS m FROM events) e
+    JOIN (VALUES ('night', 'start', 120), ('night', 'end', 360), ('late', 'start', 1380), ('late', 'end', 60)) w("window", edge, minute_at) ON e.m = w.minute_at""")
+def window_triggers(spark, d):
+    e = views.table(spark, d, "events").select("event_id", (F.hour("ts") * 60 + F.minute("ts")).alias("m"))
+    return audit.window_triggers(e, [("night", 120, 360), ("late", 1380, 60)], F.col("m")).select("event_id", "window", "edge")
+
+
+@query("SELECT l_returnflag, count(*) FILTER (l_discount = 0) AS grown, count(*) AS n FROM lineitem GROUP BY 1")
+def size_growth(spark, d):
+    grown = quality.grew(F.lit(True), F.col("l_extendedprice"), F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return views.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.when(grown, 1)).alias("grown"), F.count("*").alias("n"))
+
+
+@query(f"""SELECT 'jobs_completed' AS name, count(*) FILTER (event_type = 'job_completed') AS value FROM {AUDIT} UNION ALL SELECT 'jobs_failed', count(*) FILTER (event_type = 'job_failed') FROM {AUDIT}
+    UNION ALL SELECT 'events', count(*) FROM {AUDIT}""")
+def metrics_long(spark, d):
+    one = views.audit(spark, d).agg(F.count(F.when(F.col("event_type") == "job_completed", 1)).alias("jobs_completed"), F.count(F.when(F.col("event_type") == "job_failed", 1)).alias("jobs_failed"), F.count("*").alias("events"))
+    return one.unpivot([], ["jobs_completed", "jobs_failed", "events"], "name", "value")
+
+
+@query("""SELECT p_partkey, CASE WHEN c = 'h264' THEN 'libx264' WHEN c = 'av1' AND g THEN 'hevc_vaapi' WHEN c = 'av1' THEN 'libsvtav1' WHEN g THEN 'hevc_nvenc' ELSE 'libx265' END AS encoder
+    FROM (SELECT p_partkey, ['hevc', 'h264', 'av1'][CAST(p_partkey % 3 AS INT) + 1] AS c, p_size > 25 AS g FROM part)""")
+def encoder_select(spark, d):
+    p = views.table(spark, d, "part")
+    codec = F.element_at(F.array(F.lit("hevc"), F.lit("h264"), F.lit("av1")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    gpu = F.col("p_size") > 25
+    has = F.create_map(F.lit("hevc_nvenc"), gpu, F.lit("hevc_vaapi"), gpu)
+    return p.select("p_partkey", evaluate.select_encoder(codec, F.lit("auto"), has)["encoder"].alias("encoder"))
+
+
+@query()
+def webhook_signatures(spark, d):
+    events = audit.newest(views.audit(spark, d), 100).select("event_type", F.lit("t").alias("title"), F.lit("m").alias("message"), F.col("ts").alias("timestamp"))
+    return audit.render_message("webhook", events, "secret").select("event_type", "body", "signature")
+
+
+@query()
+def backoff_jitter(spark, d):
+    return views.queue(spark, d).select("id", S.backoff_seconds(F.col("retry_count"), jitter=F.rand(7)).alias("delay"))
