@@ -13,17 +13,25 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round every node takes its smallest neighbour (or itself) and then that one's, and links are
     drawn between the nodes so taken; links inside what has come together are gone, so the table
-    shrinks from round to round until none is left. Minima are taken before each shuffle, so a node
+    shrinks from round to round until none is left. From the third round on (long chains) nodes follow
+    what they took to its end, by doubling, so rounds grow with the logarithm of the number of nodes. Minima are taken before each shuffle, so a node
     with very many neighbours costs one row for each task. Links with a null end and links of a node
     to itself are left out.
     """
     links = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     edges = cut(links.distinct())
-    labels = None
+    labels, rounds = None, 0
     while True:
+        rounds += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("p"))
         taken = cut(near.join(near.select(F.col("node").alias("p"), F.col("p").alias("label")), "p").select("node", "label"))
+        while rounds > 2:
+            far = taken.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            moved = cut(taken.join(far, "label").select("node", F.col("label").alias("old"), F.col("far").alias("label")))
+            taken = moved.select("node", "label")
+            if moved.filter("old <> label").isEmpty():
+                break
         if labels is None:
             labels = taken
         else:
