@@ -157,7 +157,7 @@ def default_model(seed: int = 11, n: int = 300) -> Hmm:
         out = []
         for _ in range(rng.randint(least, most)):
             words = ["".join(rng.choices(("an", "de", "er", "ou", "sta", "que", "ung"), k=rng.randint(1, 3))) for _ in range(rng.randint(2, 14))]
-            out.append(" ".join(words).capitalize() + rng.choice((".", ".", "?", "")) + rng.choice((" ", " ", "\n")))
+            out.append(" ".join(words).capitalize() + rng.choice((".", ".", "?", "")) + rng.choice((" ", " ", "\n", "\n\n")))
         return "".join(out).strip()
 
     made = []
