@@ -5,16 +5,16 @@ blocks, by ranges of the hash; a range's counts are then merged in one task. Ran
 the text, as hashes are.
 
 Filter: a count c is quantised to level 1 + floor(log_BASE c), and the n-gram is entered once for each
-level up to its own, so that probing level after level until a miss reads its level back. Each hash
-range fills a segment of its own. The filter has a proven bound (``MAX_FILTER_BYTES``); it is broadcast.
-Words enter with any count, pairs from ``LEAST_PAIR`` on.
+level up to its own, so that probing level after level until a miss reads its level back. Words and
+pairs enter with any count. Each hash range fills a segment of its own, of ``BITS_PER_ENTRY`` bits for
+each entry, so the filter grows with the corpus and its false-positive rate stays the same. It is never
+in one place: a block of texts sends its distinct n-grams to their segments and gets levels back.
 
 Score: of each token, log10 of WEIGHT * c(pair) / c(word before) + (1 - WEIGHT) * smoothed share of the
 word, all counts as the filter gives them.
 
-Base score: it needs exact counts. Words with the largest counts, at most ``MAX_WORDS`` of them, are
-broadcast; tokens of any rarer word meet their counts in a shuffle, so the result is exact for any
-vocabulary.
+Base score: it needs exact counts. Each segment has those of its range's words beside it, and the same
+shuffle brings them back, so the result is exact for any vocabulary.
 """
 
 from __future__ import annotations
@@ -24,26 +24,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from framewright.llm.arrow import append_columns, slices
+from framewright.llm.arrow import give_back, slices, text_view
 from framewright.llm.lineage import cut
 from framewright.llm.text import U64, Words, combine, mix, words
 
 #: Ratio between the counts of neighbouring levels.
 BASE = 1.5
-LEAST_PAIR = 2
 PROBES = 3
 BITS_PER_ENTRY = 10
-MAX_FILTER_BYTES = 32 << 20
-MAX_WORDS = 2_000_000
 WEIGHT = 0.4
 SMOOTHING = 0.1
 #: Tokens that a counting task holds before it hands on their counts.
 HELD_TOKENS = 3_000_000
+#: A block of texts that is scored as one ends with the slice that takes it to so many words, or before
+#: the one that would take it beyond so many bytes of text; a row counts for some bytes besides its text.
+MAX_WORDS = 2_000_000
+BLOCK_BYTES, ROW_BYTES = 8 << 20, 64
 
 #: The token that ends each text (and stands before its first word).
 END = mix(np.array([0x2E], U64))[0]
@@ -72,6 +74,32 @@ def ranges(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> U64(32)) * U64(n)) >> U64(32)
 
 
+def short(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of pairs with about 40 bits left to tell those of one range apart: a range of a million
+    takes one for another in a millionth of cases, far below what the filter does."""
+    lost = U64(max(0, 24 - n.bit_length()))
+    return hashes >> lost << lost
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned numbers as compressed planes of bytes."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def pack_hashes(sorted_: np.ndarray) -> bytes:
+    return pack(np.diff(sorted_, prepend=U64(0)))
+
+
+def unpack_hashes(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, U64), dtype=U64)
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
 
@@ -90,19 +118,21 @@ BLOCK = T.StructType(
         T.StructField("counts", T.BinaryType()),
     ]
 )
+#: A range's segment of the filter, and the exact counts of its words.
 MERGED = T.StructType(
     [
         T.StructField("range", T.IntegerType()),
+        T.StructField("segment", T.BinaryType()),
         T.StructField("words", T.BinaryType()),
-        T.StructField("word_counts", T.BinaryType()),
-        T.StructField("pairs", T.BinaryType()),
-        T.StructField("pair_counts", T.BinaryType()),
+        T.StructField("counts", T.BinaryType()),
         T.StructField("n_tokens", T.LongType()),
         T.StructField("n_words", T.LongType()),
-        T.StructField("entries", T.LongType()),
-        T.StructField("sizes", T.ArrayType(T.LongType())),
     ]
 )
+#: What a block asks of a range, and the answer: counts and levels of its words and pairs, in the order
+#: of their hashes. The block's rows travel along, to one range each.
+ASKED = T.StructType([T.StructField("block", T.LongType()), T.StructField("range", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("words", "pairs", "rows")]])
+ANSWER = T.StructType([*ASKED.fields[:2], *[T.StructField(c, T.BinaryType()) for c in ("counts", "word_levels", "pair_levels", "rows")]])
 
 
 def count_blocks(docs: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -116,8 +146,8 @@ def count_blocks(docs: DataFrame, text_col: str, n: int) -> DataFrame:
         columns = [
             pa.array(rows, pa.int32()),
             pa.array([is_pair] * len(rows)),
-            pa.array([found[ends[k] : ends[k + 1]].tobytes() for k in rows], pa.binary()),
-            pa.array([counts[ends[k] : ends[k + 1]].astype("<u4").tobytes() for k in rows], pa.binary()),
+            pa.array([pack_hashes(found[ends[k] : ends[k + 1]]) for k in rows], pa.binary()),
+            pa.array([pack(counts[ends[k] : ends[k + 1]].astype(np.uint32)) for k in rows], pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -129,7 +159,7 @@ def count_blocks(docs: DataFrame, text_col: str, n: int) -> DataFrame:
             for a, b in slices(batch.column(0)):
                 toks, _ = tokens(words(batch.column(0).slice(a, b - a)))
                 held.append(toks)
-                held_pairs.append(pairs(toks))
+                held_pairs.append(short(pairs(toks), n))
                 size += len(toks)
                 if size >= HELD_TOKENS:
                     yield from blocks(held, False)
@@ -144,8 +174,8 @@ def count_blocks(docs: DataFrame, text_col: str, n: int) -> DataFrame:
 
 
 def _summed(hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(b"".join(hashes), U64)
-    c = np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
+    h = np.concatenate([np.zeros(0, U64), *map(unpack_hashes, hashes)])
+    c = np.concatenate([np.zeros(0, np.int64), *(unpack(x, np.uint32) for x in counts)]).astype(np.int64)
     if not len(h):
         return h, c
     order = np.argsort(h)
@@ -154,23 +184,31 @@ def _summed(hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.nd
     return h[first], np.add.reduceat(c, first)
 
 
+def segment_of(counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """A segment that all n-grams of (hashes, counts) are entered in, as bytes."""
+    entries = sum(int(levels(c).sum()) for _, c in counted)
+    bits = max(1024, -(-entries * BITS_PER_ENTRY // 8) * 8)
+    segment = np.zeros(bits, bool)
+    for h, c in counted:
+        own = levels(c)
+        for k in range(1, int(own.max(initial=0)) + 1):
+            for pos in _positions(h[own >= k], k, 1, bits):
+                segment[pos.astype(np.int64)] = True
+    return np.packbits(segment, bitorder="little")
+
+
 def merge(table: pa.Table) -> pa.Table:
     is_pair = table.column("pairs").to_pylist()
     hashes, counts = table.column("hashes").to_pylist(), table.column("counts").to_pylist()
     w, wc = _summed([h for h, p in zip(hashes, is_pair, strict=True) if not p], [c for c, p in zip(counts, is_pair, strict=True) if not p])
     p, pc = _summed([h for h, p in zip(hashes, is_pair, strict=True) if p], [c for c, p in zip(counts, is_pair, strict=True) if p])
-    p, pc = p[pc >= LEAST_PAIR], pc[pc >= LEAST_PAIR]
-    sizes = np.bincount(np.floor(np.log2(np.maximum(wc, 1))).astype(np.int64), minlength=48) if len(wc) else np.zeros(48, np.int64)
     row = {
         "range": table.column("range")[0].as_py(),
+        "segment": segment_of([(w, wc), (p, pc)]).tobytes(),
         "words": w.tobytes(),
-        "word_counts": wc.astype("<i8").tobytes(),
-        "pairs": p.tobytes(),
-        "pair_counts": pc.astype("<i8").tobytes(),
+        "counts": wc.astype("<i8").tobytes(),
         "n_tokens": int(wc.sum()),
         "n_words": len(w),
-        "entries": int(levels(wc).sum() + levels(pc).sum()) if len(wc) or len(pc) else 0,
-        "sizes": sizes.tolist(),
     }
     return pa.Table.from_pylist([row], schema=to_arrow_schema(MERGED))
 
@@ -209,87 +247,34 @@ class Filter:
 
 @dataclass
 class Model:
-    filter: Filter
+    segments: DataFrame  # MERGED, a row for each of ``n`` hash ranges that holds anything
+    n: int
     n_tokens: int
     n_words: int
-    words: np.ndarray  # sorted hashes of words with counts of at least ``least``
-    counts: np.ndarray
-    least: int
-    rare: DataFrame | None  # (hash, count) of the others
-
-    def for_workers(self) -> "Model":
-        return Model(self.filter, self.n_tokens, self.n_words, self.words, self.counts, self.least, None)
 
     @property
     def total(self) -> float:
         return self.n_tokens + SMOOTHING * (self.n_words + 1)
 
-    def log_probabilities(self, toks: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after the one before it."""
-        found, where = np.unique(toks, return_inverse=True)
-        count = level_count(self.filter.level(found))[where]
-        before = np.empty_like(count)
-        end = level_count(self.filter.level(np.array([END], U64)))[0]
-        before[:1] = end
-        before[1:] = count[:-1]
-        share = (count + SMOOTHING) / self.total
-        pair = level_count(self.filter.level(pairs(toks)))
-        together = np.minimum(1.0, pair / np.maximum(before, 1.0))
-        return np.log10(np.minimum(1.0, WEIGHT * together + (1 - WEIGHT) * share))
-
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Counts all of ``docs`` (null texts as empty) and builds the filter."""
-    spark = docs.sparkSession
-    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     merged = cut(count_blocks(docs, text_col, n).groupBy("range").applyInArrow(merge, MERGED))
-    sums = merged.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum("entries"), *[F.sum(F.col("sizes")[k]) for k in range(48)]).first()
-    n_tokens, n_words, entries = (x or 0 for x in sums[:3])
-    least, kept = 1, n_words
-    for k in range(48):
-        if kept <= MAX_WORDS:
-            break
-        kept -= sums[3 + k] or 0
-        least = 1 << (k + 1)
-    bits = max(1024, min(MAX_FILTER_BYTES * 8, entries * BITS_PER_ENTRY) // n // 8 * 8)
-    part = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("segment", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-    schema = to_arrow_schema(part)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                segment = np.zeros(bits, bool)
-                w, wc = np.frombuffer(row["words"], U64), np.frombuffer(row["word_counts"], "<i8")
-                p, pc = np.frombuffer(row["pairs"], U64), np.frombuffer(row["pair_counts"], "<i8")
-                for h, c in ((w, wc), (p, pc)):
-                    own = levels(c)
-                    for k in range(1, int(own.max(initial=0)) + 1):
-                        for pos in _positions(h[own >= k], k, n, bits):
-                            segment[(pos - U64(row["range"] * bits)).astype(np.int64)] = True
-                big = wc >= least
-                made = {"range": row["range"], "segment": np.packbits(segment, bitorder="little").tobytes(), "words": w[big].tobytes(), "counts": wc[big].tobytes()}
-                yield pa.RecordBatch.from_pylist([made], schema=schema)
-
-    # Bounded whatever the corpus: MAX_FILTER_BYTES of segments and MAX_WORDS words.
-    parts = sorted(merged.select(*MERGED.names[:5]).mapInArrow(build, part).toArrow().to_pylist(), key=lambda r: r["range"])
-    data = np.zeros(n * bits // 8, np.uint8)
-    for r in parts:
-        at = r["range"] * bits // 8
-        data[at : at + bits // 8] = np.frombuffer(r["segment"], np.uint8)
-    big = np.frombuffer(b"".join(r["words"] for r in parts), U64)
-    counts = np.frombuffer(b"".join(r["counts"] for r in parts), "<i8")
-    rare = None
-    if least > 1:
-        pair = T.StructType([T.StructField("hash", T.LongType()), T.StructField("count", T.LongType())])
-
-        def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for w, c in zip(batch.column(0), batch.column(1), strict=True):
-                    h, c = np.frombuffer(w.as_py(), np.int64), np.frombuffer(c.as_py(), "<i8")
-                    yield pa.RecordBatch.from_arrays([pa.array(h[c < least]), pa.array(c[c < least])], names=["hash", "count"])
-
-        rare = merged.select("words", "word_counts").mapInArrow(small, pair)
-    return Model(Filter(data, n, bits), n_tokens, n_words, big, counts, least, rare)
+    n_tokens, n_words = (x or 0 for x in merged.agg(F.sum("n_tokens"), F.sum("n_words")).first())
+    return Model(merged, n, n_tokens, n_words)
+
+
+def log_probabilities(toks: np.ndarray, where: np.ndarray, count: np.ndarray, pair: np.ndarray, total: float) -> np.ndarray:
+    """log10 of each token's probability after the one before it.
+
+    ``where``: each token's place among the distinct ones, whose counts are ``count``; ``pair``: the
+    count of each token with the one before. All texts end with END, so the last token is one.
+    """
+    own = count[where]
+    before = np.concatenate((own[-1:], own[:-1]))
+    together = np.minimum(1.0, pair / np.maximum(before, 1.0))
+    return np.log10(np.minimum(1.0, WEIGHT * together + (1 - WEIGHT) * (own + SMOOTHING) / total))
 
 
 SCORED = T.StructType(
@@ -298,56 +283,118 @@ SCORED = T.StructType(
         T.StructField("n_known", T.LongType()),
         T.StructField("base_score", T.DoubleType()),
         T.StructField("score", T.DoubleType()),
-        T.StructField("_unmet", T.ArrayType(T.LongType(), False)),
-        T.StructField("_times", T.ArrayType(T.IntegerType(), False)),
     ]
 )
 
 
+def _asked(source: str, n: int):
+    """Blocks of rows: what each asks of the ranges, and the rows themselves."""
+    schema = to_arrow_schema(ASKED)
+
+    def block(held: list[pa.RecordBatch], held_tokens: list[np.ndarray], number: int) -> pa.RecordBatch:
+        rows, toks = pa.Table.from_batches(held), np.concatenate(held_tokens)
+        found = [np.unique(toks), np.unique(short(pairs(toks), n))]
+        ends = [np.searchsorted(ranges(h, n), np.arange(n + 1)) for h in found]
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(rows)
+        used = [k for k in range(n) if any(e[k] < e[k + 1] for e in ends)]
+        keys = [[pack_hashes(h[e[k] : e[k + 1]]) for k in used] + [None] for h, e in zip(found, ends, strict=True)]
+        home = int(mix(np.array([number], U64))[0] % U64(n))
+        columns = [[number] * (len(used) + 1), [*used, home], *keys, [None] * len(used) + [sink.getvalue().to_pybytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, held_tokens, size, n_words = TaskContext.get().partitionId() << 32, [], [], 0, 0
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index(source))
+            for a, b in slices(text):
+                _, off = text_view(text.slice(a, b - a))
+                more = int(off[-1] - off[0]) + ROW_BYTES * (b - a)
+                if held and (size + more > BLOCK_BYTES or n_words >= MAX_WORDS):
+                    yield block(held, held_tokens, number)
+                    number, held, held_tokens, size, n_words = number + 1, [], [], 0, 0
+                held.append(batch.slice(a, b - a))
+                held_tokens.append(tokens(words(text.slice(a, b - a)))[0])
+                size, n_words = size + more, n_words + len(held_tokens[-1])
+        if held:
+            yield block(held, held_tokens, number)
+        del held, held_tokens
+        give_back()
+
+    return run
+
+
+def _answer(segments: pa.Table, asked: pa.Table) -> pa.Table:
+    """Counts and levels of what blocks ask of one range."""
+    known, exact, own = np.zeros(0, U64), np.zeros(0, np.int64), None
+    if segments.num_rows:
+        data = np.frombuffer(segments.column("segment")[0].as_py(), np.uint8)
+        own = Filter(data, 1, len(data) * 8)
+        known = np.frombuffer(segments.column("words")[0].as_py(), U64)
+        exact = np.frombuffer(segments.column("counts")[0].as_py(), "<i8")
+
+    def level(hashes: np.ndarray) -> bytes:
+        return pack((own.level(hashes) if own else np.zeros(len(hashes))).astype(np.uint8))
+
+    counts, word_levels, pair_levels = [], [], []
+    for w, p in zip(asked.column("words"), asked.column("pairs"), strict=True):
+        if not w.is_valid:
+            for out in (counts, word_levels, pair_levels):
+                out.append(None)
+            continue
+        w, p = unpack_hashes(w.as_py()), unpack_hashes(p.as_py())
+        at = np.minimum(np.searchsorted(known, w), max(0, len(known) - 1))
+        met = known[at] == w if len(known) else np.zeros(len(w), bool)
+        count = np.zeros(len(w), U64)
+        count[met] = exact[at[met]]
+        counts.append(pack(count))
+        word_levels.append(level(w))
+        pair_levels.append(level(p))
+    made = [pa.array(x, pa.binary()) for x in (counts, word_levels, pair_levels)]
+    columns = [asked.column("block"), asked.column("range"), *made, asked.column("rows")]
+    return pa.Table.from_arrays(columns, schema=to_arrow_schema(ANSWER))
+
+
+def _scores(kept: list[str], source: str, n: int, total: float):
+    """Scores of a block's rows, from the answers of all ranges."""
+
+    def run(table: pa.Table) -> pa.Table:
+        carried = table.filter(table.column("rows").is_valid()).column("rows")[0].as_py()
+        rows = pa.ipc.open_stream(carried).read_all()
+        answers = table.filter(table.column("rows").is_null()).sort_by("range")
+        exact, word_level, pair_level = (np.concatenate([unpack(x, t) for x in answers.column(c).to_pylist()]) for c, t in (("counts", U64), ("word_levels", np.uint8), ("pair_levels", np.uint8)))
+        w = words(rows.column(source).combine_chunks())
+        toks, bounds = tokens(w)
+        doc = np.repeat(np.arange(w.n_docs), np.diff(bounds))
+        _, where = np.unique(toks, return_inverse=True)
+        _, which = np.unique(short(pairs(toks), n), return_inverse=True)
+        pair = level_count(pair_level.astype(np.int64))[which]
+        logs = np.log10((exact + SMOOTHING) / total)
+        lm = log_probabilities(toks, where, level_count(word_level.astype(np.int64)), pair, total)
+        made = [
+            np.diff(bounds),
+            np.bincount(doc, weights=(exact > 0)[where], minlength=w.n_docs).astype(np.int64),
+            np.bincount(doc, weights=logs[where], minlength=w.n_docs),
+            np.bincount(doc, weights=lm, minlength=w.n_docs),
+        ]
+        return pa.table([rows.column(c) for c in kept] + [pa.array(x) for x in made], names=kept + SCORED.names)
+
+    return run
+
+
 def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``n_tokens``, ``n_known``, ``base_score`` and ``score`` of each whole text.
 
     A null or empty text is its end token alone. One row for each input row, repeated or not; columns
     named like an output are replaced.
     """
-    held = df.sparkSession.sparkContext.broadcast(model.for_workers())
-
-    def make():
-        m = held.value
-        floor = np.log10(SMOOTHING / m.total)
-
-        def run(col: pa.Array) -> list:
-            w = words(col)
-            toks, bounds = tokens(w)
-            doc = np.repeat(np.arange(w.n_docs), np.diff(bounds))
-            found, where = np.unique(toks, return_inverse=True)
-            at = np.minimum(np.searchsorted(m.words, found), max(0, len(m.words) - 1))
-            met = m.words[at] == found if len(m.words) else np.zeros(len(found), bool)
-            logs = np.full(len(found), floor)
-            logs[met] = np.log10((m.counts[at[met]] + SMOOTHING) / m.total)
-            base = np.bincount(doc, weights=logs[where], minlength=w.n_docs)
-            known = np.bincount(doc, weights=met[where], minlength=w.n_docs).astype(np.int64)
-            lm = np.bincount(doc, weights=m.log_probabilities(toks), minlength=w.n_docs)
-            if m.least > 1:  # words that may have a count below ``least``
-                open_ = ~met[where]
-                keys, times = np.unique(np.stack([doc[open_], where[open_]]), axis=1, return_counts=True) if open_.any() else (np.zeros((2, 0), np.int64), np.zeros(0))
-                ends = np.searchsorted(keys[0], np.arange(w.n_docs + 1)).astype(np.int32)
-                unmet = pa.ListArray.from_arrays(pa.array(ends), pa.array(found[keys[1]].view(np.int64)))
-                times = pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32)))
-            else:
-                unmet, times = (pa.array([[]] * w.n_docs, t) for t in (pa.list_(pa.int64()), pa.list_(pa.int32())))
-            return [pa.array(np.diff(bounds)), pa.array(known), pa.array(base), pa.array(lm), unmet, times]
-
-        return run
-
-    rows = append_columns(df, text_col, SCORED, make, keep)
-    if model.rare is None:
-        return rows.drop("_unmet", "_times")
-    rows = cut(rows).withColumn("_row", F.monotonically_increasing_id())  # numbers of a written table
-    rows = cut(rows)
-    open_ = rows.select("_row", F.explode(F.arrays_zip("_unmet", "_times")).alias("x")).select("_row", F.col("x._unmet").alias("hash"), F.col("x._times").alias("times"))
-    gain = F.log10((F.col("count") + SMOOTHING) / F.lit(model.total)) - F.log10(F.lit(SMOOTHING / model.total))
-    more = open_.join(model.rare, "hash").groupBy("_row").agg(F.sum("times").alias("_known"), F.sum(gain * F.col("times")).alias("_gain"))
-    return rows.join(more, "_row", "left").withColumns(
-        {"n_known": F.col("n_known") + F.coalesce("_known", F.lit(0)), "base_score": F.col("base_score") + F.coalesce("_gain", F.lit(0.0))}
-    ).drop("_row", "_known", "_gain", "_unmet", "_times")
+    kept = [c for c in (df.columns if keep is None else keep) if c not in SCORED.names]
+    source = "_framewright_text"
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    frame = df.select(*[F.col(f"`{c}`") for c in kept], text.alias(source))
+    schema = T.StructType([frame.schema[c] for c in kept] + list(SCORED.fields))
+    # Rows travel with what they ask, so blocks are made once and the same on both ways.
+    asked = frame.mapInArrow(_asked(source, model.n), ASKED).groupBy("range")
+    answers = model.segments.groupBy("range").cogroup(asked).applyInArrow(_answer, ANSWER)
+    return answers.groupBy("block").applyInArrow(_scores(kept, source, model.n, model.total), schema)

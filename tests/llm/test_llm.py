@@ -223,6 +223,25 @@ def test_lm_base_is_exact(spark, monkeypatch, edges, most):
     assert lm_score.score(edges, model).count() == len(EDGES)
 
 
+def test_lm_pairs_met_once_count_and_the_filter_grows(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], [*WORD.findall(low(r["text"])), None]) for r in docs.collect()]
+    learned = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    one = collections.Counter(w for t in learned for w in t)
+    two = collections.Counter(p for t in learned for p in zip([None, *t], t))
+    level = lambda c: 1 + math.floor(math.log(c) / math.log(lm_score.BASE) + 1e-9) if c else 0
+    stands = lambda c: float(lm_score.level_count(np.array([level(c)]))[0])
+    model = lm_score.train(docs.filter(split_remainder(F.col("doc_id"), 10) != 0))
+    entries = sum(level(c) for n in (one, two) for c in n.values())
+    assert sum(len(r["segment"]) for r in model.segments.collect()) * 8 >= entries * lm_score.BITS_PER_ENTRY
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, model).collect()}
+    off = []
+    for i, t in rows:
+        p = [0.4 * min(1, stands(two[a, b]) / max(1, stands(one[a]))) + 0.6 * (stands(one[b]) + 0.1) / model.total for a, b in zip([None, *t], t)]
+        off.append(abs(got[i] - sum(math.log10(min(1, x)) for x in p)) / len(t))
+    assert np.mean(off) < 0.03  # false positives only
+
+
 def test_lm_levels_read_back():
     rng = np.random.default_rng(2)
     h, c = rng.integers(0, 2**63, 2000).astype(np.uint64), rng.integers(1, 1000, 2000)
