@@ -4,12 +4,10 @@ Test items are short and documents long, so similarity of whole sets says nothin
 share of an item's shingles that a document holds. Items are partitioned by the size of their set.
 In a partition of sets of up to ``u`` shingles each item keeps the ``floor((1 - t) * u) + 1`` smallest
 hashes of its set: of these at least one must be in any document that holds a share ``t`` of the set,
-however unlucky the hashes, and of larger sketches more than one (``least_hits``). The documents' shingle
-hashes probe the sketches; each (document, item) with enough hits is a candidate. Candidates are verified exactly: by all
-shingles of the item in the document.
+however unlucky the hashes. The documents' shingle hashes probe the sketches; each (document, item) with
+a hit is a candidate. Candidates are verified exactly: by all shingles of the item in the document.
 
-A document's words are dealt into runs of bounded length before shingles are made, so that a text of
-any length makes rows of bounded size.
+A document's words are one array, so the longest text sets the size of the largest row.
 """
 
 from __future__ import annotations
