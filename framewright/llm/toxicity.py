@@ -2,9 +2,11 @@
 
 Terms are a text's distinct words and word beginnings, hashed to a fixed number of buckets. Beside a
 weight, each term has a short vector; the product of two terms' vectors is the weight of their meeting
-in one text, so that an insult beside the mention of a group can weigh more than both alone. Terms
-whose share of texts tells the classes apart in the sample get weights and vectors; they minimise the
-logistic loss by adaptive gradient steps with penalties on their size.
+in one text, so that an insult beside the mention of a group can weigh more than both alone. Weights
+and vectors minimise the logistic loss by adaptive gradient steps, in two runs. The first gives them to
+every term in at least ``LEAST_TEXTS`` texts of the sample, under penalties that take whole vectors down
+to nought; so terms that tell nothing alone but something together stand out by their vectors. The
+second has the ``MEETING`` longest of these and the terms whose own share tells the classes apart.
 
 The fit uses at most ``PER_CLASS`` labelled documents of each class; scoring covers every text whole.
 """
@@ -21,10 +23,15 @@ from framewright.llm.text import Words, combine
 
 BITS = 20
 PER_CLASS = 3000
-FACTORS = 6
+FACTORS = 4
 EPOCHS = 20
-BATCH = 256
+BATCH = 128
 RATE = 0.3
+#: Size of the first, random vectors, and the rate of their steps.
+START, VECTOR_RATE = 0.02, 0.1
+#: The run over all frequent terms: epochs, its penalty on weights and whole vectors, and how many of
+#: its terms go on by their vectors.
+WIDE_EPOCHS, WIDE_LASSO, MEETING = 10, 1e-2, 64
 #: Penalties on the size of weights and of vectors, and how many sample texts a term must be in.
 LASSO = 1e-3
 RIDGE = 1e-3
@@ -85,45 +92,74 @@ def telling_terms(s: Sample, picked: np.ndarray, row_of: np.ndarray) -> np.ndarr
 
 
 def descend(s: Sample, rows: np.ndarray, seed: int = 0) -> FactorizationMachine:
-    rng = np.random.default_rng(seed)
+    """The machine of ``rows``: first all frequent terms under penalties, which show what counts in
+    meetings; then those terms and the telling ones without."""
     row_of = np.repeat(np.arange(len(s.labels)), np.diff(s.bounds))
     picked = np.zeros(len(s.labels), bool)
     picked[rows] = True
-    telling = telling_terms(s, picked, row_of)
-    number = np.full(1 << BITS, -1, np.int32)
-    number[telling] = np.arange(len(telling))
-    live = number[s.features] >= 0
-    term, bounds = number[s.features[live]].astype(np.int64), np.searchsorted(row_of[live], np.arange(len(s.labels) + 1))
-    y = (s.labels == 1).astype(float)
-    share = min(0.95, max(0.05, y[rows].mean()))
-    bias, gb = float(np.log(share / (1 - share))), 1.0
-    m = len(telling)
-    w, gw = np.zeros(m), np.full(m, 1.0)
-    v, gv = rng.normal(0, 0.01, (FACTORS, m)), np.full((FACTORS, m), 1.0)
-    for _ in range(EPOCHS):
-        order = rng.permutation(rows)
-        for i in range(0, len(order), BATCH):
-            some = order[i : i + BATCH]
-            lens = bounds[some + 1] - bounds[some]
-            d = np.repeat(np.arange(len(some)), lens)
-            at = np.repeat(bounds[some] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(lens.sum())
-            t = term[at]
-            sums = [np.bincount(d, weights=f[t], minlength=len(some)) for f in v]
-            pairs = sum(a * a - np.bincount(d, weights=f[t] ** 2, minlength=len(some)) for a, f in zip(sums, v, strict=True))
-            p = sigmoid(bias + np.bincount(d, weights=w[t], minlength=len(some)) + 0.5 * pairs)
-            g = p - y[some]
-            gb += g.sum() ** 2
-            bias -= RATE * g.sum() / np.sqrt(gb)
-            dw = np.bincount(t, weights=g[d], minlength=m)
-            gw += dw * dw
-            rate = RATE / np.sqrt(gw)
-            w -= rate * dw * 3
-            w = np.sign(w) * np.maximum(0, np.abs(w) - rate * LASSO * len(some))
-            for k in range(FACTORS):
-                dv = np.bincount(t, weights=g[d] * (sums[k][d] - v[k][t]), minlength=m) + RIDGE * len(some) * v[k]
-                gv[k] += dv * dv
-                v[k] -= 0.3 * RATE * dv / np.sqrt(gv[k])
-    return FactorizationMachine(number, bias, w.astype(np.float32), v.astype(np.float32), 1.0, 0.0)
+    frequent = np.flatnonzero(np.bincount(s.features[picked[row_of]], minlength=1 << BITS) >= LEAST_TEXTS)
+    wide = Descent(s, rows, frequent, row_of, seed)
+    wide.run(WIDE_EPOCHS, penalised=True)
+    norm = (wide.v**2).sum(axis=0)
+    meeting = np.sort(np.argsort(-norm, kind="stable")[:MEETING])
+    meeting = meeting[norm[meeting] > 0]
+    chosen = np.union1d(telling_terms(s, picked, row_of), frequent[meeting])
+    own = Descent(s, rows, chosen, row_of, seed)
+    at = np.searchsorted(chosen, frequent[meeting])
+    own.w[at], own.v[:, at] = wide.w[meeting], wide.v[:, meeting]
+    own.run(EPOCHS, penalised=False)
+    return FactorizationMachine(own.number, own.bias, own.w.astype(np.float32), own.v.astype(np.float32), 1.0, 0.0)
+
+
+class Descent:
+    """Weights ``w`` and vectors ``v`` of chosen terms, by adaptive gradient steps on the logistic loss.
+
+    ``penalised`` steps shrink weights and whole vectors down to nought where meetings tell nothing.
+    """
+
+    def __init__(self, s: Sample, rows: np.ndarray, chosen: np.ndarray, row_of: np.ndarray, seed: int):
+        self.rng, self.rows = np.random.default_rng(seed), rows
+        self.number = np.full(1 << BITS, -1, np.int32)
+        self.number[chosen] = np.arange(len(chosen))
+        live = self.number[s.features] >= 0
+        self.term = self.number[s.features[live]].astype(np.int64)
+        self.bounds = np.searchsorted(row_of[live], np.arange(len(s.labels) + 1))
+        self.y = (s.labels == 1).astype(float)
+        share = min(0.95, max(0.05, self.y[rows].mean()))
+        self.bias = float(np.log(share / (1 - share)))
+        self.m = len(chosen)
+        self.w, self.v = np.zeros(self.m), self.rng.normal(0, START, (FACTORS, self.m))
+
+    def run(self, epochs: int, penalised: bool) -> None:
+        m, w, v = self.m, self.w, self.v
+        gb, gw, gv = 1.0, np.full(m, 1.0), np.full((FACTORS, m), 1.0)
+        for _ in range(epochs):
+            order = self.rng.permutation(self.rows)
+            for i in range(0, len(order), BATCH):
+                some = order[i : i + BATCH]
+                n = len(some)
+                lens = self.bounds[some + 1] - self.bounds[some]
+                d = np.repeat(np.arange(n), lens)
+                t = self.term[np.repeat(self.bounds[some] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(lens.sum())]
+                own = [f[t] for f in v]
+                sums = [np.bincount(d, weights=x, minlength=n) for x in own]
+                pairs = sum(a * a - np.bincount(d, weights=x * x, minlength=n) for a, x in zip(sums, own, strict=True))
+                g = sigmoid(self.bias + np.bincount(d, weights=w[t], minlength=n) + 0.5 * pairs) - self.y[some]
+                gb += g.sum() ** 2
+                self.bias -= RATE * g.sum() / np.sqrt(gb)
+                each = g[d]
+                dw = np.bincount(t, weights=each, minlength=m)
+                gw += dw * dw
+                rate = RATE / np.sqrt(gw)
+                w -= rate * dw * (1 if penalised else 3)
+                w[:] = np.sign(w) * np.maximum(0, np.abs(w) - rate * (WIDE_LASSO if penalised else LASSO) * n)
+                for k in range(FACTORS):
+                    dv = np.bincount(t, weights=each * (sums[k][d] - own[k]), minlength=m) + (0 if penalised else RIDGE * n * v[k])
+                    gv[k] += dv * dv
+                    v[k] -= VECTOR_RATE * dv / np.sqrt(gv[k])
+                if penalised:
+                    norm = np.sqrt((v * v).sum(axis=0)) + 1e-12
+                    v *= np.maximum(0, 1 - VECTOR_RATE / np.sqrt(gv.mean(axis=0)) * WIDE_LASSO * n / norm)
 
 
 def fit(s: Sample) -> FactorizationMachine:
