@@ -43,28 +43,32 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class NaiveBayesSvm:
-    weights: np.ndarray  # float32 by bucket, ratio and margin weight multiplied
+    ratios: np.ndarray  # float32 by bucket, the log-count ratio; 0 for a bucket not in the sample
+    weights: np.ndarray  # float32 by bucket, ratio and weight of the hyperplane multiplied
     bias: float
     slope: float
     offset: float
 
+    def margins(self, docs: np.ndarray, buckets: np.ndarray, n_docs: int) -> np.ndarray:
+        """Margins of texts by their distinct buckets: scaled indicators are brought to unit length, as in the fit."""
+        length = np.sqrt(np.bincount(docs, weights=self.ratios[buckets].astype(float) ** 2, minlength=n_docs))
+        return np.bincount(docs, weights=self.weights[buckets], minlength=n_docs) / (length + 1e-12) + self.bias
+
     def score(self, w: Words) -> np.ndarray:
         d, f = n_grams(w)
-        live = self.weights[f] != 0
-        d, f = distinct(d[live], f[live], BITS)
-        margin = np.bincount(d, weights=self.weights[f], minlength=w.n_docs) + self.bias
-        return sigmoid(self.slope * margin + self.offset)
+        live = self.ratios[f] != 0
+        return sigmoid(self.slope * self.margins(*distinct(d[live], f[live], BITS), w.n_docs) + self.offset)
 
 
 def log_count_ratio(s: Sample, rows: np.ndarray) -> np.ndarray:
-    """Of each bucket, log of its smoothed share among label 1's indicators to that among label 0's."""
+    """Of each bucket, log of its smoothed share among label 1's indicators to that among label 0's; a
+    bucket that no row holds tells nothing and has 0."""
     picked = np.zeros(len(s.labels), bool)
     picked[rows] = True
     row = np.repeat(np.arange(len(s.labels)), np.diff(s.bounds))
-    counts = [
-        SMOOTHING + np.bincount(s.features[(picked & (s.labels == y))[row]], minlength=1 << BITS) for y in (1, 0)
-    ]
-    return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
+    met = [np.bincount(s.features[(picked & (s.labels == y))[row]], minlength=1 << BITS) for y in (1, 0)]
+    one, zero = (SMOOTHING + c for c in met)
+    return np.where(met[0] + met[1] > 0, np.log(one / one.sum()) - np.log(zero / zero.sum()), 0.0)
 
 
 def dual_coordinate_descent(s: Sample, rows: np.ndarray, scale: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
@@ -106,30 +110,26 @@ def fit(s: Sample) -> NaiveBayesSvm:
     """The model of a sample; with one class only, or no rows, the score is that class's share."""
     if len(np.unique(s.labels)) < 2:
         chance = min(1 - 1e-6, max(1e-6, s.share))
-        return NaiveBayesSvm(np.zeros(1 << BITS, np.float32), 0.0, 1.0, float(np.log(chance / (1 - chance))))
+        none = np.zeros(1 << BITS, np.float32)
+        return NaiveBayesSvm(none, none, 0.0, 1.0, float(np.log(chance / (1 - chance))))
     rows = np.arange(len(s.labels))
+    row_of = np.repeat(rows, np.diff(s.bounds))
 
-    def train(part: np.ndarray) -> tuple[np.ndarray, float]:
+    def learn(part: np.ndarray) -> NaiveBayesSvm:
         ratio = log_count_ratio(s, part)
         w, b = dual_coordinate_descent(s, part, ratio)
-        return w * ratio, b
+        return NaiveBayesSvm(ratio.astype(np.float32), (w * ratio).astype(np.float32), float(b), 1.0, 0.0)
 
-    margins = np.zeros(len(rows))
+    model, margins = learn(rows), np.full(len(rows), np.nan)
     halves = [rows[rows % 2 == k] for k in (0, 1)]
     if all(len(np.unique(s.labels[h])) == 2 for h in halves):
-        for learn, hold in (halves, halves[::-1]):
-            margins[hold] = _margins(s, hold, *train(learn))
-    w, b = train(rows)
-    if not margins.any():
-        margins = _margins(s, rows, w, b)
+        for part, hold in (halves, halves[::-1]):
+            margins[hold] = learn(part).margins(row_of, s.features, len(rows))[hold]
+    else:
+        margins = model.margins(row_of, s.features, len(rows))
     slope, offset = calibrate(margins, s.labels, s.share)
-    return NaiveBayesSvm(w.astype(np.float32), float(b), max(slope, 1e-3), offset)
-
-
-def _margins(s: Sample, rows: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
-    """Margins without unit length: scores stay sums over n-grams, cheap on blocks of texts."""
-    row = np.repeat(np.arange(len(s.labels)), np.diff(s.bounds))
-    return np.bincount(row, weights=w[s.features], minlength=len(s.labels))[rows] + b
+    model.slope, model.offset = max(slope, 1e-3), offset
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, trains: Column, label: str = "quality", per_class: int = PER_CLASS) -> NaiveBayesSvm:
