@@ -38,6 +38,8 @@ from framewright.llm.text import U64, Words, combine, mix, words
 BASE = 1.5
 PROBES = 3
 BITS_PER_ENTRY = 10
+#: Bytes of training text for each hash range, and the least number of ranges.
+RANGE_BYTES, LEAST_RANGES = 32 << 20, 8
 WEIGHT = 0.4
 SMOOTHING = 0.1
 #: Tokens that a counting task holds before it hands on their counts.
@@ -254,12 +256,18 @@ class Model:
 
     @property
     def total(self) -> float:
-        return self.n_tokens + SMOOTHING * (self.n_words + 1)
+        return max(self.n_tokens + SMOOTHING * (self.n_words + 1), SMOOTHING)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Counts all of ``docs`` (null texts as empty) and builds the filter."""
-    n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Counts all of ``docs`` (null texts as empty) and builds the filter.
+
+    The number of hash ranges follows the bytes of text alone, so scores are the same whatever the
+    session's settings and the layout of the table, and a range's segment stays small at any size. An
+    empty frame gives a model of no tokens, by which every n-gram is new.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    n = max(LEAST_RANGES, -(-size // RANGE_BYTES))
     merged = cut(count_blocks(docs, text_col, n).groupBy("range").applyInArrow(merge, MERGED))
     n_tokens, n_words = (x or 0 for x in merged.agg(F.sum("n_tokens"), F.sum("n_words")).first())
     return Model(merged, n, n_tokens, n_words)
