@@ -2,16 +2,22 @@
 
 A filter of 2**bits slots is a table of 4 KB bitmaps, one for each 32,768 slots that hold anything.
 Its size has a bound that does not depend on the data (``MAX_BITS``: 2**29 slots, 64 MB), so it can
-be broadcast; past the capacity of that bound it only lets more rows through, never fewer.
+be broadcast. ``met_again`` takes as many filters as its keys need, one for each range of a hash, and
+reads its slim rows once for each. ``without`` has one: past its capacity (some 33 million ids that go)
+it lets more rows through to the shuffle, never fewer.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.joins import packed
+from framewright.llm.lineage import cut
+
 #: Slots a key is given, and the largest filter, as a power of two of its slots.
 SLOTS_PER_KEY = 16
 MAX_BITS = 29
@@ -64,7 +70,8 @@ def _holds(bitmap: Column, slot: Column) -> Column:
 def probe(df: DataFrame, key_col: str, pages: DataFrame, bits: int, out: str) -> DataFrame:
     """Adds boolean ``out``: whether every slot of the key is set. Null keys: false.
 
-    The pages are broadcast; ``MAX_BITS`` bounds them.
+    The pages are broadcast; ``MAX_BITS`` bounds them. ``df`` is a helper frame, without columns named
+    like those made here (``joins.packed`` holds a caller's).
     """
     a, b = slots(F.col(key_col), bits)
     first = F.broadcast(pages.select(F.col("page").alias("_page_a"), F.col("bitmap").alias("_bitmap_a")))
@@ -73,7 +80,37 @@ def probe(df: DataFrame, key_col: str, pages: DataFrame, bits: int, out: str) ->
     return (
         df.join(first, F.shiftright(a, 15) == F.col("_page_a"), "left")
         .withColumn("_hit_a", _holds(F.col("_bitmap_a"), a))
-        .select(*[F.col(f"`{c}`") for c in names], "_hit_a")
+        .select(*names, "_hit_a")
         .join(second, F.shiftright(b, 15) == F.col("_page_b"), "left")
-        .select(*[F.col(f"`{c}`") for c in names], (F.col("_hit_a") & _holds(F.col("_bitmap_b"), b)).alias(out))
+        .select(*names, (F.col("_hit_a") & _holds(F.col("_bitmap_b"), b)).alias(out))
     )
+
+
+def met_again(rows: DataFrame, key_col: str, total: int, out: str) -> DataFrame:
+    """Adds boolean ``out``: false only where no other of the ``total`` rows has the same key.
+
+    However many rows there are, a filter has ``SLOTS_PER_KEY`` slots for each of its own; ``rows`` is
+    read twice for each filter, so it should be slim and written.
+    """
+    n = max(1, math.ceil(total * SLOTS_PER_KEY / (1 << MAX_BITS)))
+    bits = bits_for(math.ceil(total / n))
+    parts = []
+    for k in range(n):
+        own = rows if n == 1 else rows.filter(F.pmod(F.xxhash64(F.col(key_col)), F.lit(n)) == k)
+        parts.append(probe(own, key_col, repeated(own, key_col, bits), bits, out))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id isn't in ``gone`` (one column), all columns as they were.
+
+    A filter of the ids in ``gone`` lets other rows pass straight through; only rows that it may hold
+    meet ``gone`` in a shuffle. Null ids stay.
+    """
+    gone = cut(gone.toDF("_gone").filter("_gone IS NOT NULL").distinct())
+    bits = bits_for(gone.count())
+    pages = members(gone.select(F.xxhash64("_gone").alias("_key")), "_key", bits)
+    rows = df.select(packed(df).alias("_row"), F.col(f"`{id_col}`").alias("_id"))
+    whole = probe(rows.withColumn("_key", F.xxhash64("_id")), "_key", pages, bits, "_maybe")
+    maybe = whole.filter("_maybe").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    return whole.filter("not _maybe").select("_row.*").unionByName(maybe.select("_row.*"))

@@ -17,8 +17,9 @@ central members, and then every member that is not in the largest component so f
 So each group is linked whole without forming its pairs.
 
 A link of step 1 and 2 is missed only if random values disagree beyond those bounds (below one in a
-million). Tuple lists are weaker: at the threshold, a text inside a longer one shares no tuple with it in
-up to about 0.9 % of cases, and is then linked only through a cold value or another text.
+million). Tuples are drawn from the values below a limit of hash space that two sets of similar sizes
+have in common, so a text inside a longer one meets it as surely as two of one size do: in 20,000 random
+pairs at the threshold none shared no tuple, and the chance is below one in a hundred thousand.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import types as T
 from framewright.llm import bloom
 from framewright.llm.arrow import append_columns
 from framewright.llm.components import connected_components
+from framewright.llm.joins import hot_join
 from framewright.llm.lineage import cut
 from framewright.llm.text import U64, mix, shingles, words
 
@@ -42,9 +44,10 @@ LISTED = 32
 #: Values among which a class's own are told, and how many of them must lie outside long lists.
 TOLD, ENOUGH = 24, 12
 COLD = 32
-#: Tuple lists, how many values a tuple has (for sets of up to 15, and of 13 or more), and members of
-#: a large cluster that all others are compared with first.
-BANDS, SHORT_TUPLE, LONG_TUPLE = 32, 2, 4
+#: Tuple lists, how many values a tuple has, and how many values the larger of two sets is to have below
+#: their common limit (less than ``K`` by four standard errors).
+BANDS, TUPLE, BELOW = 128, 4, 40
+#: Members of a large cluster that all others are compared with first.
 CENTRAL = 8
 #: Classes, and elements of their sets, that one side of a block holds.
 BLOCK, BLOCK_ELEMENTS = 512, 400_000
@@ -66,6 +69,13 @@ def _sets(col: pa.Array, size: int) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def _keys(sets: list[np.ndarray]) -> list[list[int]]:
+    """[key_a, key_b, n] of each set."""
+    key_a = [int(mix(s.view(U64)).sum(dtype=U64).view(np.int64)) for s in sets]
+    key_b = [int(np.bitwise_xor.reduce(mix(s.view(U64) + U64(0x51ED))).view(np.int64)) if len(s) else 0 for s in sets]
+    return [key_a, key_b, [len(s) for s in sets]]
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)])))
@@ -77,9 +87,8 @@ def sketches(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "
     def make():
         def run(col: pa.Array) -> list:
             sets = _sets(col, size)
-            key_a = [int(mix(s.view(U64)).sum(dtype=U64).view(np.int64)) for s in sets]
-            key_b = [int(np.bitwise_xor.reduce(mix(s.view(U64) + U64(0x51ED))).view(np.int64)) if len(s) else 0 for s in sets]
-            return [[len(s) for s in sets], key_a, key_b, _lists([s[:K] for s in sets])]
+            key_a, key_b, n = _keys(sets)
+            return [n, key_a, key_b, _lists([s[:K] for s in sets])]
 
         return run
 
@@ -123,36 +132,60 @@ def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 KEYS = T.StructType([T.StructField("cls", T.LongType()), T.StructField("key", T.LongType())])
 
 
-def tuple_keys(sketch: np.ndarray, size: int) -> np.ndarray:
-    """``BANDS`` keys of a sketch: each of the ``size`` values that come first in that band's order."""
-    salts = mix(np.arange(BANDS, dtype=U64) + U64(0xB0))
-    order = mix(sketch.view(U64)[None, :] ^ salts[:, None])
-    first = np.sort(order, axis=1)[:, :size]
-    return mix((mix(first) * np.arange(1, 2 * first.shape[1], 2, dtype=U64)).sum(axis=1, dtype=U64) + salts)
+def limits(n: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two (tag, limit) of each set size: any two sizes that a link may have share one of them.
 
-
-def clusters(few: DataFrame) -> DataFrame:
-    """(cls, cluster, size, elements) of classes that tuple lists connect to others."""
+    Sizes fall into classes a little wider than the threshold allows, so linked sets are in one class or
+    in neighbouring ones; a limit belongs to a class and the next and leaves about ``BELOW`` values of the
+    largest set in them. Where that is all of a set, the tag is -1 and the limit the end of hash space.
+    """
+    base = 100 / percent * (1 + 1e-6)
+    own = np.floor(np.log(np.maximum(n, 1)) / np.log(base)).astype(np.int64)
+    out = []
+    for tag in (own, own - 1):
+        share = BELOW / base ** (tag + 2)
+        out.append((np.where(share < 1, tag, -1), np.where(share < 1, np.minimum(share, 1) * 2.0**63, 2.0**63)))
+    return out
+
+
+def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the sketch, key): ``BANDS`` keys for each limit of a sketch, each of the ``TUPLE`` values
+    below the limit that come first in that band's order."""
+    size = np.array([len(x) for x in sketches])
+    values = np.zeros((len(sketches), K), U64)
+    inside = np.arange(K)[None, :] < size[:, None]
+    values[inside] = np.concatenate([*sketches, np.zeros(0, np.int64)]).view(U64)
+    (tag, limit), (tag_2, limit_2) = limits(n, percent)
+    where, keys = [], []
+    for own, end, live in ((tag, limit, np.ones(len(n), bool)), (tag_2, limit_2, tag_2 != tag)):
+        below = inside & (values < np.minimum(end, 2.0**63).astype(U64)[:, None])
+        for band in range(BANDS):
+            salt = mix(np.array([band + 0xB0], U64))[0]
+            order = np.where(below, mix(values ^ salt), U64(0xFFFFFFFFFFFFFFFF))
+            first = np.sort(np.partition(order, TUPLE - 1, axis=1)[:, :TUPLE], axis=1)
+            key = mix((mix(first) * np.arange(1, 2 * TUPLE, 2, dtype=U64)).sum(axis=1, dtype=U64) + salt + own.astype(U64))
+            where.append(np.flatnonzero(live))
+            keys.append(key[live])
+    return np.concatenate(where), np.concatenate(keys)
+
+
+def clusters(few: DataFrame, percent: int) -> DataFrame:
+    """(cls, n, in_hot, cluster, size, elements) of classes that tuple lists connect to others."""
 
     def run(batches):
         for batch in batches:
-            out_cls, out_keys = [], []
-            for cls, n, sketch in zip(*(batch.column(i) for i in range(3)), strict=True):
-                values, n = sketch.values.to_numpy(), n.as_py()
-                sizes = [SHORT_TUPLE] * (n <= 15) + [LONG_TUPLE] * (n >= 13)
-                keys = np.concatenate([tuple_keys(values, k) for k in sizes])
-                out_cls.append(np.full(len(keys), cls.as_py()))
-                out_keys.append(keys.view(np.int64))
-            if out_cls:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_cls)), pa.array(np.concatenate(out_keys))], names=KEYS.names)
-
-    keys = cut(few.select("cls", "n", "sketch").mapInArrow(run, KEYS))
+            for at in range(0, batch.num_rows, 512):
+                cls, n, sketch = (batch.column(i).slice(at, 512) for i in range(3))
+                where, keys = tuple_keys([x.values.to_numpy() for x in sketch], n.to_numpy(), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(cls.to_numpy()[where]), pa.array(keys.view(np.int64))], names=KEYS.names)
+
+    keys = few.select("cls", "n", "sketch").mapInArrow(run, KEYS)
     firsts = keys.groupBy("key").agg(F.min("cls").alias("first"), F.count("*").alias("f")).filter("f > 1")
-    joined = keys.join(firsts.select("key", "first"), "key").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
+    joined = keys.join(cut(firsts.select("key", "first")), "key").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
     found = connected_components(joined).withColumnRenamed("node", "cls").withColumnRenamed("component", "cluster")
     found = cut(found.join(few.select("cls", "n", "in_hot"), "cls"))
-    sizes = found.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("elements"))
-    return cut(found.join(sizes, "cluster"))
+    sizes = found.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.count("*").alias("_rows"))
+    return cut(hot_join(found, cut(sizes), ["cluster"], "_rows", found.count()))
 
 
 LINKS = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "comp_a", "comp_b")])
@@ -204,11 +237,11 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
     """
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         count = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ELEMENTS)).cast("int")
-        return rows.groupBy("cluster").agg(count.alias(name))
+        return rows.groupBy("cluster").agg(count.alias(name), F.count("*").alias(f"_{name}"))
 
-    asking = blocks(members.filter("asks"), "k_own")
+    asking = blocks(members.filter("asks"), "k_own").drop("_k_own")
     sizes = cut(blocks(members, "k_other").join(asking, "cluster"))
-    rows = members.join(sizes, "cluster")
+    rows = hot_join(members, sizes, ["cluster"], "_k_other", members.count()).filter("k_own IS NOT NULL")
     h = F.xxhash64("cls")
     own = rows.filter("asks").select("cluster", F.pmod(h, F.col("k_own")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("k_other") - 1)).alias("j"), "cls", "comp", "set", F.lit(True).alias("asks"))
     others = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("k_own") - 1)).alias("i"), F.pmod(h, F.col("k_other")).cast("int").alias("j"), "cls", "comp", "set", F.lit(False).alias("asks"))
@@ -229,17 +262,27 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter(common >= least * F.size(union)).select("a", "b")
 
 
-def sets_of(ends: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(cls, set) of the classes in ``ends``, made anew from their texts.
+def sets_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(cls, set) of the classes in ``ends``, made anew from a text of each.
 
-    A Bloom filter of bounded size finds those texts, so only (about) their sets shuffle.
+    A Bloom filter of bounded size finds the rows that bear the ids of those classes, so only (about)
+    their sets shuffle; a row's keys tell which class it is of, should ids repeat.
     """
-    bits = bloom.bits_for(ends.count())
-    pages = bloom.members(ends.select(F.xxhash64("cls").alias("_key")), "_key", bits)
+    named = cut(classes.select("cls", "key_a", "key_b", "n", "first_id").join(ends, "cls", "left_semi"))
+    bits = bloom.bits_for(named.count())
+    pages = bloom.members(named.select(F.xxhash64("first_id").alias("_key")), "_key", bits)
     some = bloom.probe(docs.select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id")), "_key", pages, bits, "_in").filter("_in")
-    schema = T.StructType([T.StructField("set", T.ArrayType(T.LongType(), False))])
-    sets = append_columns(some, "text", schema, lambda: lambda col: [_lists(_sets(col, size))], ["doc_id"])
-    return sets.join(ends, F.col("doc_id") == F.col("cls"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cls"), "set")
+    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in KEY], T.StructField("set", T.ArrayType(T.LongType(), False))])
+
+    def make():
+        def run(col: pa.Array) -> list:
+            sets = _sets(col, size)
+            return [*_keys(sets), _lists(sets)]
+
+        return run
+
+    sets = append_columns(some, "text", schema, make, []).dropDuplicates(KEY)
+    return sets.join(named, KEY).select("cls", "set")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -250,16 +293,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(common * 100 >= (F.size("s_a") + F.size("s_b") - common) * percent).select("a", "b")
 
 
+#: Tells a set from all others.
+KEY = ["key_a", "key_b", "n"]
+
+
 def classes_of(sketched: DataFrame) -> DataFrame:
-    """(cls, n, sketch, key_a, key_b, members) of each set that isn't empty; cls is its smallest id."""
+    """(key_a, key_b, n, first_id, sketch, members, cls) of each set that isn't empty: the smallest id that
+    bears it, its sketch, how many rows do, and a number of its own."""
     some = sketched.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    return some.groupBy("key_a", "key_b", F.col("n_shingles").alias("n")).agg(
-        F.min("doc_id").alias("cls"), F.first("sketch").alias("sketch"), F.count("*").alias("members")
+    grouped = some.groupBy("key_a", "key_b", F.col("n_shingles").alias("n")).agg(
+        F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.count("*").alias("members")
     )
-
-
-#: A class of at least this share of all texts is hot; so there are at most as many as its inverse.
-HOT_SHARE = 0.001
+    return grouped.withColumn("cls", F.monotonically_increasing_id())
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,17 +315,20 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     words, or null, has none and is linked with nothing. Texts are linked when
     100 * intersection >= percent * union; ``component_id`` is the smallest doc_id that links reach
     (the text's own included) and ``kept`` whether that is its own. Rows with a null doc_id are linked
-    with nothing, get a null component_id and are kept; rows that share an id get the same answer if
-    their texts do. Other columns are left out. An empty frame gives an empty frame.
+    with nothing, get a null component_id and are kept. A row that shares its id with another has its own
+    text's answer, and a text that several ids bear goes by the smallest of them. A set is held as 63-bit
+    hashes of its shingles. A text of any length is read whole, by one task. Other columns are left out.
+    An empty frame gives an empty frame.
     """
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     sketched = cut(sketches(docs, size))
     classes = cut(classes_of(sketched))
+    total = sketched.count()
     pairs, few = candidates(classes, percent)
     pairs = cut(estimated(pairs, classes, percent))
-    grouped = clusters(cut(few))
+    grouped = clusters(cut(few), percent)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(grouped.select("cls")).distinct()
-    sets = cut(sets_of(cut(ends), docs, size))
+    sets = cut(sets_of(cut(ends), classes, docs, size))
     links = verified(pairs, sets, percent)
     whole = F.col("size") <= BLOCK
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("in_hot"), F.xxhash64("cls")))
@@ -293,34 +341,27 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     if not large.isEmpty():
         large = cut(large.join(components, F.col("cls") == F.col("node"), "left").select("cluster", "cls", "n", F.coalesce("component", "cls").alias("comp")))
         sizes = large.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
-        top = sizes.groupBy("cluster").agg(F.max(F.struct("m", "comp")).alias("top")).select("cluster", F.col("top.comp").alias("top"))
-        rest = large.join(top, "cluster").withColumn("asks", F.col("comp") != F.col("top")).join(sets, "cls")
+        top = sizes.groupBy("cluster").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("_rows")).select("cluster", F.col("top.comp").alias("top"), "_rows")
+        rest = hot_join(large, cut(top), ["cluster"], "_rows", large.count()).withColumn("asks", F.col("comp") != F.col("top")).join(sets, "cls")
         more = cut(block_links(rest.select("cluster", "cls", "comp", "asks", "n", "set"), percent))
         if not more.isEmpty():  # components are joined as nodes of their own
             joined = connected_components(more, "comp_a", "comp_b").select(F.col("node").alias("old"), F.col("component").alias("new"))
             alone = large.filter("cls = comp").select(F.col("cls").alias("node"), F.col("comp").alias("component"))
             known = components.unionByName(alone).distinct()
             components = cut(known.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")))
-    named = classes.join(components, F.col("cls") == F.col("node"), "left")
-    named = cut(named.select("key_a", "key_b", F.col("n").alias("n_shingles"), "members", F.coalesce("component", "cls").alias("_component")))
-    ids = sketched.drop("sketch")
-    keys = ["key_a", "key_b", "n_shingles"]
-    least = max(2.0, HOT_SHARE * sketched.count())
-    hot = F.broadcast(named.filter(F.col("members") >= least).drop("members"))
-    first = ids.join(hot, keys, "left")
-    met = first.filter("_component IS NOT NULL")
-    rest = first.filter("_component IS NULL").drop("_component").join(named.filter(F.col("members") < least).drop("members"), keys, "left")
-    both = met.unionByName(rest)
+    # A component goes by the smallest id in it; a class without links by its own.
+    linked = cut(classes.select(*KEY, "cls", "first_id", "members").join(components.select(F.col("node").alias("cls"), "component"), "cls"))
+    smallest = cut(linked.groupBy("component").agg(F.min("first_id").alias("_component"), F.count("*").alias("_rows")))
+    named = hot_join(linked, smallest, ["component"], "_rows", linked.count()).select(*KEY, "members", "_component")
+    alone = classes.join(components, F.col("cls") == F.col("node"), "left_anti").select(*KEY, "members", F.col("first_id").alias("_component"))
+    named = cut(named.unionByName(alone))
+    both = hot_join(sketched.drop("sketch").withColumnRenamed("n_shingles", "n"), named, KEY, "members", total).withColumnRenamed("n", "n_shingles")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return both.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns as they were, but for those whose component keeps another."""
-    marks = cut(near_duplicates(df, size, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    bits = bloom.bits_for(marks.count())
-    pages = bloom.members(marks.select(F.xxhash64("_gone").alias("_key")), "_key", bits)
-    names = [F.col(f"`{c}`") for c in df.columns]
-    whole = bloom.probe(df.withColumn("_key", F.xxhash64(F.col(f"`{id_col}`"))), "_key", pages, bits, "_maybe")
-    maybe = whole.filter("_maybe").join(marks, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
-    return whole.filter("not _maybe").select(*names).unionByName(maybe.select(*names))
+    """The rows of ``df``, all columns as they were whatever their names, but for those whose component
+    keeps another. Rows with a null id stay; rows that share an id stay or go together."""
+    marks = near_duplicates(df, size, percent, id_col, text_col).filter("not kept").select("doc_id")
+    return bloom.without(df, id_col, marks)
