@@ -1,8 +1,8 @@
 """Exact dedup by two-pass Bloom filtering, with DataFrame operations only.
 
 Each text is hashed once, to (id, digest, 64-bit key). Pass one over that table counts filter slots,
-summed before the shuffle; slots met twice make a Bloom filter of possibly repeated keys, of bounded
-size. Pass two probes it: rows it doesn't hold are the only ones of their text and pass straight
+summed before the shuffle; slots met twice make a Bloom filter of possibly repeated keys (several, each
+of bounded size and for a range of keys, where one would fill up). Pass two probes it: rows it doesn't hold are the only ones of their text and pass straight
 through. Only the rest shuffle, without their text, and are summed by digest before they do.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import bloom
+from framewright.llm.joins import hot_join, packed
 from framewright.llm.lineage import cut
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -29,47 +30,13 @@ def digest(text: Column) -> Column:
     return F.sha2(lower_ascii(text), 256)
 
 
-def _flagged(rows: DataFrame, total: int) -> DataFrame:
-    """Adds ``_maybe``: whether another row may have the same digest."""
-    bits = bloom.bits_for(total)
-    rows = rows.withColumn("_key", F.xxhash64("text_sha256"))
-    pages = bloom.repeated(rows, "_key", bits)
-    return bloom.probe(rows, "_key", pages, bits, "_maybe").drop("_key")
-
-
-#: A group of at least this share of all rows is hot; so there are at most as many as its inverse.
-HOT_SHARE = 0.001
-
-
-def _with_groups(rows: DataFrame, groups: DataFrame, total: int, sha: str) -> DataFrame:
-    """Left join of rows to groups by digest. Hot groups, of which there is a bounded number, are
-    broadcast, so that no task gets all rows of one; the rest meet in a shuffle."""
-    least = max(2.0, HOT_SHARE * total)
-    hot = F.broadcast(groups.filter(F.col("_n") >= least))
-    names = [F.col(f"`{c}`") for c in rows.columns]
-    first = rows.join(hot, F.col(sha) == F.col("_sha"), "left")
-    met = first.filter("_sha IS NOT NULL")
-    rest = first.filter("_sha IS NULL").select(*names)
-    return met.unionByName(rest.join(groups.filter(F.col("_n") < least), F.col(sha) == F.col("_sha"), "left"))
-
-
-def _groups(maybe: DataFrame) -> DataFrame:
-    return (
-        maybe.groupBy(F.col("text_sha256").alias("_sha"))
-        .agg(F.max("_id").alias("_keep"), F.count("*").alias("_n"))
-        .filter("_n > 1")
-    )
-
-
-def _marks(rows: DataFrame, kept: list[str]) -> DataFrame:
-    keep_id = F.when(F.col("_n").isNotNull(), F.col("_keep")).otherwise(F.col("_id"))
-    return rows.select(
-        *[F.col(f"`{c}`") for c in kept],
-        keep_id.alias("keep_id"),
-        F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
-        keep_id.eqNullSafe(F.col("_id")).alias("kept"),
-        "text_sha256",
-    )
+def _groups(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``_maybe``, whether another may have their digest; ``_keep`` and ``_n`` of each digest met
+    again). ``rows``: ``_id`` and ``text_sha256`` beside others, written."""
+    flagged = cut(bloom.met_again(rows.withColumn("_key", F.xxhash64("text_sha256")), "_key", total, "_maybe").drop("_key"))
+    groups = flagged.filter("_maybe").groupBy("text_sha256").agg(F.max("_id").alias("_keep"), F.count("*").alias("_n"))
+    # A column of its own for the join's weight, as that is not handed on.
+    return flagged, cut(groups.filter("_n > 1").withColumn("_rows", F.col("_n")))
 
 
 def mark_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -79,38 +46,41 @@ def mark_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     Texts are equal when identical after lower-casing A-Z; null counts as empty, so all null and
     empty texts are one group. Of equal texts the row with the largest id stays; null ids lose to
     any other, and in a group of null ids alone all rows stay. Rows that share both text and id stay
-    or go together. A ``keep`` column named like an output is replaced. An empty frame gives an
-    empty frame.
+    or go together. A ``keep`` column named like an output is replaced; other names may be anything.
+    A text of any length is hashed whole. An empty frame gives an empty frame.
     """
     made = ["keep_id", "group_size", "kept", "text_sha256"]
     kept = [c for c in (keep or [id_col]) if c not in made]
-    carried = [F.col(f"`{c}`") for c in kept]
-    rows = cut(df.select(*carried, F.col(f"`{id_col}`").alias("_id"), digest(F.col(f"`{text_col}`")).alias("text_sha256")))
+    carried = F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(1)]).alias("_row")
+    rows = cut(df.select(carried, F.col(f"`{id_col}`").alias("_id"), digest(F.col(f"`{text_col}`")).alias("text_sha256")))
     total = rows.count()
-    rows = cut(_flagged(rows, total))
-    maybe = rows.filter("_maybe")
-    maybe = _with_groups(maybe, cut(_groups(maybe)), total, "text_sha256")
-    alone = rows.filter("not _maybe").withColumns(
-        {"_sha": F.lit(None).cast("string"), "_keep": F.lit(None).cast(rows.schema["_id"].dataType), "_n": F.lit(None).cast("long")}
+    rows, groups = _groups(rows, total)
+    maybe = hot_join(rows.filter("_maybe"), groups, ["text_sha256"], "_rows", total)
+    lone = {"_keep": F.lit(None).cast(rows.schema["_id"].dataType), "_n": F.lit(None).cast("long")}
+    every = rows.filter("not _maybe").withColumns(lone).unionByName(maybe)
+    keep_id = F.when(F.col("_n").isNotNull(), F.col("_keep")).otherwise(F.col("_id"))
+    return every.select(
+        *[F.col("_row").getField(c).alias(c) for c in kept],
+        keep_id.alias("keep_id"),
+        F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
+        keep_id.eqNullSafe(F.col("_id")).alias("kept"),
+        "text_sha256",
     )
-    return _marks(alone.unionByName(maybe), kept)
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ``mark_copies`` keeps, all their columns as they were.
+    """The rows that ``mark_copies`` keeps, all their columns as they were whatever their names.
 
     A second reading of the texts: rows whose digest isn't in the Bloom filter of repeated digests
     pass straight through; only the others meet the groups in a shuffle.
     """
     rows = cut(df.select(F.col(f"`{id_col}`").alias("_id"), digest(F.col(f"`{text_col}`")).alias("text_sha256")))
     total = rows.count()
-    groups = cut(_groups(_flagged(rows, total).filter("_maybe")))
+    _, groups = _groups(rows, total)
     bits = bloom.bits_for(groups.count())
-    names = [F.col(f"`{c}`") for c in df.columns]
-    pages = bloom.members(groups.select(F.xxhash64("_sha").alias("_key")), "_key", bits)
-    whole = df.select(*names, digest(F.col(f"`{text_col}`")).alias("_text_sha256"))
-    whole = bloom.probe(whole.withColumn("_key", F.xxhash64("_text_sha256")), "_key", pages, bits, "_maybe")
-    alone = whole.filter("not _maybe").select(*names)
-    stays = F.col("_sha").isNull() | F.col("_keep").eqNullSafe(F.col(f"`{id_col}`"))
-    maybe = _with_groups(whole.filter("_maybe"), groups, total, "_text_sha256").filter(stays)
-    return alone.unionByName(maybe.select(*names))
+    pages = bloom.members(groups.select(F.xxhash64("text_sha256").alias("_key")), "_key", bits)
+    whole = df.select(packed(df).alias("_row"), F.col(f"`{id_col}`").alias("_id"), digest(F.col(f"`{text_col}`")).alias("text_sha256"))
+    whole = bloom.probe(whole.withColumn("_key", F.xxhash64("text_sha256")), "_key", pages, bits, "_maybe")
+    stays = F.col("_n").isNull() | F.col("_keep").eqNullSafe(F.col("_id"))
+    maybe = hot_join(whole.filter("_maybe"), groups, ["text_sha256"], "_rows", total).filter(stays)
+    return whole.filter("not _maybe").select("_row.*").unionByName(maybe.select("_row.*"))
