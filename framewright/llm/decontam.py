@@ -1,17 +1,24 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, DataFrame functions only.
 
 Test items are short and documents long, so similarity of whole sets says nothing; what counts is the
-share of an item's shingles that a document holds. Items are partitioned by the size of their set.
-In a partition of sets of up to ``u`` shingles each item keeps the ``floor((1 - t) * u) + 1`` smallest
-hashes of its set: of these at least one must be in any document that holds a share ``t`` of the set,
-however unlucky the hashes. The documents' shingle hashes probe the sketches; each (document, item) with
-a hit is a candidate. Candidates are verified exactly: by all shingles of the item in the document.
-
-A document's words are one array, so the longest text sets the size of the largest row.
+share of an item's shingles that a document holds, its containment. Items are partitioned by the size of
+their set. In a partition of sets of up to ``u`` shingles an item's sketch has the
+``floor((1 - t) * u) + SPARE`` first of its hashes, rare ones (among items) before common ones and then by
+size, so that a shingle which many items share draws documents only where an item has little else. The
+documents' shingle hashes probe the sketches, and the share of a sketch that a document holds estimates
+the containment. An item of ``n`` shingles can lack ``floor((1 - t) * n)`` of them in a document that
+holds a share ``t``; a candidate whose sketch lacks more cannot reach ``t`` and goes, so none is lost.
+Candidates are verified exactly, by all shingles of the item in the document, held as 64-bit hashes.
+
+Items of fewer words than a shingle are one shingle of that many words, and are looked for among the
+documents' shingles of that length too. A document's words are one array, so the longest text sets the
+size of the largest row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +28,8 @@ from framewright.llm.lineage import cut
 
 #: Ends of the size partitions: sets of up to so many shingles.
 SIZES = (8, 16, 32, 64, 128, 256, 512, 1024)
+#: Hashes of a sketch beyond those that an item may lack.
+SPARE = 3
 #: Items' hashes are broadcast while they are no more than this (16 bytes each); beyond it they shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -31,22 +40,31 @@ def word_array(text: Column) -> Column:
 
 
 def shingle_hashes(words: Column, size: int) -> Column:
-    """Hashes of all ``size``-word shingles; a shorter sequence has one, none without words."""
+    """Hashes of all ``size``-word shingles; none of a shorter sequence."""
     at = F.sequence(F.lit(1), F.size(words) - (size - 1))
     every = F.transform(at, lambda i: F.xxhash64(*[F.element_at(words, (i + k).cast("int")) for k in range(size)]))
-    return F.when(F.size(words) >= size, every).when(F.size(words) > 0, F.array(F.xxhash64(F.concat_ws(" ", words)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(words) >= size, every).otherwise(F.array().cast("array<bigint>"))
 
 
 def item_shingles(items: DataFrame, size: int, percent: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, n, hash, kept): the distinct shingle hashes of each item, and whether its sketch keeps them."""
-    made = items.select(F.col(f"`{id_col}`").alias("item_id"), word_array(F.col(f"`{text_col}`")).alias("words"))
-    sets = made.filter(F.col("item_id").isNotNull()).select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("words"), size))).alias("set"))
+    """(item_id, words, n, least, hash, kept): the distinct shingle hashes of each item, how many words they
+    have, how many of the sketch a document must hold, and whether the sketch has them."""
+    made = items.select(F.col(f"`{id_col}`").alias("item_id"), word_array(F.col(f"`{text_col}`")).alias("w")).filter(F.col("item_id").isNotNull())
+    length = F.least(F.size("w"), F.lit(size))
+    own = shingle_hashes(F.col("w"), size)
+    for k in range(size - 1, 0, -1):
+        own = F.when(length == k, shingle_hashes(F.col("w"), k)).otherwise(own)
+    rows = cut(made.select("item_id", length.alias("words"), F.explode(own).alias("hash")).distinct())
+    often = rows.groupBy("hash").agg(F.count("*").alias("often"))
+    sets = rows.join(often, "hash").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("often", "hash", "words"))).alias("set"))
     n = F.size("set")
     upper = F.greatest(n, F.lit(SIZES[-1]))
     for end in reversed(SIZES):
         upper = F.when(n <= end, F.lit(end)).otherwise(upper)
-    keep = F.floor(upper * (100 - percent) / 100) + 1
-    return sets.withColumns({"n": n, "keep": keep}).select("item_id", "n", F.posexplode("set").alias("pos", "hash"), "keep").select("item_id", "n", "hash", (F.col("pos") < F.col("keep")).alias("kept"))
+    keep = F.least(F.floor(upper * (100 - percent) / 100) + SPARE, n)
+    least = F.greatest(F.lit(1), keep - F.floor(n * (100 - percent) / 100))
+    sets = sets.withColumns({"n": n, "keep": keep, "least": least}).select("item_id", "n", "keep", "least", F.posexplode("set").alias("pos", "s"))
+    return sets.select("item_id", F.col("s.words").alias("words"), "n", "least", F.col("s.hash").alias("hash"), (F.col("pos") < F.col("keep")).alias("kept"))
 
 
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -57,28 +75,36 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80,
     """(doc_id, item_id, n_item, n_shared): each document and item of which it holds at least
     ``percent`` of the distinct ``size``-word shingles.
 
-    An item of fewer words is one shingle, its whole sequence, and is found only in texts that are that
-    sequence alone. Items or texts that are null or without words match nothing, nor do rows with null
-    ids. Rows that repeat an id count as one text that holds the shingles of all. Other columns are
-    left out; an empty table gives an empty result.
+    An item of fewer words is one shingle, its whole sequence, and found wherever a text has that
+    sequence. Items or texts that are null or without words match nothing, nor do rows with null ids.
+    Rows that repeat an id count as one text (or item) that holds the shingles of all. Other columns are
+    left out, whatever their names; an empty table gives an empty result.
     """
-    shingles = cut(item_shingles(items, size, percent).distinct())
+    shingles = cut(item_shingles(items, size, percent))
     n_rows = shingles.count()
+    lengths = sorted({r["words"] for r in shingles.select("words").distinct().collect()} | {size})  # up to ``size``
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter(F.col("doc_id").isNotNull())
 
-    def hashes(frame: DataFrame) -> DataFrame:
-        rows = frame.select("doc_id", word_array(F.col("text")).alias("words"))
-        return rows.select("doc_id", F.explode(shingle_hashes(F.col("words"), size)).alias("hash"))
-
-    sketch = shingles.filter("kept").select("hash", "item_id")
-    found = hashes(texts).join(_maybe_broadcast(sketch, n_rows), "hash").select("doc_id", "item_id").distinct()
-    found = cut(found)
+    def met(frame: DataFrame, some: DataFrame) -> DataFrame:
+        """Rows of ``some`` by each document that holds their hash, for each place that does."""
+        rows = frame.select("doc_id", word_array(F.col("text")).alias("w"))
+        each = [
+            rows.select("doc_id", F.explode(shingle_hashes(F.col("w"), k)).alias("hash")).join(
+                _maybe_broadcast(some.filter(F.col("words") == k).drop("words"), n_rows), "hash"
+            )
+            for k in lengths
+        ]
+        return reduce(DataFrame.unionByName, each)
+
+    found = met(texts, shingles.filter("kept").select("words", "hash", "item_id", "least"))
+    found = found.groupBy("doc_id", "item_id", "least").agg(F.count_distinct("hash").alias("hits"))
+    found = cut(found.filter("hits >= least").select("doc_id", "item_id"))
     ids = found.select("doc_id").distinct()
     # The second reading: only candidates' texts are cut into shingles again.
     bits = bloom.bits_for(found.count())
     pages = bloom.members(ids.select(F.xxhash64("doc_id").alias("_key")), "_key", bits)
     some = bloom.probe(texts.withColumn("_key", F.xxhash64("doc_id")), "_key", pages, bits, "_in").filter("_in")
-    held = hashes(some).join(_maybe_broadcast(shingles.select("hash", "item_id", "n"), n_rows), "hash")
+    held = met(some, shingles.select("words", "hash", "item_id", "n"))
     held = held.groupBy("doc_id", "item_id", F.col("n").alias("n_item")).agg(F.count_distinct("hash").alias("n_shared"))
     held = held.filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     return held.join(found, ["doc_id", "item_id"], "left_semi")
@@ -93,11 +119,6 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they were."""
-    gone = cut(matches(docs, items, size, percent, id_col, text_col).select(F.col("doc_id").alias("_gone")).distinct())
-    bits = bloom.bits_for(gone.count())
-    pages = bloom.members(gone.select(F.xxhash64("_gone").alias("_key")), "_key", bits)
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    whole = bloom.probe(docs.withColumn("_key", F.xxhash64(F.col(f"`{id_col}`"))), "_key", pages, bits, "_maybe")
-    maybe = whole.filter("_maybe").join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
-    return whole.filter("not _maybe").select(*names).unionByName(maybe.select(*names))
+    """The rows of ``docs`` that hold no item, all columns as they were whatever their names. Rows with a
+    null id stay."""
+    return bloom.without(docs, id_col, matches(docs, items, size, percent, id_col, text_col).select("doc_id"))

@@ -37,8 +37,9 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predictions(scored: DataFrame, held_out: Column, threshold: float) -> DataFrame:
+    """A null doc_id is neither held out nor learned from; a score at the threshold is predicted 1."""
     predicted = F.when(F.col("score") >= threshold, 1).otherwise(0)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,18 +107,18 @@ QUERIES = {
 
 _LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-_SHINGLES = """
-        SELECT id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
-        FROM (SELECT id, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {rows})"""
+_WORDS = "list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 ORACLE_SQL = {
     "op9_decontam": f"""
-        WITH d AS (SELECT DISTINCT id, unnest(s) AS g FROM ({_SHINGLES.format(rows=f"(SELECT doc_id AS id, {_LOWER_ASCII} AS t FROM documents)")})),
-             b AS (SELECT DISTINCT id, unnest(s) AS g FROM ({_SHINGLES.format(rows=f"(SELECT item_id AS id, {_LOWER_ASCII} AS t FROM benchmark)")})),
-             n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id)
+        WITH dw AS (SELECT id, {_WORDS} AS w FROM (SELECT doc_id AS id, {_LOWER_ASCII} AS t FROM documents)),
+             bw AS (SELECT id, w, least(len(w), 5) AS k FROM (SELECT id, {_WORDS} AS w FROM (SELECT item_id AS id, {_LOWER_ASCII} AS t FROM benchmark))),
+             b AS (SELECT DISTINCT id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM bw WHERE k > 0),
+             n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id),
+             d AS (SELECT DISTINCT id, s.k AS k, unnest(list_transform(range(1, len(w) - s.k + 2), lambda i: array_to_string(w[i:i + s.k - 1], ' '))) AS g
+                   FROM dw, (SELECT DISTINCT k FROM b) AS s WHERE len(w) >= s.k)
         SELECT d.id AS doc_id, b.id AS item_id, any_value(n_item)::INT AS n_item, count(*) AS n_shared
-        FROM d JOIN b USING (g) JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING count(*) * 100 >= any_value(n_item) * 80""",
+        FROM d JOIN b USING (k, g) JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING count(*) * 100 >= any_value(n_item) * 80""",
     "op5_exact_dedup": f"""
         WITH n AS (SELECT doc_id, sha256({_LOWER_ASCII}) AS text_sha256 FROM documents),
              g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
