@@ -35,74 +35,109 @@ HIDDEN_TAGS = frozenset("script style template noscript iframe svg math canvas o
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_PARAGRAPH = BLOCK_TAGS - {"br", "button", "option", "select", "body", "html", "head", "title"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: Text up to the next thing that begins like markup; possessive, so no byte is looked at twice.
+_TEXT = re.compile(r"[^<]*+(?:<(?![a-zA-Z/!?])[^<]*+)*+")
+#: A tag: its slash, name and attributes, where ">" in quotes doesn't end it; again possessive.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+#: Words of attributes by the part of a page they name.
+NAMED = {
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager tabs",
+    "head": "header masthead banner topbar logo hero",
+    "foot": "footer copyright legal colophon bottom imprint",
+    "side": "sidebar aside widget related recommended promo rail secondary trending",
+    "note": "cookie consent notice alert gdpr popup modal overlay newsletter subscribe signup paywall",
+    "ad": "ad ads advert advertisement adsense sponsor sponsored banner",
+    "talk": "comment comments disqus reply replies discussion respond reader",
+    "form": "form search login register",
+    "share": "share social sharing follow meta byline tags author",
+    "main": "article content post entry story main body text page",
+}
+_KIND = {w: k for k, ws in NAMED.items() for w in ws.split()}
+
+#: Tags that tell nothing about what they hold.
+PLAIN_TAGS = frozenset("html body div span b i em strong".split())
+#: Tags that features name; any other is as good as plain, so what a block inherits has a bound.
+KNOWN_TAGS = (BLOCK_TAGS | HIDDEN_TAGS | frozenset("a abbr cite code data del dfn ins kbd label mark q s samp small sub sup time u var".split())) - PLAIN_TAGS
+
+
+@dataclass(frozen=True)
+class Place:
+    """Where in a page a block is: what its ancestors say, summed up from the outermost on."""
+
+    number: int  # the same for blocks under the same ancestors' tags and names
+    under: frozenset[str]  # known tags among them
+    kinds: frozenset[str]  # kinds of page parts that words of their class, id and role name
+    leaf: str  # the innermost block tag
+
+
+ROOT = Place(0, frozenset(), frozenset(), "none")
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]  # ancestors, outermost first
-    names: frozenset[str]  # words of their class, id and role attributes
+    place: Place
     linked: int  # characters inside links
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page, in order. Unclosed and stray tags do no harm; an open ``p`` ends where
-    another block begins; comments, scripts, styles and hidden elements have no text."""
-    out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []
-    parts: list[str] = []
-    linked = links = hidden = 0
-
-    def flush() -> None:
-        nonlocal parts, linked
-        if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            if text:
-                out.append(Block(text, tuple(t for t, _, _ in stack), frozenset().union(*(n for _, n, _ in stack)), linked))
-        parts, linked = [], 0
+class Reader:
+    """Reads one page into leaf blocks, in time in proportion to its length whatever its markup: each
+    open element carries the sums of its ancestors, and open tags are found by their last places."""
 
-    def pop(to: int) -> None:
-        nonlocal links, hidden
-        for tag, _, was_hidden in stack[to:]:
-            links -= tag == "a"
-            hidden -= was_hidden
-        del stack[to:]
+    def __init__(self) -> None:
+        self.out: list[Block] = []
+        self.parts: list[str] = []
+        self.linked = self.links = self.hidden = 0
+        self.stack: list[tuple[str, Place, bool]] = []
+        self.places: dict[str, list[int]] = {}  # where in the stack each tag is open
+        self.open_blocks: list[int] = []
+        self.known: dict[tuple, Place] = {}
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            raw = m[0]
-            if not raw.startswith(("<!", "<?")) and not hidden:
-                parts.append(raw)
-                linked += len(raw) * (links > 0)
-            continue
-        tag = tag.lower()
-        if m[1]:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+    def text(self, raw: str) -> None:
+        if raw and not self.hidden:
+            self.parts.append(raw)
+            self.linked += len(raw) * (self.links > 0)
+
+    def flush(self) -> None:
+        if self.parts:
+            text = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
+            if text:
+                self.out.append(Block(text, self.stack[-1][1] if self.stack else ROOT, self.linked))
+        self.parts, self.linked = [], 0
+
+    def pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            tag, _, was_hidden = self.stack.pop()
+            self.places[tag].pop()
             if tag in BLOCK_TAGS:
-                flush()
-            if found >= 0:
-                pop(found)
-            continue
+                self.open_blocks.pop()
+            self.links -= tag == "a"
+            self.hidden -= was_hidden
+
+    def end(self, tag: str) -> None:
+        if tag in BLOCK_TAGS:
+            self.flush()
+        if self.places.get(tag):
+            self.pop(self.places[tag][-1])
+
+    def start(self, tag: str, attributes: str) -> None:
         if tag in BLOCK_TAGS:
-            flush()
+            self.flush()
         if tag in ENDS_PARAGRAPH:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
-            if found >= 0 and all(t not in BLOCK_TAGS for t, _, _ in stack[found + 1 :]):
-                pop(found)
-            if tag in ("li", "dd", "dt", "option", "tr", "td", "th") and stack and stack[-1][0] == tag:
-                pop(len(stack) - 1)
-        if tag in VOID_TAGS or m[3].endswith("/"):
-            continue
-        attributes = m[3]
+            p = self.places.get("p")
+            if p and self.open_blocks[-1] == p[-1]:
+                self.pop(p[-1])
+            if tag in ("li", "dd", "dt", "option", "tr", "td", "th") and self.stack and self.stack[-1][0] == tag:
+                self.pop(len(self.stack) - 1)
+        if tag in VOID_TAGS or attributes.endswith("/"):
+            return
         words: set[str] = set()
         is_hidden = tag in HIDDEN_TAGS
         if attributes:
@@ -112,71 +147,106 @@ def blocks(page: str) -> list[Block]:
                     words.update(_WORD.findall(value))
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                     is_hidden = True
-        stack.append((tag, frozenset(words), is_hidden))
-        links += tag == "a"
-        hidden += is_hidden
-        if tag in _RAW_END:  # text up to the end tag, whatever it holds
+        outer = self.stack[-1][1] if self.stack else ROOT
+        key = (outer.number, tag, frozenset(words))
+        place = self.known.get(key)
+        if place is None:
+            kinds = {_KIND[w] for w in words if w in _KIND}
+            place = self.known[key] = Place(
+                len(self.known) + 1,
+                outer.under | {tag} if tag in KNOWN_TAGS and tag not in outer.under else outer.under,
+                outer.kinds | kinds if kinds - outer.kinds else outer.kinds,
+                tag if tag in BLOCK_TAGS else outer.leaf,
+            )
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK_TAGS:
+            self.open_blocks.append(len(self.stack))
+        self.stack.append((tag, place, is_hidden))
+        self.links += tag == "a"
+        self.hidden += is_hidden
+
+
+def blocks(page: str) -> list[Block]:
+    """The leaf blocks of a page, in order. Unclosed and stray tags do no harm; an open ``p`` ends where
+    another block begins; comments, scripts, styles and hidden elements have no text. Where quotes never
+    close, tags from there on end at the next ``>``, and a tag that never ends is text."""
+    read = Reader()
+    at, n = 0, len(page)
+    quoted, ends = True, True  # whether quotes still close, and whether a ">" is still ahead
+    while at < n:
+        m = _TEXT.match(page, at)
+        if m.end() > at:
+            read.text(m[0])
+            at = m.end()
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        if page[at + 1] in "!?":
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else n
+            continue
+        m = _TAG.match(page, at) if quoted and ends else None
+        if m:
+            slash, tag, attributes, at = m[1], m[2].lower(), m[3], m.end()
+        else:
+            head = _NAME.match(page, at)
+            end = page.find(">", at) if ends else -1
+            quoted, ends = quoted and head is None, end >= 0
+            if end < 0 or head is None and page[at + 1] != "/":
+                read.text(page[at])
+                at += 1
+                continue
+            if head is None:  # "</" before anything but a letter is a comment
+                at = end + 1
+                continue
+            slash, tag, attributes, at = head[1], head[2].lower(), page[head.end() : end], end + 1
+        if slash:
+            read.end(tag)
+            continue
+        read.start(tag, attributes)
+        if tag in _RAW_END and read.stack and read.stack[-1][0] == tag:  # text up to the end tag, whatever it holds
             end = _RAW_END[tag].search(page, at)
             stop = end.start() if end else n
-            if not hidden and tag == "title":
-                parts.append(page[at:stop])
+            if tag == "title":
+                read.text(page[at:stop])
             at = stop
-    flush()
-    return out
-
+    read.flush()
+    return read.out
 
-#: Words of attributes by the part of a page they name.
-NAMED = {
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager tabs",
-    "head": "header masthead banner topbar logo hero",
-    "foot": "footer copyright legal colophon bottom imprint",
-    "side": "sidebar aside widget related recommended promo rail secondary trending",
-    "note": "cookie consent notice alert gdpr popup modal overlay newsletter subscribe signup paywall",
-    "ad": "ad ads advert advertisement adsense sponsor sponsored banner",
-    "talk": "comment comments disqus reply replies discussion respond reader",
-    "form": "form search login register",
-    "share": "share social sharing follow meta byline tags author",
-    "main": "article content post entry story main body text page",
-}
-_KIND = {w: k for k, ws in NAMED.items() for w in ws.split()}
 
 #: Phrases of notices, forms and footers.
 _PHRASES = re.compile(r"cookie|newsletter|subscri|sign up|log ?in|privacy|copyright|©|all rights|advert|sponsor|accept|read more|share|comment|reply", re.I)
 
 
-def features(page: list[Block]) -> list[list[str]]:
-    """Names of each block's features."""
-    out = []
-    inside = [any(t in ("article", "main") for t in b.tags) for b in page]
+@lru_cache(maxsize=4096)
+def place_features(place: Place) -> tuple[str, ...]:
+    return ("bias", *(f"under:{t}" for t in sorted(place.under)), *(f"named:{k}" for k in sorted(place.kinds)), f"leaf:{place.leaf}")
+
+
+def features(page: list[Block]) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
+    """Names of each block's features: of its place, and of its text and neighbours."""
+    inside = [not b.place.under.isdisjoint(("article", "main")) for b in page]
     any_inside = any(inside)
+    lengths = [min(8, len(b.text).bit_length()) for b in page]
+    linked = [min(3, 4 * b.linked // max(1, len(b.text))) for b in page]
+    out = []
     for i, b in enumerate(page):
         n = len(b.text)
-        f = ["bias"]
-        f += {f"under:{t}" for t in b.tags if t not in ("html", "body", "div", "span", "b", "i", "em", "strong")}
-        f += {f"named:{_KIND[w]}" for w in b.names if w in _KIND}
-        leaf = next((t for t in reversed(b.tags) if t in BLOCK_TAGS), "none")
-        f.append(f"leaf:{leaf}")
-        f.append(f"length:{min(8, n.bit_length())}")
-        f.append(f"linked:{min(3, 4 * b.linked // max(1, n))}")
-        stops = sum(b.text.count(c) for c in ".!?,;")
-        f.append(f"stops:{min(4, stops)}")
-        f.append(f"ends:{b.text[-1] in '.!?…»”'}")
+        f = [f"length:{lengths[i]}", f"linked:{linked[i]}", f"stops:{min(4, sum(map(b.text.count, '.!?,;')))}", f"ends:{b.text[-1] in '.!?…»”'}"]
         if _PHRASES.search(b.text):
             f.append("phrase")
             if n < 120:
                 f.append("phrase, short")
-        if any_inside:
-            f.append(f"the page's article:{inside[i]}")
-        else:
-            f.append("no article")
+        f.append(f"the page's article:{inside[i]}" if any_inside else "no article")
         f.append("first" if i == 0 else "last" if i == len(page) - 1 else "mid")
         for name, j in (("before", i - 1), ("after", i + 1)):
             if 0 <= j < len(page):
-                f.append(f"{name} length:{min(8, len(page[j].text).bit_length())}")
-                f.append(f"{name} linked:{min(3, 4 * page[j].linked // max(1, len(page[j].text)))}")
-        if i and page[i - 1].tags == b.tags and page[i - 1].names == b.names:
+                f += (f"{name} length:{lengths[j]}", f"{name} linked:{linked[j]}")
+        if i and page[i - 1].place.number == b.place.number:
             f.append("as before")
-        out.append(f)
+        out.append((place_features(b.place), tuple(f)))
     return out
 
 
@@ -188,12 +258,23 @@ class ChainField:
     weights: np.ndarray  # features x 2
     steps: np.ndarray  # 2 x 2
 
+    def __post_init__(self) -> None:
+        self.pairs = [tuple(x) for x in self.weights.tolist()]
+
     def scores(self, page: list[Block]) -> np.ndarray:
-        get = self.index.get
-        w = self.weights
+        get, pairs = self.index.get, self.pairs
+        sums: dict[tuple[str, ...], tuple[float, float]] = {}
+
+        def total(names: tuple[str, ...]) -> tuple[float, float]:
+            found = [pairs[k] for k in map(get, names) if k is not None]
+            return sum(x for x, _ in found), sum(y for _, y in found)
+
         out = np.empty((len(page), 2))
-        for i, names in enumerate(features(page)):
-            out[i] = w[[k for k in map(get, names) if k is not None]].sum(axis=0)
+        for i, (place, text) in enumerate(features(page)):
+            if place not in sums:
+                sums[place] = total(place)
+            (a, b), (c, d) = sums[place], total(text)
+            out[i] = a + c, b + d
         return out
 
     def decode(self, page: list[Block]) -> list[int]:
@@ -219,7 +300,7 @@ class ChainField:
 def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 12, rate: float = 0.5, ridge: float = 1e-3, seed: int = 0) -> ChainField:
     """Fits the field to labelled pages by adaptive gradient steps on the log-likelihood."""
     rng = random.Random(seed)
-    named = [(features(p), y) for p, y in pages if p]
+    named = [([a + b for a, b in features(p)], y) for p, y in pages if p]
     index: dict[str, int] = {}
     for f, _ in named:
         for names in f:
@@ -353,7 +434,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[list[Block], list[
             main = f'<div class="{rng.choice(NAMED["main"].split())}">{"".join(body)}</div>'
         page = blocks(head + before + main + after + "</body></html>")
         labels = [int(mark in b.text) for b in page]
-        out.append(([Block(b.text.replace(mark, ""), b.tags, b.names, b.linked) for b in page], labels))
+        out.append(([Block(b.text.replace(mark, ""), b.place, b.linked) for b in page], labels))
     return out
 
 
