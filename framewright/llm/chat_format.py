@@ -252,6 +252,8 @@ def default_model(seed: int = 11, n: int = 400) -> Hmm:
         turns = [("system", rng.choice(("You are a helper. ", "Respond briefly. ", "")) + text(1, 2))] if not names and rng.random() < 0.3 else []
         for _ in range(rng.randint(1, 5)):
             turns += [("user", text(1, 4)), ("assistant", text(1, 8))]
+            if rng.random() < 0.15:  # a speaker may go on in a turn of their own
+                turns.append(rng.choice(turns[-2:]))
         made.append(transcript(turns, seed * 1000 + k, names))
     for _ in range(n // 40):  # text without any marker is the user's
         lines = text(1, 6).split("\n")

@@ -1,14 +1,19 @@
-"""Token-id output as length-delimited binary records with masked checksums and an offset index.
-
-A part file is a run of records, each ``length (u64) | masked crc of the length (u32) | payload |
-masked crc of the payload (u32)``, all little-endian. A payload is ``doc_id (i64) | id width in bytes
-(u8) | ids``, two bytes an id where the vocabulary allows it, else four.
-A checksum is CRC-32 (of zlib), masked by rotating it right by 15 bits and adding a constant, so that
-a checksum of data that itself holds checksums stays meaningful. Beside each part its index gives for
-every record ``doc_id, offset, length``; a shuffled reader seeks by it and needs no scan.
-
-Spark's own committed writer carries the bytes, as a table with one row for each part and its index:
-a lost executor's attempt leaves nothing behind, and stores that only Spark reaches will do.
+"""Token-id output as length-delimited binary records with masked checksums and a separate offset index.
+
+``write`` makes a folder of record files, ``records/``, and beside it an index, ``index/``. A record file is
+a run of records, each ``length (u64) | masked crc of the length (u32) | payload | masked crc of the
+payload (u32)`` and one line feed after it, all little-endian. A payload is ``doc_id (i64) | id width in
+bytes, 128 added for a null doc_id (u8) | ids``, two bytes an id where the vocabulary allows it, else four.
+A checksum is CRC-32 (of zlib), masked by rotating it right by 15 bits and adding a constant, so that a
+checksum of data that itself holds checksums stays meaningful.
+
+The index is a Parquet table with a row for every record: its file, offset and length, its doc_id and
+number of ids; ``parts/`` has the number of ids before each file. ``read_at`` and ``shuffled`` seek by the
+index and read no other bytes; ``read`` takes whole files in order.
+
+Spark's own committed writers carry all three (its text writer the records: a record is a value, the line
+feed is its separator), so a lost executor's attempt leaves nothing behind, on any store that Spark
+reaches. Seeks open the store from Python and so need one that Arrow's file systems know.
 """
 
 from __future__ import annotations
@@ -19,10 +24,12 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,11 +41,12 @@ from framewright.llm.bpe import byte_alphabet
 #: Fixed value: the constant that the record format adds to a rotated checksum.
 MASK_DELTA = 0xA282EAD8
 
-#: Stands for a null doc_id in a record.
+#: Sorts null ids first; the record says whether its id is null.
 NO_ID = -(1 << 63)
+NULL_FLAG = 128
 
-#: Bytes of records that one part holds at most, but for a single longer record.
-PART_BYTES = 4 << 20
+#: Bytes of text for one task that writes, and the most such tasks; bytes of text for one record file.
+TASK_BYTES, MOST_TASKS, FILE_BYTES = 32 << 20, 50_000, 16 << 20
 
 
 def masked_crc(raw: bytes) -> int:
@@ -51,15 +59,20 @@ def frame_record(payload: bytes) -> bytes:
     return b"".join((head, struct.pack("<I", masked_crc(head)), payload, struct.pack("<I", masked_crc(payload))))
 
 
-def read_record(raw: bytes | memoryview, offset: int = 0) -> tuple[bytes, int]:
-    """(payload, offset of the next record); ValueError when a length or checksum is wrong."""
+def record_length(raw: bytes | memoryview, offset: int = 0) -> int:
+    """Bytes of the payload of a record; ValueError when its length is wrong or cut off."""
     head = bytes(raw[offset : offset + 8])
     if len(head) < 8 or len(raw) < offset + 12:
         raise ValueError(f"record at {offset}: cut off in its head")
     (length,), (crc,) = struct.unpack("<Q", head), struct.unpack("<I", raw[offset + 8 : offset + 12])
     if masked_crc(head) != crc:
         raise ValueError(f"record at {offset}: wrong checksum of the length")
-    end = offset + 12 + length
+    return length
+
+
+def read_record(raw: bytes | memoryview, offset: int = 0) -> tuple[bytes, int]:
+    """(payload, offset past the record); ValueError when a length or checksum is wrong."""
+    end = offset + 12 + record_length(raw, offset)
     payload = bytes(raw[offset + 12 : end])
     if len(raw) < end + 4:
         raise ValueError(f"record at {offset}: cut off")
@@ -140,96 +153,111 @@ def load(path: str) -> WordPieces:
     return WordPieces(path)
 
 
-ENCODED = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("block", T.IntegerType()),
-        T.StructField("width", T.IntegerType()),
-        T.StructField("ids", T.BinaryType()),
-    ]
-)
+ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("record", T.BinaryType())])
+
+
+@dataclass
+class Records:
+    """Framed records to write: (doc_id, block, record), how many blocks, and how many rows a file takes."""
+
+    rows: DataFrame
+    n_blocks: int
+    rows_a_file: int
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
-    """(doc_id, block, width, ids): the ids of each whole text, ``width`` bytes each, ``end_id`` last.
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> Records:
+    """The framed record of each whole text's ids, ``end_id`` last.
 
-    A null or empty text has the end id alone. A null doc_id is written as the least 64-bit integer
-    and read back as null; repeated rows are repeated records. Other columns are left out. ``block``
-    is the range of doc_id that a row falls into; the ranges come from quantiles of the ids alone, so
-    that no text is encoded twice for them.
+    A null or empty text has the end id alone. Null ids come first and are read back as null; repeated rows
+    are repeated records. Other columns are left out. ``block`` is the range of doc_id that a row falls
+    into; ranges come from quantiles of the ids alone, so no text is encoded twice for them, and their
+    number from the bytes of text. An id that fills several ranges is dealt among them. A text of any
+    length is one record. An empty frame gives no records.
     """
-    doc_id = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    doc_id = F.col(f"`{id_col}`").cast("long")
     rows = df.select(doc_id.alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [k / n for k in range(1, n)] or [0.5]
-    quantiles = rows.select(F.percentile_approx("doc_id", shares, max(10_000, 20 * n)).alias("q")).first()["q"]
-    ends = np.unique(np.array(quantiles or [], np.int64))
+    size, count = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    n = min(MOST_TASKS, max(1, -(-(size or 0) // TASK_BYTES)))
+    files = max(1, -(-(size or 0) // FILE_BYTES))
+    quantiles = rows.select(F.percentile_approx(F.coalesce("doc_id", F.lit(NO_ID)), [k / n for k in range(1, n)], max(10_000, 20 * n)).alias("q")).first()["q"] if n > 1 else []
+    ends = np.array(quantiles or [], np.int64)
     schema = to_arrow_schema(ENCODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
-        end = end_id.to_bytes(coder.width, "little")
+        end, met = end_id.to_bytes(coder.width, "little"), 0
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 raw, off = text_view(batch.column(1).slice(a, b - a))
                 data = raw[off[0] : off[-1]].tobytes()
                 off = (off - off[0]).tolist()
-                ids = [coder.encode(data[x:y]) + end for x, y in zip(off[:-1], off[1:], strict=True)]
                 own = batch.column(0).slice(a, b - a)
-                block = np.searchsorted(ends, own.to_numpy()).astype(np.int32)
-                columns = [own, pa.array(block), pa.array(np.full(b - a, coder.width, np.int32)), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                ids = own.fill_null(NO_ID)
+                widths = [coder.width | NULL_FLAG * (not known) for known in own.is_valid().to_pylist()]
+                records = [
+                    frame_record(struct.pack("<qB", i, w) + coder.encode(data[x:y]) + end)
+                    for i, w, x, y in zip(ids.to_pylist(), widths, off[:-1], off[1:], strict=True)
+                ]
+                low, high = (np.searchsorted(ends, ids.to_numpy(), side) for side in ("left", "right"))
+                block = low + (met + np.arange(b - a)) % np.maximum(1, high - low)
+                met += b - a
+                yield pa.RecordBatch.from_arrays([ids, pa.array(block.astype(np.int32)), pa.array(records, pa.binary())], schema=schema)
 
-    return rows.mapInArrow(run, ENCODED)
+    return Records(rows.mapInArrow(run, ENCODED), n, max(1, -(-count // files)))
 
 
-PART = T.StructType(
+INDEX = T.StructType(
     [
-        T.StructField("block", T.IntegerType()),
         T.StructField("part", T.IntegerType()),
+        T.StructField("file_number", T.IntegerType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("offset", T.LongType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("doc_id", T.LongType()),
         T.StructField("n_ids", T.LongType()),
-        T.StructField("records", T.BinaryType()),
-        T.StructField("index", T.BinaryType()),
     ]
 )
+#: Fixed value: how Spark names a task's files.
+_FILE = re.compile(r"part-(\d+)-.*-c(\d+)\b")
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs (doc_id, block, width, ids) rows, in order of block and id, into parts."""
-    schema = to_arrow_schema(PART)
-    held: list[bytes] = []
-    index: list[tuple[int, int, int]] = []
-    block, part, at, ids = None, 0, 0, 0
+def _entry(raw: memoryview, at: int) -> tuple[int | None, int]:
+    """(doc_id, number of ids) of a payload that begins at ``at``."""
+    doc_id, width = struct.unpack_from("<qB", raw, at)
+    return (None if width & NULL_FLAG else doc_id), width & ~NULL_FLAG
 
-    def flush() -> pa.RecordBatch:
-        row = {"block": block, "part": part, "n_ids": ids, "records": b"".join(held), "index": np.array(index, "<i8").tobytes()}
-        return pa.RecordBatch.from_pylist([row], schema=schema)
 
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index rows of record files, found by going from head to head."""
+    schema = to_arrow_schema(INDEX)
     for batch in batches:
-        for doc_id, own, width, raw in zip(*(batch.column(i) for i in range(4)), strict=True):
-            doc_id, own, width, raw = doc_id.as_py(), own.as_py(), width.as_py(), raw.as_py()
-            record = frame_record(struct.pack("<qB", doc_id, width) + raw)
-            if held and (own != block or at + len(record) > PART_BYTES):
-                yield flush()
-                held, index, at, ids, part = [], [], 0, 0, part + 1
-            if own != block:
-                block, part = own, 0
-            index.append((doc_id, at, len(record)))
-            held.append(record)
-            at += len(record)
-            ids += len(raw) // width
-    if held:
-        yield flush()
-
-
-def write(encoded: DataFrame, path: str) -> None:
-    """Writes ``encode``'s rows as parts in ascending doc_id order, null ids first.
-
-    What the shuffle moves are ids alone. The files' order is (block, part).
-    """
-    n = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartition(n, "block").sortWithinPartitions("block", "doc_id")
-    ordered.mapInArrow(_parts, PART).write.mode("overwrite").parquet(path)
+        for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            file = path.as_py().rsplit("/", 1)[-1]
+            part, number = (int(x) for x in _FILE.match(file).groups())
+            raw, at, rows = memoryview(content.as_buffer()), 0, []
+            while at < len(raw):
+                length = record_length(raw, at)
+                doc_id, width = _entry(raw, at + 12)
+                rows.append((part, number, file, at, length + 16, doc_id, (length - 9) // width))
+                at += length + 17
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(INDEX), schema, strict=True)], schema=schema)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records").select("path", "content")
+
+
+def write(encoded: Records, path: str) -> None:
+    """Writes records in ascending doc_id order, null ids first, and then their index."""
+    spark = encoded.rows.sparkSession
+    ordered = encoded.rows.repartitionById(encoded.n_blocks, "block").sortWithinPartitions("doc_id")
+    text = ordered.select(F.col("record").cast("string").alias("value"))
+    text.write.mode("overwrite").option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", encoded.rows_a_file).text(f"{path}/records")
+    _files(spark, path).mapInArrow(_index, INDEX).write.mode("overwrite").parquet(f"{path}/index")
+    sums = spark.read.parquet(f"{path}/index").groupBy("part", "file_number", "file").agg(F.sum("n_ids").alias("n_ids"))
+    # A row for each file: some tens of bytes for each FILE_BYTES of text.
+    before = Window.orderBy("part", "file_number").rowsBetween(Window.unboundedPreceding, -1)
+    sums.select("file", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start")).write.mode("overwrite").parquet(f"{path}/parts")
 
 
 DOCUMENT = T.StructType(
@@ -240,39 +268,72 @@ DOCUMENT = T.StructType(
         T.StructField("ids", T.BinaryType()),
     ]
 )
+#: Rows that one output batch holds at most.
+_ROWS = 2000
+
+
+def _decoded(payload: bytes) -> tuple[int | None, np.ndarray]:
+    doc_id, width = _entry(memoryview(payload), 0)
+    return doc_id, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), to_arrow_schema(DOCUMENT), strict=True)], names=DOCUMENT.names)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, records, index in zip(*(batch.column(i) for i in range(3)), strict=True):
-            raw = records.as_buffer()
-            ids, payloads = [], []
-            for doc_id, offset, length in np.frombuffer(index.as_buffer(), "<i8").reshape(-1, 3).tolist():
-                payload, after = read_record(memoryview(raw), offset)
-                own, width = struct.unpack_from("<qB", payload)
-                if after - offset != length or own != doc_id:
-                    raise ValueError(f"the index and the record of document {doc_id} differ")
-                ids.append(None if doc_id == NO_ID else doc_id)
-                payloads.append(np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4").tobytes())
-            sizes = np.array([len(x) // 4 for x in payloads], np.int64)
-            starts = start.as_py() + np.cumsum(sizes) - sizes
-            columns = [pa.array(ids, pa.int64()), pa.array(starts), pa.array(sizes), pa.array(payloads, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=DOCUMENT.names)
+        for start, content in zip(batch.column(0), batch.column(1), strict=True):
+            raw, at, start, rows = memoryview(content.as_buffer()), 0, start.as_py(), []
+            while at < len(raw):
+                payload, at = read_record(raw, at)
+                at += 1  # the line feed
+                doc_id, ids = _decoded(payload)
+                rows.append((doc_id, start, len(ids), ids.tobytes()))
+                start += len(ids)
+                if len(rows) == _ROWS:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every record, checked against its checksums and the index.
+    """(doc_id, start, n_tokens, ids) of every record, checked against its checksums.
 
-    ``ids`` are little-endian u32; ``start`` counts the ids of all records before it. The running
-    sum goes by blocks: within each block over its parts, and over one total for each block.
+    ``ids`` are little-endian u32; ``start`` counts the ids of all records before it.
     """
-    parts = spark.read.parquet(path)
-    heads = parts.select("block", "part", "n_ids")
-    earlier = (Window.unboundedPreceding, -1)
-    blocks = heads.groupBy("block").agg(F.sum("n_ids").alias("n"))
-    blocks = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(*earlier)), F.lit(0)).alias("_block_start"))
-    within = Window.partitionBy("block").orderBy("part").rowsBetween(*earlier)
-    heads = heads.select("block", "part", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("_part_start"))
-    starts = heads.join(blocks, "block").select("block", "part", (F.col("_block_start") + F.col("_part_start")).alias("start"))
-    joined = starts.join(parts, ["block", "part"])
-    return joined.select("start", "records", "index").mapInArrow(_documents, DOCUMENT)
+    starts = spark.read.parquet(f"{path}/parts").select("file", "start")
+    files = _files(spark, path).withColumn("file", F.substring_index("path", "/", -1))
+    return files.join(starts, "file").select("start", "content").mapInArrow(_documents, DOCUMENT)
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/index")
+
+
+def read_at(spark: SparkSession, path: str, entries: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of the records that ``entries``, rows of the index, point to, in their
+    order within each partition. Only those records' bytes are read; ``start`` is null."""
+    records = f"{path}/records"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pa_fs.FileSystem.from_uri(records)
+        name, file = None, None
+        for batch in batches:
+            rows = []
+            for own, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if own != name:
+                    name, file = own, store.open_input_file(f"{base}/{own}")
+                doc_id, ids = _decoded(read_record(file.read_at(length, offset))[0])
+                rows.append((doc_id, None, len(ids), ids.tobytes()))
+            if rows:
+                yield _batch(rows)
+
+    return entries.select("file", "offset", "length").mapInArrow(run, DOCUMENT)
+
+
+def shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
+    """All records in an order drawn from ``seed``: index rows alone are sorted, records are sought."""
+    order = F.xxhash64("file", "offset", F.lit(seed))
+    return read_at(spark, path, index(spark, path).orderBy(order))

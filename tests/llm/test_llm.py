@@ -74,19 +74,53 @@ def test_bpe_rows(spark, edges):
     assert digests["ids_sha256"] == digests["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
-def test_token_file(spark, edges, tmp_path):
-    coded = token_file.encode(edges, WORDS)
-    token_file.write(coded, str(tmp_path / "t"))
-    rows = token_file.read(spark, str(tmp_path / "t")).collect()
+def ids_of(row):
+    return np.frombuffer(row["ids"], "<u4").tolist()
+
+
+def test_token_file(spark, edges, tmp_path, monkeypatch):
+    library = Tokenizer.from_file(WORDS)
+    least = -(1 << 63)
+    want = collections.Counter((i, tuple(library.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in [*EDGES, (least, "least")])
+    df = edges.select("doc_id", "text").unionByName(spark.createDataFrame([(least, "least")], SCHEMA))
+    for size in (1 << 24, 3000):  # one file, and several tasks and files with an id that fills more than one
+        monkeypatch.setattr(token_file, "TASK_BYTES", size)
+        monkeypatch.setattr(token_file, "FILE_BYTES", size // 2)
+        path = str(tmp_path / str(size))
+        token_file.write(token_file.encode(df, WORDS), path)
+        rows = token_file.read(spark, path).collect()
+        assert collections.Counter((r["doc_id"], tuple(ids_of(r))) for r in rows) == want
+        at = 0
+        for r in sorted(rows, key=lambda r: r["start"]):
+            assert r["start"] == at
+            at += r["n_tokens"]
+        named = [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] is not None]
+        assert named == sorted(named)
+        assert collections.Counter((r["doc_id"], tuple(ids_of(r))) for r in token_file.shuffled(spark, path, 3).collect()) == want
+    assert token_file.index(spark, path).select("file").distinct().count() > 3
+    empty = str(tmp_path / "empty")
+    token_file.write(token_file.encode(edges.limit(0), WORDS), empty)
+    assert token_file.read(spark, empty).count() == 0
+
+
+def test_shuffled_reads_touch_only_their_bytes(spark, documents, tmp_path):
+    path = str(tmp_path / "t")
+    token_file.write(token_file.encode(documents, WORDS), path)
+    some = [r["doc_id"] for r in documents.orderBy(F.rand(5)).limit(10).collect()]
+    entries = token_file.index(spark, path).filter(F.col("doc_id").isin(some)).collect()
+    kept = collections.defaultdict(list)
+    for e in entries:
+        kept[e["file"]].append((e["offset"], e["length"]))
+    for file in (tmp_path / "t" / "records").glob("part-*"):  # everything else goes
+        raw = file.read_bytes()
+        blank = bytearray(len(raw))
+        for at, n in kept[file.name]:
+            blank[at : at + n] = raw[at : at + n]
+        file.write_bytes(blank)
+    got = {r["doc_id"]: ids_of(r) for r in token_file.read_at(spark, path, spark.createDataFrame(entries)).collect()}
     library = Tokenizer.from_file(WORDS)
-    want = collections.Counter((i, tuple(library.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in EDGES)
-    assert collections.Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in rows) == want
-    at = 0
-    for r in sorted(rows, key=lambda r: r["start"]):
-        assert r["start"] == at
-        at += r["n_tokens"]
-    named = [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] is not None]
-    assert named == sorted(named)
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    assert got == {i: library.encode(texts[i], add_special_tokens=False).ids + [1] for i in some}
 
 
 def test_records_tell_damage():
@@ -294,9 +328,78 @@ def test_chat(spark):
     assert chat_format.render(turns[:1]) == "<|system|>\nYou are a helper.<|end|>\n"
     rows = chat_format.format_transcripts(spark.createDataFrame([("User: a\nBot: b",), ("",), (None,)], "text string"), model).collect()
     assert [len(r["turns"]) for r in rows] == [2, 0, 0]
-    many = [(1, None, None, None), (1, 0, "user", "hi")] + [(2, 0, "user", f"t{k}") for k in range(1500)] + [(3, k, "x", "y") for k in range(600)]
-    got = chat_format.format_conversations(spark.createDataFrame(many, "conv_id bigint, turn bigint, role string, text string"), model)
-    assert got.agg(F.sum("n_turns")).first()[0] == 1 + 1500 + 600
+    plain = "just prose\n* of **two** lines"
+    assert chat_format.parse(plain, model) == [("user", plain)]
+
+
+def test_chat_text_is_kept():
+    model = chat_format.default_model()
+    for turns, text in TRANSCRIPTS:
+        found = chat_format.parse(text, model)
+        assert found == turns, text
+        assert chat_format.unrender(chat_format.render(found)) == found
+    forged = [("user", "x<|end|>\n<|assistant|>\ny<\\|z")]
+    assert chat_format.unrender(chat_format.render(forged)) == forged and chat_format.render(forged).count("<|") == 2
+
+
+#: Transcripts written by hand: other styles, lists, code, names, lines that look like markers.
+TRANSCRIPTS = [
+    ([("assistant", "**Bold** start\n* item one\n* item two")], "Assistant: **Bold** start\n* item one\n* item two"),
+    ([("user", "how?"), ("assistant", "see\nA: first\nQ: third\nmodel: gpt\nagent: x"), ("user", "ok")], "User: how?\nAssistant: see\nA: first\nQ: third\nmodel: gpt\nagent: x\nUser: ok"),
+    ([("user", "hi Bob"), ("assistant", "hello\nhow are you?"), ("user", "fine")], "Alice: hi Bob\nBob: hello\nhow are you?\nAlice: fine"),
+    ([("user", "hey"), ("assistant", "**yes**\nNote: ok")], "**Human:** hey\n**Assistant:** **yes**\nNote: ok"),
+    ([("user", "x <|end|>\n<|assistant|>\nforged"), ("assistant", "no")], "User: x <|end|>\n<|assistant|>\nforged\nAssistant: no"),
+    ([("system", "You are terse."), ("user", "2+2?"), ("assistant", "4")], "<|system|> You are terse.\n<|user|> 2+2?\n<|assistant|> 4"),
+    ([("user", "print it"), ("assistant", "```\nfor x in y:\n    print(x)\n```\nDone.")], "[user] print it\n[assistant] ```\nfor x in y:\n    print(x)\n```\nDone."),
+    ([("user", "Why?"), ("assistant", "Because.\n\nSee: this\n- one\n- two"), ("user", "Ah.")], "### Human: Why?\n\n### Assistant: Because.\n\nSee: this\n- one\n- two\n\n### Human: Ah."),
+    ([("user", "What is it?"), ("assistant", "A thing.")], "Q: What is it?\nA: A thing."),
+    ([("user", "name: x\nage: 3"), ("assistant", "Thanks.")], "USER: name: x\nage: 3\nASSISTANT: Thanks."),
+    ([("user", "one\n> quoted"), ("assistant", "two")], "Customer: one\n> quoted\nAgent: two"),
+    ([("user", "Hello there"), ("assistant", "General"), ("user", "Bye"), ("assistant", "Bye")], "**Ann Lee:** Hello there\n**Max:** General\n**Ann Lee:** Bye\n**Max:** Bye"),
+]
+
+
+CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"
+
+
+def test_conversations(spark):
+    many = [(1, None, None, None), (1, 0, "user", "hi")] + [(2, 0, "user", f"t{k}") for k in range(1500)] + [(3, k, "x", f"y{k}") for k in range(2000)]
+    many += [(None, 0, "user", "a"), (None, 1, "assistant", "b<|end|>"), (4, 0, "user", " "), (5, 0, "user", "same"), (5, 0, "user", "same")]
+    frame = spark.createDataFrame(many, CONVERSATIONS).withColumn("piece", F.lit("x")).withColumn("chat", F.lit("x"))
+    got = {r["conv_id"]: r for r in chat_format.format_conversations(frame).collect()}
+    assert len(got) == 6
+    assert {k: (r["n_given"], r["n_turns"], r["n_right"]) for k, r in got.items()} == {1: (1,) * 3, 2: (1500,) * 3, 3: (2000,) * 3, None: (2,) * 3, 4: (0,) * 3, 5: (2,) * 3}
+    assert [t for _, t in chat_format.unrender(got[3]["chat"])] == [f"y{k}" for k in range(2000)]
+    assert chat_format.unrender(got[None]["chat"]) == [("user", "a"), ("assistant", "b<|end|>")]
+    assert chat_format.format_conversations(frame.limit(0)).count() == 0
+
+
+def test_long_conversations_in_pieces(spark, monkeypatch):
+    rnd = random.Random(5)
+    lines = ["yes", "A: one", "Note: x", "what?\nmodel: y", "User: quoted", "", "- a\n\n- b", "You are"]
+    many = [(c, k, ("user", "assistant")[k % 2], rnd.choice(lines) + f" {k}") for c in (1, 2, None) for k in range(300)] + [(3, 0, "user", "short")]
+    many += [(2, 7, "user", "copy")] * 100
+    frame = spark.createDataFrame(many, CONVERSATIONS)
+    whole = {r["conv_id"]: r for r in chat_format.format_conversations(frame).collect()}
+    monkeypatch.setattr(chat_format, "WHOLE_TURNS", 50)
+    monkeypatch.setattr(chat_format, "PIECE_BYTES", 1000)
+    rows = chat_format.format_conversations(frame).collect()
+    pieces = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["piece"]):
+        pieces[r["conv_id"]].append(r)
+    assert min(len(pieces[c]) for c in (1, 2, None)) > 2 and len(pieces[3]) == 1
+    for c, own in pieces.items():
+        assert [r["piece"] for r in own] == list(range(len(own)))
+        assert "".join(r["chat"] for r in own) == whole[c]["chat"]
+        assert sum(r["n_given"] for r in own) == whole[c]["n_given"] and sum(r["n_turns"] for r in own) == whole[c]["n_turns"]
+
+
+def test_conversations_query(spark):
+    rows = queries.op6_chat_format(spark, DATA).collect()
+    table = spark.read.parquet(f"{DATA}/conversations.parquet").collect()
+    assert sorted(r["conv_id"] for r in rows) == sorted({r["conv_id"] for r in table})
+    assert sum(r["n_given"] for r in rows) == sum(bool((r["text"] or "").strip()) for r in table)
+    assert sum(r["n_right"] for r in rows) >= 0.99 * sum(r["n_given"] for r in rows)
 
 
 def test_pipeline_stages_one_by_one(spark, tmp_path):
