@@ -27,3 +27,11 @@ def packed(df: DataFrame) -> Column:
     """All columns of a caller's frame as one struct: beside it, helper columns clash with none of them.
     ``select("<its name>.*")`` gives them back as they were."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unused(names: list[str], wish: str) -> str:
+    """``wish``, with as many underscores after it as set it apart from all ``names`` in any case."""
+    taken = {n.lower() for n in names}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset (as in tests)."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset and all of Spark is
+    this one process (as in tests). Spark removes checkpoints that nothing refers to any more where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = os.path.join(tempfile.gettempdir(), "framewright-checkpoints")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)

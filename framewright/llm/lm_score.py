@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from framewright.llm.arrow import give_back, slices, text_view
+from framewright.llm.joins import unused
 from framewright.llm.lineage import cut
 from framewright.llm.text import U64, Words, combine, mix, words
 
@@ -398,7 +399,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] |
     named like an output are replaced.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in SCORED.names]
-    source = "_framewright_text"
+    source = unused(kept, "_framewright_text")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     frame = df.select(*[F.col(f"`{c}`") for c in kept], text.alias(source))
     schema = T.StructType([frame.schema[c] for c in kept] + list(SCORED.fields))

@@ -140,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, trains: Column, label: str = "qual
 def score(df: DataFrame, model: NaiveBayesSvm, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``score``, the chance of label 1 by the whole text; null and empty texts get that of no n-grams.
 
-    One row for each input row, whatever its other columns; one named ``score`` is replaced.
+    One row for each input row, whatever its other columns; one named ``score`` is replaced. A text of
+    any length is scored whole, by one task; an empty frame gives an empty one.
     """
     held = df.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights, whatever the corpus
     return score_texts(df, text_col, lambda w: held.value.score(w), keep)

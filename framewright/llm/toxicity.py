@@ -188,10 +188,11 @@ def train(docs: DataFrame, labels: DataFrame, trains: Column, label: str = "toxi
     return fit(bounded_sample(docs, labels, label, trains, features, per_class))
 
 
-def score(df: DataFrame, model: FactorizationMachine, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``score``, the chance of label 1 by the whole text; null and empty texts get that of no terms.
+def score(df: DataFrame, model: FactorizationMachine, text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """Adds ``out``, the chance of label 1 by the whole text; null and empty texts get that of no terms.
 
-    One row for each input row, whatever its other columns; one named ``score`` is replaced.
+    One row for each input row, whatever its other columns; one named like ``out`` is replaced. A text of
+    any length is scored whole, by one task; an empty frame gives an empty one.
     """
     held = df.sparkSession.sparkContext.broadcast(model)  # 2**BITS buckets at most, whatever the corpus
-    return score_texts(df, text_col, lambda w: held.value.score(w), keep)
+    return score_texts(df, text_col, lambda w: held.value.score(w), keep, out)
