@@ -229,10 +229,10 @@ def _block_links(percent: int):
     return run
 
 
-def block_links(members: DataFrame, percent: int) -> DataFrame:
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between asking members of each cluster and all its members, by exact comparison.
 
-    ``members``: (cluster, cls, comp, asks, n, set). Both sides are dealt into blocks by a hash of the
+    ``members``: (cluster, cls, comp, asks, n), written; ``sets``: (cls, set). Both sides are dealt into blocks by a hash of the
     class; each pair of blocks is one small group. Rows are copied once for each block they meet.
     """
     def blocks(rows: DataFrame, name: str) -> DataFrame:
@@ -241,7 +241,7 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
 
     asking = blocks(members.filter("asks"), "k_own").drop("_k_own")
     sizes = cut(blocks(members, "k_other").join(asking, "cluster"))
-    rows = hot_join(members, sizes, ["cluster"], "_k_other", members.count()).filter("k_own IS NOT NULL")
+    rows = hot_join(members, sizes, ["cluster"], "_k_other", members.count()).filter("k_own IS NOT NULL").join(sets, "cls")
     h = F.xxhash64("cls")
     own = rows.filter("asks").select("cluster", F.pmod(h, F.col("k_own")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("k_other") - 1)).alias("j"), "cls", "comp", "set", F.lit(True).alias("asks"))
     others = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("k_own") - 1)).alias("i"), F.pmod(h, F.col("k_other")).cast("int").alias("j"), "cls", "comp", "set", F.lit(False).alias("asks"))
@@ -334,16 +334,16 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("in_hot"), F.xxhash64("cls")))
     central = grouped.filter(~whole).select("cluster", "cls", "in_hot", rank.alias("rank")).filter(F.col("rank") <= CENTRAL)
     asks = grouped.join(central.select("cls", "rank"), "cls", "left").withColumn("asks", whole | F.col("rank").isNotNull())
-    asks = asks.withColumn("comp", F.col("cls")).join(sets, "cls").select("cluster", "cls", "comp", "asks", "n", "set")
-    links = cut(links.unionByName(block_links(asks, percent).select("a", "b")))
+    asks = cut(asks.select("cluster", "cls", F.col("cls").alias("comp"), "asks", "n"))
+    links = cut(links.unionByName(block_links(asks, sets, percent).select("a", "b")))
     components = connected_components(links)
     large = grouped.filter(~whole)
     if not large.isEmpty():
         large = cut(large.join(components, F.col("cls") == F.col("node"), "left").select("cluster", "cls", "n", F.coalesce("component", "cls").alias("comp")))
         sizes = large.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
         top = sizes.groupBy("cluster").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("_rows")).select("cluster", F.col("top.comp").alias("top"), "_rows")
-        rest = hot_join(large, cut(top), ["cluster"], "_rows", large.count()).withColumn("asks", F.col("comp") != F.col("top")).join(sets, "cls")
-        more = cut(block_links(rest.select("cluster", "cls", "comp", "asks", "n", "set"), percent))
+        rest = hot_join(large, cut(top), ["cluster"], "_rows", large.count()).withColumn("asks", F.col("comp") != F.col("top"))
+        more = cut(block_links(cut(rest.select("cluster", "cls", "comp", "asks", "n")), sets, percent))
         if not more.isEmpty():  # components are joined as nodes of their own
             joined = connected_components(more, "comp_a", "comp_b").select(F.col("node").alias("old"), F.col("component").alias("new"))
             alone = large.filter("cls = comp").select(F.col("cls").alias("node"), F.col("comp").alias("component"))
