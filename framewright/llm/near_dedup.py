@@ -47,6 +47,8 @@ COLD = 32
 #: Tuple lists, how many values a tuple has, and how many values the larger of two sets is to have below
 #: their common limit (less than ``K`` by four standard errors).
 BANDS, TUPLE, BELOW = 128, 4, 40
+#: Tuple lists that connect classes first; the others only add what these leave apart.
+FIRST_BANDS = 24
 #: Members of a large cluster that all others are compared with first.
 CENTRAL = 8
 #: Classes, and elements of their sets, that one side of a block holds.
@@ -148,9 +150,9 @@ def limits(n: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the sketch, key): ``BANDS`` keys for each limit of a sketch, each of the ``TUPLE`` values
-    below the limit that come first in that band's order."""
+def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int, bands: range = range(BANDS)) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the sketch, key): a key for each band and limit of a sketch, of the ``TUPLE`` values below
+    the limit that come first in that band's order."""
     size = np.array([len(x) for x in sketches])
     values = np.zeros((len(sketches), K), U64)
     inside = np.arange(K)[None, :] < size[:, None]
@@ -159,7 +161,7 @@ def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int) -> tuple
     where, keys = [], []
     for own, end, live in ((tag, limit, np.ones(len(n), bool)), (tag_2, limit_2, tag_2 != tag)):
         below = inside & (values < np.minimum(end, 2.0**63).astype(U64)[:, None])
-        for band in range(BANDS):
+        for band in bands:
             salt = mix(np.array([band + 0xB0], U64))[0]
             order = np.where(below, mix(values ^ salt), U64(0xFFFFFFFFFFFFFFFF))
             first = np.sort(np.partition(order, TUPLE - 1, axis=1)[:, :TUPLE], axis=1)
@@ -172,18 +174,30 @@ def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int) -> tuple
 def clusters(few: DataFrame, percent: int) -> DataFrame:
     """(cls, n, in_hot, cluster, size, elements) of classes that tuple lists connect to others."""
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                cls, n, sketch = (batch.column(i).slice(at, 512) for i in range(3))
-                where, keys = tuple_keys([x.values.to_numpy() for x in sketch], n.to_numpy(), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(cls.to_numpy()[where]), pa.array(keys.view(np.int64))], names=KEYS.names)
-
-    keys = few.select("cls", "n", "sketch").mapInArrow(run, KEYS)
-    firsts = keys.groupBy("key").agg(F.min("cls").alias("first"), F.count("*").alias("f")).filter("f > 1")
-    joined = keys.join(cut(firsts.select("key", "first")), "key").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
-    found = connected_components(joined).withColumnRenamed("node", "cls").withColumnRenamed("component", "cluster")
-    found = cut(found.join(few.select("cls", "n", "in_hot"), "cls"))
+    def keys(rows: DataFrame, bands: range) -> DataFrame:
+        """(cls, key) of (cls, n, sketch) rows."""
+
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    cls, n, sketch = (batch.column(i).slice(at, 512) for i in range(3))
+                    where, made = tuple_keys([x.values.to_numpy() for x in sketch], n.to_numpy(), percent, bands)
+                    yield pa.RecordBatch.from_arrays([pa.array(cls.to_numpy()[where]), pa.array(made.view(np.int64))], names=KEYS.names)
+
+        return rows.mapInArrow(run, KEYS)
+
+    def links(named: DataFrame) -> DataFrame:
+        """Links of (cls, key) rows: from each to the smallest of its key, for keys that several have."""
+        lists = named.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first <> last")
+        return named.join(cut(lists.select("key", "first")), "key").filter("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
+
+    some = connected_components(links(keys(few.select("cls", "n", "sketch"), range(FIRST_BANDS))))
+    named = few.join(some.withColumnRenamed("node", "cls"), "cls", "left").select(F.coalesce("component", "cls").alias("cls"), "n", "sketch")
+    more = connected_components(links(keys(cut(named), range(FIRST_BANDS, BANDS)))).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    # Classes of the first run by what their component has come to, and those met in the second alone.
+    early = some.join(more, "component", "left").select(F.col("node").alias("cls"), F.coalesce("cluster", "component").alias("cluster"))
+    late = more.join(some.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("cls"), "cluster")
+    found = cut(early.unionByName(late).join(few.select("cls", "n", "in_hot"), "cls"))
     sizes = found.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.count("*").alias("_rows"))
     return cut(hot_join(found, cut(sizes), ["cluster"], "_rows", found.count()))
 
@@ -229,24 +243,23 @@ def _block_links(percent: int):
     return run
 
 
+def blocks_for(rows: Column, elements: Column) -> Column:
+    """How many blocks so many rows, with so many elements in their sets, are dealt into."""
+    return F.ceil(F.greatest(F.lit(1), rows / BLOCK, elements / BLOCK_ELEMENTS)).cast("int")
+
+
 def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between asking members of each cluster and all its members, by exact comparison.
 
-    ``members``: (cluster, cls, comp, asks, n), written; ``sets``: (cls, set). Both sides are dealt into blocks by a hash of the
-    class; each pair of blocks is one small group. Rows are copied once for each block they meet.
+    ``members``: (cluster, cls, comp, asks, k_own, k_other), written; ``sets``: (cls, set). The asking are
+    dealt into ``k_own`` blocks and all into ``k_other``, by a hash of the class; each pair of blocks is one
+    small group. Rows are copied once for each block they meet.
     """
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        count = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ELEMENTS)).cast("int")
-        return rows.groupBy("cluster").agg(count.alias(name), F.count("*").alias(f"_{name}"))
-
-    asking = blocks(members.filter("asks"), "k_own").drop("_k_own")
-    sizes = cut(blocks(members, "k_other").join(asking, "cluster"))
-    rows = hot_join(members, sizes, ["cluster"], "_k_other", members.count()).filter("k_own IS NOT NULL").join(sets, "cls")
-    h = F.xxhash64("cls")
-    own = rows.filter("asks").select("cluster", F.pmod(h, F.col("k_own")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("k_other") - 1)).alias("j"), "cls", "comp", "set", F.lit(True).alias("asks"))
-    others = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("k_own") - 1)).alias("i"), F.pmod(h, F.col("k_other")).cast("int").alias("j"), "cls", "comp", "set", F.lit(False).alias("asks"))
-    both = own.withColumn("i", F.col("i").cast("int")).unionByName(others)
-    return both.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), LINKS)
+    rows, h = members.join(sets, "cls"), F.xxhash64("cls")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    own = rows.filter("asks").select("cluster", F.pmod(h, F.col("k_own")).cast("int").alias("i"), each("k_other").alias("j"), "cls", "comp", "set", F.lit(True).alias("asks"))
+    others = rows.select("cluster", each("k_own").alias("i"), F.pmod(h, F.col("k_other")).cast("int").alias("j"), "cls", "comp", "set", F.lit(False).alias("asks"))
+    return own.unionByName(others).groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), LINKS)
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -334,16 +347,20 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("in_hot"), F.xxhash64("cls")))
     central = grouped.filter(~whole).select("cluster", "cls", "in_hot", rank.alias("rank")).filter(F.col("rank") <= CENTRAL)
     asks = grouped.join(central.select("cls", "rank"), "cls", "left").withColumn("asks", whole | F.col("rank").isNotNull())
-    asks = cut(asks.select("cluster", "cls", F.col("cls").alias("comp"), "asks", "n"))
+    k = blocks_for(F.col("size"), F.col("elements"))
+    asks = cut(asks.select("cluster", "cls", F.col("cls").alias("comp"), "asks", F.when(whole, k).otherwise(1).alias("k_own"), k.alias("k_other")))
     links = cut(links.unionByName(block_links(asks, sets, percent).select("a", "b")))
     components = connected_components(links)
     large = grouped.filter(~whole)
     if not large.isEmpty():
-        large = cut(large.join(components, F.col("cls") == F.col("node"), "left").select("cluster", "cls", "n", F.coalesce("component", "cls").alias("comp")))
-        sizes = large.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
-        top = sizes.groupBy("cluster").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("_rows")).select("cluster", F.col("top.comp").alias("top"), "_rows")
-        rest = hot_join(large, cut(top), ["cluster"], "_rows", large.count()).withColumn("asks", F.col("comp") != F.col("top"))
-        more = cut(block_links(cut(rest.select("cluster", "cls", "comp", "asks", "n")), sets, percent))
+        large = cut(large.join(components, F.col("cls") == F.col("node"), "left").select("cluster", "cls", "n", "size", "elements", F.coalesce("component", "cls").alias("comp")))
+        parts = large.groupBy("cluster", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("e"))
+        tops = parts.groupBy("cluster").agg(F.max(F.struct("m", "comp", "e")).alias("top"), F.sum("m").alias("_rows"), F.sum("e").alias("e"))
+        left = blocks_for(F.col("_rows") - F.col("top.m"), F.col("e") - F.col("top.e"))
+        tops = cut(tops.select("cluster", F.col("top.comp").alias("top"), left.alias("k_own"), "_rows"))
+        rest = hot_join(large, tops, ["cluster"], "_rows", large.count())
+        rest = cut(rest.select("cluster", "cls", "comp", (F.col("comp") != F.col("top")).alias("asks"), "k_own", k.alias("k_other")))
+        more = cut(block_links(rest, sets, percent))
         if not more.isEmpty():  # components are joined as nodes of their own
             joined = connected_components(more, "comp_a", "comp_b").select(F.col("node").alias("old"), F.col("component").alias("new"))
             alone = large.filter("cls = comp").select(F.col("cls").alias("node"), F.col("comp").alias("component"))
