@@ -19,7 +19,7 @@ def now():
 
 
 FILES = """(SELECT '/' || source || '/' || doc_id || '.' || lang AS path, n_chars AS size, doc_id AS seq, lang,
-    sha256(substr(text, 1, 1000) || right(text, 1000)) AS signature FROM documents)"""
+    sha256(unhex(sha256(b[1:1048576])) || unhex(sha256(CASE WHEN octet_length(b) <= 1048576 THEN b ELSE b[-1048576:] END))) AS signature FROM (SELECT *, encode(coalesce(text, '')) AS b FROM documents))"""
 QUEUE = """(SELECT o_orderkey AS id, '/media/' || o_orderkey || '.mkv' AS file_path,
     CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'leased' ELSE 'completed' END AS state,
     CASE WHEN o_orderstatus = 'P' THEN 'w0' END AS worker_id, CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority,
@@ -207,7 +207,7 @@ FATE = "CASE WHEN path GLOB '*/1?.*' OR path GLOB '*/*[05].fr' THEN 'excluded' W
 
 @query(f"""WITH f AS (SELECT *, seq > min(seq) OVER (PARTITION BY size, signature) AS dup, {FATE} AS fate FROM {FILES})
     SELECT count(*) AS seen, count(*) FILTER (fate = 'excluded') AS excluded, count(*) FILTER (fate = 'extension') AS other_extension,
-    count(*) FILTER (fate = 'accepted' AND NOT dup) AS accepted, count(*) FILTER (fate = 'accepted' AND dup) AS duplicates FROM f""")
+    count(*) FILTER (fate = 'accepted' AND NOT dup) AS accepted, count(*) FILTER (fate = 'accepted' AND dup) AS duplicates, 0::BIGINT AS errors FROM f""")
 def scan_report(spark, d):
     marked = dedupe.mark_duplicates(views.files(spark, d))
     return scan.report(scan.classify(marked, ["1?.*", "*[05].fr"], ["en", ".DE", "fr"]))
@@ -256,23 +256,77 @@ def preset_lookup(spark, d):
     return evaluate.with_presets(views.media(spark, d), presets, "first", F.col("metadata.video_codec")).select("p_partkey", "preset_name")
 
 
-TRACKS = "(SELECT conv_id, turn, role, len(text) AS n FROM conversations)"
-
-
-def _tracks(spark, d):
+# A conversation as a probed file: a film stream and, of its turns, audio (user), subtitle (assistant) and
+# cover (system) streams.
+TRACKS = """(SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, n) AS INT) AS idx, ['eng', '', 'fra'][CAST(turn % 3 AS INT) + 1] AS lang,
+    ['TrueHD', 'AAC', 'ac3'][CAST(n % 3 AS INT) + 1] AS codec, CAST(n % 9 AS INT) AS channels FROM (SELECT conv_id, turn, role, len(text) AS n FROM conversations))"""
+FILMS = f"""(SELECT *, {SIZES} AS resolution, CASE WHEN video_codec = 'hevc' THEN 'modern' WHEN video_codec = 'h264' AND ({SIZES}) IN ('1080p', '4k') THEN 'big' ELSE 'default' END AS rule
+    FROM (SELECT DISTINCT conv_id, ['h264', 'hevc', 'vp9'][CAST(conv_id % 3 AS INT) + 1] AS video_codec, CAST(640 + conv_id % 40 * 80 AS INT) AS w, CAST(360 + conv_id % 40 * 45 AS INT) AS h FROM conversations))"""
+KEPT = f"""(SELECT t.*, rule, lower(codec) AS c, row_number() OVER (PARTITION BY t.conv_id ORDER BY idx) - 1 AS i, codec = 'TrueHD' OR channels >= 6 OR rule <> 'big' AS copied
+    FROM {TRACKS} t JOIN {FILMS} f ON f.conv_id = t.conv_id WHERE role = 'user' AND (lang IN ('', 'eng') OR turn = 0))"""
+PLANS = f"""(SELECT f.*, coalesce(n_audio, 0) AS n_audio, coalesce(n_subs, 0) AS n_subs, rule <> 'modern' AND coalesce(n_subs, 0) > 0 AS subs, pics, pic_notes, maps, args, notes, coalesce(kept, 0) AS kept, lossless, surround FROM {FILMS} f
+    LEFT JOIN (SELECT conv_id, count(*) FILTER (role = 'user') AS n_audio, count(*) FILTER (role = 'assistant') AS n_subs, string_agg('-map -0:v:' || idx, ' ' ORDER BY idx) FILTER (role NOT IN ('user', 'assistant')) AS pics,
+        string_agg('Exclude attached pic: 0:v:' || idx, ' | ' ORDER BY idx) FILTER (role NOT IN ('user', 'assistant')) AS pic_notes, bool_or(codec = 'TrueHD') FILTER (role = 'user') AS lossless, bool_or(channels >= 6) FILTER (role = 'user') AS surround FROM {TRACKS} GROUP BY 1) n ON n.conv_id = f.conv_id
+    LEFT JOIN (SELECT conv_id, count(*) AS kept, string_agg('-map 0:' || idx, ' ' ORDER BY idx) AS maps,
+        string_agg('-c:a:' || i || CASE WHEN copied THEN ' copy' ELSE ' aac -b:a:' || i || ' 192k -ac:' || i || ' 2' END, ' ' ORDER BY idx) AS args,
+        string_agg('Audio #' || idx || ' (' || c || CASE WHEN codec = 'TrueHD' OR channels >= 6 OR rule = 'default' THEN ', ' || channels || 'c): copy' WHEN rule = 'big' THEN '): re-encode aac stereo' ELSE '): copy' END, ' | ' ORDER BY idx) AS notes FROM {KEPT} GROUP BY 1) k ON k.conv_id = f.conv_id)"""
+
+
+def _planned(spark, d):
+    """The library's path from probe document to stream plan, over conversations."""
     t = views.table(spark, d, "conversations").select("conv_id", F.struct("turn", "role", F.length("text").alias("n")).alias("t"))
-    return t.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("tracks"))  # a file's own few tracks
+    files = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("tracks"))  # a file's own few tracks
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(x) for x in names]), (k + 1).cast("int"))
+    kind = lambda t: F.when(t["role"] == "user", "audio").when(t["role"] == "assistant", "subtitle").otherwise("video")
+    name = lambda t: F.when(t["role"] == "user", pick(("TrueHD", "AAC", "ac3"), t["n"] % 3)).when(t["role"] == "assistant", "SubRip").otherwise("PNG")
+    tracks = F.transform(
+        "tracks",
+        lambda t, i: F.struct(
+            (i + 1).cast("int").alias("index"), name(t).alias("codec_name"), kind(t).alias("codec_type"), (t["n"] % 9).cast("int").alias("channels"), F.concat((t["n"] % 9).cast("string"), F.lit("c")).alias("channel_layout"),
+            F.create_map(F.lit("language"), pick(("eng", "", "fra"), t["turn"] % 3)).alias("tags"), F.create_map(F.lit("default"), (t["turn"] == 0).cast("int")).alias("disposition"),
+        ),
+    )
+    c = F.col("conv_id")
+    film = F.struct(F.lit(0).alias("index"), pick(("AVC1", "hevc", "vp9"), c % 3).alias("codec_name"), F.lit("video").alias("codec_type"), (640 + c % 40 * 80).cast("int").alias("width"), (360 + c % 40 * 45).cast("int").alias("height"), pick(("yuv420p10le", "yuv444p"), c % 2).alias("pix_fmt"), pick(("smpte2084", "arib-std-b67", "bt709"), c % 3).alias("color_transfer"))
+    about = F.struct(F.lit("matroska").alias("format_name"), F.concat(c.cast("string"), F.lit(".5")).alias("duration"), F.when(c % 5 == 0, "N/A").otherwise((c * 1000).cast("string")).alias("bit_rate"))
+    # Streams of two kinds of structs meet as JSON text, which is what a prober gives.
+    streams = F.concat(F.lit("["), F.concat_ws(",", F.array(F.to_json(film)), F.transform(tracks, lambda x: F.to_json(x))), F.lit("]"))
+    probes = files.select("conv_id", F.concat(F.lit('{"streams":'), streams, F.lit(',"format":'), F.to_json(about), F.lit("}")).alias("json"))
+    rules = [Rule("big", 50, {"codec": "h264", "resolution": "1080p, 4K"}, "transcode", "balanced", "aac_stereo", True), Rule("modern", 100, {"codec": "hevc"}, "skip", "", "", False)]
+    meta = evaluate.normalize(evaluate.read_probe_json(probes), {"avc1": "h264"})
+    return evaluate.stream_plan(evaluate.decide(meta, rules, "copy"), evaluate.AudioPolicy(("ENG",), True, True))
+
+
+@query(f"SELECT conv_id, concat_ws(' | ', 'Video: 0:v:0', pic_notes, CASE WHEN n_audio = 0 THEN 'Audio: none' ELSE notes END, CASE WHEN subs THEN 'Subtitles: ' || n_subs || ' tracks preserved via copy' END) AS summary FROM {PLANS}")
+def stream_plan_summary(spark, d):
+    return _planned(spark, d).select("conv_id", F.col("plan.summary").alias("summary"))
 
 
-@query(f"SELECT conv_id, string_agg(role || ' ' || n, ' | ' ORDER BY turn, role, n) AS summary FROM {TRACKS} GROUP BY 1")
-def stream_plan_summary(spark, d):
-    return _tracks(spark, d).select("conv_id", F.array_join(F.transform("tracks", lambda t: F.concat(t["role"], F.lit(" "), t["n"].cast("string"))), " | ").alias("summary"))
+@query(f"SELECT conv_id, concat_ws(' ', '-map 0:v:0', pics, maps, CASE WHEN subs THEN '-map 0:s' END) AS maps, coalesce(args, '') AS audio, CASE WHEN subs THEN '-c:s copy' ELSE '' END AS subtitles FROM {PLANS}")
+def stream_plan_arguments(spark, d):
+    p = F.col("plan")
+    return _planned(spark, d).select("conv_id", F.array_join(p["map_args"], " ").alias("maps"), F.array_join(p["audio_codec_args"], " ").alias("audio"), F.array_join(p["subtitle_args"], " ").alias("subtitles"))
 
 
-@query(f"SELECT conv_id, count(*) FILTER (role IN ('user', 'system') OR turn = 1) AS kept FROM {TRACKS} GROUP BY 1")
+@query(f"SELECT conv_id, kept FROM {PLANS}")
 def audio_filter(spark, d):
-    keep = lambda t: t["role"].isin("user", "system") | (t["turn"] == 1)
-    return _tracks(spark, d).select("conv_id", F.size(F.filter("tracks", keep)).cast("long").alias("kept"))
+    copied = F.filter(F.col("plan.audio_codec_args"), lambda x: x.startswith("-c:a:"))
+    return _planned(spark, d).select("conv_id", F.size(copied).cast("long").alias("kept"))
+
+
+@query(f"""SELECT conv_id, video_codec, resolution, CASE conv_id % 2 WHEN 0 THEN 10 ELSE 8 END AS bit_depth, CASE conv_id % 2 WHEN 0 THEN '4:2:0' ELSE '4:4:4' END AS chroma, CASE conv_id % 3 WHEN 0 THEN 'hdr10' WHEN 1 THEN 'hlg' ELSE 'none' END AS hdr,
+    conv_id % 3 < 2 AS is_hdr, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE conv_id * 1000 END AS bitrate, conv_id + 0.5::DOUBLE AS duration, n_audio || ' tracks' AS audio, n_subs || ' tracks' AS subtitles,
+    coalesce(lossless, false) AS has_lossless, coalesce(surround, false) AS has_surround FROM {PLANS}""")
+def probe_normalize(spark, d):
+    m = F.col("metadata")
+    same = ("video_codec", "resolution", "bit_depth", "chroma", "hdr", "is_hdr", "bitrate", "duration", "has_lossless", "has_surround")
+    return _planned(spark, d).select("conv_id", *[m[c].alias(c) for c in same], S.track_count(m["audio"]).alias("audio"), S.track_count(m["subtitles"]).alias("subtitles"))
+
+
+@query(f"SELECT conv_id, rule AS matched_rule, CASE rule WHEN 'modern' THEN 'skip' WHEN 'big' THEN 'transcode' ELSE 'copy' END AS action, CASE rule WHEN 'big' THEN 'balanced' ELSE '' END AS preset FROM {PLANS}")
+def probe_decide(spark, d):
+    e = F.col("decision")
+    return _planned(spark, d).select("conv_id", *[e[c].alias(c) for c in ("matched_rule", "action", "preset")])
 
 
 @query("SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")
@@ -281,14 +335,16 @@ def payload_extract(spark, d):
     return e.groupBy("event_type").agg(F.sum("payload.k").alias("k"), F.count("*").alias("n"))
 
 
-@query(f"""SELECT batch, count(*) AS n, count(*) FILTER (event_type = 'job_completed') AS completed, sum(saved_bytes)::BIGINT AS saved_bytes FROM
+@query(f"""SELECT batch, count(*) AS n, count(*) FILTER (event_type = 'job_completed') AS completed, count(*) FILTER (event_type = 'job_failed') AS failed,
+    coalesce(sum(saved_bytes) FILTER (event_type = 'job_completed'), 0)::BIGINT AS saved_bytes, round(coalesce(avg(vmaf) FILTER (event_type = 'job_completed' AND vmaf > 0), 0), 6) AS avg_vmaf,
+    'Transcode Batch: ' || count(*) || ' processed' AS title FROM
     (SELECT *, (row_number() OVER (ORDER BY seq_id) - 1) // 10 AS batch FROM {AUDIT}) GROUP BY 1""")
 def notify_count_batches(spark, d):
     b = audit.count_batches(views.audit(spark, d), 10)
-    return audit.batch_summary(b, "batch").select("batch", "n", "completed", "saved_bytes")
+    return audit.summary_message(audit.batch_summary(b, "batch")).select("batch", "n", "completed", "failed", "saved_bytes", F.round("avg_vmaf", 6).alias("avg_vmaf"), "title")
 
 
-@query(f"SELECT (CAST(floor(epoch(ts)) AS BIGINT) // 1800) * 1800 AS batch, count(*) AS n, count(*) FILTER (event_type = 'job_failed' OR event_type = 'job_quality_failed') AS failed FROM {AUDIT} GROUP BY 1")
+@query(f"SELECT (CAST(floor(epoch(ts)) AS BIGINT) // 1800) * 1800 AS batch, count(*) AS n, count(*) FILTER (event_type = 'job_failed') AS failed FROM {AUDIT} GROUP BY 1")
 def notify_time_batches(spark, d):
     b = audit.time_batches(views.audit(spark, d), 1800)
     return audit.batch_summary(b, "batch").select(F.unix_timestamp("batch").alias("batch"), "n", "failed")
@@ -348,14 +404,21 @@ def size_growth(spark, d):
     return views.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.when(grown, 1)).alias("grown"), F.count("*").alias("n"))
 
 
-@query(f"""SELECT 'jobs_completed' AS name, count(*) FILTER (event_type = 'job_completed') AS value FROM {AUDIT} UNION ALL SELECT 'jobs_failed', count(*) FILTER (event_type = 'job_failed') FROM {AUDIT}
-    UNION ALL SELECT 'events', count(*) FROM {AUDIT}""")
+@query(f"""WITH q AS {QUEUE}, a AS {AUDIT}, f AS (SELECT *, seq > min(seq) OVER (PARTITION BY size, signature) AS dup FROM {FILES})
+    SELECT 'x_' || name AS name, type, value::DOUBLE AS value FROM (VALUES ('files_scanned_total', 'counter', (SELECT count(*) FROM f)), ('jobs_submitted_total', 'counter', (SELECT count(*) FROM q)),
+    ('jobs_completed_total', 'counter', (SELECT count(*) FROM a WHERE event_type = 'job_completed')), ('jobs_failed_total', 'counter', (SELECT count(*) FROM a WHERE event_type = 'job_failed')),
+    ('quality_failed_total', 'counter', (SELECT count(*) FROM a WHERE event_type = 'job_quality_failed')), ('deduplicated_files_total', 'counter', (SELECT count(*) FROM f WHERE dup)),
+    ('notifications_sent_total', 'counter', (SELECT count(*) FROM a WHERE seq_id % 3 = 0)), ('queue_pending_depth', 'gauge', (SELECT count(*) FROM q WHERE state = 'pending')),
+    ('queue_leased_depth', 'gauge', (SELECT count(*) FROM q WHERE state = 'leased')), ('active_cpu_workers', 'gauge', 0), ('active_gpu_sessions', 'gauge', 0), ('write_actor_queue_size', 'gauge', 0)) m(name, type, value)
+    UNION ALL SELECT 'x_vmaf_score_average', 'gauge', round(avg(vmaf), 6) FROM a WHERE event_type = 'job_completed' AND vmaf > 0""")
 def metrics_long(spark, d):
-    one = views.audit(spark, d).agg(F.count(F.when(F.col("event_type") == "job_completed", 1)).alias("jobs_completed"), F.count(F.when(F.col("event_type") == "job_failed", 1)).alias("jobs_failed"), F.count("*").alias("events"))
-    return one.unpivot([], ["jobs_completed", "jobs_failed", "events"], "name", "value")
+    events = views.audit(spark, d)
+    sent = events.select(F.when(F.col("seq_id") % 3 == 0, "sent").otherwise("failed").alias("status"))
+    m = audit.series(views.queue(spark, d), events, dedupe.mark_duplicates(views.files(spark, d)), sent, "x_")
+    return m.select("name", "type", F.round("value", 6).alias("value"))
 
 
-@query("""SELECT p_partkey, CASE WHEN c = 'h264' THEN 'libx264' WHEN c = 'av1' AND g THEN 'hevc_vaapi' WHEN c = 'av1' THEN 'libsvtav1' WHEN g THEN 'hevc_nvenc' ELSE 'libx265' END AS encoder
+@query("""SELECT p_partkey, CASE WHEN c = 'h264' THEN 'libx264' WHEN c = 'av1' AND g THEN 'hevc_vaapi' WHEN c = 'av1' THEN 'libaom-av1' WHEN g THEN 'hevc_nvenc' ELSE 'libx265' END AS encoder
     FROM (SELECT p_partkey, ['hevc', 'h264', 'av1'][CAST(p_partkey % 3 AS INT) + 1] AS c, p_size > 25 AS g FROM part)""")
 def encoder_select(spark, d):
     p = views.table(spark, d, "part")
@@ -365,12 +428,100 @@ def encoder_select(spark, d):
     return p.select("p_partkey", evaluate.select_encoder(codec, F.lit("auto"), has)["encoder"].alias("encoder"))
 
 
-@query()
+KEY_IN, KEY_OUT = ("".join(f"\\x{b ^ pad:02X}" for b in b"secret".ljust(64, b"\0")) for pad in (0x36, 0x5C))
+BODY = """'{"event_type":"' || event_type || '","title":"t","message":"m","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}'"""
+
+
+@query(f"SELECT seq_id, body, sha256('{KEY_OUT}'::BLOB || unhex(sha256('{KEY_IN}'::BLOB || encode(body)))) AS signature FROM (SELECT seq_id, {BODY} AS body FROM {AUDIT})")
 def webhook_signatures(spark, d):
-    events = audit.newest(views.audit(spark, d), 100).select("event_type", F.lit("t").alias("title"), F.lit("m").alias("message"), F.col("ts").alias("timestamp"))
-    return audit.render_message("webhook", events, "secret").select("event_type", "body", "signature")
+    events = views.audit(spark, d).select("seq_id", "event_type", F.lit("t").alias("title"), F.lit("m").alias("message"), F.col("ts").alias("timestamp"))
+    return audit.render_message("webhook", events, "secret").select("seq_id", "body", "signature")
 
 
-@query()
+@query(f"SELECT id, round(15 * pow(2, retry_count) * (1 + 0.2 * (CAST('0x' || substr(md5(id::VARCHAR), 1, 8) AS BIGINT) / 4294967296.0)), 6) AS delay FROM {QUEUE}")
 def backoff_jitter(spark, d):
-    return views.queue(spark, d).select("id", S.backoff_seconds(F.col("retry_count"), jitter=F.rand(7)).alias("delay"))
+    delay = S.backoff_seconds(F.col("retry_count"), jitter=S.hash_share(F.col("id").cast("string")))
+    return views.queue(spark, d).select("id", F.round(delay, 6).alias("delay"))
+
+
+@query("""SELECT p_partkey, '-hide_banner -y -fflags +genpts+discardcorrupt -err_detect ignore_err -ignore_unknown -thread_queue_size 1024 ' || CASE WHEN e = 'hevc_vaapi' THEN '-vaapi_device /dev/dri/renderD128 ' ELSE '' END
+    || '-i /m/' || p_partkey || '.mkv -map 0:v:0 -map 0:a -map 0:s -c:v ' || e || CASE WHEN e = 'hevc_vaapi' THEN ' -vaapi_device /dev/dri/renderD128 -vf format=nv12,hwupload' ELSE ' -vf format=yuv420p' END
+    || CASE e WHEN 'hevc_nvenc' THEN ' -cq ' || q || ' -preset p5 -spatial-aq 1 -temporal-aq 1' WHEN 'h264_qsv' THEN ' -global_quality ' || q || ' -preset ' || s WHEN 'hevc_amf' THEN ' -rc cqp -qp_p ' || q || ' -qp_i ' || q
+       WHEN 'hevc_vaapi' THEN ' -crf ' || q WHEN 'libsvtav1' THEN ' -crf ' || q || ' -preset 6 -svtav1-params tune=0' WHEN 'libx265' THEN ' -crf ' || q || ' -preset ' || s || ' -x265-params no-high-tier=1:no-bframes=4:weightp=0' ELSE ' -crf ' || q || ' -preset ' || s END
+    || ' -c:a copy -c:s copy -max_muxing_queue_size 4096 -map_metadata -1 ' || CASE p_partkey % 3 WHEN 0 THEN '-f matroska /o/x.mkv' WHEN 1 THEN '-f mp4 /o/x.MP4' ELSE '/o/x.avi' END AS args
+    FROM (SELECT p_partkey, ['hevc_nvenc', 'h264_qsv', 'hevc_amf', 'hevc_vaapi', 'libsvtav1', 'libx265', 'libx264'][CAST(p_partkey % 7 AS INT) + 1] AS e, CASE WHEN p_size % 4 = 0 THEN 22 ELSE p_size END AS q, CASE WHEN p_size % 2 = 0 THEN 'medium' ELSE 'slow' END AS s FROM part)""")
+def encoder_command(spark, d):
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(x) for x in names]), (k + 1).cast("int"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    encoder = pick(("hevc_nvenc", "h264_qsv", "hevc_amf", "hevc_vaapi", "libsvtav1", "libx265", "libx264"), key % 7)
+    none = F.array().cast("array<string>")
+    plan = F.struct(none.alias("map_args"), none.alias("audio_codec_args"), none.alias("subtitle_args"))
+    args = evaluate.encoder_arguments(encoder, key % 7 < 4, F.concat(F.lit("/m/"), key.cast("string"), F.lit(".mkv")), pick(("/o/x.mkv", "/o/x.MP4", "/o/x.avi"), key % 3), F.when(size % 4 == 0, 0).otherwise(size), F.when(size % 2 == 0, "").otherwise("slow"), plan)
+    return views.table(spark, d, "part").select("p_partkey", F.array_join(args, " ").alias("args"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN s // 3600 > 0 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS duration,
+    CASE WHEN s = 0 THEN 'Done' WHEN s < 60 THEN '~' || s || 's' WHEN s < 3600 AND s % 60 > 0 THEN '~' || s // 60 || 'm ' || s % 60 || 's' WHEN s < 3600 THEN '~' || s // 60 || 'm' ELSE '~' || s // 3600 || 'h ' || s // 60 % 60 || 'm' END AS eta
+    FROM (SELECT *, CAST(l_quantity * l_linenumber * 20 - 20 * l_linenumber AS BIGINT) AS s FROM lineitem)""")
+def time_texts(spark, d):
+    s = (F.col("l_quantity") * F.col("l_linenumber") * 20 - 20 * F.col("l_linenumber")).cast("long")
+    return views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.format_duration(s).alias("duration"), S.format_eta(s).alias("eta"))
+
+
+@query("""SELECT audit, notice, count(*) AS n FROM (SELECT CASE WHEN l_linenumber = 7 THEN NULL WHEN l_returnflag = 'A' THEN 'job_skipped' WHEN l_returnflag = 'R' THEN NULL WHEN l_tax = 0 THEN 'job_pixfmt_review' WHEN l_tax = 0.01 THEN 'job_skipped_precheck'
+    WHEN l_quantity < 10 THEN 'job_crash' WHEN l_quantity < 20 AND l_orderkey % 4 < 3 THEN NULL WHEN l_quantity < 20 THEN 'job_failed' WHEN l_discount = 0 THEN 'job_skipped_growth' WHEN l_linenumber = 3 THEN 'job_quality_failed' ELSE 'job_completed' END AS audit,
+    CASE WHEN l_linenumber = 7 THEN NULL WHEN l_returnflag = 'A' THEN 'job_skipped' WHEN l_returnflag = 'R' THEN NULL WHEN l_tax = 0 THEN NULL WHEN l_tax = 0.01 THEN 'job_skipped_precheck'
+    WHEN l_quantity < 10 THEN 'job_failed' WHEN l_quantity < 20 AND l_orderkey % 4 < 3 THEN 'job_retried' WHEN l_quantity < 20 THEN 'job_failed' WHEN l_discount = 0 THEN 'job_skipped_growth' WHEN l_linenumber = 3 THEN 'job_quality_failed' ELSE 'job_completed' END AS notice FROM lineitem) GROUP BY ALL""")
+def outcome_events(spark, d):
+    c = F.col
+    action = F.when(c("l_linenumber") == 7, "other").when(c("l_returnflag") == "A", "skip").when(c("l_returnflag") == "R", "review").otherwise("transcode")
+    error = F.when(c("l_quantity") < 10, "core dumped").when(c("l_quantity") < 20, "exit 1")
+    out = quality.outcome(
+        F.lit("/a/b.mkv"), action, F.lit(False), F.when(c("l_tax") == 0, "10-bit"), c("l_tax") == 0.01, c("l_discount") == 0, c("l_linenumber") != 3, error, F.lit(False), c("l_orderkey") % 4,
+    )
+    return views.table(spark, d, "lineitem").groupBy(out["audit"].alias("audit"), out["notice"].alias("notice")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p_partkey, {DECIDE_SQL} AS matched_rule FROM {MEDIA}")
+def rule_table(spark, d):
+    rows = [(r.name, r.priority, k, *(evaluate.split_list(r.conditions[c]) if c in r.conditions else None for c in ("codec", "resolution")), *(evaluate.parse_bool(r.conditions[c]) if c in r.conditions else None for c in ("is_hdr", "has_surround")), int(r.conditions["min_bitrate"]) if "min_bitrate" in r.conditions else None) for k, r in enumerate(RULES)]
+    rules = spark.createDataFrame(rows, "name string, priority int, ord int, codecs array<string>, resolutions array<string>, is_hdr boolean, has_surround boolean, min_bitrate bigint")
+    return evaluate.decide_by_table(views.media(spark, d), rules, "p_partkey").select("p_partkey", "matched_rule")
+
+
+@query("""SELECT page_id, regexp_extract(url, '[^/]*$') AS name, lower(regexp_extract(regexp_extract(url, '[^/]*$'), '(\\.[^.]*)$', 1)) AS ext, regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', '') AS stem,
+    regexp_extract(url, '^(.*)/[^/]*$', 1) || '/' || regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', '') || '_transcoded.mkv' AS made FROM pages""")
+def path_parts(spark, d):
+    u = F.col("url")
+    return views.table(spark, d, "pages").select("page_id", S.base_name(u).alias("name"), S.extension(u).alias("ext"), S.stem(u).alias("stem"), S.destination(u, F.lit(False), F.lit(""), F.lit(".mkv")).alias("made"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_orderkey AS frames, CAST(l_quantity AS DOUBLE) AS fps, CAST(l_linenumber * 3600 + 60 * (l_orderkey % 60) + 5.25 AS DOUBLE) AS current_sec, CASE WHEN l_linenumber > 1 THEN l_orderkey || 'kbits/s' END AS bitrate FROM lineitem WHERE l_linenumber < 4""")
+def progress_lines(spark, d):
+    c, two = F.col, lambda x: F.lpad(x.cast("string"), 2, "0")
+    rows = views.table(spark, d, "lineitem").filter("l_linenumber < 4")
+    line = F.concat(
+        F.lit("frame=  "), c("l_orderkey").cast("string"), F.lit(" fps="), c("l_quantity").cast("double").cast("string"), F.lit(" time="), two(c("l_linenumber")), F.lit(":"), two(c("l_orderkey") % 60),
+        F.lit(":05.25"), F.when(c("l_linenumber") > 1, F.concat(F.lit(" bitrate= "), c("l_orderkey").cast("string"), F.lit("kbits/s"))).otherwise(""), F.lit(" speed=2.5x"),
+    )
+    p = S.progress_fields(line)
+    return rows.select("l_orderkey", "l_linenumber", *[p[k].alias(k) for k in ("frames", "fps", "current_sec", "bitrate")])
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN round(l_tax * 10, 2) WHEN 3 THEN l_quantity::DOUBLE WHEN 4 THEN l_quantity::DOUBLE END AS vmaf, CASE l_linenumber WHEN 1 THEN l_quantity::DOUBLE END AS ssim FROM lineitem WHERE l_linenumber < 6""")
+def score_extract(spark, d):
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("double").cast("string")
+    text = F.when(n == 1, F.concat(F.lit("SSIM Y:1 All:"), q)).when(n == 2, F.concat(F.lit("x\nVMAF score: "), F.round(F.col("l_tax") * 10, 2).cast("double").cast("string"))).when(n == 3, F.concat(F.lit("[libvmaf] vmaf mean score: "), q)).when(n == 4, F.concat(F.lit("a 7\nvmaf  score: "), q, F.lit(" end"))).otherwise(F.concat(F.lit("score: "), q))
+    rows = views.table(spark, d, "lineitem").filter("l_linenumber < 6")
+    return rows.select("l_orderkey", "l_linenumber", quality.extract_score(text, "vmaf").alias("vmaf"), quality.extract_score(text, "ssim").alias("ssim"))
+
+
+@query("SELECT count(*) AS n, sum(orderkeys)::BIGINT AS keys FROM (SELECT c_custkey, max(o_orderkey) AS orderkeys FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 7 <> 0 GROUP BY 1)")
+def signature_upsert(spark, d):
+    key = lambda x: F.concat(F.lit("/f/"), x.cast("string"))
+    blob, at = F.encode(F.lit("h"), "UTF-8"), lambda x: F.timestamp_seconds(x)
+    old = views.table(spark, d, "customer").select(key(F.col("c_custkey")).alias("path"), F.lit(None).cast("bigint").alias("size"), blob.alias("first_mb_hash"), blob.alias("last_mb_hash"), at(F.lit(0)).alias("first_seen"), at(F.lit(0)).alias("last_scanned"))
+    new = views.table(spark, d, "orders").groupBy(key(F.col("o_custkey")).alias("path")).agg(F.max("o_orderkey").alias("size")).select("path", "size", blob.alias("first_mb_hash"), blob.alias("last_mb_hash"), F.lit(None).cast("timestamp").alias("first_seen"), at(F.lit(0)).alias("last_scanned"))
+    table = dedupe.upsert_signatures(old, new, now())
+    left = dedupe.delete_signatures(table, views.table(spark, d, "customer").filter("c_custkey % 7 = 0").select(key(F.col("c_custkey")).alias("path")))
+    return left.agg(F.count("*").alias("n"), F.sum("size").alias("keys"))

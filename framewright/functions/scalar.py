@@ -1,9 +1,8 @@
-"""Scalar functions as column expressions (no Python runs for them but for HMAC)."""
+"""Scalar functions as column expressions (no Python runs for them but for path clean-up)."""
 
 from __future__ import annotations
 
 import hashlib
-import hmac
 import posixpath
 
 import pandas as pd
@@ -53,13 +52,20 @@ def chroma(pix_fmt: Column) -> Column:
     return found
 
 
+#: Why a pixel format wants a review, by a part of its name.
+REVIEW_REASONS = {
+    "16": "16-bit pixel format (%s) not supported by x265; manual review required",
+    "10": "10-bit pixel format (%s) will lose quality converting to 8-bit yuv420p",
+    "12": "12-bit pixel format (%s) will lose significant quality converting to 8-bit yuv420p",
+    "444": "4:4:4 chroma subsampling (%s) may cause decoder issues and loses chroma detail converting to 4:2:0",
+}
+
+
 def pix_fmt_review(pix_fmt: Column) -> Column:
-    """Reason for a manual review of a pixel format, or null."""
-    p = F.lower(pix_fmt)
-    reasons = (("16", "16-bit samples"), ("10", "10-bit samples"), ("12", "12-bit samples"), ("444", "full chroma"))
-    found = F.lit(None).cast("string")
-    for part, reason in reversed(reasons):
-        found = F.when(p.contains(part), F.format_string(f"%s: {reason} need a review", pix_fmt)).otherwise(found)
+    """Reason for a manual review of a pixel format, or null; of several the first listed."""
+    p, found = F.lower(pix_fmt), F.lit(None).cast("string")
+    for part, reason in reversed(REVIEW_REASONS.items()):
+        found = F.when(p.contains(part), F.format_string(reason, pix_fmt)).otherwise(found)
     return found
 
 
@@ -87,13 +93,22 @@ def format_bytes(n: Column) -> Column:
 
 
 def format_duration(seconds: Column) -> Column:
-    s = F.floor(seconds).cast("long")
-    return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    """``h:mm:ss``, below an hour ``mm:ss``; none or negative: ``00:00``."""
+    s = F.greatest(F.coalesce(F.floor(seconds).cast("long"), F.lit(0)), F.lit(0))
+    h, m = F.floor(s / 3600), F.floor(s / 60) % 60
+    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s % 60)).otherwise(F.format_string("%02d:%02d", m, s % 60))
 
 
 def format_eta(seconds: Column) -> Column:
-    s = F.floor(seconds).cast("long")
-    return F.when(s <= 0, "").when(s < 60, F.format_string("~%ds", s)).otherwise(F.format_string("~%dm %ds", F.floor(s / 60), s % 60))
+    """Whole seconds as the time still to go: ``--`` when unknown, ``Done``, ``~Ns``, ``~Nm Ns`` or ``~Nh Nm``."""
+    s = seconds.cast("long")
+    m, left = F.floor(s / 60), s % 60
+    minutes = F.concat(F.lit("~"), m.cast("string"), F.lit("m"), F.when(left > 0, F.concat(F.lit(" "), left.cast("string"), F.lit("s"))).otherwise(""))
+    hours = F.format_string("~%dh %dm", F.floor(m / 60), m % 60)
+    return (
+        F.when(s.isNull() | (s < 0), "--").when(s == 0, "Done").when(s < 60, F.format_string("~%ds", s))
+        .when(m < 60, minutes).otherwise(hours)
+    )
 
 
 def escape_markdown(text: Column) -> Column:
@@ -177,6 +192,11 @@ def saved_bytes(orig: Column, new: Column) -> Column:
     return orig - new
 
 
+def saved_share(orig: Column, new: Column) -> Column:
+    """Per cent of the original size that was saved; 0 without an original size."""
+    return F.when(orig > 0, (orig - new) / orig * 100).otherwise(0.0)
+
+
 def compression_ratio(orig: Column, new: Column) -> Column:
     return F.when(orig > 0, new / orig).otherwise(0.0)
 
@@ -197,15 +217,17 @@ def combined_signature(first: Column, last: Column) -> Column:
     return F.sha2(F.concat(F.unhex(first), F.unhex(last)), 256)
 
 
-def hmac_sha256(secret: str):
-    """Pandas UDF: hex HMAC of a text; Spark has no built-in for it."""
+def hmac_sha256(secret: str, body: Column) -> Column:
+    """Hex HMAC of a text, by two nested digests over the key's padded halves."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(k ^ pad for k in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(body, "UTF-8")), 256))), 256)
 
-    @F.pandas_udf("string")
-    def sign(body: pd.Series) -> pd.Series:
-        key = secret.encode()
-        return body.map(lambda b: None if b is None else hmac.new(key, b.encode(), hashlib.sha256).hexdigest())
 
-    return sign
+def hash_share(text: Column) -> Column:
+    """A number in [0, 1) that a text alone decides, as jitter that no layout of the data changes."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
 @F.pandas_udf(T.StringType())
@@ -227,7 +249,8 @@ def is_crash(message: Column) -> Column:
 
 
 def event_color(event_type: Column) -> Column:
-    return F.when(event_type.contains("failed"), 15158332).when(event_type.contains("skipped"), 15105570).otherwise(3066993)
+    """Red for failed, yellow for skipped, else green."""
+    return F.when(event_type.contains("failed"), 0xE74C3C).when(event_type.contains("skipped"), 0xF1C40F).otherwise(0x2ECC71)
 
 
 def gotify_priority(event_type: Column) -> Column:
@@ -235,9 +258,12 @@ def gotify_priority(event_type: Column) -> Column:
 
 
 def first_error_line(message: Column, most: int = 70) -> Column:
-    """First line that says something, cut at ``most`` characters."""
-    lines = F.filter(F.transform(F.split(F.coalesce(message, F.lit("")), "\n"), F.trim), lambda s: s != "")
-    return F.substring(F.coalesce(F.get(F.filter(lines, lambda s: F.lower(s).contains("error")), F.lit(0)), F.get(lines, F.lit(0)), F.lit("")), 1, most)
+    """First line with anything on it; one of over ``most`` characters is cut there, with ``...`` after it.
+    No message reads as ``Transcode execution failed``."""
+    text = F.when(F.coalesce(message, F.lit("")) == "", "Transcode execution failed").otherwise(message)
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(s, "^\\s+|\\s+$", "")), lambda s: s != "")
+    line = F.coalesce(F.get(lines, F.lit(0)), text)
+    return F.when(F.char_length(line) > most, F.concat(F.substring(line, 1, most), F.lit("..."))).otherwise(line)
 
 
 def tail_bytes(text: Column, n: int) -> Column:
@@ -249,7 +275,7 @@ def can_pause(state: Column) -> Column:
 
 
 def can_resume(state: Column) -> Column:
-    return state.isin("paused", "failed", "quality_failed", "permanently_failed", "skipped", "review_required")
+    return state.isin("paused", "failed", "quality_failed", "permanently_failed", "skipped")
 
 
 def conditions_text(conditions: Column) -> Column:
@@ -261,7 +287,15 @@ def dotted_extensions(text: Column) -> Column:
     return F.transform(split_comma(text), lambda e: F.when(e.startswith("."), e).otherwise(F.concat(F.lit("."), e)))
 
 
+#: Titles of the event feed.
+EVENT_TITLES = {"job_completed": "Completed", "job_failed": "Failed", "job_skipped_growth": "Skipped", "crash_recovery": "Recovery", "startup_recovery": "Recovery"}
+
+
 def event_title(event_type: Column) -> Column:
-    """Titles of the event feed."""
-    titles = {"job_completed": "Completed", "job_failed": "Failed", "job_crash": "Crashed", "job_skipped": "Skipped", "job_copied": "Copied", "job_quality_failed": "Quality failed", "job_skipped_growth": "Skipped: larger", "job_skipped_precheck": "Skipped: pre-check", "job_pixfmt_review": "Needs review", "crash_recovery": "Recovered", "startup_recovery": "Recovered at start"}
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in titles.items() for x in kv])[event_type], event_type)
+    """Title in the event feed; other types go by their own name."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in EVENT_TITLES.items() for x in kv])[event_type], event_type)
+
+
+def track_count(tracks: Column) -> Column:
+    """How job metadata states its tracks: ``N tracks``."""
+    return F.concat(F.coalesce(F.size(tracks), F.lit(0)).cast("string"), F.lit(" tracks"))

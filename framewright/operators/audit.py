@@ -22,6 +22,41 @@ def payload(**fields: Column) -> Column:
     return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
+#: The fields of an audit event's payload, by the event of an outcome.
+OUTCOME_FIELDS = {
+    "job_skipped": ("queue_id", "action", "size", "reason"),
+    "job_copied": ("queue_id", "action", "size"),
+    "job_pixfmt_review": ("queue_id", "pix_fmt", "chroma", "bit_depth", "reason"),
+    "job_skipped_precheck": ("queue_id", "vmaf", "ssim", "preset"),
+    "job_skipped_growth": ("queue_id", "orig_size", "new_size", "reason"),
+    "job_quality_failed": ("queue_id", "orig_size", "new_size", "vmaf", "reason"),
+    "job_completed": ("queue_id", "orig_size", "new_size", "saved_bytes", "vmaf", "duration", "encoder", "hw"),
+    "job_crash": ("queue_id", "error", "crash"),
+    "job_failed": ("queue_id", "error"),
+}
+#: Decimals that figures of a payload are given with.
+_DECIMALS = {"vmaf": 2, "duration": 2, "ssim": 4}
+
+
+def outcome_payload(event_type: Column, fields: dict[str, Column]) -> Column:
+    """JSON payload of an outcome's event, of those of ``fields`` that such an event has."""
+    case = F.lit(None).cast("string")
+    for event, names in OUTCOME_FIELDS.items():
+        some = {k: F.round(fields[k], _DECIMALS[k]) if k in _DECIMALS else fields[k] for k in names if k in fields}
+        case = F.when(event_type == event, payload(**some)).otherwise(case)
+    return case
+
+
+def append_events(audit: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """The log with ``new`` (event_type, severity, payload_json) after it, numbered on from its last event;
+    they are one writer's batch. An empty severity is ``info``."""
+    last = audit.agg(F.coalesce(F.max("seq_id"), F.lit(0)).alias("_last"))  # one row
+    order = Window.orderBy("event_type", "payload_json")
+    rows = new.withColumn("_k", F.row_number().over(order)).crossJoin(F.broadcast(last))
+    rows = rows.select((F.col("_last") + F.col("_k")).cast("bigint").alias("seq_id"), now.alias("timestamp"), "event_type", F.coalesce(F.nullif("severity", F.lit("")), F.lit("info")).alias("severity"), "payload_json")
+    return audit.select(*rows.columns).unionByName(rows)
+
+
 def newest(audit: DataFrame, n: int) -> DataFrame:
     """The last n events; 20 when n isn't positive."""
     return audit.orderBy(F.desc("seq_id")).limit(n if n > 0 else 20)
@@ -51,14 +86,31 @@ def latest_by_job(audit: DataFrame) -> DataFrame:
 
 
 def batch_summary(events: DataFrame, key: str) -> DataFrame:
+    """Figures of each batch: all events, ``job_completed`` and ``job_failed`` ones, and of the completed
+    the bytes saved and the mean of scores above 0 (0 without any)."""
     done = F.col("event_type") == "job_completed"
     return events.groupBy(key).agg(
         F.count("*").alias("n"), F.sum(F.when(done, 1).otherwise(0)).alias("completed"),
-        F.sum(F.when(F.col("event_type").contains("failed"), 1).otherwise(0)).alias("failed"),
-        F.sum(F.coalesce("saved_bytes", F.lit(0))).alias("saved_bytes"), F.coalesce(F.avg(F.when(F.col("vmaf") > 0, F.col("vmaf"))), F.lit(0.0)).alias("avg_vmaf"),
+        F.sum(F.when(F.col("event_type") == "job_failed", 1).otherwise(0)).alias("failed"),
+        F.sum(F.when(done, F.coalesce("saved_bytes", F.lit(0))).otherwise(0)).alias("saved_bytes"),
+        F.coalesce(F.avg(F.when(done & (F.col("vmaf") > 0), F.col("vmaf"))), F.lit(0.0)).alias("avg_vmaf"),
     )
 
 
+def summary_message(batches: DataFrame) -> DataFrame:
+    """Adds what channels get of a batch's figures: ``event_type`` (batch_summary), ``title``, ``message``."""
+    message = F.format_string("Batch finished: %d completed, %d failed. Saved: %s", "completed", "failed", S.format_bytes(F.col("saved_bytes")))
+    return batches.withColumns({"event_type": F.lit("batch_summary"), "title": F.format_string("Transcode Batch: %d processed", "n"), "message": message})
+
+
+def within_rate(messages: DataFrame, per_minute: int, channel: str = "channel", ts: str = "timestamp") -> DataFrame:
+    """The first ``per_minute`` messages of each channel in each minute, by time; all where it isn't positive."""
+    if per_minute <= 0:
+        return messages
+    order = Window.partitionBy(channel, F.date_trunc("minute", ts)).orderBy(ts, "event_id")
+    return messages.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_minute).drop("_rank")
+
+
 def count_batches(events: DataFrame, size: int, order: str = "seq_id") -> DataFrame:
     """Adds ``batch``: every ``size`` events in order. Numbers are given by ranges of ``order``: a count
     for each range first, then within each, so no task numbers all events."""
@@ -107,8 +159,11 @@ def render_message(kind: str, event: DataFrame, secret: str | None = None) -> Da
     if kind == "gotify":
         return event.withColumn("body", F.to_json(F.struct(title.alias("title"), text.alias("message"), S.gotify_priority(etype).alias("priority"))))
     if kind == "webhook":
-        out = event.withColumn("body", F.to_json(F.struct(etype.alias("type"), title.alias("title"), text.alias("message"), S.rfc3339(ts).alias("timestamp"))))
-        return out.withColumn("signature", S.hmac_sha256(secret)("body")) if secret else out
+        # Figures of 0 are left out of the document, as nulls are.
+        some = [F.nullif(F.col(c), F.lit(0)).alias(name) for c, name in (("n", "total_items"), ("saved_bytes", "saved_bytes"), ("avg_vmaf", "average_vmaf")) if c in event.columns]
+        own = [F.col("event_id").alias("event_id")] if "event_id" in event.columns else []
+        out = event.withColumn("body", F.to_json(F.struct(*own, etype.alias("event_type"), title.alias("title"), text.alias("message"), S.rfc3339(ts).alias("timestamp"), *some)))
+        return out.withColumn("signature", S.hmac_sha256(secret, F.col("body"))) if secret else out
     if kind == "smtp":
         return event.withColumn("body", F.concat(F.lit("<h2>"), S.escape_html(title), F.lit("</h2><p>"), S.escape_html(text), F.lit("</p>")))
     raise ValueError(f"unknown channel {kind!r}")
@@ -126,6 +181,49 @@ def metrics_json(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.to_json(F.array_sort(F.collect_list(F.struct("name", "value", "type")))).alias("json"))
 
 
+#: Names, kinds and help texts of the exported series.
+SERIES = {
+    "files_scanned_total": ("counter", "Total media files discovered"),
+    "jobs_submitted_total": ("counter", "Total transcoding jobs submitted"),
+    "jobs_completed_total": ("counter", "Total transcoding jobs completed successfully"),
+    "jobs_failed_total": ("counter", "Total transcoding jobs failed permanently"),
+    "quality_failed_total": ("counter", "Total jobs that failed VMAF quality verification"),
+    "deduplicated_files_total": ("counter", "Total files skipped or flagged by deduplication"),
+    "notifications_sent_total": ("counter", "Total notifications delivered"),
+    "queue_pending_depth": ("gauge", "Current pending entries in queue"),
+    "queue_leased_depth": ("gauge", "Current leased entries in worker prefetch"),
+    "active_cpu_workers": ("gauge", "Current active CPU workers"),
+    "active_gpu_sessions": ("gauge", "Current active GPU hardware encoding sessions"),
+    "write_actor_queue_size": ("gauge", "Pending write mutations in persistence channel"),
+    "vmaf_score_average": ("gauge", "Average VMAF score of transcoded media"),
+}
+
+
+def series(queue: DataFrame, audit: DataFrame, files: DataFrame, delivered: DataFrame, prefix: str = "") -> DataFrame:
+    """(name, type, help, value) of all series, from the tables' own rows: jobs by state, events by type,
+    files (with ``is_duplicate``) and delivery records. No write waits in a batch engine, so that gauge is 0.
+    Each table is read once, for one row of sums."""
+    count = lambda holds: F.count(F.when(holds, 1))
+    state, event, vmaf = F.col("state"), F.col("event_type"), F.col("vmaf")
+    jobs = queue.agg(F.count("*").alias("jobs_submitted_total"), count(state == "pending").alias("queue_pending_depth"), count(state == "leased").alias("queue_leased_depth"), count(state.isin("evaluating", "processing")).alias("active_cpu_workers"), count(state == "transcoding").alias("active_gpu_sessions"))
+    events = audit.agg(count(event == "job_completed").alias("jobs_completed_total"), count(event == "job_failed").alias("jobs_failed_total"), count(event == "job_quality_failed").alias("quality_failed_total"), F.coalesce(F.avg(F.when((event == "job_completed") & (vmaf > 0), vmaf)), F.lit(0.0)).alias("vmaf_score_average"))
+    found = files.agg(F.count("*").alias("files_scanned_total"), count(F.col("is_duplicate")).alias("deduplicated_files_total"))
+    sent = delivered.agg(count(F.col("status") == "sent").alias("notifications_sent_total"))
+    one = jobs.crossJoin(events).crossJoin(found).crossJoin(sent).withColumn("write_actor_queue_size", F.lit(0))  # a row each
+    rows = F.array(*[F.struct(F.lit(prefix + n).alias("name"), F.lit(k).alias("type"), F.lit(h).alias("help"), F.col(n).cast("double").alias("value")) for n, (k, h) in SERIES.items()])
+    return one.select(F.inline(rows))
+
+
+def constant_health() -> str:
+    """What a server that answers at all says of itself."""
+    return "healthy"
+
+
+def chart_scale(savings: DataFrame) -> DataFrame:
+    """(total, scale) of a savings chart: the sum, and the largest value but at least 1024."""
+    return savings.agg(F.coalesce(F.sum("saved_bytes"), F.lit(0)).alias("total"), F.greatest(F.coalesce(F.max("saved_bytes"), F.lit(0)), F.lit(1024)).alias("scale"))
+
+
 def worst_health(checks: DataFrame) -> DataFrame:
     rank = F.when(F.col("status") == "unhealthy", 2).when(F.col("status") == "degraded", 1).otherwise(0)
     worst = F.coalesce(F.max(rank), F.lit(0))
@@ -142,6 +240,36 @@ def add_schedule(rows: DataFrame, now: Column) -> DataFrame:
     })
 
 
+#: The body of a request for a schedule entry.
+SCHEDULE_BODY = "id string, file_paths array<string>, priority int, scheduled timestamp"
+
+
+def read_schedule(bodies: DataFrame, now: Column, col: str = "body") -> DataFrame:
+    """Schedule entries of JSON bodies; one that isn't JSON or has no paths is left out, one without an id
+    gets a name from its content."""
+    rows = bodies.select(F.from_json(F.col(col), SCHEDULE_BODY).alias("e"), F.xxhash64(F.col(col)).alias("_key")).select("e.*", "_key").filter(F.size("file_paths") > 0)
+    named = rows.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("schedule-"), F.hex("_key")))).drop("_key")
+    return add_schedule(named, now)
+
+
+def list_schedule(schedule: DataFrame) -> DataFrame:
+    return schedule.orderBy("scheduled", "id")
+
+
+def remove_schedule(schedule: DataFrame, entry: str) -> DataFrame:
+    return schedule.filter(F.col("id") != entry)
+
+
+#: Fixed value: the priority of paths that a user triggers by hand.
+MANUAL_PRIORITY = 75
+
+
+def trigger_now(schedule: DataFrame, entry: str) -> DataFrame:
+    """(id, priority, file_path) of one entry, whenever it is due; ready for ``queue.enqueue``."""
+    one = schedule.filter(F.col("id") == entry)
+    return one.select("id", F.lit(MANUAL_PRIORITY).alias("priority"), F.explode("file_paths").alias("file_path")).filter(F.col("file_path").startswith("/"))
+
+
 def due_paths(schedule: DataFrame, now: Column) -> DataFrame:
     """(id, priority, file_path) of due entries; only absolute paths count."""
     due = schedule.filter((F.col("scheduled") <= now) & ~F.col("executed"))

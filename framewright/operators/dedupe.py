@@ -6,7 +6,7 @@ only looked at where a size is shared, so a caller may leave it null elsewhere.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -72,5 +72,21 @@ def unique_sizes(files: DataFrame) -> DataFrame:
     return files.agg(F.count_distinct("size").alias("unique_files"))
 
 
-def running_window(*keys: str) -> Window:
-    return Window.partitionBy(*keys)
+def signature_count(table: DataFrame) -> DataFrame:
+    return table.agg(F.count("*").alias("signatures"))
+
+
+def truncate_signatures(table: DataFrame) -> DataFrame:
+    return table.limit(0)
+
+
+def restore_signatures(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """Files with the signature that is stored for their path and size, where they have none of their own."""
+    known = stored.select("path", "size", F.sha2(F.concat("first_mb_hash", "last_mb_hash"), 256).alias("_stored"))
+    joined = files.join(known, ["path", "size"], "left")
+    return joined.withColumn("signature", F.coalesce("signature", "_stored")).drop("_stored")
+
+
+def visit(files: DataFrame, fn) -> None:
+    """Calls ``fn`` with the rows of each partition, on the executors; nothing is gathered."""
+    files.foreachPartition(fn)

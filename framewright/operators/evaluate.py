@@ -181,18 +181,27 @@ def stream_plan(df: DataFrame, policy: AudioPolicy = AudioPolicy()) -> DataFrame
         F.when(retain, texts("-map", "0:s")).otherwise(none),
     )
     copies = lambda a: (d["audio_action"] != "aac_stereo") | (F.lit(policy.copy_lossless) & a["is_lossless"]) | (F.lit(policy.retain_surround) & a["is_surround"])
+    number = lambda k, i: F.concat(F.lit(k), i.cast("string"))
     codec = F.flatten(
         F.transform(
             kept,
-            lambda a, i: F.when(copies(a), texts(F.concat(F.lit("-c:a:"), i.cast("string")), "copy")).otherwise(
-                texts(F.concat(F.lit("-c:a:"), i.cast("string")), "aac", F.concat(F.lit("-b:a:"), i.cast("string")), "192k", F.concat(F.lit("-ac:a:"), i.cast("string")), "2")
+            lambda a, i: F.when(copies(a), texts(number("-c:a:", i), "copy")).otherwise(
+                texts(number("-c:a:", i), "aac", number("-b:a:", i), "192k", number("-ac:", i), "2")
             ),
         )
     )
+    # The notes of a plan. A track whose copying is asked for names its layout.
+    asked = lambda a: (d["audio_action"] == "copy") | (F.lit(policy.copy_lossless) & a["is_lossless"]) | (F.lit(policy.retain_surround) & a["is_surround"])
+    note = lambda a: (
+        F.when(asked(a), F.format_string("Audio #%d (%s, %s): copy", a["index"], a["codec"], F.coalesce(a["layout"], F.lit(""))))
+        .when(d["audio_action"] == "aac_stereo", F.format_string("Audio #%d (%s): re-encode aac stereo", a["index"], a["codec"]))
+        .otherwise(F.format_string("Audio #%d (%s): copy", a["index"], a["codec"]))
+    )
     lines = F.concat(
-        texts(F.concat(F.lit("Video: "), m["video_codec"], F.lit(" "), m["resolution"])),
-        F.when(F.size(kept) == 0, texts("Audio: none")).otherwise(F.transform(kept, lambda a: F.concat(F.lit("Audio: "), a["codec"], F.when(copies(a), " copy").otherwise(" to aac stereo")))),
-        F.when(retain, texts(F.concat(F.lit("Subtitles: "), F.size(m["subtitles"]).cast("string")))).otherwise(none),
+        texts("Video: 0:v:0"),
+        F.transform(m["pictures"], lambda i: number("Exclude attached pic: 0:v:", i)),
+        F.when(F.size(m["audio"]) == 0, texts("Audio: none")).otherwise(F.transform(kept, note)),
+        F.when(retain, texts(F.format_string("Subtitles: %d tracks preserved via copy", F.size(m["subtitles"])))).otherwise(none),
     )
     plan = F.struct(maps.alias("map_args"), codec.alias("audio_codec_args"), F.when(retain, texts("-c:s", "copy")).otherwise(none).alias("subtitle_args"), F.array_join(lines, " | ").alias("summary"))
     return df.withColumn("plan", plan)
@@ -207,47 +216,76 @@ def with_presets(df: DataFrame, presets: DataFrame, first: str, preset_col: Colu
     return df.join(F.broadcast(named), F.lower(preset_col) == F.col("_preset"), "left").drop("_preset").withColumn("preset_name", F.coalesce("preset_name", F.lit(first)))
 
 
-#: Encoder families by codec in order of preference; a family lacks some codecs.
-ENCODERS = {
-    "hevc": ("hevc_nvenc", "hevc_qsv", "hevc_amf", "hevc_vaapi", "libx265"),
-    "h264": ("h264_nvenc", "h264_qsv", "h264_amf", "h264_vaapi", "libx264"),
-    "av1": ("av1_nvenc", "av1_qsv", None, "av1_vaapi", "libsvtav1"),
-}
-FAMILIES = ("nvenc", "qsv", "amf", "vaapi", "cpu")
-CODEC_NAMES = {"hevc": "hevc", "h265": "hevc", "x265": "hevc", "h264": "h264", "avc": "h264", "x264": "h264", "av1": "av1"}
-
-
-def select_encoder(codec: Column, prefer: Column, encoders: Column) -> Column:
-    """Struct (encoder, hardware) by target codec, preferred family ('auto' or '' for any) and the map of
-    available encoders; VAAPI steps down av1 -> hevc -> h264, software stands in when nothing fits."""
-    target = F.coalesce(F.create_map(*[F.lit(x) for kv in CODEC_NAMES.items() for x in kv])[F.lower(codec)], F.lit("hevc"))
-    has = lambda name: F.coalesce(encoders[name], F.lit(False))
-    out = F.lit(None).cast("struct<encoder:string,hardware:boolean>")
-    pick = lambda name, hw: F.struct(F.lit(name).alias("encoder"), F.lit(hw).alias("hardware"))
-    wish = F.lower(F.coalesce(prefer, F.lit("")))
-    anyone = wish.isin("", "auto")
+#: Hardware families in order of preference, what each calls a codec it knows, and what it
+#: tries, in order, for that codec.
+FAMILIES = ("nvenc", "qsv", "amf", "vaapi")
+CODEC_NAMES = {"hevc": "hevc", "h265": "hevc", "h264": "h264", "avc": "h264", "av1": "av1"}
+UNKNOWN_TO = {"amf": ("avc", "av1")}
+STEPS_DOWN = {"vaapi": {"hevc": ("hevc", "h264"), "av1": ("av1", "hevc", "h264")}}
+
+
+def select_encoder(codec: Column, prefer: Column, encoders: Column, families: Column | None = None) -> Column:
+    """Struct (encoder, hardware) by target codec, preferred family (or ``auto``; ``cpu`` and ``none`` for
+    software) and the map of working encoders. ``families`` is a map of families whose hardware is there;
+    unless given, a family with any working encoder is. Where no family has one, software stands in:
+    libx265 for HEVC, libsvtav1 (or libaom-av1) for AV1, libx264 for all others."""
+    name, wish = F.lower(codec), F.lower(F.coalesce(prefer, F.lit("")))
+    has = lambda encoder: F.coalesce(encoders[encoder], F.lit(False))
+    pick = lambda encoder, hardware: F.struct(F.lit(encoder).alias("encoder"), F.lit(hardware).alias("hardware"))
+    case = F.when(name.isin("hevc", "h265"), pick("libx265", False)).when((name == "av1") & has("libsvtav1"), pick("libsvtav1", False)).when(name == "av1", pick("libaom-av1", False)).otherwise(pick("libx264", False))
     steps = []
-    for c, names in ENCODERS.items():
-        for family, name in zip(FAMILIES[:-1], names, strict=False):
-            if name is None:
+    for family in FAMILIES:
+        there = F.lit(True) if families is None else F.coalesce(families[family], F.lit(False))
+        for alias, known in CODEC_NAMES.items():
+            if alias in UNKNOWN_TO.get(family, ()):
                 continue
-            steps.append(((target == c) & (anyone | (wish == family)) & has(name), pick(name, True)))
-            if family == "vaapi":
-                for lower in {"av1": ("hevc", "h264"), "hevc": ("h264",)}.get(c, ()):
-                    steps.append(((target == c) & (anyone | (wish == family)) & has(f"{lower}_vaapi"), pick(f"{lower}_vaapi", True)))
-    case = out
-    for c, names in ENCODERS.items():
-        case = F.when(target == c, pick(names[-1], False)).otherwise(case)
+            for tried in STEPS_DOWN.get(family, {}).get(known, (known,)):
+                steps.append((wish.isin("auto", family) & there & (name == alias) & has(f"{tried}_{family}"), pick(f"{tried}_{family}", True)))
     for holds, value in reversed(steps):
         case = F.when(holds, value).otherwise(case)
     return case
 
 
-def encoder_arguments(encoder: Column, quality: Column, speed: Column, pix_fmt: Column) -> Column:
-    """Encoder argument vector as an array of text."""
-    hw = encoder.rlike("_(nvenc|qsv|amf|vaapi)$")
-    q = F.coalesce(quality, F.lit(24)).cast("string")
-    mode = F.when(encoder.endswith("nvenc"), F.array(F.lit("-cq"), q)).when(encoder.endswith("qsv"), F.array(F.lit("-global_quality"), q)).when(hw, F.array(F.lit("-qp"), q)).otherwise(F.array(F.lit("-crf"), q))
-    preset = F.when(F.coalesce(speed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(F.lit("-preset"), speed))
-    pixels = F.when(F.coalesce(pix_fmt, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(F.lit("-pix_fmt"), pix_fmt))
-    return F.concat(F.array(F.lit("-c:v"), encoder), preset, mode, pixels)
+def working_encoders(listed: Column, tested: Column) -> Column:
+    """Map of the encoders that a tool lists: software as listed, hardware only if its test passed."""
+    hardware = lambda e: e.rlike("_(" + "|".join(FAMILIES) + ")$")
+    good = F.filter(F.array_distinct(listed), lambda e: ~hardware(e) | F.array_contains(tested, e))
+    return F.map_from_arrays(good, F.transform(good, lambda e: F.lit(True)))
+
+
+def encoder_arguments(
+    encoder: Column, hardware: Column, source: Column, target: Column, crf: Column, speed: Column, plan: Column, device: str = "/dev/dri/renderD128",
+) -> Column:
+    """The encoder's argument vector as an array of text: input resilience, stream maps, video encoder with
+    its family's quality settings, audio and subtitles of ``plan``, muxing and container."""
+    none = F.array().cast("array<string>")
+    texts = lambda *xs: F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    q = F.when(F.coalesce(crf, F.lit(0)) <= 0, 22).otherwise(crf).cast("string")
+    pace = F.when(F.coalesce(speed, F.lit("")) == "", "medium").otherwise(speed)
+    vaapi = hardware & encoder.contains("vaapi")
+    given = lambda part, default: F.when(F.coalesce(F.size(plan[part]), F.lit(0)) > 0, plan[part]).otherwise(default)
+    # The options of each family.
+    by_family = (
+        F.when(encoder.contains("nvenc"), texts("-cq", q, "-preset", "p5", "-spatial-aq", "1", "-temporal-aq", "1"))
+        .when(encoder.contains("qsv"), texts("-global_quality", q, "-preset", pace))
+        .when(encoder.contains("amf"), texts("-rc", "cqp", "-qp_p", q, "-qp_i", q))
+        .otherwise(texts("-crf", q))
+    )
+    software = F.when(encoder.contains("libsvtav1"), texts("-crf", q, "-preset", "6", "-svtav1-params", "tune=0")).otherwise(
+        F.concat(texts("-crf", q, "-preset", pace), F.when(encoder.contains("libx265"), texts("-x265-params", "no-high-tier=1:no-bframes=4:weightp=0")).otherwise(none))
+    )
+    end = S.extension(target)
+    return F.concat(
+        texts("-hide_banner", "-y", "-fflags", "+genpts+discardcorrupt", "-err_detect", "ignore_err", "-ignore_unknown", "-thread_queue_size", "1024"),
+        F.when(vaapi, texts("-vaapi_device", device)).otherwise(none),
+        texts("-i", source),
+        given("map_args", texts("-map", "0:v:0", "-map", "0:a", "-map", "0:s")),
+        texts("-c:v", encoder),
+        F.when(vaapi, texts("-vaapi_device", device, "-vf", "format=nv12,hwupload")).otherwise(texts("-vf", "format=yuv420p")),
+        F.when(hardware, by_family).otherwise(software),
+        given("audio_codec_args", texts("-c:a", "copy")),
+        given("subtitle_args", texts("-c:s", "copy")),
+        texts("-max_muxing_queue_size", "4096", "-map_metadata", "-1"),
+        F.when(end == ".mkv", texts("-f", "matroska")).when(end == ".mp4", texts("-f", "mp4")).otherwise(none),
+        texts(target),
+    )

@@ -18,10 +18,17 @@ def sample_starts(duration: Column, n: Column) -> Column:
 
 
 def extract_score(text: Column, name: str) -> Column:
-    """A score named in tool output, else its last number token."""
-    named = F.regexp_extract(text, f"(?i){name}[^0-9]*([0-9]+(?:\\.[0-9]+)?)", 1)
-    last = F.regexp_extract(text, "([0-9]+(?:\\.[0-9]+)?)\\s*$", 1)
-    return F.coalesce(named.try_cast("double"), last.try_cast("double"))
+    """The ``ssim`` or ``vmaf`` score in a tool's output; null without one.
+
+    SSIM stands after ``All:``, VMAF after ``VMAF score:`` or, in another log format, as the word after
+    ``score:`` on a line that speaks of vmaf.
+    """
+    if name == "ssim":
+        return F.nullif(F.regexp_extract(text, "All:\\s*([0-9.]+)", 1), F.lit("")).try_cast("double")
+    first = F.nullif(F.regexp_extract(text, "VMAF score:\\s*([0-9.]+)", 1), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.contains("vmaf") & x.contains("score"))
+    found = F.transform(lines, lambda x: F.regexp_extract(x, "(?:^|\\s)score:\\s+(\\S+)", 1))
+    return F.coalesce(first, F.get(F.filter(found, lambda x: x != ""), F.lit(0))).try_cast("double")
 
 
 def mean_score(scores: Column) -> Column:

@@ -53,18 +53,24 @@ def within_depth(relative: Column, most: int) -> Column:
     return F.size(F.split(relative, "/")) - 1 <= most if most > 0 else F.lit(True)
 
 
-def classify(files: DataFrame, globs: Sequence[str] = (), extensions: Sequence[str] = (), suffix: str = "_crunched", path_col: str = "path") -> DataFrame:
-    """Adds ``fate``: excluded, processed, extension or accepted, in that order of checks."""
+def classify(
+    files: DataFrame, globs: Sequence[str] = (), extensions: Sequence[str] = (), suffix: str = "_crunched", path_col: str = "path", relative: Column | None = None, most_depth: int = 0,
+) -> DataFrame:
+    """Adds ``fate``: deep (``relative`` lies beyond ``most_depth`` folders), excluded, processed, extension or
+    accepted, in that order of checks."""
     path = F.col(path_col)
+    deep = F.lit(False) if relative is None else ~within_depth(relative, most_depth)
     fate = (
-        F.when(excluded(path, globs), "excluded").when(already_processed(path, suffix), "processed")
+        F.when(deep, "deep").when(excluded(path, globs), "excluded").when(already_processed(path, suffix), "processed")
         .when(~wanted_extension(path, extensions), "extension").otherwise("accepted")
     )
     return files.withColumn("fate", fate)
 
 
-def report(marked: DataFrame) -> DataFrame:
-    """One row of counters over rows with ``fate`` and ``is_duplicate``."""
+def report(marked: DataFrame, errors: int = 0) -> DataFrame:
+    """One row of counters over rows with ``fate`` and ``is_duplicate``; ``errors`` counts scopes that could
+    not be read. Files in folders that are too deep are never met, so they aren't seen."""
+    marked = marked.filter("fate <> 'deep'")
     count = lambda holds: F.coalesce(F.sum(F.when(holds, 1).otherwise(0)), F.lit(0))
     taken = F.col("fate") == "accepted"
     return marked.agg(
@@ -73,6 +79,7 @@ def report(marked: DataFrame) -> DataFrame:
         count(F.col("fate") == "extension").alias("other_extension"),
         count(taken & ~F.col("is_duplicate")).alias("accepted"),
         count(taken & F.col("is_duplicate")).alias("duplicates"),
+        F.lit(errors).cast("bigint").alias("errors"),
     )
 
 

@@ -11,13 +11,21 @@ from framewright.operators import audit, dedupe, evaluate, queue, scan
 from framewright.sources import files
 
 
-def scan_library(spark: SparkSession, scopes: Sequence[str], globs: Sequence[str] = (), extensions: Sequence[str] = (), mode: str = "exact") -> DataFrame:
-    """Accepted files of the scopes, marked as duplicates. Only files that share a size are opened."""
-    found = scan.classify(files.list_files(spark, scopes), globs, extensions).filter("fate = 'accepted'")
+def scan_library(
+    spark: SparkSession, scopes: Sequence[str], globs: Sequence[str] = (), extensions: Sequence[str] = (), mode: str = "exact", max_depth: int = 0, follow_symlinks: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted files of the scopes, marked as duplicates; the scan report). Only files that share a size
+    are opened; a scope that cannot be read counts as an error, and a path in several counts once."""
+    listed, errors = files.list_scopes(spark, scopes, follow_symlinks)
+    listed = listed.dropDuplicates(["path"])
+    fates = scan.classify(listed, globs, extensions, relative=F.col("relative"), most_depth=max_depth)
+    found = fates.filter("fate = 'accepted'")
     hashed = files.boundary_hashes(dedupe.shared_sizes(found))
     signature = hashed.select("path", F.sha2(F.concat(F.unhex("first_hash"), F.unhex("last_hash")), 256).alias("signature"))
     marked = found.join(signature, "path", "left").withColumn("seq", F.struct("modified", "path"))
-    return dedupe.mark_duplicates(marked, mode)
+    marked = dedupe.mark_duplicates(marked, mode)
+    every = fates.join(marked.select("path", "is_duplicate"), "path", "left").fillna(False, ["is_duplicate"])
+    return marked, scan.report(every, errors)
 
 
 def evaluate_library(probes: DataFrame, rules: Sequence[evaluate.Rule], aliases: Mapping[str, str] | None = None, policy: evaluate.AudioPolicy = evaluate.AudioPolicy()) -> DataFrame:
@@ -26,8 +34,12 @@ def evaluate_library(probes: DataFrame, rules: Sequence[evaluate.Rule], aliases:
 
 
 def status(jobs: DataFrame, events: DataFrame, inventory: DataFrame) -> DataFrame:
-    """One row: bucket counts, average quality of recent jobs, unique files."""
-    return queue.buckets(jobs).crossJoin(audit.average_vmaf(events)).crossJoin(dedupe.unique_sizes(inventory))
+    """One row: bucket counts, average quality and savings of recent jobs, the last events, unique files,
+    health. All sides have one row."""
+    savings = audit.recent_savings(events).agg(F.sort_array(F.collect_list(F.struct("seq_id", "saved_bytes")), False).alias("recent_savings"))  # 15 at most
+    last = audit.newest(events, 20).agg(F.sort_array(F.collect_list(F.struct("seq_id", "event_type")), False).alias("recent_events"))  # 20 at most
+    one = queue.buckets(jobs).crossJoin(audit.average_vmaf(events)).crossJoin(savings).crossJoin(last).crossJoin(dedupe.unique_sizes(inventory))
+    return one.withColumn("health", F.lit(audit.constant_health()))
 
 
 def queue_page(jobs: DataFrame, events: DataFrame, progress: DataFrame, group: str = "", limit: int = 100, search: str = "") -> DataFrame:
@@ -43,6 +55,15 @@ def queue_item(jobs: DataFrame, metadata: DataFrame, progress: DataFrame, job: i
     return one.join(metadata.filter(F.col("queue_id") == job), one["id"] == F.col("queue_id"), "left").join(progress.filter(F.col("job_id") == job), one["id"] == F.col("job_id"), "left")
 
 
+def find_scope(scopes: DataFrame, path: str) -> DataFrame:
+    return scopes.filter(F.col("path") == path)
+
+
+def with_scope(scopes: DataFrame, scope: DataFrame) -> DataFrame:
+    """Scopes with one more; one of the same path is replaced."""
+    return scopes.join(scope.select("path"), "path", "left_anti").unionByName(scope)
+
+
 def without_scope(scopes: DataFrame, path: str) -> DataFrame:
     return scopes.filter(F.col("path") != path)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.functions import scalar as S
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -13,7 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     path = F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang")
-    blocks = F.sha2(F.concat(F.substring("text", 1, 1000), F.right("text", F.lit(1000))), 256)
+    first, last = S.boundary_hashes(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    blocks = S.combined_signature(first, last)
     return d.select(path.alias("path"), F.col("n_chars").alias("size"), blocks.alias("signature"), F.col("doc_id").alias("seq"), "lang")
 
 
@@ -46,8 +49,6 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``metadata`` of parts: codec by brand, size as height, price as bitrate."""
     p = table(spark, sf_dir, "part")
-    from framewright.functions import scalar as S
-
     height = (F.col("p_size") * 50).cast("int")
     width = F.floor(height * 16 / 9).cast("int")
     meta = F.struct(

@@ -21,6 +21,24 @@ def list_files(spark: SparkSession, scopes: Sequence[str]) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def list_scopes(spark: SparkSession, scopes: Sequence[str], follow_symlinks: bool = False) -> tuple[DataFrame, int]:
+    """(path, size, modified, is_link, scope, relative) of the files below each scope that can be listed, by
+    ``TreeSource``, and how many scopes cannot: they count as an error and the others go on. Links are left
+    out unless they are followed."""
+    spark.dataSource.register(TreeSource)
+    good = [s for s in scopes if os.path.isdir(s) and os.access(s, os.R_OK | os.X_OK)]
+    found = None
+    for scope in good:
+        rows = spark.read.format("file_tree").option("scopes", scope).option("follow_symlinks", str(follow_symlinks).lower()).load()
+        if not follow_symlinks:
+            rows = rows.filter("not is_link")
+        rows = rows.withColumns({"scope": F.lit(scope), "relative": F.substring("path", F.lit(len(scope.rstrip("/")) + 2), F.length("path"))})
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        found = spark.createDataFrame([], "path string, size bigint, modified double, is_link boolean, scope string, relative string")
+    return found, len(scopes) - len(good)
+
+
 class TreeSource(DataSource):
     """Listing with link types: one partition for each directory right below the scopes.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framewright.functions import scalar as S
+from framewright.operators import evaluate
 
 PROGRESS_STATE = "phase string, current_sec double, total_sec double, pct double, eta bigint, last_ms bigint"
 PROGRESS = "job_id bigint, phase string, pct double, eta bigint, last_ms bigint, is_stuck boolean, removed boolean"
@@ -82,8 +83,19 @@ def _progress(job: int, s: tuple, stuck: bool, removed: bool) -> pd.DataFrame:
     return pd.DataFrame([{"job_id": job, "phase": s[0], "pct": s[3], "eta": s[4], "last_ms": s[5], "is_stuck": stuck, "removed": removed}])
 
 
-def batches_by_count(events: DataFrame, size: int, key: str = "channel") -> DataFrame:
-    """Summaries of every ``size`` events of a key, and of what is left after ``flush`` of quiet.
+def with_fresh_rules(load_rules: Callable[[], list], then: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that decides each micro-batch (with ``metadata``) by the rules as they are
+    when it begins."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        then(evaluate.decide(batch, load_rules()), batch_id)
+
+    return run
+
+
+def batches_by_count(events: DataFrame, size: int, key: str = "channel", seconds: int = 30) -> DataFrame:
+    """Summaries of every ``size`` events of a key, and of what is left when ``seconds`` have passed since the
+    batch last grew.
 
     Out: key, n, completed, failed, saved_bytes, vmaf_sum, vmaf_n.
     """
@@ -100,14 +112,15 @@ def batches_by_count(events: DataFrame, size: int, key: str = "channel") -> Data
         else:
             for frame in frames:
                 for row in frame.itertuples():
-                    good = row.vmaf is not None and row.vmaf == row.vmaf and row.vmaf > 0
-                    acc = [acc[0] + 1, acc[1] + (row.event_type == "job_completed"), acc[2] + ("failed" in row.event_type), acc[3] + int(row.saved_bytes or 0), acc[4] + (row.vmaf if good else 0.0), acc[5] + good]
+                    done = row.event_type == "job_completed"
+                    good = done and row.vmaf is not None and row.vmaf == row.vmaf and row.vmaf > 0
+                    acc = [acc[0] + 1, acc[1] + done, acc[2] + (row.event_type == "job_failed"), acc[3] + (int(row.saved_bytes or 0) if done else 0), acc[4] + (row.vmaf if good else 0.0), acc[5] + good]
                     if acc[0] >= size:
                         out.append([k[0], *acc])
                         acc = [0, 0, 0, 0, 0.0, 0]
         if acc[0]:
             state.update(tuple(acc))
-            state.setTimeoutDuration(30_000)
+            state.setTimeoutDuration(seconds * 1000)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=[key, *names])
@@ -123,16 +136,23 @@ def batches_by_time(events: DataFrame, seconds: int, late: str = "10 minutes", t
 
 
 def deliver(send: Callable[[DataFrame, int], None], records_path: str, dead_path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: sends a batch and appends delivery records, or dead letters where
-    sending failed. Rows carry the batch id, so a batch that runs again can be told."""
+    """A ``foreachBatch`` function: sends a batch of (event_id, channel, ...) rows and appends a delivery
+    record for each, failed or sent, and a dead letter too where sending failed (``OSError`` or
+    ``RuntimeError``, as channels raise them; any other error stops the stream). Ids are drawn from batch,
+    event and channel, so those of a batch that runs again are the same."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        stamped = batch.withColumn("batch_id", F.lit(batch_id))
+        status, response = "sent", "ok"
         try:
             send(batch, batch_id)
-        except Exception as error:  # what a channel raises is its own affair
-            stamped.withColumn("last_error", F.lit(str(error)[:500])).write.mode("append").parquet(dead_path)
-        else:
-            stamped.withColumn("status", F.lit("sent")).write.mode("append").parquet(records_path)
+        except (OSError, RuntimeError) as error:
+            status, response = "failed", str(error)[:500]
+        own = F.xxhash64(F.lit(batch_id), "event_id", "channel").alias("id")
+        now = F.current_timestamp()
+        records = batch.select(own, "event_id", "channel", F.lit(status).alias("status"), F.lit(response).alias("response"), now.alias("timestamp"))
+        records.write.mode("append").parquet(records_path)
+        if status == "failed":
+            event = F.to_json(F.struct(*[F.col(f"`{c}`") for c in batch.columns])).alias("event_json")
+            batch.select(own, event, F.lit(0).alias("retry_count"), F.lit(response).alias("last_error"), now.alias("created_at")).write.mode("append").parquet(dead_path)
 
     return run

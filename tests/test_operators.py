@@ -203,10 +203,18 @@ def test_metrics_text(spark):
 
 
 def test_config():
-    c = config.load(json.dumps({"workers": {"count": 8}, "queue": {"busy_timeout": 3000}}), {"FRAMEWRIGHT_WORKERS": "16", "FRAMEWRIGHT_GPU": "3"})
-    assert (c["workers"]["count"], c["queue"]["busy_timeout"], c["workers"]["gpu"]) == (16, 3000, 3)
-    c["server"]["api_key"] = "k"
-    assert config.redacted(c)["server"]["api_key"] == "***REDACTED***" and c["server"]["api_key"] == "k"
+    text = {"database": {"busy_timeout": 3000}, "concurrency": {"worker_count": 8, "gpu_semaphore_limit": 2}, "filesystem": {"scan_interval": "1m30s"}, "notification": {"channels": [{"type": "slack", "token": "t"}]}}
+    c = config.load(json.dumps(text), {"FRAMEWRIGHT_WORKERS": "16", "FRAMEWRIGHT_GPU_LIMIT": "-3", "FRAMEWRIGHT_HWACCEL": "VAAPI", "FRAMEWRIGHT_METRICS_PORT": "x"}, home="/srv/media/../lib")
+    assert (c["concurrency"]["worker_count"], c["database"]["busy_timeout"], c["concurrency"]["gpu_semaphore_limit"]) == (16, 3000, 2)
+    assert (c["filesystem"]["scan_interval"], c["transcoder"]["hardware_acceleration"], c["observability"]["metrics_port"]) == (90.0, "vaapi", 9090)
+    assert c["database"]["path"] == "/srv/lib/library.db" and config.DEFAULTS["database"]["path"] == "library.db"
+    assert config.load("", {"FRAMEWRIGHT_SCAN_INTERVAL": "0s"})["filesystem"]["scan_interval"] == 20
+    c["observability"]["api_key"] = "k"
+    hidden = config.redacted(c)
+    assert hidden["observability"]["api_key"] == hidden["notification"]["channels"][0]["token"] == "***REDACTED***" and c["observability"]["api_key"] == "k"
+    assert [r.name for r in config.rules(c)] == ["Skip Modern HEVC & AV1", "Transcode H.264 High Bitrate to HEVC"] and config.audio_policy(c).preferred_languages == ("eng", "ita", "und")
+    with pytest.raises(ValueError):
+        config.duration("5 minutes")
 
 
 def test_progress_state():
@@ -233,5 +241,128 @@ def test_undelivered_batches_become_dead_letters(spark, tmp_path):
     def send(batch, batch_id):
         raise RuntimeError("down")
 
-    streams.deliver(send, str(tmp_path / "ok"), str(tmp_path / "dead"))(spark.createDataFrame([(1,)], "n int"), 3)
-    assert spark.read.parquet(str(tmp_path / "dead")).first()["last_error"] == "down"
+    run = streams.deliver(send, str(tmp_path / "ok"), str(tmp_path / "dead"))
+    run(spark.createDataFrame([("e1", "slack", 5)], "event_id string, channel string, n int"), 3)
+    dead, sent = spark.read.parquet(str(tmp_path / "dead")), spark.read.parquet(str(tmp_path / "ok"))
+    assert dead.columns == ["id", "event_json", "retry_count", "last_error", "created_at"] and sent.columns == ["id", "event_id", "channel", "status", "response", "timestamp"]
+    assert dead.first()["last_error"] == "down" and json.loads(dead.first()["event_json"])["n"] == 5 and sent.first()["status"] == "failed"
+
+
+def test_rules_are_read_for_each_batch(spark):
+    rules, got = [Rule("a", 1, {}, "copy")], []
+    run = streams.with_fresh_rules(lambda: rules, lambda df, k: got.append(df.first()["decision"]["matched_rule"]))
+    df = spark.createDataFrame([(1,)], "n int")
+    run(df, 0)
+    rules[:] = [Rule("b", 1, {}, "skip")]
+    run(df, 1)
+    assert got == ["a", "b"]
+
+
+@pytest.mark.parametrize(
+    ("codec", "prefer", "working", "want"),
+    [
+        ("h265", "auto", ["hevc_qsv", "hevc_vaapi"], ("hevc_qsv", True)), ("avc", "amf", ["h264_amf"], ("libx264", False)), ("av1", "amf", ["av1_amf"], ("libaom-av1", False)),
+        ("av1", "vaapi", ["h264_vaapi"], ("h264_vaapi", True)), ("hevc", "", ["hevc_nvenc"], ("libx265", False)), ("av1", "cpu", ["libsvtav1", "av1_nvenc"], ("libsvtav1", False)),
+        ("vp9", "auto", ["hevc_nvenc"], ("libx264", False)), ("HEVC", "NVENC", ["hevc_nvenc"], ("hevc_nvenc", True)), ("hevc", "none", ["hevc_nvenc"], ("libx265", False)),
+    ],
+)
+def test_encoder_ladder(spark, codec, prefer, working, want):
+    has = F.create_map(*[F.lit(x) for n in working for x in (n, True)])
+    assert tuple(value(spark, evaluate.select_encoder(F.lit(codec), F.lit(prefer), has))) == want
+
+
+def test_working_encoders(spark):
+    got = value(spark, evaluate.working_encoders(F.array(*map(F.lit, ("libx264", "hevc_nvenc", "h264_qsv"))), F.array(F.lit("h264_qsv"))))
+    assert got == {"libx264": True, "h264_qsv": True}
+
+
+@pytest.mark.parametrize(("seconds", "duration", "eta"), [(None, "00:00", "--"), (-1, "00:00", "--"), (0, "00:00", "Done"), (59, "00:59", "~59s"), (60, "01:00", "~1m"), (61, "01:01", "~1m 1s"), (3599, "59:59", "~59m 59s"), (3661, "1:01:01", "~1h 1m")])
+def test_times(spark, seconds, duration, eta):
+    s = F.lit(seconds).cast("double")
+    assert (value(spark, S.format_duration(s)), value(spark, S.format_eta(s))) == (duration, eta)
+
+
+def test_texts_of_the_feed(spark):
+    assert [value(spark, S.event_color(F.lit(x))) for x in ("job_failed", "job_skipped", "job_completed")] == [0xE74C3C, 0xF1C40F, 0x2ECC71]
+    assert value(spark, S.first_error_line(F.lit("\n  first line \nerror: second"))) == "first line"
+    assert value(spark, S.first_error_line(F.lit("x" * 71))) == "x" * 70 + "..." and value(spark, S.first_error_line(F.lit(""))) == "Transcode execution failed"
+    assert [value(spark, S.event_title(F.lit(x))) for x in ("job_skipped_growth", "startup_recovery", "job_copied")] == ["Skipped", "Recovery", "job_copied"]
+    assert value(spark, S.can_resume(F.lit("skipped"))) and not value(spark, S.can_resume(F.lit("review_required")))
+    assert value(spark, S.hmac_sha256("key", F.lit("The quick brown fox jumps over the lazy dog"))) == "f7bc83f430538424b13298e6aa6fb143ef4d59a14946175997479dbc2d1a3cd8"
+    assert value(spark, S.hmac_sha256("k" * 100, F.lit("é"))) == __import__("hmac").new(b"k" * 100, "é".encode(), "sha256").hexdigest()
+
+
+def test_scores(spark):
+    assert value(spark, quality.extract_score(F.lit("SSIM Y:0.98 U:0.97 All:0.981 (17)"), "ssim")) == 0.981
+    assert value(spark, quality.extract_score(F.lit("no number 12"), "ssim")) is None and value(spark, quality.extract_score(F.lit("vmaf 93"), "vmaf")) is None
+    assert value(spark, quality.extract_score(F.lit("a\nVMAF score: 95.5"), "vmaf")) == 95.5 == value(spark, quality.extract_score(F.lit("[vmaf] mean score: 95.5 x"), "vmaf"))
+
+
+def test_events_are_appended_with_the_payload_of_their_outcome(spark):
+    log = spark.createDataFrame([(7, NOW, "x", "info", "{}")], "seq_id bigint, timestamp timestamp, event_type string, severity string, payload_json string")
+    fields = {"queue_id": F.lit(3), "vmaf": F.lit(93.456), "ssim": F.lit(0.98765), "preset": F.lit("p"), "error": F.lit("e"), "crash": F.lit(True)}
+    new = spark.createDataFrame([("job_skipped_precheck",), ("job_crash",)], "event_type string").select("event_type", F.lit("").alias("severity"), audit.outcome_payload(F.col("event_type"), fields).alias("payload_json"))
+    rows = {r["event_type"]: r for r in audit.append_events(log, new, now()).collect()}
+    assert sorted(r["seq_id"] for r in rows.values()) == [7, 8, 9] and rows["job_crash"]["severity"] == "info"
+    assert json.loads(rows["job_skipped_precheck"]["payload_json"]) == {"queue_id": 3, "vmaf": 93.46, "ssim": 0.9877, "preset": "p"}
+    assert json.loads(rows["job_crash"]["payload_json"]) == {"queue_id": 3, "error": "e", "crash": True}
+
+
+def test_batch_figures_and_message(spark):
+    rows = [("b", "job_completed", 1024, 90.0), ("b", "job_failed", 999, 99.0), ("b", "job_quality_failed", 5, 50.0), ("b", "job_completed", None, 0.0)]
+    s = audit.batch_summary(spark.createDataFrame(rows, "batch string, event_type string, saved_bytes bigint, vmaf double"), "batch")
+    r = audit.summary_message(s).first()
+    assert (r["n"], r["completed"], r["failed"], r["saved_bytes"], r["avg_vmaf"]) == (4, 2, 1, 1024, 90.0)
+    assert (r["title"], r["message"], r["event_type"]) == ("Transcode Batch: 4 processed", "Batch finished: 2 completed, 1 failed. Saved: 1.00 KB", "batch_summary")
+    body = audit.render_message("webhook", audit.summary_message(s).withColumn("timestamp", now())).first()["body"]
+    assert json.loads(body)["total_items"] == 4 and json.loads(body)["average_vmaf"] == 90.0
+
+
+def test_rate_limit(spark):
+    rows = [(k, "c", T0 + dt.timedelta(seconds=k)) for k in range(70)]
+    df = spark.createDataFrame(rows, "event_id bigint, channel string, timestamp timestamp")
+    assert audit.within_rate(df, 3).count() == 6 and audit.within_rate(df, 0).count() == 70
+
+
+def test_schedule_requests(spark):
+    bodies = spark.createDataFrame([('{"id":"a","file_paths":["/x","y"],"priority":0}',), ("no json",), ('{"file_paths":["/z"],"priority":9,"scheduled":"2030-01-01T00:00:00Z"}',), ('{"file_paths":[]}',)], "body string")
+    s = audit.read_schedule(bodies, now())
+    rows = audit.list_schedule(s).collect()
+    assert [r["priority"] for r in rows] == [50, 9] and rows[0]["scheduled"] == NOW + dt.timedelta(seconds=1) and rows[1]["id"].startswith("schedule-")
+    assert [tuple(r) for r in audit.trigger_now(s, "a").collect()] == [("a", 75, "/x")] and audit.remove_schedule(s, "a").count() == 1
+
+
+def test_stored_signatures(spark):
+    import hashlib
+
+    stored = spark.createDataFrame([("/a", 5, b"h1", b"h2", T0, T0)], "path string, size bigint, first_mb_hash binary, last_mb_hash binary, first_seen timestamp, last_scanned timestamp")
+    found = spark.createDataFrame([("/a", 5, None, 1), ("/b", 5, "own", 2)], "path string, size bigint, signature string, seq int")
+    got = {r["path"]: r["signature"] for r in dedupe.restore_signatures(found, stored).collect()}
+    assert got == {"/a": hashlib.sha256(b"h1h2").hexdigest(), "/b": "own"}
+    assert dedupe.signature_count(stored).first()[0] == 1 and dedupe.truncate_signatures(stored).count() == 0
+
+
+def test_library_scan(spark, tmp_path):
+    from framewright.plans import api
+
+    deep = tmp_path / "lib" / "one" / "two"
+    deep.mkdir(parents=True)
+    for path, text in ((tmp_path / "lib" / "a.mkv", "same"), (deep.parent / "b.mkv", "same"), (deep / "c.mkv", "deep"), (tmp_path / "lib" / "d.txt", "t"), (tmp_path / "lib" / "e_crunched.mkv", "x")):
+        path.write_text(text)
+    (tmp_path / "lib" / "link.mkv").symlink_to(tmp_path / "lib" / "a.mkv")
+    marked, report = api.scan_library(spark, [str(tmp_path / "lib"), str(tmp_path / "none"), str(tmp_path / "lib" / "d.txt")], (), ["mkv"], max_depth=1)
+    assert sorted((r["path"].rsplit("/", 1)[1], r["is_duplicate"]) for r in marked.collect()) == [("a.mkv", False), ("b.mkv", True)]
+    assert report.first().asDict() == {"seen": 4, "excluded": 1, "other_extension": 1, "accepted": 1, "duplicates": 1, "errors": 2}
+
+
+def test_reports(spark):
+    from framewright.plans import api
+
+    log = spark.createDataFrame([(k, "job_completed" if k % 2 else "job_failed", 100 * k, 90.0) for k in range(30)], "seq_id bigint, event_type string, saved_bytes bigint, vmaf double")
+    s = api.status(jobs(spark), log, spark.createDataFrame([(1,), (1,), (2,)], "size bigint")).first()
+    assert (s["pending"], s["unique_files"], s["health"], len(s["recent_savings"]), len(s["recent_events"])) == (200, 2, "healthy", 8, 20)
+    scopes = spark.createDataFrame([("/a", 1), ("/b", 2)], "path string, max_depth int")
+    more = api.with_scope(scopes, spark.createDataFrame([("/b", 7)], "path string, max_depth int"))
+    assert api.find_scope(more, "/b").first()["max_depth"] == 7 and api.without_scope(more, "/a").count() == 1
+    chart = audit.chart_scale(log.filter("seq_id < 3")).first()
+    assert (chart["total"], chart["scale"]) == (300, 1024)
