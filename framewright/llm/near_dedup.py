@@ -18,8 +18,8 @@ So each group is linked whole without forming its pairs.
 
 A link of step 1 and 2 is missed only if random values disagree beyond those bounds (below one in a
 million). Tuples are drawn from the values below a limit of hash space that two sets of similar sizes
-have in common, so a text inside a longer one meets it as surely as two of one size do: in 20,000 random
-pairs at the threshold none shared no tuple, and the chance is below one in a hundred thousand.
+have in common, so a text inside a longer one meets it as surely as two of one size do: of 16,000 random
+pairs of that kind at the threshold or little above it, each shared a tuple.
 """
 
 from __future__ import annotations
@@ -46,9 +46,7 @@ TOLD, ENOUGH = 24, 12
 COLD = 32
 #: Tuple lists, how many values a tuple has, and how many values the larger of two sets is to have below
 #: their common limit (less than ``K`` by four standard errors).
-BANDS, TUPLE, BELOW = 128, 4, 40
-#: Tuple lists that connect classes first; the others only add what these leave apart.
-FIRST_BANDS = 24
+BANDS, TUPLE, BELOW = 56, 4, 40
 #: Members of a large cluster that all others are compared with first.
 CENTRAL = 8
 #: Classes, and elements of their sets, that one side of a block holds.
@@ -150,7 +148,7 @@ def limits(n: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int, bands: range = range(BANDS)) -> tuple[np.ndarray, np.ndarray]:
+def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(place of the sketch, key): a key for each band and limit of a sketch, of the ``TUPLE`` values below
     the limit that come first in that band's order."""
     size = np.array([len(x) for x in sketches])
@@ -161,7 +159,7 @@ def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int, bands: r
     where, keys = [], []
     for own, end, live in ((tag, limit, np.ones(len(n), bool)), (tag_2, limit_2, tag_2 != tag)):
         below = inside & (values < np.minimum(end, 2.0**63).astype(U64)[:, None])
-        for band in bands:
+        for band in range(BANDS):
             salt = mix(np.array([band + 0xB0], U64))[0]
             order = np.where(below, mix(values ^ salt), U64(0xFFFFFFFFFFFFFFFF))
             first = np.sort(np.partition(order, TUPLE - 1, axis=1)[:, :TUPLE], axis=1)
@@ -174,14 +172,14 @@ def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int, bands: r
 def clusters(few: DataFrame, percent: int) -> DataFrame:
     """(cls, n, in_hot, cluster, size, elements) of classes that tuple lists connect to others."""
 
-    def keys(rows: DataFrame, bands: range) -> DataFrame:
+    def keys(rows: DataFrame) -> DataFrame:
         """(cls, key) of (cls, n, sketch) rows."""
 
         def run(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     cls, n, sketch = (batch.column(i).slice(at, 512) for i in range(3))
-                    where, made = tuple_keys([x.values.to_numpy() for x in sketch], n.to_numpy(), percent, bands)
+                    where, made = tuple_keys([x.values.to_numpy() for x in sketch], n.to_numpy(), percent)
                     yield pa.RecordBatch.from_arrays([pa.array(cls.to_numpy()[where]), pa.array(made.view(np.int64))], names=KEYS.names)
 
         return rows.mapInArrow(run, KEYS)
@@ -191,13 +189,8 @@ def clusters(few: DataFrame, percent: int) -> DataFrame:
         lists = named.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first <> last")
         return named.join(cut(lists.select("key", "first")), "key").filter("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
 
-    some = connected_components(links(keys(few.select("cls", "n", "sketch"), range(FIRST_BANDS))))
-    named = few.join(some.withColumnRenamed("node", "cls"), "cls", "left").select(F.coalesce("component", "cls").alias("cls"), "n", "sketch")
-    more = connected_components(links(keys(cut(named), range(FIRST_BANDS, BANDS)))).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    # Classes of the first run by what their component has come to, and those met in the second alone.
-    early = some.join(more, "component", "left").select(F.col("node").alias("cls"), F.coalesce("cluster", "component").alias("cluster"))
-    late = more.join(some.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("cls"), "cluster")
-    found = cut(early.unionByName(late).join(few.select("cls", "n", "in_hot"), "cls"))
+    connected = connected_components(links(keys(few.select("cls", "n", "sketch"))))
+    found = cut(connected.toDF("cls", "cluster").join(few.select("cls", "n", "in_hot"), "cls"))
     sizes = found.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.count("*").alias("_rows"))
     return cut(hot_join(found, cut(sizes), ["cluster"], "_rows", found.count()))
 
