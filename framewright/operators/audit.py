@@ -288,9 +288,18 @@ def window_triggers(ticks: DataFrame, windows: Sequence[tuple[str, int, int]], m
     return ticks.withColumn("_hit", F.explode(hit)).select(*ticks.columns, F.col("_hit.window").alias("window"), F.col("_hit.edge").alias("edge"))
 
 
-def stuck(events: DataFrame, key: str, ts: str, limit_seconds: int) -> DataFrame:
-    """Adds ``silent`` (seconds to the key's next event) and ``is_stuck``."""
-    after = F.lead(ts).over(Window.partitionBy(key).orderBy(ts, "event_id"))
-    silent = F.unix_micros(F.col(ts).cast("timestamp"))
-    gap = F.floor((F.unix_micros(after.cast("timestamp")) - silent) / 1_000_000)
-    return events.withColumn("silent", gap.cast("long")).withColumn("is_stuck", F.coalesce(F.col("silent") > limit_seconds, F.lit(False)))
+def stuck(events: DataFrame, key: str, ts: str, limit_seconds: int, span_seconds: int = 86_400) -> DataFrame:
+    """Adds ``silent`` (seconds to the key's next event, null for its last and for a null time) and ``is_stuck``.
+
+    Events are ordered within spans of time of a key, so that no task orders all of a busy key's; the
+    first time of each span, a row for each key and span, closes the one before it. Null keys are one key.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.withColumn("_span", F.floor(micros / (span_seconds * 1_000_000)))
+    firsts = rows.groupBy(key, "_span").agg(F.min(ts).alias("_at"))
+    ends = firsts.withColumn("_at", F.lead("_at").over(Window.partitionBy(key).orderBy("_span"))).withColumn("_end", F.lit(True))
+    both = rows.withColumns({"_at": F.col(ts), "_end": F.lit(False)}).unionByName(ends, allowMissingColumns=True)
+    after = F.lead("_at").over(Window.partitionBy(key, "_span").orderBy("_end", "_at", "event_id"))
+    gap = F.floor((F.unix_micros(after.cast("timestamp")) - micros) / 1_000_000)
+    found = both.withColumn("silent", gap.cast("long")).filter(~F.col("_end")).drop("_span", "_at", "_end")
+    return found.withColumn("is_stuck", F.coalesce(F.col("silent") > limit_seconds, F.lit(False)))

@@ -22,18 +22,19 @@ def mark_duplicates(files: DataFrame, mode: str = "exact") -> DataFrame:
     ``exact``: of equal (size, signature) the first by seq is the original. ``live``: the index of a
     running scan, which stores the first file of each size without its hash, so that equality shows
     from the second on only. Both aggregate by (size, signature) before they shuffle, so a huge group of
-    equal files costs one row for each task, and join the result back; the join splits skewed groups.
+    equal files costs one row for each task, and join back groups of two files and more alone. Files of a
+    null size or signature repeat none.
     """
     key = ["size", "signature"]
     if mode == "exact":
         seen = files
     elif mode == "live":
-        first = files.groupBy("size").agg(F.min("seq").alias("_first"))
-        files = files.join(first, "size").withColumn("_hidden", F.col("seq") == F.col("_first")).drop("_first")
+        first = files.groupBy("size").agg(F.min("seq").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+        files = files.join(first, "size", "left").withColumn("_hidden", F.coalesce(F.col("seq") == F.col("_first"), F.lit(True))).drop("_first")
         seen = files.filter("not _hidden")
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    origin = seen.groupBy(*key).agg(F.min(F.struct("seq", "path")).alias("_origin"))
+    origin = seen.groupBy(*key).agg(F.min(F.struct("seq", "path")).alias("_origin"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     joined = files.join(origin, key, "left")
     later = F.coalesce(F.col("seq") > F.col("_origin.seq"), F.lit(False))
     if mode == "live":

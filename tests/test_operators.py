@@ -366,3 +366,29 @@ def test_reports(spark):
     assert api.find_scope(more, "/b").first()["max_depth"] == 7 and api.without_scope(more, "/a").count() == 1
     chart = audit.chart_scale(log.filter("seq_id < 3")).first()
     assert (chart["total"], chart["scale"]) == (300, 1024)
+
+
+def test_stuck_across_spans_and_null_keys(spark):
+    hours = {"a": [0, 1, 23, 25, 100, 100, 171], None: [5, 40], "b": [7]}
+    at = dt.datetime(2024, 3, 1)
+    given = [(n, k, at + dt.timedelta(hours=h)) for n, (k, h) in enumerate((k, h) for k, hs in hours.items() for h in hs)]
+    given.append((99, "a", None))
+    found = audit.stuck(spark.createDataFrame(given, "event_id long, job string, ts timestamp"), "job", "ts", 86_400).collect()
+    silent = {r["event_id"]: (r["silent"], r["is_stuck"]) for r in found}
+    expected = {99: (None, False)}
+    n = 0
+    for hs in hours.values():
+        for h, after in zip(hs, [*hs[1:], None], strict=True):
+            gap = None if after is None else (after - h) * 3600
+            expected[n] = (gap, gap is not None and gap > 86_400)
+            n += 1
+    assert silent == expected
+    assert found[0].asDict().keys() == {"event_id", "job", "ts", "silent", "is_stuck"}
+
+
+def test_duplicates_of_null_sizes_and_single_files(spark):
+    rows = [("/a", 1, "x", 1), ("/b", 1, "x", 2), ("/c", 1, "x", 3), ("/d", None, "x", 4), ("/e", None, "x", 5), ("/f", 2, None, 6), ("/g", 2, None, 7), ("/h", 3, "x", 8)]
+    files = spark.createDataFrame(rows, "path string, size long, signature string, seq long")
+    none = dict.fromkeys(r[0] for r in rows)
+    assert {r["path"]: r["original"] for r in dedupe.mark_duplicates(files).collect()} == none | {"/b": "/a", "/c": "/a"}
+    assert {r["path"]: r["original"] for r in dedupe.mark_duplicates(files, "live").collect()} == none | {"/c": "/b"}
