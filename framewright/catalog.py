@@ -525,3 +525,137 @@ def signature_upsert(spark, d):
     table = dedupe.upsert_signatures(old, new, now())
     left = dedupe.delete_signatures(table, views.table(spark, d, "customer").filter("c_custkey % 7 = 0").select(key(F.col("c_custkey")).alias("path")))
     return left.agg(F.count("*").alias("n"), F.sum("size").alias("keys"))
+
+
+def pick(names, k):
+    """The k-th of literal names, a null name included."""
+    return F.element_at(F.array(*[F.lit(x).cast("string") for x in names]), (k + 1).cast("int"))
+
+
+NUMBERS = ("", "N/A", "1.5", "+7", "-99999999999999999999", "99999999999999999999", "x1")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 3 THEN 7 WHEN 4 THEN -9223372036854775808 WHEN 5 THEN 9223372036854775807 WHEN 7 THEN p_partkey ELSE 0 END::BIGINT AS whole,
+    CASE p_partkey % 8 WHEN 2 THEN 1.5 WHEN 3 THEN 7 WHEN 4 THEN -1e20 WHEN 5 THEN 1e20 WHEN 7 THEN p_partkey ELSE 0 END::DOUBLE AS real FROM part""")
+def number_texts(spark, d):
+    k = F.col("p_partkey") % 8
+    text = F.when(k == 7, F.concat(F.lit("  "), F.col("p_partkey").cast("string"), F.lit(" "))).otherwise(pick((*NUMBERS, ""), k))
+    return views.table(spark, d, "part").select("p_partkey", S.parse_bitrate(text).alias("whole"), S.parse_float(text).alias("real"))
+
+
+@query("""SELECT p_partkey, array_to_string(x, '|') AS items, array_to_string(list_transform(x, lambda i: CASE WHEN starts_with(i, '.') THEN i ELSE '.' || i END), '|') AS dotted,
+    CASE WHEN p_partkey % 5 = 0 THEN 'All files' ELSE 'codec=' || p_brand || ', min_bitrate=' || p_size END AS conditions
+    FROM (SELECT *, list_filter(list_transform(string_split(replace(p_type, ' ', ' ,.') || ',, ', ','), lambda i: lower(trim(i))), lambda i: i <> '') AS x FROM part)""")
+def comma_lists(spark, d):
+    text = F.concat(F.replace("p_type", F.lit(" "), F.lit(" ,.")), F.lit(",, "))
+    conditions = F.when(F.col("p_partkey") % 5 != 0, F.create_map(F.lit("min_bitrate"), F.col("p_size").cast("string"), F.lit("codec"), F.col("p_brand")))
+    return views.table(spark, d, "part").select("p_partkey", F.array_join(S.split_comma(text), "|").alias("items"), F.array_join(S.dotted_extensions(text), "|").alias("dotted"), S.conditions_text(conditions).alias("conditions"))
+
+
+CODECS = ("TrueHD", "dts-hd ma", "FLAC", "pcm_s16le", "alac", "aac", "PNG", "mjpeg", "Bmp", "h264", None)
+
+
+@query("SELECT p_partkey, p_partkey % 11 < 5 AS lossless, p_partkey % 11 IN (6, 7, 8) AS picture FROM part")
+def codec_flags(spark, d):
+    codec = pick(CODECS, F.col("p_partkey") % len(CODECS))
+    return views.table(spark, d, "part").select("p_partkey", S.is_lossless_audio(codec).alias("lossless"), S.is_attached_picture(codec).alias("picture"))
+
+
+@query("""SELECT p_partkey, CASE WHEN t = 0 OR p = 0 THEN CASE WHEN s < 2 THEN 'dolby_vision' ELSE 'hdr10' END WHEN t = 1 THEN 'hlg' ELSE 'none' END AS hdr
+    FROM (SELECT p_partkey, p_partkey % 4 AS t, p_partkey % 3 AS p, p_partkey % 5 AS s FROM part)""")
+def hdr_kinds(spark, d):
+    k = F.col("p_partkey")
+    kind = pick(("DOVI configuration record", "Dolby Vision metadata", "Mastering display", None, "Content light"), k % 5)
+    side = F.when(k % 5 < 4, F.array(F.struct(kind.alias("side_data_type"))))
+    found = S.hdr_kind(pick(("smpte2084", "arib-std-b67", "bt709", None), k % 4), pick(("bt2020", "bt709", None), k % 3), side)
+    return views.table(spark, d, "part").select("p_partkey", found.alias("hdr"))
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(text, '([_*\[`])', '\\\1', 'g')) AS markdown,
+    sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS html
+    FROM (SELECT doc_id, text || ' _a* [b] `c` <d> & "e" ''f''' AS text FROM documents)""")
+def escaped_texts(spark, d):
+    text = F.concat("text", F.lit(" _a* [b] `c` <d> & \"e\" 'f'"))
+    return views.table(spark, d, "documents").select("doc_id", F.sha2(S.escape_markdown(text), 256).alias("markdown"), F.sha2(S.escape_html(text), 256).alias("html"))
+
+
+@query(f"""SELECT event_type, CASE event_type WHEN 'job_completed' THEN 'Completed' WHEN 'job_failed' THEN 'Failed' WHEN 'job_skipped_growth' THEN 'Skipped' ELSE event_type END AS title,
+    CASE WHEN event_type LIKE '%failed%' THEN 15158332 WHEN event_type LIKE '%skipped%' THEN 15844367 ELSE 3066993 END AS color,
+    CASE WHEN event_type LIKE '%failed%' THEN 8 ELSE 5 END AS priority, count(*) AS n FROM {AUDIT} GROUP BY ALL""")
+def event_styles(spark, d):
+    e = F.col("event_type")
+    return views.audit(spark, d).groupBy(e, S.event_title(e).alias("title"), S.event_color(e).alias("color"), S.gotify_priority(e).alias("priority")).agg(F.count("*").alias("n"))
+
+
+STATES = ("pending", "leased", "evaluating", "transcoding", "processing", "paused", "failed", "quality_failed", "permanently_failed", "skipped", "completed", "review_required")
+
+
+@query("SELECT o_orderkey, o_orderkey % 12 < 5 AS can_pause, o_orderkey % 12 BETWEEN 5 AND 9 AS can_resume FROM orders")
+def state_actions(spark, d):
+    state = pick(STATES, F.col("o_orderkey") % len(STATES))
+    return views.table(spark, d, "orders").select("o_orderkey", S.can_pause(state).alias("can_pause"), S.can_resume(state).alias("can_resume"))
+
+
+@query("""SELECT p_partkey, CASE WHEN k = 1 THEN p_type WHEN k = 2 THEN CASE WHEN length(t) > 70 THEN t[1:70] || '...' ELSE t END ELSE 'Transcode execution failed' END AS line, right(p_type, 7) AS tail
+    FROM (SELECT *, p_partkey % 4 AS k, rtrim(repeat(p_type || ' ', 4)) AS t FROM part)""")
+def error_lines(spark, d):
+    k, t = F.col("p_partkey") % 4, F.col("p_type")
+    text = F.when(k == 0, "").when(k == 1, F.concat(F.lit("\n \n  "), t, F.lit(" \t\nerror: later"))).when(k == 2, F.repeat(F.concat(t, F.lit(" ")), F.lit(4)))
+    return views.table(spark, d, "part").select("p_partkey", S.first_error_line(text).alias("line"), S.tail_bytes(t, 7).cast("string").alias("tail"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, (h * 3600 + m * 60 + 5.25)::DOUBLE AS seconds, CASE WHEN h < 24 AND m < 60 THEN h * 60 + m END::INT AS minute
+    FROM (SELECT *, l_linenumber * 4 AS h, l_orderkey % 70 AS m FROM lineitem)""")
+def clock_texts(spark, d):
+    text = F.format_string("%02d:%02d", F.col("l_linenumber") * 4, F.col("l_orderkey") % 70)
+    return views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.clock_seconds(F.concat(text, F.lit(":05.25"))).alias("seconds"), S.clock_minutes(text).alias("minute"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size >= 4 THEN printf('%.2f ', p_size / 4.0) || ['KB', 'MB', 'GB'][k + 1] WHEN k = 0 THEN p_size * 256 || ' B' ELSE printf('%.2f ', p_size * 256.0) || ['KB', 'MB'][k] END AS text
+    FROM (SELECT *, CAST(p_partkey % 3 AS INT) AS k FROM part)""")
+def size_texts(spark, d):
+    """Sizes whose quotients end within two decimals, as ties of rounding differ between engines."""
+    n = (F.col("p_size") * 256 * F.pow(F.lit(1024), F.col("p_partkey") % 3)).cast("long")
+    return views.table(spark, d, "part").select("p_partkey", S.format_bytes(n).alias("text"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, a - b AS saved, round(CASE WHEN a > 0 THEN (a - b) * 100.0 / a ELSE 0 END, 6)::DOUBLE AS share, round(CASE WHEN a > 0 THEN b::DOUBLE / a ELSE 0 END, 6)::DOUBLE AS ratio, round(95 + l_linenumber * 4 / 7.0, 6)::DOUBLE AS pct
+    FROM (SELECT *, CASE WHEN l_linenumber = 7 THEN 0 ELSE l_partkey END AS a, l_suppkey AS b FROM lineitem)""")
+def saved_figures(spark, d):
+    n, new = F.col("l_linenumber"), F.col("l_suppkey")
+    old = F.when(n == 7, 0).otherwise(F.col("l_partkey"))
+    return views.table(spark, d, "lineitem").select(
+        "l_orderkey", n, S.saved_bytes(old, new).alias("saved"), F.round(S.saved_share(old, new), 6).alias("share"),
+        F.round(S.compression_ratio(old, new), 6).alias("ratio"), F.round(S.segment_percentage(n, F.lit(7)), 6).alias("pct"),
+    )
+
+
+@query("""SELECT l_orderkey, l_linenumber, len(p) AS points, round(l_orderkey * p[1], 6)::DOUBLE AS first, round(l_orderkey * p[len(p)], 6)::DOUBLE AS last, l_quantity >= 25 AND l_linenumber >= 6 AS passes
+    FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN [0.5] WHEN l_linenumber <= 3 THEN [0.15, 0.5, 0.85] ELSE [0.1, 0.3, 0.5, 0.7, 0.9] END AS p FROM lineitem)""")
+def sample_points(spark, d):
+    n = F.col("l_linenumber")
+    starts = quality.sample_starts(F.col("l_orderkey").cast("double"), n)
+    passes = quality.precheck(F.col("l_quantity"), n / F.lit(6.5), 25.0)
+    at = lambda k: F.round(F.element_at(starts, k), 6)
+    return views.table(spark, d, "lineitem").select("l_orderkey", n, F.size(starts).cast("long").alias("points"), at(1).alias("first"), at(-1).alias("last"), passes.alias("passes"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, CASE WHEN event_id % 3 > 0 THEN event_id END AS job, '/m/' || user_id || '.mkv' AS path, user_id || '.mkv' AS name FROM events""")
+def event_names(spark, d):
+    i, u = F.col("event_id"), F.col("user_id").cast("string")
+    job = F.concat(F.when(i % 3 > 0, "job-").otherwise("x-job-"), i.cast("string"), F.lit(".tmp"))
+    path, dos = F.concat(F.lit("  /m/./a/../"), u, F.lit(".mkv ")), F.concat(F.lit("C:\\m/b\\"), u, F.lit(".mkv"))
+    return views.table(spark, d, "events").select(i, S.rfc3339(F.col("ts").cast("timestamp")).alias("at"), S.job_number(job).alias("job"), S.normalize_path(path).alias("path"), S.any_base_name(dos).alias("name"))
+
+
+@query("""SELECT doc_id, base64(unhex(sha256(doc_id || 'a'))) AS stored, sha256(unhex(sha256(doc_id || 'a')) || unhex(sha256(doc_id || 'b'))) AS signature FROM documents WHERE doc_id % 5 <> 0""")
+def signature_codes(spark, d):
+    """Signatures stored as base64, some of them damaged, loaded and put back on files without one."""
+    i = F.col("doc_id").cast("string")
+    digest = lambda end: F.unhex(F.sha2(F.concat(i, F.lit(end)), 256))
+    rows = views.table(spark, d, "documents").select("doc_id", F.concat(F.lit("/"), i).alias("path"), F.lit(1).alias("size"), digest("a").alias("first_mb_hash"), digest("b").alias("last_mb_hash"))
+    stored = dedupe.store_signatures(rows).withColumn("stored", F.col("first_mb_hash"))
+    damaged = stored.withColumn("first_mb_hash", F.when(F.col("doc_id") % 5 == 0, "***").otherwise(F.col("first_mb_hash")))
+    known = dedupe.load_signatures(damaged)
+    files = known.select("doc_id", "stored", "path", "size", F.lit(None).cast("string").alias("signature"))
+    return dedupe.restore_signatures(files, known).select("doc_id", "stored", "signature")
