@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framewright.functions import scalar as S
 from framewright.operators import audit, dedupe, evaluate, quality, queue, scan
 from framewright.operators.evaluate import Rule
-from framewright.plans import views
+from framewright.plans import api, views
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -619,14 +619,14 @@ def size_texts(spark, d):
     return views.table(spark, d, "part").select("p_partkey", S.format_bytes(n).alias("text"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, a - b AS saved, round(CASE WHEN a > 0 THEN (a - b) * 100.0 / a ELSE 0 END, 6)::DOUBLE AS share, round(CASE WHEN a > 0 THEN b::DOUBLE / a ELSE 0 END, 6)::DOUBLE AS ratio, round(95 + l_linenumber * 4 / 7.0, 6)::DOUBLE AS pct
+@query("""SELECT l_orderkey, l_linenumber, a - b AS saved, CASE WHEN a > 0 THEN (a - b)::DOUBLE / a * 100 ELSE 0 END AS share, CASE WHEN a > 0 THEN b::DOUBLE / a ELSE 0 END AS ratio, 95 + l_linenumber::DOUBLE / 7 * 4 AS pct
     FROM (SELECT *, CASE WHEN l_linenumber = 7 THEN 0 ELSE l_partkey END AS a, l_suppkey AS b FROM lineitem)""")
 def saved_figures(spark, d):
     n, new = F.col("l_linenumber"), F.col("l_suppkey")
     old = F.when(n == 7, 0).otherwise(F.col("l_partkey"))
     return views.table(spark, d, "lineitem").select(
-        "l_orderkey", n, S.saved_bytes(old, new).alias("saved"), F.round(S.saved_share(old, new), 6).alias("share"),
-        F.round(S.compression_ratio(old, new), 6).alias("ratio"), F.round(S.segment_percentage(n, F.lit(7)), 6).alias("pct"),
+        "l_orderkey", n, S.saved_bytes(old, new).alias("saved"), S.saved_share(old, new).alias("share"),
+        S.compression_ratio(old, new).alias("ratio"), S.segment_percentage(n, F.lit(7)).alias("pct"),
     )
 
 
@@ -659,3 +659,131 @@ def signature_codes(spark, d):
     known = dedupe.load_signatures(damaged)
     files = known.select("doc_id", "stored", "path", "size", F.lit(None).cast("string").alias("signature"))
     return dedupe.restore_signatures(files, known).select("doc_id", "stored", "signature")
+
+
+@query(f"""SELECT b.*, v.avg_vmaf, u.unique_files, 'healthy' AS health, s.savings, e.events FROM
+    (SELECT count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'leased') AS leased, count(*) FILTER (state = 'completed') AS completed, 0::BIGINT AS failed, count(*) AS total FROM {QUEUE}) b,
+    (SELECT round(coalesce(avg(vmaf) FILTER (vmaf > 0), 0), 6) AS avg_vmaf FROM (SELECT * FROM {AUDIT} ORDER BY seq_id DESC LIMIT 15) WHERE event_type = 'job_completed') v, (SELECT count(DISTINCT size) AS unique_files FROM {FILES}) u,
+    (SELECT coalesce(string_agg(seq_id || ':' || saved_bytes, ',' ORDER BY seq_id DESC), '') AS savings FROM (SELECT * FROM {AUDIT} ORDER BY seq_id DESC LIMIT 15) WHERE event_type = 'job_completed' AND saved_bytes > 0) s,
+    (SELECT string_agg(seq_id || ':' || event_type, ',' ORDER BY seq_id DESC) AS events FROM (SELECT * FROM {AUDIT} ORDER BY seq_id DESC LIMIT 20)) e""")
+def status_report(spark, d):
+    s = api.status(views.queue(spark, d), views.audit(spark, d), views.files(spark, d))
+    joined = lambda c, v: F.array_join(F.transform(c, lambda x: F.concat(x["seq_id"].cast("string"), F.lit(":"), x[v].cast("string"))), ",")
+    return s.select(
+        "pending", "leased", "completed", "failed", "total", F.round("avg_vmaf", 6).alias("avg_vmaf"), "unique_files", "health",
+        joined(F.col("recent_savings"), "saved_bytes").alias("savings"), joined(F.col("recent_events"), "event_type").alias("events"),
+    )
+
+
+@query(f"""SELECT q.id, q.state, s.event_type, s.saved_bytes, CASE WHEN q.id % 3 = 0 THEN (q.id % 100)::BIGINT END AS pct FROM (SELECT * FROM {QUEUE} ORDER BY id DESC LIMIT 80) q LEFT JOIN {STATS} s ON s.queue_id = q.id""")
+def job_page(spark, d):
+    jobs = views.queue(spark, d)
+    progress = jobs.filter("id % 3 = 0").select(F.col("id").alias("job_id"), (F.col("id") % 100).alias("pct"))
+    return api.queue_page(jobs, views.audit(spark, d), progress, "all", 80).select("id", "state", "event_type", "saved_bytes", "pct")
+
+
+@query(f"SELECT q.id, q.file_path, c.c_mktsegment AS preset, (q.id % 100)::BIGINT AS pct FROM {QUEUE} q LEFT JOIN customer c ON c.c_custkey = q.id WHERE q.id = 7")
+def job_item(spark, d):
+    jobs = views.queue(spark, d)
+    metadata = views.table(spark, d, "customer").select(F.col("c_custkey").alias("queue_id"), F.col("c_mktsegment").alias("preset"))
+    return api.queue_item(jobs, metadata, jobs.select(F.col("id").alias("job_id"), (F.col("id") % 100).alias("pct")), 7).select("id", "file_path", "preset", "pct")
+
+
+@query("""SELECT path, owner, path = '/n/3' AS found FROM (SELECT '/n/' || n_nationkey AS path, CASE WHEN n_nationkey = 3 THEN 'new' ELSE n_name END AS owner FROM nation WHERE n_nationkey <> 5) UNION ALL SELECT '/n/new', 'new', FALSE""")
+def scope_edits(spark, d):
+    scopes = views.table(spark, d, "nation").select(F.concat(F.lit("/n/"), F.col("n_nationkey").cast("string")).alias("path"), F.col("n_name").alias("owner"))
+    added = scopes.filter("path = '/n/3'").select("path", F.lit("new").alias("owner"))
+    edited = api.with_scope(scopes, added)
+    edited = api.without_scope(api.with_scope(edited, edited.limit(1).select(F.lit("/n/new").alias("path"), F.lit("new").alias("owner"))), "/n/5")
+    return edited.join(F.broadcast(api.find_scope(edited, "/n/3").select("path", F.lit(True).alias("found"))), "path", "left").fillna(False, ["found"])
+
+
+@query(f"""SELECT 's' || o_orderkey AS id, unnest(['/a/' || o_orderkey, '/b/' || o_orderkey]) AS file_path, CASE WHEN o_orderkey % 4 = 0 THEN 50 ELSE o_orderkey % 4 END::INT AS priority,
+    CASE WHEN o_orderdate > {NOW_SQL} THEN epoch(o_orderdate) ELSE epoch({NOW_SQL}) + 1 END::BIGINT AS at FROM orders WHERE o_orderkey % 5 > 1""")
+def schedule_requests(spark, d):
+    """Requests as JSON, a fifth of them broken and a fifth without paths."""
+    i, n = F.col("o_orderkey").cast("string"), F.col("o_orderkey")
+    paths = F.when(n % 5 > 1, F.array(F.concat(F.lit("/a/"), i), F.concat(F.lit("/b/"), i))).otherwise(F.array())
+    entry = F.struct(F.concat(F.lit("s"), i).alias("id"), paths.alias("file_paths"), (n % 4).alias("priority"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("scheduled"))
+    bodies = views.table(spark, d, "orders").select(F.when(n % 5 == 0, "{broken").otherwise(F.to_json(entry)).alias("body"))
+    found = audit.read_schedule(bodies, now())
+    return found.select("id", F.explode("file_paths").alias("file_path"), "priority", F.unix_timestamp("scheduled").alias("at"))
+
+
+@query("""SELECT id, file_path, priority, 'due' AS kind FROM (SELECT 's' || n_nationkey AS id, '/n/' || n_nationkey AS file_path, n_nationkey AS priority FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey NOT IN (6, 9))
+    UNION ALL SELECT 's4', '/n/4', 75, 'manual' UNION ALL SELECT 's' || n_nationkey, '/n/' || n_nationkey, n_nationkey, 'open' FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey <> 6""")
+def schedule_runs(spark, d):
+    """Entries due, one triggered by hand, and those still open once the due ones are marked; one was removed."""
+    k = F.col("n_nationkey")
+    at = F.when(k % 3 == 0, now()).otherwise(now() + F.expr("INTERVAL 1 HOUR"))
+    rows = views.table(spark, d, "nation").select(F.concat(F.lit("s"), k.cast("string")).alias("id"), F.array(F.concat(F.lit("/n/"), k.cast("string")), F.lit("n/relative")).alias("file_paths"), k.cast("int").alias("priority"), at.alias("scheduled"), (k == 9).alias("executed"))
+    kept = audit.remove_schedule(rows, "s6")
+    left = audit.mark_executed(kept, now()).filter("NOT executed")
+    still = audit.due_paths(audit.list_schedule(left), now() + F.expr("INTERVAL 2 HOURS"))
+    parts = [x.select("id", "file_path", "priority", F.lit(kind).alias("kind")) for kind, x in (("due", audit.due_paths(kept, now())), ("manual", audit.trigger_now(kept, "s4")), ("open", still))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT event_id, channel, minute FROM (SELECT *, row_number() OVER (PARTITION BY channel, minute ORDER BY ts, event_id) AS k FROM (SELECT event_id, ts, event_type AS channel, epoch(date_trunc('hour', ts))::BIGINT AS minute FROM events)) WHERE k <= 2")
+def rate_limited(spark, d):
+    """Two messages a minute and channel; times are cut to the hour so that minutes are full."""
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    e = views.table(spark, d, "events").select("event_id", F.col("event_type").alias("channel"), hour.alias("timestamp"), F.col("ts").cast("timestamp").alias("ts"))
+    order = e.withColumn("event_id", F.struct("ts", "event_id"))
+    return audit.within_rate(order, 2).select(F.col("event_id.event_id").alias("event_id"), "channel", F.unix_timestamp("timestamp").alias("minute"))
+
+
+@query("""SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY n_name) AS seq_id, n_name AS event_type, CASE WHEN n_nationkey % 2 = 0 THEN 'info' ELSE 'warning' END AS severity, '{"nation":' || n_nationkey || '}' AS payload_json FROM nation""")
+def audit_appended(spark, d):
+    k = F.col("n_nationkey")
+    new = views.table(spark, d, "nation").select(F.col("n_name").alias("event_type"), F.when(k % 2 == 0, "").otherwise("warning").alias("severity"), audit.payload(nation=k).alias("payload_json"))
+    log = views.audit(spark, d).select("seq_id", F.col("ts").alias("timestamp"), "event_type", F.lit("info").alias("severity"), "payload_json")
+    first = log.agg(F.max("seq_id").alias("_end"))
+    return audit.append_events(log, new, now()).crossJoin(F.broadcast(first)).filter("seq_id > _end").select("seq_id", "event_type", "severity", "payload_json")
+
+
+@query(f"""SELECT queue_id, 'batch_summary' AS event_type, 'Transcode Batch: ' || count(*) || ' processed' AS title,
+    'Batch finished: ' || count(*) FILTER (event_type = 'job_completed') || ' completed, ' || count(*) FILTER (event_type = 'job_failed') || ' failed. Saved: ' || coalesce(sum(saved) FILTER (event_type = 'job_completed'), 0)::BIGINT || '.00 KB' AS message FROM (SELECT *, seq_id % 7 + 1 AS saved FROM {AUDIT}) GROUP BY 1
+    HAVING coalesce(sum(saved) FILTER (event_type = 'job_completed'), 0) BETWEEN 1 AND 1000""")
+def batch_messages(spark, d):
+    """Batches that saved whole KB, below a MB, so that no rounding differs."""
+    events = views.audit(spark, d).withColumn("saved_bytes", (F.col("seq_id") % 7 + 1) * 1024)
+    batches = audit.batch_summary(events, "queue_id").filter("saved_bytes between 1024 and 1024000")
+    return audit.summary_message(batches).select("queue_id", "event_type", "title", "message")
+
+
+@query(f"""WITH c AS (SELECT * FROM (VALUES ('discord', ['batch_summary']), ('mail', []::VARCHAR[]), ('gotify', ['job_failed'])) c(channel, events))
+    SELECT batch, channel, n FROM (SELECT queue_id % 10 AS batch, count(*) AS n FROM {AUDIT} GROUP BY 1), c WHERE len(events) = 0 OR list_contains(events, 'batch_summary')""")
+def channel_fanout(spark, d):
+    channels = spark.createDataFrame([("discord", ["batch_summary"]), ("mail", []), ("gotify", ["job_failed"])], "channel string, events array<string>")
+    batches = views.audit(spark, d).groupBy((F.col("queue_id") % 10).alias("batch")).agg(F.count("*").alias("n"))
+    return audit.for_channels(batches, channels).select("batch", "channel", "n")
+
+
+@query("""SELECT n_nationkey, '{"text":"*' || t || '*\\nm_' || n_nationkey || '"}' AS slack, '{"title":"' || t || '","message":"m_' || n_nationkey || '","priority":' || CASE WHEN n_nationkey % 2 = 0 THEN 8 ELSE 5 END || '}' AS gotify,
+    '*' || replace(t, '_', '\\_') || '*' || chr(10) || 'm\\_' || n_nationkey || CASE WHEN n_nationkey > 0 THEN chr(10) || 'Saved: ' || n_nationkey || '.00 KB' ELSE '' END || CASE WHEN n_nationkey % 4 > 0 THEN chr(10) || 'VMAF: ' || n_nationkey % 4 || '.50' ELSE '' END AS telegram,
+    '<h2>' || t || '</h2><p>m_' || n_nationkey || '</p>' AS smtp,
+    '{"embeds":[{"title":"' || t || '","description":"m_' || n_nationkey || '","color":' || CASE WHEN n_nationkey % 2 = 0 THEN 15158332 ELSE 3066993 END || ',"timestamp":"1998-01-01T00:00:00Z","fields":['
+    || concat_ws(',', CASE WHEN n_nationkey > 0 THEN '{"name":"Saved","value":"' || n_nationkey || '.00 KB"}' END, CASE WHEN n_nationkey % 4 > 0 THEN '{"name":"VMAF","value":"' || n_nationkey % 4 || '.50"}' END) || ']}]}' AS discord
+    FROM (SELECT *, replace(n_name, ' ', '_') AS t FROM nation)""")
+def channel_messages(spark, d):
+    k = F.col("n_nationkey")
+    events = views.table(spark, d, "nation").select(
+        k, F.replace("n_name", F.lit(" "), F.lit("_")).alias("title"), F.concat(F.lit("m_"), k.cast("string")).alias("message"), now().alias("timestamp"),
+        F.when(k % 2 == 0, "job_failed").otherwise("job_completed").alias("event_type"), (k * 1024).cast("long").alias("saved_bytes"),
+        F.when(k % 4 > 0, k % 4 + 0.5).otherwise(0.0).cast("double").alias("avg_vmaf"),
+    )
+    for kind in ("slack", "gotify", "telegram", "smtp", "discord"):
+        events = audit.render_message(kind, events).withColumnRenamed("body", kind)
+    return events.select("n_nationkey", "slack", "gotify", "telegram", "smtp", "discord")
+
+
+@query(f"""SELECT (SELECT sum(saved_bytes)::BIGINT FROM {AUDIT}) AS total, (SELECT greatest(max(saved_bytes), 1024) FROM {AUDIT}) AS scale, 'degraded' AS health,
+    (SELECT '{{"recovered_jobs":' || count(*) || '}}' FROM {QUEUE} WHERE {EXPIRED}) AS recovered, (SELECT max(event_id) FROM events) AS last""")
+def report_figures(spark, d):
+    events = views.audit(spark, d)
+    checks = views.table(spark, d, "region").select(F.when(F.col("r_regionkey") == 2, "degraded").otherwise("healthy").alias("status"))
+    recovered = api.recovered_event(views.queue(spark, d), now()).select(F.col("payload_json").alias("recovered"))
+    health = audit.worst_health(checks).select(F.col("status").alias("health"))
+    last = audit.newest(events, 1).select(F.col("seq_id").alias("last"))
+    return audit.chart_scale(events).crossJoin(health).crossJoin(recovered).crossJoin(last)  # a row each
