@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, chat_format, decontam, exact_dedup, html_extract, lm_score, near_dedup, quality, token_file, toxicity
+from framewright.llm import bpe, byte_bpe, chat_format, decontam, exact_dedup, filter_audit, html_extract, lm_score, merkle, near_dedup, quality, sql, token_file, toxicity
 from framewright.llm.labelled import split_remainder
 from framewright.llm.lineage import checkpoint_dir
 
@@ -92,6 +92,37 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, _labels(spark, sf_dir))
+
+
+def byte_bpe_digests(docs: DataFrame) -> DataFrame:
+    """Digest columns of ``byte_bpe.round_trip``'s ids and bytes."""
+    coded = byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=["doc_id"])
+    return coded.select("doc_id", byte_bpe.count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe_digests(_documents(spark, sf_dir))
+
+
+#: Columns of ``documents`` that its manifest vouches for.
+VOUCHED = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def tampered_manifest(docs: DataFrame) -> merkle.Manifest:
+    """The manifest of documents, with a tampered text as the candidate of each row that 5 divides the checksum of."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.build(docs, VOUCHED, candidate={"text": lower}, candidate_where=split_remainder(F.col("doc_id"), 5) == 0, keep=["doc_id"])
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proofs = tampered_manifest(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*VOUCHED)).proofs()
+    proof = F.sha2("proof", 256).alias("proof_sha256")
+    return proofs.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -103,6 +134,9 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_decontam": op9_decontam,
     "op10_html_extract": op10_html_extract,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_merkle": op13_merkle,
 }
 
 _LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,4 +158,6 @@ ORACLE_SQL = {
              g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
                           count(*) OVER (PARTITION BY text_sha256) AS group_size FROM n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op11_filter_audit": sql.FILTER_AUDIT,
+    "op13_merkle": sql.merkle(),
 }
