@@ -11,6 +11,10 @@ from framewright.functions import scalar as S
 from framewright.operators import audit, dedupe, evaluate, quality, queue, scan
 from framewright.operators.evaluate import Rule
 from framewright.plans import api, views
+from framewright.plans.scratch import shared_folder
+from framewright.schemas import JOB_METADATA, QUEUE as QUEUE_COLUMNS, SIGNATURE
+from framewright.sources.keyed import KeyedTable
+from framewright.streaming import stateful
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -123,10 +127,18 @@ def set_priority(spark, d):
     return queue.set_priority(views.queue(spark, d), F.col("retry_count") == 1, 99).groupBy("state", "priority").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT 'paused' AS state, 'Paused by user' AS error_message, 7::BIGINT AS id UNION ALL SELECT 'skipped', 'Manually excluded by user', 5::BIGINT""")
+@query(f"""SELECT id, CASE id WHEN 7 THEN 'paused' WHEN 5 THEN 'skipped' ELSE state END AS state, CASE id WHEN 7 THEN 'Paused by user' WHEN 5 THEN 'Manually excluded by user' END AS error_message,
+    CASE WHEN id NOT IN (5, 7) THEN worker_id END AS worker_id FROM {QUEUE}""")
 def pause_ignore(spark, d):
-    q = queue.ignore(queue.pause(views.queue(spark, d), 7), 5)
-    return q.filter(F.col("id").isin(5, 7)).select("state", "error_message", "id")
+    return queue.ignore(queue.pause(views.queue(spark, d), 7), 5).select("id", "state", "error_message", "worker_id")
+
+
+@query(f"""SELECT id, CASE id WHEN 6 THEN 'evaluating' WHEN 4 THEN 'pending' ELSE state END AS state, CASE WHEN id = 4 THEN 0 ELSE retry_count END AS retry_count,
+    CASE WHEN id = 6 THEN 'started' END AS error_message, CASE WHEN id <> 4 THEN worker_id END AS worker_id FROM {QUEUE}""")
+def state_requeue(spark, d):
+    """One job's state set, another put back by hand; all others stay."""
+    q = queue.set_state(views.queue(spark, d), 6, "evaluating", "started")
+    return queue.requeue(q, 4, now()).select("id", "state", "retry_count", "error_message", "worker_id")
 
 
 @query(f"SELECT count(*) AS n, sum(id)::BIGINT AS ids FROM {QUEUE} WHERE id NOT IN (1, 2, 3)")
@@ -136,12 +148,91 @@ def delete_jobs(spark, d):
     return left.agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
-@query(f"""WITH q AS {QUEUE}, n AS (SELECT DISTINCT '/media/' || l_orderkey * 2 || '.mkv' AS p FROM lineitem), m AS (SELECT count(*) AS k FROM n WHERE p NOT IN (SELECT file_path FROM q))
-    SELECT k AS added, (SELECT max(id) FROM q) + k AS last_id FROM m""")
+NEW_PATHS = "(SELECT DISTINCT '/media/' || l_orderkey * 2 || '.mkv' AS file_path FROM lineitem)"
+#: A queue after paths were entered: known paths keep their ids, the numbers of the others follow the last one.
+ENTERED_SQL = f"""WITH q AS {QUEUE}, n AS (SELECT file_path FROM {NEW_PATHS} WHERE file_path NOT IN (SELECT file_path FROM q))
+    SELECT file_path, id AS known_id, state, priority, false AS added, 0::BIGINT AS numbers FROM q
+    UNION ALL SELECT file_path, NULL, 'pending', 50, true, (SELECT count(*) FROM n) FROM n"""
+
+
+def entered(before, after):
+    """``numbers``: how many distinct ids right after the last old one the new entries have."""
+    last = before.agg(F.max("id")).first()[0]
+    new = F.col("id") > last
+    numbers = after.filter(new).agg(F.when(F.max("id") == last + F.count_distinct("id"), F.count_distinct("id")).alias("numbers"))
+    rows = after.select("file_path", F.when(~new, F.col("id")).alias("known_id"), "state", "priority", new.alias("added"))
+    return rows.crossJoin(F.broadcast(numbers)).withColumn("numbers", F.when(F.col("added"), F.col("numbers")).otherwise(0))  # one row
+
+
+def new_paths(spark, d):
+    return views.table(spark, d, "lineitem").select(F.concat(F.lit("/media/"), (F.col("l_orderkey") * 2).cast("string"), F.lit(".mkv")).alias("file_path"))
+
+
+@query(ENTERED_SQL)
 def enqueue_new(spark, d):
     q = views.queue(spark, d)
-    paths = views.table(spark, d, "lineitem").select(F.concat(F.lit("/media/"), (F.col("l_orderkey") * 2).cast("string"), F.lit(".mkv")).alias("file_path"))
-    return queue.enqueue(q, paths, now()).filter("error_message IS NULL AND created_at = scheduled_at AND priority = 50").agg(F.count("*").alias("added"), F.max("id").alias("last_id"))
+    return entered(q, queue.enqueue(q, new_paths(spark, d), now()))
+
+
+@query(ENTERED_SQL)
+def sink_queue(spark, d):
+    """The same through the keyed sink, twice: the second time enters nothing."""
+    q = views.queue(spark, d)
+    table = KeyedTable.create(spark, shared_folder(spark), QUEUE_COLUMNS, "file_path", 16)
+    table.upsert(q)
+    paths = new_paths(spark, d).select("file_path", F.lit("pending").alias("state"), F.lit(50).alias("priority"), F.lit(0).alias("retry_count"), now().alias("created_at"), now().alias("scheduled_at"))
+    table.insert_new(paths, "id", ("scan", 0))
+    table.insert_new(paths, "id", ("scan", 1))
+    return entered(q, table.read())
+
+
+@query("""WITH o AS (SELECT o_custkey AS queue_id, arg_max(o_orderpriority, o_orderkey) AS preset, max(o_orderkey) AS bitrate FROM orders GROUP BY 1),
+         c AS (SELECT c_custkey AS queue_id, c_mktsegment AS preset, c_nationkey AS bitrate FROM customer WHERE c_custkey % 3 <> 0)
+    SELECT queue_id, coalesce(o.preset, c.preset) AS preset, CASE WHEN o.queue_id IS NULL THEN c.bitrate ELSE o.bitrate END AS bitrate, CASE WHEN c.queue_id IS NULL THEN 1 ELSE 0 END AS created
+    FROM o FULL JOIN c USING (queue_id) WHERE queue_id % 7 <> 0""")
+def sink_metadata(spark, d):
+    """Metadata kept in a keyed table: loaded, changed by all orders (the last one of a job counts), some jobs deleted. When
+    a row was made stays as it was."""
+    table = KeyedTable.create(spark, shared_folder(spark), JOB_METADATA, "queue_id", 16)
+    at = lambda k: F.timestamp_seconds(F.lit(k))
+    c, o = views.table(spark, d, "customer"), views.table(spark, d, "orders")
+    table.upsert(c.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("queue_id"), F.col("c_mktsegment").alias("preset"), F.col("c_nationkey").alias("bitrate"), at(0).alias("created_at")))
+    changes = o.select(F.col("o_custkey").alias("queue_id"), F.col("o_orderpriority").alias("preset"), F.col("o_orderkey").alias("bitrate"), at(1).alias("created_at"))
+    table.upsert(changes, ["created_at"], F.col("bitrate"))
+    table.delete(c.filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("queue_id")))
+    return table.read().select("queue_id", "preset", "bitrate", F.unix_timestamp("created_at").cast("int").alias("created"))
+
+
+@query("""SELECT event_type, severity, k, count(*) AS n, (SELECT count(*) FROM events) * 2 AS numbers FROM (SELECT event_type, CASE WHEN event_id % 2 = 0 THEN 'info' ELSE 'warning' END AS severity, event_id % 10 AS k FROM events UNION ALL
+    SELECT 'again', 'info', event_id % 10 FROM events) GROUP BY ALL""")
+def sink_audit(spark, d):
+    """All events appended to a keyed table in two batches, numbered without a gap; the second batch comes twice and counts once."""
+    from framewright.schemas import AUDIT as columns
+
+    table = KeyedTable.create(spark, shared_folder(spark), columns, "seq_id", 16)
+    k = F.col("event_id")
+    events = views.table(spark, d, "events").select("event_type", F.when(k % 2 == 0, "info").otherwise("warning").alias("severity"), audit.payload(k=k % 10).alias("payload_json"), now().alias("timestamp"))
+    table.append(events, "seq_id", ("log", 0))
+    again = events.withColumns({"event_type": F.lit("again"), "severity": F.lit("info")})
+    table.append(again, "seq_id", ("log", 1))
+    table.append(again, "seq_id", ("log", 1))
+    rows = table.read()
+    ends = rows.agg(F.when((F.min("seq_id") == 1) & (F.max("seq_id") == F.count_distinct("seq_id")), F.max("seq_id")).alias("numbers"))
+    counted = audit.parse_payload(rows, "k bigint").groupBy("event_type", "severity", F.col("payload.k").alias("k")).agg(F.count("*").alias("n"))
+    return counted.crossJoin(F.broadcast(ends))  # one row
+
+
+@query("""SELECT '/f/' || c_custkey AS path, size, CASE WHEN size IS NULL THEN 0 ELSE 883612800 END::BIGINT AS first_seen, CASE WHEN size IS NULL THEN 0 ELSE 883612800 END::BIGINT AS last_scanned
+    FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS size FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def sink_signatures(spark, d):
+    """Signatures in a keyed table: a scan starts first_seen anew where it doesn't give it."""
+    table = KeyedTable.create(spark, shared_folder(spark), SIGNATURE, "path", 16)
+    key, blob = lambda x: F.concat(F.lit("/f/"), x.cast("string")).alias("path"), F.encode(F.lit("h"), "UTF-8")
+    zero = F.timestamp_seconds(F.lit(0))
+    table.upsert(views.table(spark, d, "customer").select(key(F.col("c_custkey")), blob.alias("first_mb_hash"), blob.alias("last_mb_hash"), zero.alias("first_seen"), zero.alias("last_scanned")))
+    scan = views.table(spark, d, "orders").select(key(F.col("o_custkey")), F.col("o_orderkey").alias("size"), blob.alias("first_mb_hash"), blob.alias("last_mb_hash"), now().alias("first_seen"), now().alias("last_scanned"))
+    table.upsert(scan, order=F.col("size"))
+    return table.read().select("path", "size", F.unix_timestamp("first_seen").alias("first_seen"), F.unix_timestamp("last_scanned").alias("last_scanned"))
 
 
 @query("""SELECT c_custkey AS queue_id, CASE WHEN o IS NOT NULL THEN o ELSE c_mktsegment END AS preset, c_nationkey AS created FROM customer
@@ -256,6 +347,16 @@ def preset_lookup(spark, d):
     return evaluate.with_presets(views.media(spark, d), presets, "first", F.col("metadata.video_codec")).select("p_partkey", "preset_name")
 
 
+@query(f"""SELECT p_partkey, CASE WHEN video_codec = 'tin' THEN 'Tin' ELSE 'STEEL' END AS name, CASE WHEN video_codec = 'tin' THEN 30 ELSE 18 END AS crf, 'balanced-hevc' AS none, 22 AS none_crf FROM {MEDIA}""")
+def preset_select(spark, d):
+    """By name whatever its case, the first where there is none of that name, the built-in one where none is configured."""
+    name = F.col("metadata.video_codec")
+    presets = [evaluate.Preset("STEEL", "hevc", 18), evaluate.Preset("Tin", "av1", 30), evaluate.Preset("tin", "h264", 31)]
+    some = evaluate.select_preset(views.media(spark, d), presets, name).withColumnRenamed("preset", "some")
+    both = evaluate.select_preset(some, [], name)
+    return both.select("p_partkey", F.col("some.name").alias("name"), F.col("some.quality_crf").alias("crf"), F.col("preset.name").alias("none"), F.col("preset.quality_crf").alias("none_crf"))
+
+
 # A conversation as a probed file: a film stream and, of its turns, audio (user), subtitle (assistant) and
 # cover (system) streams.
 TRACKS = """(SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, n) AS INT) AS idx, ['eng', '', 'fra'][CAST(turn % 3 AS INT) + 1] AS lang,
@@ -335,6 +436,19 @@ def payload_extract(spark, d):
     return e.groupBy("event_type").agg(F.sum("payload.k").alias("k"), F.count("*").alias("n"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_orderkey AS queue_id, l_partkey AS orig_size, CASE WHEN l_linenumber <> 2 THEN l_suppkey END AS new_size, l_partkey - l_suppkey AS saved_bytes, l_quantity::DOUBLE AS vmaf,
+    CASE WHEN l_linenumber <> 3 THEN l_tax::DOUBLE END AS duration, l_shipmode AS encoder, l_comment AS reason FROM (SELECT *, l_returnflag || '"q"' AS l_comment, l_linestatus AS l_shipmode FROM lineitem)""")
+def payload_fields(spark, d):
+    """All eight figures of a job's event, written as JSON and read back; what a document lacks is null."""
+    c = F.col
+    fields = {
+        "queue_id": c("l_orderkey"), "orig_size": c("l_partkey"), "new_size": F.when(c("l_linenumber") != 2, c("l_suppkey")), "saved_bytes": c("l_partkey") - c("l_suppkey"), "vmaf": c("l_quantity").cast("double"),
+        "duration": F.when(c("l_linenumber") != 3, c("l_tax").cast("double")), "encoder": c("l_linestatus"), "reason": F.concat(c("l_returnflag"), F.lit('"q"')),
+    }
+    rows = views.table(spark, d, "lineitem").withColumn("payload_json", audit.payload(**fields))
+    return audit.parse_payload(rows).select("l_orderkey", "l_linenumber", *[c(f"payload.{k}").alias(k) for k in fields])
+
+
 @query(f"""SELECT batch, count(*) AS n, count(*) FILTER (event_type = 'job_completed') AS completed, count(*) FILTER (event_type = 'job_failed') AS failed,
     coalesce(sum(saved_bytes) FILTER (event_type = 'job_completed'), 0)::BIGINT AS saved_bytes, round(coalesce(avg(vmaf) FILTER (event_type = 'job_completed' AND vmaf > 0), 0), 6) AS avg_vmaf,
     'Transcode Batch: ' || count(*) || ' processed' AS title FROM
@@ -364,11 +478,31 @@ def eta_progress(spark, d):
     return views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(pct, 6).alias("pct"), S.eta_seconds(cur, total, speed, pct).alias("eta"))
 
 
-@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN s > 0 AND s < 0.9 THEN 'ssim too low' WHEN v >= 25 THEN 'vmaf reached' WHEN v IS NOT NULL THEN 'vmaf too low'
-    WHEN s >= 0.92 THEN 'ssim only' ELSE 'no scores' END AS reason FROM (SELECT 1 - l_tax * 2 AS s, CASE WHEN l_linenumber < 6 THEN l_quantity END AS v FROM lineitem)) GROUP BY 1""")
+@query("""SELECT passed, reason, count(*) AS n FROM (SELECT NOT (s > 0 AND s < 0.9) AND coalesce(v >= 25.5, true) AS passed, CASE WHEN s > 0 AND s < 0.9 THEN printf('SSIM score %.4f failed quality threshold (minimum 0.90)', s)
+    WHEN v >= 25.5 THEN printf('verified: average VMAF %.2f meets threshold 25.50', v) WHEN v IS NOT NULL THEN printf('average VMAF %.2f below configured threshold 25.50', v)
+    WHEN s >= 0.92 THEN printf('verified via SSIM score %.4f (libvmaf unavailable for segments)', s) ELSE 'verification completed without fatal error' END AS reason
+    FROM (SELECT 1 - l_tax::DOUBLE * 1.7::DOUBLE AS s, CASE WHEN l_linenumber < 6 THEN l_quantity::DOUBLE * 1.0725::DOUBLE END AS v FROM lineitem)) GROUP BY ALL""")
 def quality_verdict(spark, d):
-    v = quality.verdict(1 - F.col("l_tax") * 2, F.when(F.col("l_linenumber") < 6, F.col("l_quantity").cast("double")), 25.0)
-    return views.table(spark, d, "lineitem").groupBy(v["reason"].alias("reason")).agg(F.count("*").alias("n"))
+    v = quality.verdict(1 - F.col("l_tax").cast("double") * F.lit(1.7), F.when(F.col("l_linenumber") < 6, F.col("l_quantity").cast("double") * F.lit(1.0725)), 25.5)
+    return views.table(spark, d, "lineitem").groupBy(v["passed"].alias("passed"), v["reason"].alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_orderkey, round(avg(q) FILTER (q > 0), 6) AS mean FROM (SELECT l_orderkey, l_quantity::DOUBLE - 10 AS q FROM lineitem) GROUP BY 1""")
+def mean_scores(spark, d):
+    scores = views.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity").cast("double") - 10).alias("scores"))
+    return scores.select("l_orderkey", F.round(quality.mean_score(F.col("scores")), 6).alias("mean"))
+
+
+@query("SELECT '/f/' || o_orderkey AS path FROM orders WHERE o_orderdate > TIMESTAMP '1996-01-01'")
+def signatures_recent(spark, d):
+    rows = views.table(spark, d, "orders").select(F.concat(F.lit("/f/"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderdate").cast("timestamp").alias("last_scanned"))
+    return dedupe.signatures_since(rows, dt.datetime(1996, 1, 1)).select("path")
+
+
+@query(f"SELECT event_type AS channel, round(coalesce(sum(vmaf) FILTER (vmaf > 0), 0), 4) AS sum, count(*) FILTER (vmaf > 0) AS count, round(coalesce(avg(vmaf) FILTER (vmaf > 0), 0), 6) AS mean FROM {AUDIT} GROUP BY 1")
+def running_vmaf(spark, d):
+    rows = stateful.running_mean(views.audit(spark, d).withColumnRenamed("event_type", "channel"))
+    return rows.select("channel", F.round("sum", 4).alias("sum"), "count", F.round("mean", 6).alias("mean"))
 
 
 @query("""SELECT state, count(*) AS n FROM (SELECT CASE WHEN l_returnflag = 'A' THEN 'skipped' WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'completed'
@@ -413,11 +547,19 @@ def size_growth(spark, d):
     UNION ALL SELECT 'x_vmaf_score_average', 'gauge', round(avg(vmaf), 6) FROM a WHERE event_type = 'job_completed' AND vmaf > 0""")
 def metrics_long(spark, d):
     events = views.audit(spark, d)
-    sent = events.select(F.when(F.col("seq_id") % 3 == 0, "sent").otherwise("failed").alias("status"))
+    sent = events.select(F.when(F.col("seq_id") % 3 == 0, audit.DELIVERED).otherwise(audit.UNDELIVERED).alias("status"))
     m = audit.series(views.queue(spark, d), events, dedupe.mark_duplicates(views.files(spark, d)), sent, "x_")
     return m.select("name", "type", F.round("value", 6).alias("value"))
 
 
+@query(f"SELECT * FROM (VALUES ('jobs', 'counter', (SELECT count(*)::DOUBLE FROM {QUEUE})), ('events', 'gauge', (SELECT count(*)::DOUBLE FROM events))) m(name, type, value)")
+def metrics_json(spark, d):
+    """Figures as one JSON text, read back."""
+    one = lambda df, name, kind: df.agg(F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit("").alias("help"), F.count("*").cast("double").alias("value"))
+    made = audit.metrics_json(one(views.queue(spark, d), "jobs", "counter").unionByName(one(views.audit(spark, d), "events", "gauge")))
+    return made.select(F.inline(F.from_json("json", "array<struct<name: string, type: string, value: double>>")))
+
+
 @query("""SELECT p_partkey, CASE WHEN c = 'h264' THEN 'libx264' WHEN c = 'av1' AND g THEN 'hevc_vaapi' WHEN c = 'av1' THEN 'libaom-av1' WHEN g THEN 'hevc_nvenc' ELSE 'libx265' END AS encoder
     FROM (SELECT p_partkey, ['hevc', 'h264', 'av1'][CAST(p_partkey % 3 AS INT) + 1] AS c, p_size > 25 AS g FROM part)""")
 def encoder_select(spark, d):
@@ -486,7 +628,7 @@ def outcome_events(spark, d):
 def rule_table(spark, d):
     rows = [(r.name, r.priority, k, *(evaluate.split_list(r.conditions[c]) if c in r.conditions else None for c in ("codec", "resolution")), *(evaluate.parse_bool(r.conditions[c]) if c in r.conditions else None for c in ("is_hdr", "has_surround")), int(r.conditions["min_bitrate"]) if "min_bitrate" in r.conditions else None) for k, r in enumerate(RULES)]
     rules = spark.createDataFrame(rows, "name string, priority int, ord int, codecs array<string>, resolutions array<string>, is_hdr boolean, has_surround boolean, min_bitrate bigint")
-    return evaluate.decide_by_table(views.media(spark, d), rules, "p_partkey").select("p_partkey", "matched_rule")
+    return evaluate.decide_by_table(views.media(spark, d), rules).select("p_partkey", "matched_rule")
 
 
 @query("""SELECT page_id, regexp_extract(url, '[^/]*$') AS name, lower(regexp_extract(regexp_extract(url, '[^/]*$'), '(\\.[^.]*)$', 1)) AS ext, regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', '') AS stem,
@@ -496,10 +638,10 @@ def path_parts(spark, d):
     return views.table(spark, d, "pages").select("page_id", S.base_name(u).alias("name"), S.extension(u).alias("ext"), S.stem(u).alias("stem"), S.destination(u, F.lit(False), F.lit(""), F.lit(".mkv")).alias("made"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_orderkey AS frames, CAST(l_quantity AS DOUBLE) AS fps, CAST(l_linenumber * 3600 + 60 * (l_orderkey % 60) + 5.25 AS DOUBLE) AS current_sec, CASE WHEN l_linenumber > 1 THEN l_orderkey || 'kbits/s' END AS bitrate FROM lineitem WHERE l_linenumber < 4""")
+@query("""SELECT l_orderkey, l_linenumber, l_orderkey AS frames, CAST(l_quantity AS DOUBLE) AS fps, CAST(l_linenumber * 3600 + 60 * (l_orderkey % 60) + 5.25 AS DOUBLE) AS current_sec, CASE WHEN l_linenumber > 1 THEN l_orderkey || 'kbits/s' END AS bitrate FROM lineitem""")
 def progress_lines(spark, d):
     c, two = F.col, lambda x: F.lpad(x.cast("string"), 2, "0")
-    rows = views.table(spark, d, "lineitem").filter("l_linenumber < 4")
+    rows = views.table(spark, d, "lineitem")
     line = F.concat(
         F.lit("frame=  "), c("l_orderkey").cast("string"), F.lit(" fps="), c("l_quantity").cast("double").cast("string"), F.lit(" time="), two(c("l_linenumber")), F.lit(":"), two(c("l_orderkey") % 60),
         F.lit(":05.25"), F.when(c("l_linenumber") > 1, F.concat(F.lit(" bitrate= "), c("l_orderkey").cast("string"), F.lit("kbits/s"))).otherwise(""), F.lit(" speed=2.5x"),
@@ -508,11 +650,11 @@ def progress_lines(spark, d):
     return rows.select("l_orderkey", "l_linenumber", *[p[k].alias(k) for k in ("frames", "fps", "current_sec", "bitrate")])
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN round(l_tax * 10, 2) WHEN 3 THEN l_quantity::DOUBLE WHEN 4 THEN l_quantity::DOUBLE END AS vmaf, CASE l_linenumber WHEN 1 THEN l_quantity::DOUBLE END AS ssim FROM lineitem WHERE l_linenumber < 6""")
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN round(l_tax * 10, 2) WHEN 3 THEN l_quantity::DOUBLE WHEN 4 THEN l_quantity::DOUBLE END AS vmaf, CASE l_linenumber WHEN 1 THEN l_quantity::DOUBLE END AS ssim FROM lineitem""")
 def score_extract(spark, d):
     n, q = F.col("l_linenumber"), F.col("l_quantity").cast("double").cast("string")
     text = F.when(n == 1, F.concat(F.lit("SSIM Y:1 All:"), q)).when(n == 2, F.concat(F.lit("x\nVMAF score: "), F.round(F.col("l_tax") * 10, 2).cast("double").cast("string"))).when(n == 3, F.concat(F.lit("[libvmaf] vmaf mean score: "), q)).when(n == 4, F.concat(F.lit("a 7\nvmaf  score: "), q, F.lit(" end"))).otherwise(F.concat(F.lit("score: "), q))
-    rows = views.table(spark, d, "lineitem").filter("l_linenumber < 6")
+    rows = views.table(spark, d, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", quality.extract_score(text, "vmaf").alias("vmaf"), quality.extract_score(text, "ssim").alias("ssim"))
 
 
@@ -611,12 +753,18 @@ def clock_texts(spark, d):
     return views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.clock_seconds(F.concat(text, F.lit(":05.25"))).alias("seconds"), S.clock_minutes(text).alias("minute"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size >= 4 THEN printf('%.2f ', p_size / 4.0) || ['KB', 'MB', 'GB'][k + 1] WHEN k = 0 THEN p_size * 256 || ' B' ELSE printf('%.2f ', p_size * 256.0) || ['KB', 'MB'][k] END AS text
-    FROM (SELECT *, CAST(p_partkey % 3 AS INT) AS k FROM part)""")
+def size_sql(n: str) -> str:
+    """A size's text in SQL, whose ``printf`` rounds from the exact value."""
+    steps = " ".join(f"WHEN {n} >= {1024**k} THEN printf('%.2f {u}B', {n} / {1024**k}::DOUBLE)" for k, u in reversed(list(enumerate("KMGTPE", 1))))
+    return f"CASE {steps} ELSE {n} || ' B' END"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, {size_sql('n')} AS text FROM (SELECT *, CASE l_linenumber WHEN 1 THEN l_partkey WHEN 2 THEN l_partkey * l_suppkey WHEN 3 THEN l_partkey * 128 WHEN 4 THEN l_orderkey * 131072 ELSE l_orderkey * l_partkey * l_suppkey * 1048576 END AS n FROM lineitem)""")
 def size_texts(spark, d):
-    """Sizes whose quotients end within two decimals, as ties of rounding differ between engines."""
-    n = (F.col("p_size") * 256 * F.pow(F.lit(1024), F.col("p_partkey") % 3)).cast("long")
-    return views.table(spark, d, "part").select("p_partkey", S.format_bytes(n).alias("text"))
+    """Sizes of every unit, ties of rounding among them."""
+    n, o, p, s = (F.col(f"l_{c}") for c in ("linenumber", "orderkey", "partkey", "suppkey"))
+    size = F.when(n == 1, p).when(n == 2, p * s).when(n == 3, p * 128).when(n == 4, o * 131072).otherwise(o * p * s * 1048576)
+    return views.table(spark, d, "lineitem").select(o, n, S.format_bytes(size).alias("text"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, a - b AS saved, CASE WHEN a > 0 THEN (a - b)::DOUBLE / a * 100 ELSE 0 END AS share, CASE WHEN a > 0 THEN b::DOUBLE / a ELSE 0 END AS ratio, 95 + l_linenumber::DOUBLE / 7 * 4 AS pct
@@ -742,14 +890,46 @@ def audit_appended(spark, d):
     return audit.append_events(log, new, now()).crossJoin(F.broadcast(first)).filter("seq_id > _end").select("seq_id", "event_type", "severity", "payload_json")
 
 
-@query(f"""SELECT queue_id, 'batch_summary' AS event_type, 'Transcode Batch: ' || count(*) || ' processed' AS title,
-    'Batch finished: ' || count(*) FILTER (event_type = 'job_completed') || ' completed, ' || count(*) FILTER (event_type = 'job_failed') || ' failed. Saved: ' || coalesce(sum(saved) FILTER (event_type = 'job_completed'), 0)::BIGINT || '.00 KB' AS message FROM (SELECT *, seq_id % 7 + 1 AS saved FROM {AUDIT}) GROUP BY 1
-    HAVING coalesce(sum(saved) FILTER (event_type = 'job_completed'), 0) BETWEEN 1 AND 1000""")
+BATCHES_SQL = f"""(SELECT queue_id, n, completed, failed, saved_bytes, avg_vmaf, 'Transcode Batch: ' || n || ' processed' AS title,
+    'Batch finished: ' || completed || ' completed, ' || failed || ' failed. Saved: ' || {size_sql('saved_bytes')} AS message FROM (SELECT queue_id, count(*) AS n, count(*) FILTER (event_type = 'job_completed') AS completed,
+    count(*) FILTER (event_type = 'job_failed') AS failed, coalesce(sum(seq_id * 5) FILTER (event_type = 'job_completed'), 0)::BIGINT AS saved_bytes,
+    coalesce(max(seq_id % 800) FILTER (event_type = 'job_completed' AND seq_id % 800 > 0), 0) / 8 AS avg_vmaf FROM {AUDIT} GROUP BY 1))"""
+
+
+def job_batches(spark, d):
+    """Figures of each job's events."""
+    events = views.audit(spark, d).withColumn("saved_bytes", F.col("seq_id") * 5)
+    best = F.max(F.when((F.col("event_type") == "job_completed") & (F.col("seq_id") % 800 > 0), F.col("seq_id") % 800))
+    means = events.groupBy("queue_id").agg((F.coalesce(best, F.lit(0)) / 8).alias("avg_vmaf"))
+    return audit.batch_summary(events, "queue_id").drop("avg_vmaf").join(means, "queue_id")
+
+
+@query(f"SELECT queue_id, 'batch_summary' AS event_type, title, message FROM {BATCHES_SQL}")
 def batch_messages(spark, d):
-    """Batches that saved whole KB, below a MB, so that no rounding differs."""
-    events = views.audit(spark, d).withColumn("saved_bytes", (F.col("seq_id") % 7 + 1) * 1024)
-    batches = audit.batch_summary(events, "queue_id").filter("saved_bytes between 1024 and 1024000")
-    return audit.summary_message(batches).select("queue_id", "event_type", "title", "message")
+    return audit.summary_message(job_batches(spark, d)).select("queue_id", "event_type", "title", "message")
+
+
+CHANNELS = [
+    audit.Channel("chat", "discord"), audit.Channel("team", "slack", ("batch_summary", "job_failed")), audit.Channel("push", "gotify", ("job_failed",)), audit.Channel("phone", "gotify"),
+    audit.Channel("bot", "telegram"), audit.Channel("mail", "smtp", ("batch_summary",)), audit.Channel("hook", "webhook", (), "key"),
+]
+VMAF_SQL = "printf('%.2f', avg_vmaf)"
+
+
+@query(f"""WITH b AS (SELECT *, queue_id::VARCHAR AS event_id FROM {BATCHES_SQL}),
+    p AS (SELECT *, '{{"event_id":"' || event_id || '","event_type":"batch_summary","title":"' || title || '","message":"' || message || '","timestamp":"1998-01-01T00:00:00Z","total_items":' || n
+        || CASE WHEN saved_bytes <> 0 THEN ',"saved_bytes":' || saved_bytes ELSE '' END || CASE WHEN avg_vmaf <> 0 THEN ',"average_vmaf":' || avg_vmaf::DOUBLE ELSE '' END || '}}' AS payload FROM b)
+    SELECT event_id, channel, CASE channel
+        WHEN 'chat' THEN '{{"embeds":[{{"title":"' || title || '","description":"' || message || '","color":3066993,"timestamp":"1998-01-01T00:00:00Z","fields":['
+            || concat_ws(',', CASE WHEN saved_bytes > 0 THEN '{{"name":"Saved","value":"' || {size_sql('saved_bytes')} || '"}}' END, CASE WHEN avg_vmaf > 0 THEN '{{"name":"VMAF","value":"' || {VMAF_SQL} || '"}}' END) || ']}}]}}'
+        WHEN 'team' THEN '{{"text":"*' || title || '*\\n' || message || '"}}' WHEN 'phone' THEN '{{"title":"' || title || '","message":"' || message || '","priority":5}}'
+        WHEN 'bot' THEN '*' || title || '*' || chr(10) || message || CASE WHEN saved_bytes > 0 THEN chr(10) || 'Saved: ' || {size_sql('saved_bytes')} ELSE '' END || CASE WHEN avg_vmaf > 0 THEN chr(10) || 'VMAF: ' || {VMAF_SQL} ELSE '' END
+        WHEN 'mail' THEN '<h2>' || title || '</h2><p>' || message || '</p>' ELSE payload END AS body, channel = 'hook' AS signed, payload
+    FROM p, (SELECT unnest(['chat', 'team', 'phone', 'bot', 'mail', 'hook']) AS channel)""")
+def outbox_bodies(spark, d):
+    """A summary for each job, rendered for each channel that takes summaries."""
+    summaries = job_batches(spark, d).withColumns({"event_id": F.col("queue_id").cast("string"), "timestamp": now()})
+    return audit.outbox(summaries, CHANNELS).select("event_id", "channel", "body", F.col("signature").isNotNull().alias("signed"), "payload")
 
 
 @query(f"""WITH c AS (SELECT * FROM (VALUES ('discord', ['batch_summary']), ('mail', []::VARCHAR[]), ('gotify', ['job_failed'])) c(channel, events))

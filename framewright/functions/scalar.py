@@ -85,10 +85,16 @@ def is_attached_picture(codec: Column) -> Column:
     return F.coalesce(F.lower(codec).isin("png", "jpeg", "jpg", "bmp", "mjpeg"), F.lit(False))
 
 
+def fixed(x: Column, decimals: int) -> Column:
+    """A number's text with so many decimals, rounded from its exact binary value, ties to even (``format_string``
+    rounds the shortest decimal form up, so that 1.005 would read 1.01)."""
+    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * decimals))
+
+
 def format_bytes(n: Column) -> Column:
     out = F.format_string("%d B", n.cast("long"))
     for k, unit in enumerate("KMGTPE", 1):
-        out = F.when(n >= 1024**k, F.format_string(f"%.2f {unit}B", n / 1024.0**k)).otherwise(out)
+        out = F.when(n >= 1024**k, F.concat(fixed(n / 1024.0**k, 2), F.lit(f" {unit}B"))).otherwise(out)
     return out
 
 
@@ -180,8 +186,8 @@ def percentage(current: Column, total: Column) -> Column:
 
 
 def eta_seconds(current: Column, total: Column, speed: Column, pct: Column) -> Column:
-    """0 near the end, null where the last value holds on."""
-    return F.when(pct >= 99.9, F.lit(0).cast("long")).when((speed > 0) & (total > current), F.round((total - current) / speed).cast("long"))
+    """Rounded while something is left and the speed is known, then 0 near the end; null where the last value holds on."""
+    return F.when((speed > 0) & (total > current), F.round((total - current) / speed).cast("long")).when(pct >= 99.9, F.lit(0).cast("long"))
 
 
 def segment_percentage(i: Column, n: Column) -> Column:

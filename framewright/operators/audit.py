@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from framewright.schemas import PAYLOAD
 
 #: Audit events that carry a job's figures.
 STAT_EVENTS = ("job_completed", "job_quality_failed", "job_skipped_growth")
+#: States of a delivery record, and its response where a channel took the message.
+DELIVERED, UNDELIVERED, ACCEPTED = "delivered", "failed", "OK"
 
 
 def parse_payload(audit: DataFrame, schema=PAYLOAD, col: str = "payload_json") -> DataFrame:
@@ -22,6 +25,17 @@ def payload(**fields: Column) -> Column:
     return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
+
+@dataclass(frozen=True)
+class Channel:
+    """A channel of notifications: its kind decides what a message looks like; no events means all of them."""
+
+    name: str
+    kind: str
+    events: tuple[str, ...] = ()
+    secret: str | None = None
+
+
 #: The fields of an audit event's payload, by the event of an outcome.
 OUTCOME_FIELDS = {
     "job_skipped": ("queue_id", "action", "size", "reason"),
@@ -103,6 +117,32 @@ def summary_message(batches: DataFrame) -> DataFrame:
     return batches.withColumns({"event_type": F.lit("batch_summary"), "title": F.format_string("Transcode Batch: %d processed", "n"), "message": message})
 
 
+def outbox(summaries: DataFrame, channels: Sequence[Channel]) -> DataFrame:
+    """What each channel is to send of each summary that it takes: event_id, channel, kind, body, signature, and ``payload``,
+    the summary as a document.
+
+    Summaries: event_id, n, completed, failed, saved_bytes, avg_vmaf, timestamp. Channels are configuration; each kind is rendered
+    once, for those of its channels whose list of events is empty or holds ``batch_summary``. A channel that signs its bodies
+    is rendered by itself.
+    """
+    if len(channels) > 1000:
+        raise ValueError("more than 1,000 channels")
+    messages, out = render_message("webhook", summary_message(summaries)).withColumnRenamed("body", "payload"), None
+    takers: dict[tuple, list[str]] = {}
+    for c in channels:
+        if not c.events or "batch_summary" in c.events:
+            takers.setdefault((c.kind, c.secret if c.kind == "webhook" else None), []).append(c.name)
+    for (kind, secret), names in takers.items():
+        made = render_message(kind, messages, secret)
+        signature = F.col("signature") if kind == "webhook" and secret else F.lit(None).cast("string")
+        rows = made.select("event_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("channel"), F.lit(kind).alias("kind"), "body", signature.alias("signature"), "payload")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        empty = F.lit("")
+        out = messages.limit(0).select("event_id", *[empty.alias(c) for c in ("channel", "kind", "body", "signature")], "payload")
+    return out
+
+
 def within_rate(messages: DataFrame, per_minute: int, channel: str = "channel", ts: str = "timestamp") -> DataFrame:
     """The first ``per_minute`` messages of each channel in each minute, by time; all where it isn't positive."""
     if per_minute <= 0:
@@ -145,14 +185,14 @@ def render_message(kind: str, event: DataFrame, secret: str | None = None) -> Da
         fields = F.filter(
             F.array(
                 F.when(F.col("saved_bytes") > 0, F.struct(F.lit("Saved").alias("name"), S.format_bytes(F.col("saved_bytes")).alias("value"))),
-                F.when(F.col("avg_vmaf") > 0, F.struct(F.lit("VMAF").alias("name"), F.format_string("%.2f", "avg_vmaf").alias("value"))),
+                F.when(F.col("avg_vmaf") > 0, F.struct(F.lit("VMAF").alias("name"), S.fixed(F.col("avg_vmaf"), 2).alias("value"))),
             ),
             lambda x: x.isNotNull(),
         )
         embed = F.struct(title.alias("title"), text.alias("description"), S.event_color(etype).alias("color"), S.rfc3339(ts).alias("timestamp"), fields.alias("fields"))
         return event.withColumn("body", F.to_json(F.struct(F.array(embed).alias("embeds"))))
     if kind == "telegram":
-        extra = F.concat(F.when(F.col("saved_bytes") > 0, F.concat(F.lit("\nSaved: "), S.format_bytes(F.col("saved_bytes")))).otherwise(""), F.when(F.col("avg_vmaf") > 0, F.format_string("\nVMAF: %.2f", "avg_vmaf")).otherwise(""))
+        extra = F.concat(F.when(F.col("saved_bytes") > 0, F.concat(F.lit("\nSaved: "), S.format_bytes(F.col("saved_bytes")))).otherwise(""), F.when(F.col("avg_vmaf") > 0, F.concat(F.lit("\nVMAF: "), S.fixed(F.col("avg_vmaf"), 2))).otherwise(""))
         return event.withColumn("body", F.concat(F.lit("*"), S.escape_markdown(title), F.lit("*\n"), S.escape_markdown(text), extra))
     if kind == "slack":
         return event.withColumn("body", F.to_json(F.struct(F.concat(F.lit("*"), title, F.lit("*\n"), text).alias("text"))))
@@ -172,7 +212,7 @@ def render_message(kind: str, event: DataFrame, secret: str | None = None) -> Da
 def prometheus(metrics: DataFrame) -> DataFrame:
     """One row of exposition text from (name, type, help, value) rows; floats with two decimals. Metrics
     are few (one for each name)."""
-    value = F.when(F.col("value") == F.floor("value"), F.format_string("%d", F.col("value").cast("long"))).otherwise(F.format_string("%.2f", "value"))
+    value = F.when(F.col("value") == F.floor("value"), F.format_string("%d", F.col("value").cast("long"))).otherwise(S.fixed(F.col("value"), 2))
     line = F.concat(F.lit("# HELP "), "name", F.lit(" "), "help", F.lit("\n# TYPE "), "name", F.lit(" "), "type", F.lit("\n"), "name", F.lit(" "), value)
     return metrics.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 
@@ -208,7 +248,7 @@ def series(queue: DataFrame, audit: DataFrame, files: DataFrame, delivered: Data
     jobs = queue.agg(F.count("*").alias("jobs_submitted_total"), count(state == "pending").alias("queue_pending_depth"), count(state == "leased").alias("queue_leased_depth"), count(state.isin("evaluating", "processing")).alias("active_cpu_workers"), count(state == "transcoding").alias("active_gpu_sessions"))
     events = audit.agg(count(event == "job_completed").alias("jobs_completed_total"), count(event == "job_failed").alias("jobs_failed_total"), count(event == "job_quality_failed").alias("quality_failed_total"), F.coalesce(F.avg(F.when((event == "job_completed") & (vmaf > 0), vmaf)), F.lit(0.0)).alias("vmaf_score_average"))
     found = files.agg(F.count("*").alias("files_scanned_total"), count(F.col("is_duplicate")).alias("deduplicated_files_total"))
-    sent = delivered.agg(count(F.col("status") == "sent").alias("notifications_sent_total"))
+    sent = delivered.agg(count(F.col("status") == DELIVERED).alias("notifications_sent_total"))
     one = jobs.crossJoin(events).crossJoin(found).crossJoin(sent).withColumn("write_actor_queue_size", F.lit(0))  # a row each
     rows = F.array(*[F.struct(F.lit(prefix + n).alias("name"), F.lit(k).alias("type"), F.lit(h).alias("help"), F.col(n).cast("double").alias("value")) for n, (k, h) in SERIES.items()])
     return one.select(F.inline(rows))

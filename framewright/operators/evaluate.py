@@ -8,7 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,19 +151,66 @@ def decide(
     return df.withColumn("decision", last if case is None else case.otherwise(last))
 
 
-def decide_by_table(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """Like ``decide`` for rules in a table (name, priority, ord, codecs, resolutions, is_hdr, has_surround,
-    min_bitrate; null: no condition). Rules are few and counted: they are broadcast up to 10,000."""
-    if rules.count() > 10_000:
+#: The most cells of a decision table (codecs by resolutions by two flags), which is broadcast.
+MOST_CELLS = 1_000_000
+#: A value that no rule names, and one that is missing.
+OTHER_VALUE, NO_VALUE = "\x00other", "\x00none"
+
+
+def decision_table(rules: Sequence[Mapping]) -> tuple[list[tuple], set[str], set[str]]:
+    """(cells, codecs, resolutions) of rules given as rows. A cell is (codec, resolution, is_hdr, has_surround, steps): the rules
+    that can come first there, as (least bitrate, rule's name) from the first on, each with a lower bound than the one before.
+
+    A rule that asks for a bitrate which an earlier one undercuts never comes first, so steps are few: as a rule one or two,
+    however many rules there are.
+    """
+    order = sorted(rules, key=lambda r: (-r["priority"], r["ord"]))
+    lowest = np.array([-(2**63) if r["min_bitrate"] is None else r["min_bitrate"] for r in order], np.int64)
+    codecs = sorted({c for r in order for c in r["codecs"] or ()})
+    sizes = sorted({c for r in order for c in r["resolutions"] or ()})
+
+    def holds(name: str, values: Sequence) -> dict:
+        return {v: np.array([r[name] is None or v in (r[name] if isinstance(r[name], (list, tuple)) else (r[name],)) for r in order], bool) for v in values}
+
+    by_codec, by_size = holds("codecs", [*codecs, OTHER_VALUE, NO_VALUE]), holds("resolutions", [*sizes, OTHER_VALUE, NO_VALUE])
+    flags = [holds(name, [True, False, NO_VALUE]) for name in ("is_hdr", "has_surround")]
+    if len(by_codec) * len(by_size) * 9 > MOST_CELLS:
+        raise ValueError(f"over {MOST_CELLS} cells: compile such rules with decide()")
+    cells = []
+    for (codec, a), (size, b) in product(by_codec.items(), by_size.items()):
+        for (hdr, c), (surround, d) in product(*(f.items() for f in flags)):
+            at = np.flatnonzero(a & b & c & d)
+            bounds = lowest[at]
+            first = np.ones(len(at), bool)
+            first[1:] = bounds[1:] < np.minimum.accumulate(bounds)[:-1]
+            steps = [(None if lowest[i] == -(2**63) else int(lowest[i]), order[i]["name"]) for i in at[first]]
+            cells.append((codec, size, str(hdr), str(surround), steps))
+    return cells, set(codecs), set(sizes)
+
+
+def decide_by_table(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """``df`` and ``matched_rule`` for rules in a table (name, priority, ord, codecs, resolutions, is_hdr, has_surround, min_bitrate;
+    null: no condition), ``default`` where none matches.
+
+    Rules are configuration, up to 10,000 of them, compiled into a ``decision_table``: a row finds its cell by a broadcast hash join
+    and its rule among the cell's few steps, so rows neither shuffle nor meet the rules one by one. A condition on a value that a row
+    lacks doesn't hold.
+    """
+    got = [r.asDict() for r in rules.limit(10_001).collect()]
+    if len(got) > 10_000:
         raise ValueError("more than 10,000 rules: compile them with decide()")
+    cells, codecs, sizes = decision_table(got)
+    table = df.sparkSession.createDataFrame(cells, "_codec string, _size string, _hdr string, _surround string, _steps array<struct<least: bigint, name: string>>")
     m = F.col("metadata")
-    holds = (
-        (F.col("codecs").isNull() | F.array_contains("codecs", m["video_codec"])) & (F.col("resolutions").isNull() | F.array_contains("resolutions", m["resolution"]))
-        & (F.col("is_hdr").isNull() | (F.col("is_hdr") == m["is_hdr"])) & (F.col("has_surround").isNull() | (F.col("has_surround") == m["has_surround"]))
-        & (F.col("min_bitrate").isNull() | (m["bitrate"] >= F.col("min_bitrate")))
-    )
-    best = F.min_by("name", F.struct(-F.col("priority"), F.col("ord"))).alias("matched_rule")
-    return df.join(F.broadcast(rules), holds, "left").groupBy(key).agg(best).fillna("default", ["matched_rule"])
+
+    def cell(value: Column, known: set[str]) -> Column:
+        return F.when(value.isNull(), NO_VALUE).when(value.isin(*known), value).otherwise(OTHER_VALUE) if known else F.when(value.isNull(), NO_VALUE).otherwise(OTHER_VALUE)
+
+    flag = lambda v: F.when(v.isNull(), NO_VALUE).when(v, "True").otherwise("False")
+    keyed = df.withColumns({"_codec": cell(m["video_codec"], codecs), "_size": cell(m["resolution"], sizes), "_hdr": flag(m["is_hdr"]), "_surround": flag(m["has_surround"])})
+    joined = keyed.join(F.broadcast(table), ["_codec", "_size", "_hdr", "_surround"], "left")
+    hit = F.filter("_steps", lambda s: s["least"].isNull() | (m["bitrate"] >= s["least"]))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.get(hit, F.lit(0))["name"], F.lit("default")).alias("matched_rule"))
 
 
 def stream_plan(df: DataFrame, policy: AudioPolicy = AudioPolicy()) -> DataFrame:
@@ -216,6 +265,35 @@ def with_presets(df: DataFrame, presets: DataFrame, first: str, preset_col: Colu
     return df.join(F.broadcast(named), F.lower(preset_col) == F.col("_preset"), "left").drop("_preset").withColumn("preset_name", F.coalesce("preset_name", F.lit(first)))
 
 
+@dataclass(frozen=True)
+class Preset:
+    """Encoder settings by name."""
+
+    name: str
+    video_codec: str = ""
+    quality_crf: int = 0
+    preset_speed: str = ""
+    audio_codec: str = ""
+
+
+#: The preset where none is configured.
+BUILT_IN = Preset("balanced-hevc", "hevc", 22, "medium", "copy")
+
+
+def select_preset(df: DataFrame, presets: Sequence[Preset], preset_col: Column) -> DataFrame:
+    """Adds ``preset``, a struct: the first configured one of that name, whatever its case; else the first configured; else the
+    built-in one. Presets are configuration, a literal map."""
+    struct = lambda p: F.struct(*[F.lit(v).alias(k) for k, v in p.__dict__.items()])
+    named: dict[str, Preset] = {}
+    for p in presets:
+        named.setdefault(p.name.lower(), p)
+    last = struct(presets[0] if presets else BUILT_IN)
+    if not named:
+        return df.withColumn("preset", last)
+    table = F.create_map(*[x for k, p in named.items() for x in (F.lit(k), struct(p))])
+    return df.withColumn("preset", F.coalesce(F.try_element_at(table, F.lower(preset_col)), last))
+
+
 #: Hardware families in order of preference, what each calls a codec it knows, and what it
 #: tries, in order, for that codec.
 FAMILIES = ("nvenc", "qsv", "amf", "vaapi")

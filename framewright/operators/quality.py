@@ -38,14 +38,17 @@ def mean_score(scores: Column) -> Column:
 
 
 def verdict(ssim: Column, mean_vmaf: Column, threshold: float) -> Column:
-    """Struct (passed, reason)."""
-    made = lambda ok, why: F.struct(F.lit(ok).alias("passed"), F.lit(why).alias("reason"))
+    """Struct (passed, reason). Without any score of a segment (null mean) the structural similarity decides, and
+    where that is unknown too, the file passes."""
+    made = lambda ok, *text: F.struct(F.lit(ok).alias("passed"), F.concat(*text).alias("reason"))
+    s, v, least = S.fixed(ssim, 4), S.fixed(mean_vmaf, 2), F.lit(f"{threshold:.2f}")
+    # The reasons, word by word.
     return (
-        F.when((ssim > 0) & (ssim < SSIM_LEAST), made(False, "ssim too low"))
-        .when(mean_vmaf.isNotNull() & (mean_vmaf >= threshold), made(True, "vmaf reached"))
-        .when(mean_vmaf.isNotNull(), made(False, "vmaf too low"))
-        .when(ssim >= SSIM_GOOD, made(True, "ssim only"))
-        .otherwise(made(True, "no scores"))
+        F.when((ssim > 0) & (ssim < SSIM_LEAST), made(False, F.lit("SSIM score "), s, F.lit(" failed quality threshold (minimum 0.90)")))
+        .when(mean_vmaf < threshold, made(False, F.lit("average VMAF "), v, F.lit(" below configured threshold "), least))
+        .when(mean_vmaf.isNotNull(), made(True, F.lit("verified: average VMAF "), v, F.lit(" meets threshold "), least))
+        .when(ssim >= SSIM_GOOD, made(True, F.lit("verified via SSIM score "), s, F.lit(" (libvmaf unavailable for segments)")))
+        .otherwise(made(True, F.lit("verification completed without fatal error")))
     )
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import time
+from collections import deque
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from framewright.schemas import PROBE
 
@@ -40,9 +42,11 @@ def list_scopes(spark: SparkSession, scopes: Sequence[str], follow_symlinks: boo
 
 
 class TreeSource(DataSource):
-    """Listing with link types: one partition for each directory right below the scopes.
+    """Listing with link types, as a batch or as a stream that lists anew at each trigger.
 
-    Options: ``scopes`` (comma list), ``follow_symlinks``. Unreadable directories give no rows.
+    Options: ``scopes`` (comma list), ``follow_symlinks``, ``partitions`` (how many to aim at, 256). Folders are opened, the shallowest
+    first, until there are so many to list; so a tree below one folder, or below a long chain of them, is listed by many tasks
+    all the same. What is opened for that is bounded by eight times their number. Unreadable folders give no rows.
     """
 
     @classmethod
@@ -55,45 +59,90 @@ class TreeSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _TreeReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _TreeStream(self.options)
 
-class _Directory(InputPartition):
-    def __init__(self, path: str, deep: bool):
-        super().__init__(path)
-        self.deep = deep
 
+class _Folders(InputPartition):
+    """Folders to list: whole trees, and others without the folders in them."""
 
-class _TreeReader(DataSourceReader):
+    def __init__(self, trees: list[str], single: list[str]):
+        super().__init__(None)
+        self.trees, self.single = trees, single
+
+
+def _folders(path: str) -> list[str]:
+    try:
+        with os.scandir(path) as entries:
+            return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
+    except OSError:
+        return []
+
+
+class _Tree:
     def __init__(self, options: Mapping[str, str]):
         self.scopes = [s for s in options.get("scopes", "").split(",") if s]
         self.follow = options.get("follow_symlinks", "false").lower() == "true"
-
-    def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for scope in self.scopes:
-            out.append(_Directory(scope, False))
-            try:
-                out += [_Directory(e.path, True) for e in os.scandir(scope) if e.is_dir(follow_symlinks=False)]
-            except OSError:
-                continue
-        return out
-
-    def read(self, part: _Directory) -> Iterator[tuple]:
-        stack = [part.value]
+        self.most = max(1, int(options.get("partitions", "256")))
+
+    def split(self) -> list[InputPartition]:
+        trees, single = deque(self.scopes), []
+        while trees and len(trees) < self.most and len(single) < 8 * self.most:
+            path = trees.popleft()
+            single.append(path)
+            trees.extend(_folders(path))
+        n = min(self.most, max(1, len(trees) + len(single)))
+        dealt = list(trees)
+        return [_Folders(dealt[k::n], single[k::n]) for k in range(n)]
+
+    def list(self, part: _Folders) -> Iterator[tuple]:
+        stack = [(p, False) for p in part.single] + [(p, True) for p in part.trees]
         while stack:
+            path, deep = stack.pop()
             try:
-                entries = sorted(os.scandir(stack.pop()), key=lambda e: e.name)
+                entries = sorted(os.scandir(path), key=lambda e: e.name)
             except OSError:
                 continue
             for e in entries:
                 link = e.is_symlink()
                 if e.is_dir(follow_symlinks=False):
-                    if part.deep:
-                        stack.append(e.path)
+                    if deep:
+                        stack.append((e.path, True))
                 elif (not link or self.follow) and e.is_file():
                     s = e.stat()
                     yield e.path, s.st_size, s.st_mtime, link
 
 
+class _TreeReader(DataSourceReader):
+    def __init__(self, options: Mapping[str, str]):
+        self.tree = _Tree(options)
+
+    def partitions(self) -> list[InputPartition]:
+        return self.tree.split()
+
+    def read(self, partition: _Folders) -> Iterator[tuple]:
+        return self.tree.list(partition)
+
+
+class _TreeStream(DataSourceStreamReader):
+    """An offset is the time of a listing: each trigger has one later than the last, so each lists the trees."""
+
+    def __init__(self, options: Mapping[str, str]):
+        self.tree = _Tree(options)
+
+    def initialOffset(self) -> dict:
+        return {"listed_ms": 0}
+
+    def latestOffset(self) -> dict:
+        return {"listed_ms": int(time.time() * 1000)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return self.tree.split()
+
+    def read(self, partition: _Folders) -> Iterator[tuple]:
+        return self.tree.list(partition)
+
+
 def boundary_hashes(files: DataFrame, block: int = 1 << 20) -> DataFrame:
     """Adds SHA-256 of the first and last ``block`` bytes by seeking: at most two blocks of a file are
     read, whatever its size. Files that can't be read get nulls."""

@@ -93,8 +93,8 @@ class KeyedSink(DataSource):
     """``format("keyed_table")`` for rows with a bucket column; used through ``KeyedTable``.
 
     Options: path, base (version that the rows were made from), mode (``replace``: the files of ``touched`` buckets
-    give way to the staged ones; ``append``: they are added), touched, counter (name of a counter that grows by the rows
-    written), batch (JSON of a stream's name and batch number).
+    give way to the staged ones; ``append``: they are added), touched, counter (JSON of a column whose
+    values are numbered and the last number before these rows), batch (JSON of a stream's name and batch number).
     """
 
     @classmethod
@@ -157,8 +157,8 @@ class KeyedWriter(DataSourceArrowWriter):
             files.setdefault(str(b), []).append(name)
         counters, batches = dict(old.counters), dict(old.batches)
         if self.options.get("counter"):
-            counter = self.options["counter"]
-            counters[counter] = counters.get(counter, 0) + sum(n for _, _, n in staged)
+            column, after = json.loads(self.options["counter"])
+            counters[column] = after + sum(n for _, _, n in staged)
         if self.options.get("batch"):
             stream, number = json.loads(self.options["batch"])
             batches[stream] = number
@@ -319,14 +319,17 @@ class KeyedTable:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _append(self, new: DataFrame, now: Version, number: str | None, batch: tuple[str, int] | None) -> int:
-        rows = self._staged(new)
+        rows, counter = self._staged(new), None
         if number:
-            rows = self._numbered(rows, number, now.counters.get(number, 0))
+            after = now.counters.get(number)
+            if after is None:  # the first numbers follow those that came with rows
+                after = self._rows(now).agg(F.coalesce(F.max(number), F.lit(0))).first()[0]
+            rows, counter = self._numbered(rows, number, after), (number, after)
         shaped = self._bucketed(self._shaped(rows, now, None).drop("_rank"), now)
         touched = self._touched(shaped, now)
         if not touched:
             return now.number
-        return self._write(shaped.repartition(self._tasks(touched), _BUCKET), now, touched, "append", number, batch)
+        return self._write(shaped.repartition(self._tasks(touched), _BUCKET), now, touched, "append", counter, batch)
 
     @staticmethod
     def _numbered(rows: DataFrame, column: str, after: int) -> DataFrame:
@@ -344,8 +347,8 @@ class KeyedTable:
         joined = placed.join(F.broadcast(first), "_file")
         return joined.withColumn(column, F.col("_before") + F.col("_row") + 1).drop("_file", "_row", "_before")
 
-    def _write(self, rows: DataFrame, now: Version, touched: Sequence[int], mode: str, counter: str | None = None, batch: tuple[str, int] | None = None) -> int:
-        options = {"path": self.path, "base": str(now.number), "mode": mode, "touched": json.dumps(list(touched)), "counter": counter or "", "batch": json.dumps(batch) if batch else ""}
+    def _write(self, rows: DataFrame, now: Version, touched: Sequence[int], mode: str, counter: tuple[str, int] | None = None, batch: tuple[str, int] | None = None) -> int:
+        options = {"path": self.path, "base": str(now.number), "mode": mode, "touched": json.dumps(list(touched)), "counter": json.dumps(counter) if counter else "", "batch": json.dumps(batch) if batch else ""}
         ordered = rows.select(*now.columns.names, _BUCKET).sortWithinPartitions(_BUCKET)
         ordered.write.format("keyed_table").mode("append").options(**options).save()
         return now.number + 1

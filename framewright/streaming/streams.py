@@ -1,25 +1,22 @@
-"""Structured Streaming: ingestion, notification batches by count or time, progress with stuck detection.
+"""Structured Streaming without state of its own: file streams, progress lines, windows, and what a micro-batch does.
 
-The same logic runs on bounded input with ``availableNow``; tests hold it against the batch forms.
+``stateful`` has the streams with state and timers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framewright.functions import scalar as S
-from framewright.operators import evaluate
+from framewright.operators import audit, evaluate
+from framewright.sources import files
+from framewright.streaming import stateful
 
-PROGRESS_STATE = "phase string, current_sec double, total_sec double, pct double, eta bigint, last_ms bigint"
-PROGRESS = "job_id bigint, phase string, pct double, eta bigint, last_ms bigint, is_stuck boolean, removed boolean"
-#: Silence in milliseconds after which a job is stuck, by phase.
-STUCK_MS, STUCK_MS_QUALITY = 45_000, 120_000
+#: Fixed value: seconds between rescans where none are configured.
+RESCAN_SECONDS = 20
 
 
 def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_trigger: int = 1000) -> DataFrame:
@@ -27,60 +24,28 @@ def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", per
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)
 
 
-def parse_progress(lines: DataFrame, col: str = "value") -> DataFrame:
-    out = lines.withColumn("line", F.explode(F.split(F.col(col), "[\\r\\n]+")))
-    return out.withColumn("progress", S.progress_fields(F.col("line"))).filter("progress IS NOT NULL").drop("line")
+def rescan(spark: SparkSession, scopes: Sequence[str], follow_symlinks: bool = False) -> DataFrame:
+    """(path, size, modified, change): each trigger lists the trees anew, by many tasks, and gives the files that are new or
+    changed since. The trigger is the period: ``trigger(processingTime=rescan_period(...))``. A folder that can't be read gives
+    no files. What was given stays known over restarts, in the stream's state."""
+    spark.dataSource.register(files.TreeSource)
+    listing = spark.readStream.format("file_tree").option("scopes", ",".join(scopes)).option("follow_symlinks", str(follow_symlinks).lower()).load()
+    return stateful.new_or_changed(listing if follow_symlinks else listing.filter("not is_link"))
 
 
-def step(state: tuple | None, row: Any) -> tuple:
-    """The next progress state: a phase, an encoder update or a quality segment."""
-    phase, cur, total, pct, eta, _ = state or ("queued", 0.0, 0.0, 0.0, 0, 0)
-    if row.kind == "phase":
-        phase = row.phase
-    elif row.kind == "update":
-        phase, cur, total = "transcoding", row.current_sec, row.total_sec
-        pct = min(100.0, cur / total * 100) if total > 0 else pct
-        if pct >= 99.9:
-            eta = 0
-        elif row.speed > 0 and total > cur:
-            eta = int((total - cur) / row.speed + 0.5)
-    elif row.kind == "segment":
-        phase, pct = "quality", 95 + row.segment / max(1, row.segments) * 4
-    return phase, cur, total, pct, eta, int(row.ts.timestamp() * 1000)
+def rescan_period(seconds: float) -> str:
+    """A trigger's period; one that isn't positive is the default."""
+    return f"{int((seconds if seconds > 0 else RESCAN_SECONDS) * 1000)} milliseconds"
 
 
-def track(events: DataFrame) -> DataFrame:
-    """Latest progress of each job; a job silent for too long comes out once more, marked stuck.
-
-    Events: job_id, kind (phase, update, segment, done), phase, current_sec, total_sec, speed, segment,
-    segments, ts. State is one row for each job and leaves with it.
-    """
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else None
-        if state.hasTimedOut:
-            yield _progress(key[0], now, True, False)
-            return
-        done = False
-        for frame in frames:
-            for row in frame.sort_values("ts").itertuples():
-                done = row.kind == "done"
-                if not done:
-                    now = step(now, row)
-        if done or now is None:
-            if state.exists:
-                state.remove()
-            yield _progress(key[0], now or ("done", 0.0, 0.0, 100.0, 0, 0), False, True)
-            return
-        state.update(now)
-        state.setTimeoutDuration(STUCK_MS_QUALITY if now[0] == "quality" else STUCK_MS)
-        yield _progress(key[0], now, False, False)
-
-    return events.groupBy("job_id").applyInPandasWithState(update, PROGRESS, PROGRESS_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def _progress(job: int, s: tuple, stuck: bool, removed: bool) -> pd.DataFrame:
-    return pd.DataFrame([{"job_id": job, "phase": s[0], "pct": s[3], "eta": s[4], "last_ms": s[5], "is_stuck": stuck, "removed": removed}])
+def progress_events(output: DataFrame) -> DataFrame:
+    """Events for ``stateful.track`` of tool output (job_id, seq, value, total_sec): its last line of progress in each row."""
+    lines = files.progress_lines(output).withColumn("p", S.progress_fields(F.col("line"))).filter("p IS NOT NULL")
+    none = lambda kind: F.lit(None).cast(kind)
+    return lines.select(
+        "job_id", "seq", F.lit("update").alias("kind"), none("string").alias("phase"), none("string").alias("detail"), F.col("p.frames").alias("frames"), F.col("p.fps").alias("fps"), F.col("p.speed").alias("speed"),
+        F.col("p.current_sec").alias("current_sec"), F.col("total_sec").cast("double").alias("total_sec"), F.col("p.bitrate").alias("bitrate"), none("int").alias("segment"), none("int").alias("segments"),
+    )
 
 
 def with_fresh_rules(load_rules: Callable[[], list], then: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -93,41 +58,6 @@ def with_fresh_rules(load_rules: Callable[[], list], then: Callable[[DataFrame,
     return run
 
 
-def batches_by_count(events: DataFrame, size: int, key: str = "channel", seconds: int = 30) -> DataFrame:
-    """Summaries of every ``size`` events of a key, and of what is left when ``seconds`` have passed since the
-    batch last grew.
-
-    Out: key, n, completed, failed, saved_bytes, vmaf_sum, vmaf_n.
-    """
-    schema = f"{key} string, n bigint, completed bigint, failed bigint, saved_bytes bigint, vmaf_sum double, vmaf_n bigint"
-    state_schema = "n bigint, completed bigint, failed bigint, saved_bytes bigint, vmaf_sum double, vmaf_n bigint"
-    names = ["n", "completed", "failed", "saved_bytes", "vmaf_sum", "vmaf_n"]
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        acc = list(state.get) if state.exists else [0, 0, 0, 0, 0.0, 0]
-        out = []
-        if state.hasTimedOut:
-            out.append([k[0], *acc])
-            acc = [0, 0, 0, 0, 0.0, 0]
-        else:
-            for frame in frames:
-                for row in frame.itertuples():
-                    done = row.event_type == "job_completed"
-                    good = done and row.vmaf is not None and row.vmaf == row.vmaf and row.vmaf > 0
-                    acc = [acc[0] + 1, acc[1] + done, acc[2] + (row.event_type == "job_failed"), acc[3] + (int(row.saved_bytes or 0) if done else 0), acc[4] + (row.vmaf if good else 0.0), acc[5] + good]
-                    if acc[0] >= size:
-                        out.append([k[0], *acc])
-                        acc = [0, 0, 0, 0, 0.0, 0]
-        if acc[0]:
-            state.update(tuple(acc))
-            state.setTimeoutDuration(seconds * 1000)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=[key, *names])
-
-    return events.groupBy(key).applyInPandasWithState(update, schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def batches_by_time(events: DataFrame, seconds: int, late: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """Event-time windows with a watermark."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, f"{seconds} seconds").alias("window")).agg(
@@ -135,24 +65,40 @@ def batches_by_time(events: DataFrame, seconds: int, late: str = "10 minutes", t
     )
 
 
-def deliver(send: Callable[[DataFrame, int], None], records_path: str, dead_path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: sends a batch of (event_id, channel, ...) rows and appends a delivery
-    record for each, failed or sent, and a dead letter too where sending failed (``OSError`` or
-    ``RuntimeError``, as channels raise them; any other error stops the stream). Ids are drawn from batch,
-    event and channel, so those of a batch that runs again are the same."""
+def notify(channels: Sequence[audit.Channel], send: Callable[[audit.Channel, DataFrame], None], records_path: str, dead_path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for ``stateful.batches``: each batch of events becomes a summary, is rendered for every channel that
+    takes summaries, sent channel by channel, and recorded.
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        status, response = "sent", "ok"
+    ``send`` gets a channel and its messages (event_id, body, signature) and raises ``OSError`` or ``RuntimeError`` where the channel
+    fails: that channel's records say so, and its summaries become dead letters, while the others go on; any other error stops
+    the stream. Records and dead letters of a micro-batch are one folder, written anew when it runs again, so none is
+    there twice; a channel may get a message again then.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        event = F.concat(F.lit(f"batch-{number}-"), F.hex(F.monotonically_increasing_id()))
+        mean = F.when(F.col("vmaf_n") > 0, F.col("vmaf_sum") / F.col("vmaf_n")).otherwise(0.0)
+        summaries = batch.withColumns({"event_id": event, "avg_vmaf": mean, "timestamp": F.current_timestamp()})
+        out = audit.outbox(summaries, channels).persist()
         try:
-            send(batch, batch_id)
-        except (OSError, RuntimeError) as error:
-            status, response = "failed", str(error)[:500]
-        own = F.xxhash64(F.lit(batch_id), "event_id", "channel").alias("id")
-        now = F.current_timestamp()
-        records = batch.select(own, "event_id", "channel", F.lit(status).alias("status"), F.lit(response).alias("response"), now.alias("timestamp"))
-        records.write.mode("append").parquet(records_path)
-        if status == "failed":
-            event = F.to_json(F.struct(*[F.col(f"`{c}`") for c in batch.columns])).alias("event_json")
-            batch.select(own, event, F.lit(0).alias("retry_count"), F.lit(response).alias("last_error"), now.alias("created_at")).write.mode("append").parquet(dead_path)
+            results = {}
+            for c in channels:
+                mine = out.filter(F.col("channel") == c.name)
+                if mine.isEmpty():
+                    continue
+                try:
+                    send(c, mine.select("event_id", "body", "signature"))
+                    results[c.name] = (audit.DELIVERED, audit.ACCEPTED)
+                except (OSError, RuntimeError) as error:
+                    results[c.name] = (audit.UNDELIVERED, str(error))
+            if not results:
+                return
+            told = F.create_map(*[x for name, (status, response) in results.items() for x in (F.lit(name), F.struct(F.lit(status).alias("status"), F.lit(response).alias("response")))])
+            rows = out.withColumns({"told": told[F.col("channel")], "id": F.xxhash64("event_id", "channel"), "now": F.current_timestamp()})
+            rows.select("id", "event_id", "channel", "told.status", "told.response", F.col("now").alias("timestamp")).write.mode("overwrite").parquet(f"{records_path}/batch={number}")
+            dead = rows.filter(F.col("told.status") == audit.UNDELIVERED)
+            dead.select("id", F.col("payload").alias("event_json"), F.lit(0).alias("retry_count"), F.col("told.response").alias("last_error"), F.col("now").alias("created_at")).write.mode("overwrite").parquet(f"{dead_path}/batch={number}")
+        finally:
+            out.unpersist()
 
     return run

@@ -217,37 +217,6 @@ def test_config():
         config.duration("5 minutes")
 
 
-def test_progress_state():
-    class Row:
-        def __init__(self, **kw):
-            self.__dict__.update(kw, ts=T0)
-
-    s = streams.step(None, Row(kind="update", current_sec=20.0, total_sec=100.0, speed=2.0))
-    assert s[4] == 40
-    s = streams.step(s, Row(kind="segment", segment=2, segments=3))
-    assert 97 < s[3] < 98 and s[0] == "quality"
-
-
-def test_count_batches_as_a_stream(spark, tmp_path):
-    rows = [("c", "job_completed", 10, 90.0)] * 25
-    spark.createDataFrame(rows, "channel string, event_type string, saved_bytes bigint, vmaf double").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = streams.read_files(spark, str(tmp_path / "in"), "channel string, event_type string, saved_bytes bigint, vmaf double")
-    q = streams.batches_by_count(stream, 10).writeStream.format("memory").queryName("batches").option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
-    assert q.awaitTermination(60)
-    assert sorted(r["n"] for r in spark.table("batches").collect())[:2] == [10, 10]
-
-
-def test_undelivered_batches_become_dead_letters(spark, tmp_path):
-    def send(batch, batch_id):
-        raise RuntimeError("down")
-
-    run = streams.deliver(send, str(tmp_path / "ok"), str(tmp_path / "dead"))
-    run(spark.createDataFrame([("e1", "slack", 5)], "event_id string, channel string, n int"), 3)
-    dead, sent = spark.read.parquet(str(tmp_path / "dead")), spark.read.parquet(str(tmp_path / "ok"))
-    assert dead.columns == ["id", "event_json", "retry_count", "last_error", "created_at"] and sent.columns == ["id", "event_id", "channel", "status", "response", "timestamp"]
-    assert dead.first()["last_error"] == "down" and json.loads(dead.first()["event_json"])["n"] == 5 and sent.first()["status"] == "failed"
-
-
 def test_rules_are_read_for_each_batch(spark):
     rules, got = [Rule("a", 1, {}, "copy")], []
     run = streams.with_fresh_rules(lambda: rules, lambda df, k: got.append(df.first()["decision"]["matched_rule"]))
