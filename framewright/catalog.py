@@ -141,11 +141,23 @@ def state_requeue(spark, d):
     return queue.requeue(q, 4, now()).select("id", "state", "retry_count", "error_message", "worker_id")
 
 
-@query(f"SELECT count(*) AS n, sum(id)::BIGINT AS ids FROM {QUEUE} WHERE id NOT IN (1, 2, 3)")
+@query(f"""WITH q AS (SELECT * FROM {QUEUE} WHERE id NOT IN (1, 2, 3) AND id % 5 <> 0), m AS (SELECT c_custkey AS queue_id FROM customer WHERE c_custkey NOT IN (1, 2, 3) AND (c_custkey % 5 <> 0 OR c_custkey NOT IN (SELECT o_orderkey FROM orders)))
+    SELECT 'queue' AS side, id FROM q UNION ALL SELECT 'metadata', queue_id FROM m""")
 def delete_jobs(spark, d):
-    q = views.queue(spark, d)
-    left, _ = queue.delete(q, q.select(F.col("id").alias("queue_id")), [1, 2, 3])
-    return left.agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    """Three jobs by a list, a fifth of all by a frame; both take their metadata along."""
+    q, m = views.queue(spark, d), views.table(spark, d, "customer").select(F.col("c_custkey").alias("queue_id"))
+    left, kept = queue.delete(*queue.delete(q, m, [1, 2, 3]), q.filter("id % 5 = 0"))
+    return left.select(F.lit("queue").alias("side"), "id").unionByName(kept.select(F.lit("metadata").alias("side"), F.col("queue_id").alias("id")))
+
+
+@query("""SELECT p_partkey, k = 0 AS has_nvenc, false AS has_qsv, k = 1 AS has_amf, k = 2 AS has_vaapi, CASE k WHEN 0 THEN 'av1_vaapi,h264_nvenc,libx265' WHEN 1 THEN 'av1_vaapi,hevc_amf,libx265' WHEN 2 THEN 'av1_vaapi,hevc_vaapi,libx265' ELSE 'av1_vaapi,libx265' END AS encoders
+    FROM (SELECT p_partkey, p_partkey % 4 AS k FROM part)""")
+def hardware_families(spark, d):
+    """Machines that list all encoders, each with one that also works."""
+    listed = F.array(*[F.lit(x) for x in ("libx265", "h264_nvenc", "hevc_qsv", "hevc_amf", "hevc_vaapi", "av1_vaapi", "libx265")])
+    works = F.array(pick(("h264_nvenc", "hevc_amf", "hevc_vaapi", "none"), F.col("p_partkey") % 4))
+    r = evaluate.hardware_report(evaluate.working_encoders(listed, works))
+    return views.table(spark, d, "part").select("p_partkey", *[r[f"has_{f}"].alias(f"has_{f}") for f in evaluate.TRIED], F.array_join(r["encoders"], ",").alias("encoders"))
 
 
 NEW_PATHS = "(SELECT DISTINCT '/media/' || l_orderkey * 2 || '.mkv' AS file_path FROM lineitem)"
@@ -586,8 +598,8 @@ def backoff_jitter(spark, d):
     return views.queue(spark, d).select("id", F.round(delay, 6).alias("delay"))
 
 
-@query("""SELECT p_partkey, '-hide_banner -y -fflags +genpts+discardcorrupt -err_detect ignore_err -ignore_unknown -thread_queue_size 1024 ' || CASE WHEN e = 'hevc_vaapi' THEN '-vaapi_device /dev/dri/renderD128 ' ELSE '' END
-    || '-i /m/' || p_partkey || '.mkv -map 0:v:0 -map 0:a -map 0:s -c:v ' || e || CASE WHEN e = 'hevc_vaapi' THEN ' -vaapi_device /dev/dri/renderD128 -vf format=nv12,hwupload' ELSE ' -vf format=yuv420p' END
+@query("""SELECT p_partkey, '-hide_banner -y -fflags +genpts+discardcorrupt -err_detect ignore_err -ignore_unknown -thread_queue_size 1024 ' || CASE WHEN e = 'hevc_vaapi' THEN '-vaapi_device /dev/dri/card0 ' ELSE '' END
+    || '-i /m/' || p_partkey || '.mkv -map 0:v:0 -map 0:a -map 0:s -c:v ' || e || CASE WHEN e = 'hevc_vaapi' THEN ' -vaapi_device /dev/dri/card0 -vf format=nv12,hwupload' ELSE ' -vf format=yuv420p' END
     || CASE e WHEN 'hevc_nvenc' THEN ' -cq ' || q || ' -preset p5 -spatial-aq 1 -temporal-aq 1' WHEN 'h264_qsv' THEN ' -global_quality ' || q || ' -preset ' || s WHEN 'hevc_amf' THEN ' -rc cqp -qp_p ' || q || ' -qp_i ' || q
        WHEN 'hevc_vaapi' THEN ' -crf ' || q WHEN 'libsvtav1' THEN ' -crf ' || q || ' -preset 6 -svtav1-params tune=0' WHEN 'libx265' THEN ' -crf ' || q || ' -preset ' || s || ' -x265-params no-high-tier=1:no-bframes=4:weightp=0' ELSE ' -crf ' || q || ' -preset ' || s END
     || ' -c:a copy -c:s copy -max_muxing_queue_size 4096 -map_metadata -1 ' || CASE p_partkey % 3 WHEN 0 THEN '-f matroska /o/x.mkv' WHEN 1 THEN '-f mp4 /o/x.MP4' ELSE '/o/x.avi' END AS args
@@ -837,9 +849,9 @@ def job_item(spark, d):
     return api.queue_item(jobs, metadata, jobs.select(F.col("id").alias("job_id"), (F.col("id") % 100).alias("pct")), 7).select("id", "file_path", "preset", "pct")
 
 
-@query("""SELECT path, owner, path = '/n/3' AS found FROM (SELECT '/n/' || n_nationkey AS path, CASE WHEN n_nationkey = 3 THEN 'new' ELSE n_name END AS owner FROM nation WHERE n_nationkey <> 5) UNION ALL SELECT '/n/new', 'new', FALSE""")
+@query("""SELECT path, owner, path = '/n/3' AS found FROM (SELECT '/n/' || c_custkey AS path, CASE WHEN c_custkey = 3 THEN 'new' ELSE c_name END AS owner FROM customer WHERE c_custkey <> 5) UNION ALL SELECT '/n/new', 'new', FALSE""")
 def scope_edits(spark, d):
-    scopes = views.table(spark, d, "nation").select(F.concat(F.lit("/n/"), F.col("n_nationkey").cast("string")).alias("path"), F.col("n_name").alias("owner"))
+    scopes = views.table(spark, d, "customer").select(F.concat(F.lit("/n/"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_name").alias("owner"))
     added = scopes.filter("path = '/n/3'").select("path", F.lit("new").alias("owner"))
     edited = api.with_scope(scopes, added)
     edited = api.without_scope(api.with_scope(edited, edited.limit(1).select(F.lit("/n/new").alias("path"), F.lit("new").alias("owner"))), "/n/5")
@@ -858,13 +870,13 @@ def schedule_requests(spark, d):
     return found.select("id", F.explode("file_paths").alias("file_path"), "priority", F.unix_timestamp("scheduled").alias("at"))
 
 
-@query("""SELECT id, file_path, priority, 'due' AS kind FROM (SELECT 's' || n_nationkey AS id, '/n/' || n_nationkey AS file_path, n_nationkey AS priority FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey NOT IN (6, 9))
-    UNION ALL SELECT 's4', '/n/4', 75, 'manual' UNION ALL SELECT 's' || n_nationkey, '/n/' || n_nationkey, n_nationkey, 'open' FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey <> 6""")
+@query("""SELECT id, file_path, priority, 'due' AS kind FROM (SELECT 's' || c_custkey AS id, '/n/' || c_custkey AS file_path, c_custkey::INT AS priority FROM customer WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (6, 9))
+    UNION ALL SELECT 's4', '/n/4', 75, 'manual' UNION ALL SELECT 's' || c_custkey, '/n/' || c_custkey, c_custkey::INT, 'open' FROM customer WHERE c_custkey % 3 <> 0""")
 def schedule_runs(spark, d):
     """Entries due, one triggered by hand, and those still open once the due ones are marked; one was removed."""
-    k = F.col("n_nationkey")
+    k = F.col("c_custkey")
     at = F.when(k % 3 == 0, now()).otherwise(now() + F.expr("INTERVAL 1 HOUR"))
-    rows = views.table(spark, d, "nation").select(F.concat(F.lit("s"), k.cast("string")).alias("id"), F.array(F.concat(F.lit("/n/"), k.cast("string")), F.lit("n/relative")).alias("file_paths"), k.cast("int").alias("priority"), at.alias("scheduled"), (k == 9).alias("executed"))
+    rows = views.table(spark, d, "customer").select(F.concat(F.lit("s"), k.cast("string")).alias("id"), F.array(F.concat(F.lit("/n/"), k.cast("string")), F.lit("n/relative")).alias("file_paths"), k.cast("int").alias("priority"), at.alias("scheduled"), (k == 9).alias("executed"))
     kept = audit.remove_schedule(rows, "s6")
     left = audit.mark_executed(kept, now()).filter("NOT executed")
     still = audit.due_paths(audit.list_schedule(left), now() + F.expr("INTERVAL 2 HOURS"))
@@ -881,13 +893,17 @@ def rate_limited(spark, d):
     return audit.within_rate(order, 2).select(F.col("event_id.event_id").alias("event_id"), "channel", F.unix_timestamp("timestamp").alias("minute"))
 
 
-@query("""SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY n_name) AS seq_id, n_name AS event_type, CASE WHEN n_nationkey % 2 = 0 THEN 'info' ELSE 'warning' END AS severity, '{"nation":' || n_nationkey || '}' AS payload_json FROM nation""")
+@query("""SELECT event_type, CASE WHEN event_id % 2 = 0 THEN 'info' ELSE 'warning' END AS severity, '{"event":' || event_id || '}' AS payload_json, (SELECT count(*) FROM events) AS numbers FROM events""")
 def audit_appended(spark, d):
-    k = F.col("n_nationkey")
-    new = views.table(spark, d, "nation").select(F.col("n_name").alias("event_type"), F.when(k % 2 == 0, "").otherwise("warning").alias("severity"), audit.payload(nation=k).alias("payload_json"))
+    """Every event appended to the log once more; ``numbers``: how many distinct numbers right after the log's last they have."""
+    k = F.col("event_id")
+    new = views.table(spark, d, "events").select("event_type", F.when(k % 2 == 0, "").otherwise("warning").alias("severity"), audit.payload(event=k).alias("payload_json"))
     log = views.audit(spark, d).select("seq_id", F.col("ts").alias("timestamp"), "event_type", F.lit("info").alias("severity"), "payload_json")
-    first = log.agg(F.max("seq_id").alias("_end"))
-    return audit.append_events(log, new, now()).crossJoin(F.broadcast(first)).filter("seq_id > _end").select("seq_id", "event_type", "severity", "payload_json")
+    last = log.agg(F.max("seq_id")).first()[0]
+    added = audit.append_events(log, new, now()).filter(F.col("seq_id") > last)
+    n = F.count_distinct("seq_id")
+    ends = added.agg(F.when(F.max("seq_id") == last + n, n).alias("numbers"))
+    return added.select("event_type", "severity", "payload_json").crossJoin(F.broadcast(ends))  # one row
 
 
 BATCHES_SQL = f"""(SELECT queue_id, n, completed, failed, saved_bytes, avg_vmaf, 'Transcode Batch: ' || n || ' processed' AS title,
@@ -940,22 +956,22 @@ def channel_fanout(spark, d):
     return audit.for_channels(batches, channels).select("batch", "channel", "n")
 
 
-@query("""SELECT n_nationkey, '{"text":"*' || t || '*\\nm_' || n_nationkey || '"}' AS slack, '{"title":"' || t || '","message":"m_' || n_nationkey || '","priority":' || CASE WHEN n_nationkey % 2 = 0 THEN 8 ELSE 5 END || '}' AS gotify,
-    '*' || replace(t, '_', '\\_') || '*' || chr(10) || 'm\\_' || n_nationkey || CASE WHEN n_nationkey > 0 THEN chr(10) || 'Saved: ' || n_nationkey || '.00 KB' ELSE '' END || CASE WHEN n_nationkey % 4 > 0 THEN chr(10) || 'VMAF: ' || n_nationkey % 4 || '.50' ELSE '' END AS telegram,
-    '<h2>' || t || '</h2><p>m_' || n_nationkey || '</p>' AS smtp,
-    '{"embeds":[{"title":"' || t || '","description":"m_' || n_nationkey || '","color":' || CASE WHEN n_nationkey % 2 = 0 THEN 15158332 ELSE 3066993 END || ',"timestamp":"1998-01-01T00:00:00Z","fields":['
-    || concat_ws(',', CASE WHEN n_nationkey > 0 THEN '{"name":"Saved","value":"' || n_nationkey || '.00 KB"}' END, CASE WHEN n_nationkey % 4 > 0 THEN '{"name":"VMAF","value":"' || n_nationkey % 4 || '.50"}' END) || ']}]}' AS discord
-    FROM (SELECT *, replace(n_name, ' ', '_') AS t FROM nation)""")
+@query(f"""SELECT c_custkey, '{{"text":"*' || t || '*\\nm_' || c_custkey || '"}}' AS slack, '{{"title":"' || t || '","message":"m_' || c_custkey || '","priority":' || CASE WHEN c_custkey % 2 = 0 THEN 8 ELSE 5 END || '}}' AS gotify,
+    '*' || replace(t, '_', '\\_') || '*' || chr(10) || 'm\\_' || c_custkey || CASE WHEN c_custkey > 0 THEN chr(10) || 'Saved: ' || {size_sql('c_custkey * 1024')} || '' ELSE '' END || CASE WHEN c_custkey % 4 > 0 THEN chr(10) || 'VMAF: ' || c_custkey % 4 || '.50' ELSE '' END AS telegram,
+    '<h2>' || t || '</h2><p>m_' || c_custkey || '</p>' AS smtp,
+    '{{"embeds":[{{"title":"' || t || '","description":"m_' || c_custkey || '","color":' || CASE WHEN c_custkey % 2 = 0 THEN 15158332 ELSE 3066993 END || ',"timestamp":"1998-01-01T00:00:00Z","fields":['
+    || concat_ws(',', CASE WHEN c_custkey > 0 THEN '{{"name":"Saved","value":"' || {size_sql('c_custkey * 1024')} || '"}}' END, CASE WHEN c_custkey % 4 > 0 THEN '{{"name":"VMAF","value":"' || c_custkey % 4 || '.50"}}' END) || ']}}]}}' AS discord
+    FROM (SELECT *, replace(c_mktsegment || ' a', ' ', '_') AS t FROM customer)""")
 def channel_messages(spark, d):
-    k = F.col("n_nationkey")
-    events = views.table(spark, d, "nation").select(
-        k, F.replace("n_name", F.lit(" "), F.lit("_")).alias("title"), F.concat(F.lit("m_"), k.cast("string")).alias("message"), now().alias("timestamp"),
+    k = F.col("c_custkey")
+    events = views.table(spark, d, "customer").select(
+        k, F.replace(F.concat("c_mktsegment", F.lit(" a")), F.lit(" "), F.lit("_")).alias("title"), F.concat(F.lit("m_"), k.cast("string")).alias("message"), now().alias("timestamp"),
         F.when(k % 2 == 0, "job_failed").otherwise("job_completed").alias("event_type"), (k * 1024).cast("long").alias("saved_bytes"),
         F.when(k % 4 > 0, k % 4 + 0.5).otherwise(0.0).cast("double").alias("avg_vmaf"),
     )
     for kind in ("slack", "gotify", "telegram", "smtp", "discord"):
         events = audit.render_message(kind, events).withColumnRenamed("body", kind)
-    return events.select("n_nationkey", "slack", "gotify", "telegram", "smtp", "discord")
+    return events.select("c_custkey", "slack", "gotify", "telegram", "smtp", "discord")
 
 
 @query(f"""SELECT (SELECT sum(saved_bytes)::BIGINT FROM {AUDIT}) AS total, (SELECT greatest(max(saved_bytes), 1024) FROM {AUDIT}) AS scale, 'degraded' AS health,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import scalar as S
+from framewright.operators.queue import number_rows, starts_of
 from framewright.schemas import PAYLOAD
 
 #: Audit events that carry a job's figures.
@@ -62,12 +63,12 @@ def outcome_payload(event_type: Column, fields: dict[str, Column]) -> Column:
 
 
 def append_events(audit: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """The log with ``new`` (event_type, severity, payload_json) after it, numbered on from its last event;
-    they are one writer's batch. An empty severity is ``info``."""
+    """The log with ``new`` (event_type, severity, payload_json) after it, numbered on from its last event, in no
+    promised order. An empty severity is ``info``. ``sources.keyed.KeyedTable.append`` does the same for a stored log."""
     last = audit.agg(F.coalesce(F.max("seq_id"), F.lit(0)).alias("_last"))  # one row
-    order = Window.orderBy("event_type", "payload_json")
-    rows = new.withColumn("_k", F.row_number().over(order)).crossJoin(F.broadcast(last))
-    rows = rows.select((F.col("_last") + F.col("_k")).cast("bigint").alias("seq_id"), now.alias("timestamp"), "event_type", F.coalesce(F.nullif("severity", F.lit("")), F.lit("info")).alias("severity"), "payload_json")
+    numbered = number_rows(new.withColumn("_key", F.struct("event_type", "severity", "payload_json")), "_key")
+    rows = numbered.crossJoin(F.broadcast(last))
+    rows = rows.select((F.col("_last") + F.col("_n")).cast("bigint").alias("seq_id"), now.alias("timestamp"), "event_type", F.coalesce(F.nullif("severity", F.lit("")), F.lit("info")).alias("severity"), "payload_json")
     return audit.select(*rows.columns).unionByName(rows)
 
 
@@ -156,9 +157,7 @@ def count_batches(events: DataFrame, size: int, order: str = "seq_id") -> DataFr
     for each range first, then within each, so no task numbers all events."""
     width = 1 << 14
     rows = events.withColumn("_block", F.floor(F.col(order) / width))
-    sizes = rows.groupBy("_block").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_block", before.alias("_before"))
+    starts = starts_of(rows.groupBy("_block").agg(F.count("*").alias("_size")))
     within = F.row_number().over(Window.partitionBy("_block").orderBy(order))
     numbered = rows.withColumn("_k", within).join(starts, "_block")
     return numbered.withColumn("batch", F.floor((F.col("_before") + F.col("_k") - 1) / size).cast("long")).drop("_block", "_k", "_before")

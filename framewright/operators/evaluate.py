@@ -324,15 +324,34 @@ def select_encoder(codec: Column, prefer: Column, encoders: Column, families: Co
     return case
 
 
+#: Encoders that count only if a trial run of them worked, by family.
+TRIED = {
+    "nvenc": ("hevc_nvenc", "h264_nvenc", "av1_nvenc"), "qsv": ("hevc_qsv", "h264_qsv", "av1_qsv"), "amf": ("hevc_amf", "h264_amf"), "vaapi": ("hevc_vaapi", "h264_vaapi"),
+}
+#: Devices of video acceleration, the first that exists is taken; the last is taken even if it doesn't.
+DEVICES = ("/dev/dri/card0", "/dev/dri/renderD128", "/dev/dri")
+
+
 def working_encoders(listed: Column, tested: Column) -> Column:
-    """Map of the encoders that a tool lists: software as listed, hardware only if its test passed."""
-    hardware = lambda e: e.rlike("_(" + "|".join(FAMILIES) + ")$")
-    good = F.filter(F.array_distinct(listed), lambda e: ~hardware(e) | F.array_contains(tested, e))
+    """Map of the encoders that a tool lists: those that are to be tried only if their test passed, others as listed."""
+    tried = [e for family in TRIED.values() for e in family]
+    good = F.filter(F.array_distinct(listed), lambda e: ~e.isin(*tried) | F.array_contains(tested, e))
     return F.map_from_arrays(good, F.transform(good, lambda e: F.lit(True)))
 
 
+def hardware_report(encoders: Column) -> Column:
+    """Struct of what a machine can do, from its map of working encoders: a flag for each family, and the encoders by name."""
+    has = lambda e: F.coalesce(F.try_element_at(encoders, F.lit(e)), F.lit(False))
+    flags = [reduce(lambda a, b: a | b, map(has, names)).alias(f"has_{family}") for family, names in TRIED.items()]
+    return F.struct(*flags, F.array_sort(F.map_keys(encoders)).alias("encoders"))
+
+
+def acceleration_device(existing: Sequence[str]) -> str:
+    return next((d for d in DEVICES if d in existing), DEVICES[-1])
+
+
 def encoder_arguments(
-    encoder: Column, hardware: Column, source: Column, target: Column, crf: Column, speed: Column, plan: Column, device: str = "/dev/dri/renderD128",
+    encoder: Column, hardware: Column, source: Column, target: Column, crf: Column, speed: Column, plan: Column, device: str = DEVICES[0],
 ) -> Column:
     """The encoder's argument vector as an array of text: input resilience, stream maps, video encoder with
     its family's quality settings, audio and subtitles of ``plan``, muxing and container."""

@@ -87,8 +87,11 @@ def set_priority(queue: DataFrame, holds: Column, priority: int) -> DataFrame:
     return _set(_set(queue, holds, priority=F.lit(priority)), leased, state=F.lit("pending"), worker_id=_null(), leased_at=_null(), lease_expires_at=_null())
 
 
-def delete(queue: DataFrame, metadata: DataFrame, ids: Sequence[int]) -> tuple[DataFrame, DataFrame]:
-    """Without the jobs and their metadata."""
+def delete(queue: DataFrame, metadata: DataFrame, ids: Sequence[int] | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Without the jobs and their metadata; ``ids`` is a short list, or a frame with a column ``id`` of any length."""
+    if isinstance(ids, DataFrame):
+        gone = ids.select("id")
+        return queue.join(gone, "id", "left_anti").select(*queue.columns), metadata.join(gone.withColumnRenamed("id", "queue_id"), "queue_id", "left_anti").select(*metadata.columns)
     return queue.filter(~F.col("id").isin(*ids)), metadata.filter(~F.col("queue_id").isin(*ids))
 
 
@@ -112,12 +115,21 @@ def number_rows(df: DataFrame, key: str, blocks: int = 1024) -> DataFrame:
     block = F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block")
     rows = df.withColumn("_block", block)
     sizes = rows.groupBy("_block").agg(F.count("*").alias("_size"))  # at most ``blocks`` rows
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.select("_block", before.alias("_before")))
+    starts = F.broadcast(starts_of(sizes))
     within = F.row_number().over(Window.partitionBy("_block").orderBy(key))
     return rows.withColumn("_k", within).join(starts, "_block").withColumn("_n", F.col("_before") + F.col("_k")).drop("_block", "_k", "_before")
 
 
+def starts_of(sizes: DataFrame, span: int = 1024) -> DataFrame:
+    """(_block, _before): rows in all blocks before each, of (_block, _size). Blocks are summed up by spans first, so no task
+    orders more than a span of blocks or all spans."""
+    rows = sizes.withColumn("_span", F.floor(F.col("_block") / span))
+    so_far = lambda w: F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = rows.groupBy("_span").agg(F.sum("_size").alias("_size")).select("_span", so_far(Window.orderBy("_span")).alias("_first"))
+    within = rows.withColumn("_in", so_far(Window.partitionBy("_span").orderBy("_block")))
+    return within.join(spans, "_span").select("_block", (F.col("_first") + F.col("_in")).alias("_before"))
+
+
 def upsert(table: DataFrame, new: DataFrame, key: str, keep_first: Sequence[str] = (), order: Column | None = None) -> DataFrame:
     """``new`` rows replace those of the same key; columns of ``keep_first`` stay as first inserted.
 
