@@ -102,15 +102,19 @@ def grams(values: np.ndarray, docs: np.ndarray, size: int, salt: int) -> tuple[n
 def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, trains: Column, features: Features, per_class: int) -> Sample:
     """Features of at most ``per_class`` labelled training documents of each class.
 
-    The rows with the smallest hash of their id are taken, so the sample doesn't depend on the order
-    or the layout of the tables; ids and labels that are null are left out.
+    The ids with the smallest hash are taken, and of rows that share an id the one with the smallest
+    digest of its text, so the sample doesn't depend on the order or the layout of the tables and has
+    a row for each id at most, however often one repeats. Ids and labels that are null are left out,
+    and ids that are labelled both ways.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & trains)
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_most")).filter("label = _most").drop("_most")
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.filter("label = 1").orderBy(*order).limit(per_class).unionByName(known.filter("label = 0").orderBy(*order).limit(per_class))
     # At most 2 * per_class ids, so this side may be broadcast whatever the corpus.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "label", "text")
+    met = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = met.groupBy("doc_id", "label").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
     schema = T.StructType([T.StructField("features", T.ArrayType(T.IntegerType(), False))])
 
     def make():
