@@ -11,7 +11,10 @@ each entry, so the filter grows with the corpus and its false-positive rate stay
 in one place: a block of texts sends its distinct n-grams to their segments and gets levels back.
 
 Score: of each token, log10 of WEIGHT * c(pair) / c(word before) + (1 - WEIGHT) * smoothed share of the
-word, all counts as the filter gives them.
+word, counts as the filter gives them. A pair can't have been met more often than either of its words,
+so its count is held to theirs: one with a word that was never met counts for nothing, and what is left
+of false hits is one of rare words. A level is quantised, so a token is off by log10 of BASE or so where
+nothing is wrong; a false hit shows as a pair of count 1.
 
 Base score: it needs exact counts. Each segment has those of its range's words beside it, and the same
 shuffle brings them back, so the result is exact for any vocabulary.
@@ -31,13 +34,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from framewright.llm.arrow import give_back, slices, text_view
-from framewright.llm.joins import unused
+from framewright.llm.joins import named, unused
 from framewright.llm.lineage import cut
 from framewright.llm.text import U64, Words, combine, mix, words
 
 #: Ratio between the counts of neighbouring levels.
 BASE = 1.5
-PROBES = 3
+PROBES = 7
 BITS_PER_ENTRY = 10
 #: Bytes of training text for each hash range, and the least number of ranges.
 RANGE_BYTES, LEAST_RANGES = 32 << 20, 8
@@ -172,7 +175,7 @@ def count_blocks(docs: DataFrame, text_col: str, n: int) -> DataFrame:
             yield from blocks(held, False)
             yield from blocks(held_pairs, True)
 
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
     return docs.select(text.alias("text")).mapInArrow(run, BLOCK)
 
 
@@ -267,7 +270,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     session's settings and the layout of the table, and a range's segment stays small at any size. An
     empty frame gives a model of no tokens, by which every n-gram is new.
     """
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(named(text_col).cast("string")))).first()[0] or 0
     n = max(LEAST_RANGES, -(-size // RANGE_BYTES))
     merged = cut(count_blocks(docs, text_col, n).groupBy("range").applyInArrow(merge, MERGED))
     n_tokens, n_words = (x or 0 for x in merged.agg(F.sum("n_tokens"), F.sum("n_words")).first())
@@ -378,7 +381,8 @@ def _scores(kept: list[str], source: str, n: int, total: float):
         doc = np.repeat(np.arange(w.n_docs), np.diff(bounds))
         _, where = np.unique(toks, return_inverse=True)
         _, which = np.unique(short(pairs(toks), n), return_inverse=True)
-        pair = level_count(pair_level.astype(np.int64))[which]
+        own = exact[where]
+        pair = np.minimum(level_count(pair_level.astype(np.int64))[which], np.minimum(own, np.concatenate((own[-1:], own[:-1]))))
         logs = np.log10((exact + SMOOTHING) / total)
         lm = log_probabilities(toks, where, level_count(word_level.astype(np.int64)), pair, total)
         made = [
@@ -400,8 +404,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] |
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in SCORED.names]
     source = unused(kept, "_framewright_text")
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    frame = df.select(*[F.col(f"`{c}`") for c in kept], text.alias(source))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    frame = df.select(*[named(c) for c in kept], text.alias(source))
     schema = T.StructType([frame.schema[c] for c in kept] + list(SCORED.fields))
     # Rows travel with what they ask, so blocks are made once and the same on both ways.
     asked = frame.mapInArrow(_asked(source, model.n), ASKED).groupBy("range")
