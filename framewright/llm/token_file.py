@@ -37,6 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from framewright.llm.arrow import slices, text_view
 from framewright.llm.bpe import byte_alphabet
+from framewright.llm.joins import named
 
 #: Fixed value: the constant that the record format adds to a rotated checksum.
 MASK_DELTA = 0xA282EAD8
@@ -174,8 +175,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     number from the bytes of text. An id that fills several ranges is dealt among them. A text of any
     length is one record. An empty frame gives no records.
     """
-    doc_id = F.col(f"`{id_col}`").cast("long")
-    rows = df.select(doc_id.alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    doc_id = named(id_col).cast("long")
+    rows = df.select(doc_id.alias("doc_id"), named(text_col).cast("string").alias("text"))
     size, count = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     n = min(MOST_TASKS, max(1, -(-(size or 0) // TASK_BYTES)))
     files = max(1, -(-(size or 0) // FILE_BYTES))
