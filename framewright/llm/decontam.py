@@ -2,13 +2,14 @@
 
 Test items are short and documents long, so similarity of whole sets says nothing; what counts is the
 share of an item's shingles that a document holds, its containment. Items are partitioned by the size of
-their set. In a partition of sets of up to ``u`` shingles an item's sketch has the
-``floor((1 - t) * u) + SPARE`` first of its hashes, rare ones (among items) before common ones and then by
-size, so that a shingle which many items share draws documents only where an item has little else. The
-documents' shingle hashes probe the sketches, and the share of a sketch that a document holds estimates
-the containment. An item of ``n`` shingles can lack ``floor((1 - t) * n)`` of them in a document that
-holds a share ``t``; a candidate whose sketch lacks more cannot reach ``t`` and goes, so none is lost.
-Candidates are verified exactly, by all shingles of the item in the document, held as 64-bit hashes.
+their set. In a partition of sets of up to ``u`` shingles an item's sketch is its
+``floor((1 - t) * u) + SPARE`` least hashes: a random sample of its shingles, so that the share of it that a
+document holds estimates the containment. Hashes that over ``COMMON_ITEMS`` items have come after all
+others, so a phrase which many items share draws documents only where an item has little else (the sample
+is one of its own phrases then). The documents' shingle hashes probe the sketches. An item of ``n``
+shingles can lack ``floor((1 - t) * n)`` of them in a document that holds a share ``t``; a candidate whose
+sketch lacks more cannot reach ``t`` and goes, so no sketch, however drawn, loses a match. Candidates are
+verified exactly, by all shingles of the item in the document, held as 64-bit hashes.
 
 Items of fewer words than a shingle are one shingle of that many words, and are looked for among the
 documents' shingles of that length too. A document's words are one array, so the longest text sets the
@@ -31,6 +32,8 @@ from framewright.llm.lineage import cut
 SIZES = (8, 16, 32, 64, 128, 256, 512, 1024)
 #: Hashes of a sketch beyond those that an item may lack.
 SPARE = 3
+#: A hash of more items than this is common.
+COMMON_ITEMS = 16
 #: Items' hashes are broadcast while they are no more than this (16 bytes each); beyond it they shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -57,7 +60,8 @@ def item_shingles(items: DataFrame, size: int, percent: int, id_col: str = "item
         own = F.when(length == k, shingle_hashes(F.col("w"), k)).otherwise(own)
     rows = cut(made.select("item_id", length.alias("words"), F.explode(own).alias("hash")).distinct())
     often = rows.groupBy("hash").agg(F.count("*").alias("often"))
-    sets = rows.join(often, "hash").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("often", "hash", "words"))).alias("set"))
+    common = (F.col("often") > COMMON_ITEMS).alias("common")
+    sets = rows.join(often, "hash").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(common, "hash", "words"))).alias("set"))
     n = F.size("set")
     upper = F.greatest(n, F.lit(SIZES[-1]))
     for end in reversed(SIZES):
