@@ -7,7 +7,8 @@ bytes, 128 added for a null doc_id (u8) | ids``, two bytes an id where the vocab
 A checksum is CRC-32 (of zlib), masked by rotating it right by 15 bits and adding a constant, so that a
 checksum of data that itself holds checksums stays meaningful.
 
-The index is a Parquet table with a row for every record: its file, offset and length, its doc_id and
+Files are cut by bytes, ``FILE_BYTES`` each, whatever the texts' lengths; they lie in folders by their number in
+a task. The index is a Parquet table with a row for every record: its file, offset and length, its doc_id and
 number of ids; ``parts/`` has the number of ids before each file. ``read_at`` and ``shuffled`` seek by the
 index and read no other bytes; ``read`` takes whole files in order.
 
@@ -29,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -159,11 +161,10 @@ ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("bl
 
 @dataclass
 class Records:
-    """Framed records to write: (doc_id, block, record), how many blocks, and how many rows a file takes."""
+    """Framed records to write: (doc_id, block, record), and how many blocks."""
 
     rows: DataFrame
     n_blocks: int
-    rows_a_file: int
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> Records:
@@ -177,9 +178,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """
     doc_id = named(id_col).cast("long")
     rows = df.select(doc_id.alias("doc_id"), named(text_col).cast("string").alias("text"))
-    size, count = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
     n = min(MOST_TASKS, max(1, -(-(size or 0) // TASK_BYTES)))
-    files = max(1, -(-(size or 0) // FILE_BYTES))
     quantiles = rows.select(F.percentile_approx(F.coalesce("doc_id", F.lit(NO_ID)), [k / n for k in range(1, n)], max(10_000, 20 * n)).alias("q")).first()["q"] if n > 1 else []
     ends = np.array(quantiles or [], np.int64)
     schema = to_arrow_schema(ENCODED)
@@ -204,7 +204,29 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 met += b - a
                 yield pa.RecordBatch.from_arrays([ids, pa.array(block.astype(np.int32)), pa.array(records, pa.binary())], schema=schema)
 
-    return Records(rows.mapInArrow(run, ENCODED), n, max(1, -(-count // files)))
+    return Records(rows.mapInArrow(run, ENCODED), n)
+
+
+PIECES = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("record", T.BinaryType())])
+
+
+def _pieces(limit: int):
+    """Sorted records with the number of the file that takes each in its block: a new one begins with the
+    record that would take the last one beyond ``limit`` bytes, so only a longer record makes a longer file."""
+    schema = to_arrow_schema(PIECES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, held = 0, 0
+        for batch in batches:
+            pieces = []
+            for n in (pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) + 1).tolist():
+                if held and held + n > limit:
+                    piece, held = piece + 1, 0
+                held += n
+                pieces.append(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), batch.column(0), batch.column(1)], schema=schema)
+
+    return run
 
 
 INDEX = T.StructType(
@@ -218,8 +240,8 @@ INDEX = T.StructType(
         T.StructField("n_ids", T.LongType()),
     ]
 )
-#: Fixed value: how Spark names a task's files.
-_FILE = re.compile(r"part-(\d+)-.*-c(\d+)\b")
+#: Fixed value: how Spark names a task's file of one piece, below the folder of records.
+_FILE = re.compile(r"piece=(\d+)/part-(\d+)-[^/]*$")
 
 
 def _entry(raw: memoryview, at: int) -> tuple[int | None, int]:
@@ -233,8 +255,9 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = to_arrow_schema(INDEX)
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            file = path.as_py().rsplit("/", 1)[-1]
-            part, number = (int(x) for x in _FILE.match(file).groups())
+            found = _FILE.search(path.as_py())
+            number, part = (int(x) for x in found.groups())
+            file = found[0]
             raw, at, rows = memoryview(content.as_buffer()), 0, []
             while at < len(raw):
                 length = record_length(raw, at)
@@ -249,11 +272,13 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write(encoded: Records, path: str) -> None:
-    """Writes records in ascending doc_id order, null ids first, and then their index."""
+    """Writes records in ascending doc_id order, null ids first, and then their index. Records of one id
+    come in any order; an empty frame writes no record."""
     spark = encoded.rows.sparkSession
-    ordered = encoded.rows.repartitionById(encoded.n_blocks, "block").sortWithinPartitions("doc_id")
-    text = ordered.select(F.col("record").cast("string").alias("value"))
-    text.write.mode("overwrite").option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", encoded.rows_a_file).text(f"{path}/records")
+    ordered = encoded.rows.repartitionById(encoded.n_blocks, "block").sortWithinPartitions("doc_id").select("doc_id", "record")
+    cut = ordered.mapInArrow(_pieces(FILE_BYTES), PIECES).sortWithinPartitions("piece", "doc_id")  # in that order already; the writer asks for it
+    text = cut.select(F.col("record").cast("string").alias("value"), "piece")
+    text.write.mode("overwrite").partitionBy("piece").option("lineSep", "\n").option("compression", "none").text(f"{path}/records")
     _files(spark, path).mapInArrow(_index, INDEX).write.mode("overwrite").parquet(f"{path}/index")
     sums = spark.read.parquet(f"{path}/index").groupBy("part", "file_number", "file").agg(F.sum("n_ids").alias("n_ids"))
     # A row for each file: some tens of bytes for each FILE_BYTES of text.
@@ -305,7 +330,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     ``ids`` are little-endian u32; ``start`` counts the ids of all records before it.
     """
     starts = spark.read.parquet(f"{path}/parts").select("file", "start")
-    files = _files(spark, path).withColumn("file", F.substring_index("path", "/", -1))
+    files = _files(spark, path).withColumn("file", F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2)))
     return files.join(starts, "file").select("start", "content").mapInArrow(_documents, DOCUMENT)
 
 

@@ -371,3 +371,23 @@ def test_a_pair_with_an_unknown_word_counts_for_nothing(spark):
 def test_arrow_slices_of_a_packed_column():
     made = byte_bpe._binary(np.array([1, 2, 3], "<u4"), np.array([0, 1, 1, 3]))
     assert [np.frombuffer(x, "<u4").tolist() for x in made.to_pylist()] == [[1], [], [2, 3]] and made.type == pa.binary()
+
+
+def test_record_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    """A run of long texts among short ones: no file takes more than the limit but for one longer record."""
+    from framewright.llm import token_file
+
+    monkeypatch.setattr(token_file, "FILE_BYTES", 20_000)
+    rows = [(k, "short one" if k < 300 or k >= 400 else "many more words " * 300) for k in range(500)] + [(1000, "w " * 40_000), (None, None)]
+    path = str(tmp_path / "tokens")
+    coded = token_file.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), public_tokenizers.path("word_bpe_49k.json"))
+    token_file.write(coded, path)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "tokens" / "records").rglob("part-*"))
+    assert len(sizes) > 10 and sizes[-2] <= 20_000 < sizes[-1]
+    got = token_file.read(spark, path).collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, *range(500), 1000]
+    ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in got)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends[:-1], ends[1:], strict=True))
+    some = token_file.read_at(spark, path, token_file.index(spark, path).filter("doc_id in (350, 1000)"))
+    want = {r["doc_id"]: bytes(r["ids"]) for r in got}
+    assert {r["doc_id"]: bytes(r["ids"]) for r in some.collect()} == {k: want[k] for k in (350, 1000)}
