@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ FIRST = 8
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, LED, IN_WHITE, ONE_LEFT, TWO_LEFT = range(8)
 #: The letters that follow the apostrophe of a contraction.
 SHORT_ENDS, LONG_ENDS = "stmd", ("re", "ve", "ll")
+#: Bytes up to which a pre-token is merged by plain search and cached, and pre-tokens that are coded at a time.
+LONG_PIECE, SLICES = 128, 1 << 17
 
 
 def transitions() -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +195,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class ByteBpe:
     """Encoder and decoder of one rank file, with a merge cache of bounded size."""
 
-    def __init__(self, path: str, cache_bytes: int = 32 << 20, splitter: Splitter | None = None):
+    def __init__(self, path: str, cache_bytes: int = 96 << 20, splitter: Splitter | None = None):
         self.ranks = read_ranks(path)
         size = max(self.ranks.values()) + 1
         self.lengths = np.zeros(size, np.int64)
@@ -203,13 +206,32 @@ class ByteBpe:
         self.at = np.cumsum(self.lengths) - self.lengths  # where a token's bytes begin in ``bytes``
         self.split = splitter or Splitter()
         self.cache: dict[bytes, tuple[int, ...]] = {}
-        self.limit = self.room = cache_bytes
+        self.older: dict[bytes, tuple[int, ...]] = {}
+        self.limit = self.room = cache_bytes // 2
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token: itself where it is a token, else pairs merged, lowest rank first."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
+        return self._merge_short(piece) if len(piece) <= LONG_PIECE else self._merge_long(piece)
+
+    def _merge_short(self, piece: bytes) -> tuple[int, ...]:
+        """By looking for the least rank among all pairs after each merge."""
+        rank, none = self.ranks.get, len(self.lengths)
+        ends = list(range(len(piece) + 1))
+        pairs = [rank(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            del ends[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = rank(piece[ends[i - 1] : ends[i + 1]], none)
+            if i < len(pairs):
+                pairs[i] = rank(piece[ends[i] : ends[i + 2]], none)
+        return tuple([self.ranks[piece[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+
+    def _merge_long(self, piece: bytes) -> tuple[int, ...]:
+        """By a heap of pairs."""
         n = len(piece)
         after = list(range(1, n + 2))
         before = list(range(-1, n))
@@ -237,26 +259,33 @@ class ByteBpe:
             i = after[i]
         return tuple(ids)
 
+    def ids_of(self, piece: bytes) -> tuple[int, ...]:
+        """``merge`` through the cache, which is of two generations: a full one becomes the older, whose pieces come
+        back to the newer one as they are met."""
+        got = self.cache.get(piece)
+        if got is None:
+            got = self.older.get(piece) or self.merge(piece)
+            if len(piece) <= LONG_PIECE:  # longer ones hardly come again
+                self.room -= len(piece) + 8 * len(got) + 200
+                if self.room < 0:
+                    self.cache, self.older, self.room = {}, self.cache, self.limit
+                self.cache[piece] = got
+        return got
+
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, ends, bounds) of a block of texts: ``ends`` are the tokens' ends as offsets in the block, a
         text's tokens are ``bounds[d]:bounds[d + 1]``."""
-        starts = self.split.starts(raw, offsets)
         data = raw.tobytes()
-        cache, ids = self.cache, []
-        places = [*starts.tolist(), len(data)]
-        for a, b in zip(places[:-1], places[1:], strict=True):
-            piece = data[a:b]
-            got = cache.get(piece)
-            if got is None:
-                got = self.merge(piece)
-                if b - a <= 256:  # long pieces hardly come again
-                    self.room -= b - a + 8 * len(got) + 200
-                    if self.room < 0:
-                        cache.clear()
-                        self.room = self.limit
-                    cache[piece] = got
-            ids += got
-        flat = np.array(ids, np.uint32)
+        places = [*self.split.starts(raw, offsets).tolist(), len(data)]
+        parts = [np.zeros(0, np.uint32)]
+        for k in range(0, len(places) - 1, SLICES):
+            some = places[k : k + SLICES + 1]
+            pieces = [data[a:b] for a, b in zip(some[:-1], some[1:], strict=True)]
+            found = list(map(self.cache.get, pieces))
+            if None in found:
+                found = [self.ids_of(p) if got is None else got for p, got in zip(pieces, found, strict=True)]
+            parts.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        flat = np.concatenate(parts)
         ends = np.cumsum(self.lengths[flat])
         return flat, ends, np.searchsorted(ends, offsets, "right")
 
