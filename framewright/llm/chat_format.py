@@ -2,9 +2,10 @@
 
 A transcript is plain text whose lines belong to turns. The hidden state of a line is its role and
 whether it begins a turn; its observations are a speaker marker at its start (a role's name or alias, or
-the first or second name of a transcript that names its speakers otherwise), whether the marker is
-written as the transcript's first one is, blankness, length, a closing question mark and whether it opens
-like an instruction. Emission and transition chances are counted, with smoothing, over transcripts made
+the first, second or a further name of a transcript that names its speakers otherwise), the marker's shape
+(a name and a sign, a bracket, a heading, a tag, a time before it), whether it is written as the
+transcript's first one is, blankness, length, a closing question mark and whether it opens like an
+instruction. Emission and transition chances are counted, with smoothing, over transcripts made
 of known conversations in several marker styles, whose texts hold lists, code and lines that look like
 markers. Viterbi finds the most likely states; turns are then rendered in one canonical form.
 """
@@ -30,14 +31,22 @@ ROLES = ("system", "user", "assistant")
 #: How transcripts call each role.
 ALIASES = {
     "system": ("system", "sys", "instructions", "context"),
-    "user": ("user", "human", "customer", "question", "q", "me", "prompter"),
-    "assistant": ("assistant", "ai", "bot", "agent", "answer", "a", "model", "gpt"),
+    "user": ("user", "human", "customer", "question", "q", "me", "prompter", "you", "utilisateur", "usuario", "benutzer", "nutzer"),
+    "assistant": ("assistant", "ai", "bot", "agent", "answer", "a", "model", "gpt", "chatgpt", "chatbot", "assistente", "asistente", "assistent"),
 }
 _ROLE_OF = {alias: role for role, names in ALIASES.items() for alias in names}
+#: Verbs that may stand between a speaker's name and the colon.
+_SAYS = ("said", "says", "asked", "replied", "answered", "wrote")
+_NAME = r"[^\W\d_][\w.'-]{0,23}(?: [A-Z][\w.'-]{0,23})?"
+_TIME = r"[\[(]?\d{1,2}:\d\d(?::\d\d)?(?: ?[AaPp][Mm])?[\])]?(?: ?[-,–])? "
 _MARKER = re.compile(
-    r"\s*(?:<\|(?:im_start\|>)?\s*(?P<tag>[A-Za-z]+)\s*(?:\|>)?"
-    r"|(?P<open>[\[(#>*_]*)(?P<gap> *)(?P<name>[^\W\d_][\w.'-]{0,23}(?: [A-Z][\w.'-]{0,23})?)(?P<close> ?[\])*_]*)(?P<sep>:|>|\]|-(?=\s))(?P<after>[*_]*))"
+    rf"\s*(?:<\|(?:im_start\|>)?\s*(?P<tag>[A-Za-z]+)\s*(?:\|>)?"
+    rf"|<(?P<xml>[A-Za-z]+)>"
+    rf"|(?P<hashes>#{{1,6}}) +(?P<heading>{_NAME})\s*$"
+    rf"|(?P<time>{_TIME})?(?P<open>[\[(#>*_]*)(?P<gap> *)(?P<name>{_NAME}?)(?P<says> (?:{'|'.join(_SAYS)}))?(?P<close> ?[\])*_]*)(?P<sep>:|>|\]|-(?=\s))(?P<after>[*_]*))"
 )
+#: What ends a turn in some transcripts, at its last line's end.
+_CLOSING = re.compile(r"\s*(?:</(?P<xml>[A-Za-z]+)>|<\|(?:end|im_end|eot|endoftext)\|>)\s*$")
 STATES = [(role, begins) for role in ROLES for begins in (True, False)]
 IMPOSSIBLE = -1e9
 
@@ -47,55 +56,83 @@ class Marker:
     name: str  # lower-cased
     style: str  # all but the name: marks around it, its case and whether it is one letter
     end: int  # where the text after it begins
+    shape: str  # sign, bracket, heading, tag or time
 
 
 def marker(line: str) -> Marker | None:
     """The speaker marker that a line may begin with. Marks after the separator belong to it only where
-    the same marks open it, so Markdown in the text after it stays."""
+    the same marks open it, so Markdown in the text after it stays. A tag such as ``<b>`` or a heading is
+    one only where it names a role."""
     m = _MARKER.match(line)
     if not m:
         return None
-    name = m["tag"] or m["name"]
-    case = "one" if len(name) == 1 else "upper" if name.isupper() else "title" if name[0].isupper() else "lower"
+    name = m["tag"] or m["xml"] or m["heading"] or m["name"]
+    # A short name in capitals, such as AI, is a title as others are.
+    case = "one" if len(name) == 1 else "upper" if name.isupper() and len(name) > 3 else "title" if name[0].isupper() else "lower"
+    end, shape = m.end(), "tag"
     if m["tag"]:
-        style, end = f"<|{'im_start' if 'im_start' in m[0] else ''} {case}", m.end()
+        style = f"<|{'im_start' if 'im_start' in m[0] else ''} {case}"
+    elif m["xml"] or m["heading"]:
+        if name.lower() not in _ROLE_OF:
+            return None
+        style, shape = (f"<> {case}", "tag") if m["xml"] else (f"{m['hashes']} {case}", "heading")
     else:
         closes = bool(m["after"]) and m["open"].endswith(m["after"])
         end = m.end() if closes else m.end("sep")
-        style = f"{m['open']}{m['gap']}{m['close']}{m['sep']}{m['after'] if closes else ''} {case}"
+        style = f"{'time ' if m['time'] else ''}{m['open']}{m['gap']}{m['says'] or ''}{m['close']}{m['sep']}{m['after'] if closes else ''} {case}"
+        shape = "time" if m["time"] else "heading" if m["open"].startswith("#") else "bracket" if m["open"] or m["sep"] != ":" else "sign"
     while end < len(line) and line[end] in " \t":
         end += 1
-    return Marker(name.lower(), style, end)
+    return Marker(name.lower(), style, end, shape)
 
 
 @dataclass(frozen=True)
 class Context:
     """What all lines of a transcript share: how its first line's marker is written (or else the first that
-    names a role) and, where no marker written so names a role, the first two names that are."""
+    names a role), and the names that speak without naming a role, by the order in which they come in."""
 
     style: str = ""
     names: tuple[str, ...] = ()
+    missing: str = ""  # the role of the only such name, where all other speakers bear roles' names
+
+
+#: Speakers told apart by name; those past the last are taken for text.
+SPEAKERS = ("first", "second", "third", "third")
 
 
 def context(lines: list[str]) -> Context:
+    """Names that bear no role are speakers where they are written as the first marker is: any two, and more that
+    come again. Beside markers with roles there is one at most: where the user or the assistant has no marker, a name that
+    the transcript begins with or that comes again."""
     found = [m for m in map(marker, lines) if m]
     first = marker(next((x for x in lines if x.strip()), ""))
     if not first:
         return Context(next((m.style for m in found if m.name in _ROLE_OF), ""))
-    alike = [m.name for m in found if m.style == first.style]
-    if any(name in _ROLE_OF for name in alike):
-        return Context(first.style)
-    return Context(first.style, tuple(dict.fromkeys(alike))[:2])
+    alike = Counter(m.name for m in found if m.style == first.style)
+    roles = {_ROLE_OF[n] for n in alike if n in _ROLE_OF}
+    others = [n for n in alike if n not in _ROLE_OF]
+    if not roles:
+        return Context(first.style, tuple(n for k, n in enumerate(others) if k < 2 or alike[n] > 1)[: len(SPEAKERS)])
+    missing = [r for r in ("user", "assistant") if r not in roles]
+    other = next((n for n in others if n == first.name or alike[n] > 1), None)
+    if len(missing) == 1 and other:
+        return Context(first.style, (other,), missing[0])
+    return Context(first.style)
+
+
+def speaker(name: str, own: Context) -> str:
+    """What a marker's name stands for: a role, a speaker by number, or ``other``."""
+    if name in own.names:
+        return own.missing or SPEAKERS[own.names.index(name)]
+    return _ROLE_OF.get(name, "other")
 
 
 def observe(line: str, own: Context) -> tuple[tuple[str, str], ...]:
     text, m = line.strip(), marker(line)
-    who = "none"
-    if m:
-        who = _ROLE_OF.get(m.name) or ("first", "second")[own.names.index(m.name)] if m.name in _ROLE_OF or m.name in own.names else "other"
+    alike = m is not None and m.style == own.style
     return (
-        ("marker", who),
-        ("style", "none" if not m else "same" if m.style == own.style else "differs"),
+        ("marker", f"{speaker(m.name, own)} {'same' if alike else 'differs'}" if m else "none"),
+        ("shape", m.shape if m and not alike else "none"),  # the own style's is told by the marker
         ("blank", str(not text)),
         ("words", str(min(6, len(text.split()).bit_length()))),
         ("asks", str(text.endswith("?"))),
@@ -104,8 +141,8 @@ def observe(line: str, own: Context) -> tuple[tuple[str, str], ...]:
 
 
 VALUES = {
-    "marker": (*ROLES, "first", "second", "other", "none"),
-    "style": ("same", "differs", "none"),
+    "marker": (*(f"{who} {how}" for who in (*ROLES, "first", "second", "third", "other") for how in ("same", "differs")), "none"),
+    "shape": ("sign", "bracket", "heading", "tag", "time", "none"),
     "blank": ("True", "False"),
     "words": tuple(str(k) for k in range(7)),
     "asks": ("True", "False"),
@@ -196,14 +233,18 @@ def fit(transcripts: list[tuple[list[str], list[tuple[str, bool]]]], smoothing:
     return Hmm(log_start, log_steps, log_emit)
 
 
-STYLES = ("User: ", "**User:** ", "[user] ", "<|user|> ", "### User: ", "U", "> User: ")
+STYLES = ("User: ", "**User:** ", "[user] ", "<|user|> ", "### User: ", "U", "> User: ", "### User\n", "<user>", "User said: ", "10:01 user> ")
 
 
 def mark(role: str, style: int, alias: int) -> str:
     """A speaker marker in one of ``STYLES``."""
     names = ALIASES[role]
     name = names[alias % min(3, len(names))]
-    return (f"{name.capitalize()}: ", f"**{name.capitalize()}:** ", f"[{name}] ", f"<|{name}|> ", f"### {name.capitalize()}: ", f"{names[0].upper()}: ", f"> {name.capitalize()}: ")[style % len(STYLES)]
+    title = name.upper() if len(name) < 3 else name.capitalize()
+    made = (
+        f"{title}: ", f"**{title}:** ", f"[{name}] ", f"<|{name}|> ", f"### {title}: ", f"{names[0].upper()}: ", f"> {title}: ", f"### {title}\n", f"<{name}>", f"{title} said: ", f"10:01 {name}> ",
+    )
+    return made[style % len(STYLES)]
 
 
 def transcript(turns: list[tuple[str, str]], seed: int, names: dict[str, str] | None = None) -> tuple[list[str], list[tuple[str, bool]]]:
@@ -215,8 +256,9 @@ def transcript(turns: list[tuple[str, str]], seed: int, names: dict[str, str] |
     for role, text in turns:
         head = mark(role, style, alias)
         if names:
-            head = f"{names[role]}: " if style % 2 else f"**{names[role]}:** "
-        for i, line in enumerate((head + text).split("\n")):
+            head = f"{names[role]}: " if style % 3 == 0 else f"**{names[role]}:** " if style % 3 == 1 else f"[10:01] {names[role]}: "
+        tail = f"</{head[1:-1]}>" if head.startswith("<") and head.endswith(">") and "|" not in head else ""
+        for i, line in enumerate((head + text + tail).split("\n")):
             lines.append(line)
             states.append((role, i == 0))
         if gap:
@@ -225,6 +267,15 @@ def transcript(turns: list[tuple[str, str]], seed: int, names: dict[str, str] |
     return lines, states
 
 
+def _with_third(made: tuple[list[str], list[tuple[str, bool]]], names: dict[str, str], third: str, at: tuple[int, ...]) -> tuple[list[str], list[tuple[str, bool]]]:
+    """A made transcript in which the turns ``at`` are a third speaker's."""
+    lines, states = made
+    begins = [i for i, (_, first) in enumerate(states) if first]
+    for k in at:
+        lines[begins[k]] = lines[begins[k]].replace(names["user"], third, 1)
+    return lines, states
+
+
 def default_model(seed: int = 11, n: int = 400) -> Hmm:
     """The model of ``n`` made conversations."""
     rng = random.Random(seed)
@@ -235,11 +286,13 @@ def default_model(seed: int = 11, n: int = 400) -> Hmm:
 
     def aside() -> str:
         """A line inside a turn that looks like a marker or other markup."""
-        kinds = ("A: {}", "Q: {}", "Note: {}", "model: {}", "agent: {}", "* {}", "- {}", "1. {}", "**{}** x", "key: {}", "    x = {}", "> {}", "# {}", "Step one: {}", "Warning - {}", "user: {}", "http://{}")
+        kinds = ("A: {}", "Q: {}", "Note: {}", "model: {}", "agent: {}", "* {}", "- {}", "1. {}", "**{}** x", "key: {}", "    x = {}", "> {}", "# {}", "Step one: {}", "Warning - {}", "user: {}", "http://{}", "Warning: {}", "Result: {}", "Note: {}")
         return rng.choice(kinds).format(phrase(1, 5))
 
     def text(least: int, most: int) -> str:
         out = []
+        if rng.random() < 0.15:
+            return phrase(1, 2) + rng.choice(("", "?"))
         for _ in range(rng.randint(least, most)):
             out.append(phrase(2, 14).capitalize() + rng.choice((".", ".", "?", "")) + rng.choice((" ", " ", "\n", "\n\n")))
             if rng.random() < 0.12:
@@ -254,6 +307,14 @@ def default_model(seed: int = 11, n: int = 400) -> Hmm:
             turns += [("user", text(1, 4)), ("assistant", text(1, 8))]
             if rng.random() < 0.15:  # a speaker may go on in a turn of their own
                 turns.append(rng.choice(turns[-2:]))
+        if names and len(turns) > 4 and rng.random() < 0.3:  # a third speaker, who counts as a user
+            third = "guest" + phrase(1, 1)
+            for at in (4, 2):  # after the first two have spoken
+                turns.insert(at, ("user", text(1, 3)))
+            made.append(_with_third(transcript(turns, seed * 1000 + k, names), names, third.capitalize(), (2, 5)))
+            continue
+        if not names and rng.random() < 0.08:  # an excerpt may begin with an answer
+            turns = [t for t in turns if t[0] != "system"][1:]
         made.append(transcript(turns, seed * 1000 + k, names))
     for _ in range(n // 40):  # text without any marker is the user's
         lines = text(1, 6).split("\n")
@@ -269,25 +330,34 @@ class Turn:
 
 
 def turns_of(lines: list[str], states: list[int], own: Context) -> list[Turn]:
-    """Turns of decoded lines: the markers of lines that begin turns are taken off where they name the
-    turn's speaker, white space around a turn goes, and empty turns too."""
-    turns: list[tuple[str, list[str], bool]] = []
+    """Turns of decoded lines: the markers of lines that begin turns are taken off where they name a
+    speaker, and closing tags of that role or of any with a turn's last line; white space around a turn
+    goes, and empty turns too."""
+    turns: list[tuple[str, list[str], bool, Marker | None]] = []
     for line, state in zip(lines, states, strict=True):
         role, begins = STATES[state]
         if begins or not turns:
             m = marker(line) if begins else None
             named = m and (_ROLE_OF.get(m.name) == role or m.name in own.names)
-            turns.append((role, [line[m.end :] if named else line], begins))
+            turns.append((role, [line[m.end :] if named else line], begins, m if named else None))
         else:
             turns[-1][1].append(line)
-    stripped = [Turn(role, "\n".join(x).strip(), begins) for role, x, begins in turns]
+    stripped = [Turn(role, _closed("\n".join(x).strip(), m), begins) for role, x, begins, m in turns]
     return [t for t in stripped if t.text]
 
 
+def _closed(text: str, m: Marker | None) -> str:
+    """Without the tag that closes the turn, where the turn began with one of its kind."""
+    end = _CLOSING.search(text) if m else None
+    if not end or end["xml"] and not (m.style.startswith("<>") and end["xml"].lower() == m.name):
+        return text
+    return text[: end.start()].strip()
+
+
 def parse(text: str, model: Hmm) -> list[tuple[str, str]]:
     """(role, text) of each turn of a transcript. A text of no words has no turns. Of speakers that bear
-    names instead of roles the first to speak is the user; all others are the assistant or, past the
-    second, whatever the turns around them make likeliest."""
+    names instead of roles the first to speak is the user, the second the assistant, and further ones who
+    come again are users too."""
     lines = text.split("\n") if text.strip() else []
     own = context(lines)
     return [(t.role, t.text) for t in turns_of(lines, model.decode(lines, own), own)]

@@ -343,6 +343,29 @@ def test_chat_text_is_kept():
 
 
 #: Transcripts written by hand: other styles, lists, code, names, lines that look like markers.
+def test_transcripts_in_other_forms():
+    """At least nine of ten turns of transcripts that the model wasn't made for, and no marker is left in a text."""
+    from transcripts import FOREIGN
+
+    model = chat_format.default_model()
+    right = total = 0
+    for turns, text in FOREIGN:
+        found = chat_format.parse(text, model)
+        right += sum((collections.Counter(turns) & collections.Counter(found)).values())
+        total += len(turns)
+        assert chat_format.unrender(chat_format.render(found)) == found
+    assert len(FOREIGN) == 30 and right >= 0.9 * total
+
+
+def test_named_speakers_and_closing_tags():
+    model = chat_format.default_model()
+    parse = lambda text: chat_format.parse(text, model)
+    assert parse("Doctor: hi\nPatient: pain\nNurse: sit\nDoctor: where?\nNurse: here\nPatient: leg") == [("user", "hi"), ("assistant", "pain"), ("user", "sit"), ("user", "where?"), ("user", "here"), ("assistant", "leg")]
+    assert parse("<user>a <b>bold</b></user>\n<assistant>c</assistant>") == [("user", "a <b>bold</b>"), ("assistant", "c")]
+    assert parse("User: what does </user> mean?\nAssistant: it ends <user>")[0] == ("user", "what does </user> mean?")
+    assert parse("Assistant : salut\nPaul : ça va ?\nAssistant : oui\nPaul : bien") == [("assistant", "salut"), ("user", "ça va ?"), ("assistant", "oui"), ("user", "bien")]
+
+
 TRANSCRIPTS = [
     ([("assistant", "**Bold** start\n* item one\n* item two")], "Assistant: **Bold** start\n* item one\n* item two"),
     ([("user", "how?"), ("assistant", "see\nA: first\nQ: third\nmodel: gpt\nagent: x"), ("user", "ok")], "User: how?\nAssistant: see\nA: first\nQ: third\nmodel: gpt\nagent: x\nUser: ok"),
