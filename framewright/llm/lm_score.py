@@ -219,12 +219,22 @@ def merge(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], schema=to_arrow_schema(MERGED))
 
 
-def _positions(hashes: np.ndarray, level: int, n: int, bits: int) -> list[np.ndarray]:
-    """Bit numbers of an entry: its range's segment, and PROBES places in it by double hashing."""
-    base = ranges(hashes, n) * U64(bits)
+def _seeds(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of an entry's probes."""
     h = mix(hashes + U64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
-    a, b = h >> U64(32), (h & U64(0xFFFFFFFF)) | U64(1)
-    return [base + ((((a + U64(k) * b) & U64(0xFFFFFFFF)) * U64(bits)) >> U64(32)) for k in range(PROBES)]
+    return h >> U64(32), (h & U64(0xFFFFFFFF)) | U64(1)
+
+
+def _place(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, n: int, bits: int) -> np.ndarray:
+    """Bit number of an entry's k-th probe: its range's segment, and a place in it by double hashing."""
+    return ranges(hashes, n) * U64(bits) + ((((a + U64(k) * b) & U64(0xFFFFFFFF)) * U64(bits)) >> U64(32))
+
+
+def _positions(hashes: np.ndarray, level: int, n: int, bits: int) -> Iterator[np.ndarray]:
+    """Bit numbers of entries, PROBES times, one array at a time."""
+    a, b = _seeds(hashes, level)
+    for k in range(PROBES):
+        yield _place(hashes, a, b, k, n, bits)
 
 
 @dataclass
@@ -241,11 +251,11 @@ class Filter:
         live = np.arange(len(hashes))
         k = 1
         while len(live) and k <= 120:
-            h = hashes[live]
-            hit = np.ones(len(h), bool)
-            for pos in _positions(h, k, self.n, self.bits):
-                hit &= (self.data[pos >> U64(3)] >> (pos & U64(7)).astype(np.uint8)) & 1 == 1
-            live = live[hit]
+            a, b = _seeds(hashes[live], k)
+            for probe in range(PROBES):  # what misses one probe isn't asked for the next
+                pos = _place(hashes[live], a, b, probe, self.n, self.bits)
+                hit = (self.data[pos >> U64(3)] >> (pos & U64(7)).astype(np.uint8)) & 1 == 1
+                live, a, b = live[hit], a[hit], b[hit]
             out[live] = k
             k += 1
         return out
