@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from framewright.llm.joins import named, unused
+from framewright.llm.joins import column_of, unused
 
 #: Bytes of text that one slice of a batch holds (a single longer text makes a slice of its own).
 SLICE_BYTES = 1 << 20
@@ -69,7 +69,7 @@ def append_columns(
     names = [f.name for f in outputs]
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     source = unused(kept, "_framewright_text")
-    frame = df.select(*[named(c) for c in kept], named(text_col).cast("string").alias(source))
+    frame = df.select(*[column_of(c) for c in kept], column_of(text_col).cast("string").alias(source))
     schema = T.StructType([frame.schema[c] for c in kept] + list(outputs.fields))
     types = [to_arrow_type(f.dataType) for f in outputs]
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.llm.arrow import append_columns, give_back, text_view
-from framewright.llm.joins import named
+from framewright.llm.joins import column_of
 
 #: Classes of characters.
 OTHER, LETTER, NUMBER, WHITE, SPACE, NOTHING = range(6)
@@ -368,7 +368,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", ends_col: str = "ends
         made = [None if i is None or e is None else bpe.decode(np.frombuffer(i, "<u4"), np.frombuffer(e, "<u4").astype(np.int64)).tobytes() for i, e in zip(ids, ends, strict=True)]
         return ids.__class__(made, dtype=object)
 
-    return df.withColumn(out_col, texts(named(ids_col), named(ends_col)))
+    return df.withColumn(out_col, texts(column_of(ids_col), column_of(ends_col)))
 
 
 def count(packed: Column) -> Column:

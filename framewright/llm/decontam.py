@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import bloom
 from framewright.llm.exact_dedup import lower_ascii
-from framewright.llm.joins import named
+from framewright.llm.joins import column_of
 from framewright.llm.lineage import cut
 
 #: Ends of the size partitions: sets of up to so many shingles.
@@ -53,7 +53,7 @@ def shingle_hashes(words: Column, size: int) -> Column:
 def item_shingles(items: DataFrame, size: int, percent: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, words, n, least, hash, kept): the distinct shingle hashes of each item, how many words they
     have, how many of the sketch a document must hold, and whether the sketch has them."""
-    made = items.select(named(id_col).alias("item_id"), word_array(named(text_col)).alias("w")).filter(F.col("item_id").isNotNull())
+    made = items.select(column_of(id_col).alias("item_id"), word_array(column_of(text_col)).alias("w")).filter(F.col("item_id").isNotNull())
     length = F.least(F.size("w"), F.lit(size))
     own = shingle_hashes(F.col("w"), size)
     for k in range(size - 1, 0, -1):
@@ -88,7 +88,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80,
     shingles = cut(item_shingles(items, size, percent))
     n_rows = shingles.count()
     lengths = sorted({r["words"] for r in shingles.select("words").distinct().collect()} | {size})  # up to ``size``
-    texts = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
+    texts = docs.select(column_of(id_col).alias("doc_id"), column_of(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
 
     def met(frame: DataFrame, some: DataFrame) -> DataFrame:
         """Rows of ``some`` by each document that holds their hash, for each place that does."""
@@ -118,7 +118,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80,
 def mark_contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, ``contaminated``, ``n_items`` and ``item_ids`` (sorted)."""
     per_doc = matches(docs, items, size, percent, id_col, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    rows = docs.select(named(id_col).alias("doc_id")).join(per_doc, "doc_id", "left")
+    rows = docs.select(column_of(id_col).alias("doc_id")).join(per_doc, "doc_id", "left")
     ids = F.coalesce("item_ids", F.array().cast(per_doc.schema["item_ids"].dataType))
     return rows.select("doc_id", (F.size(ids) > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import bloom
-from framewright.llm.joins import hot_join, named, packed
+from framewright.llm.joins import column_of, hot_join, packed
 from framewright.llm.lineage import cut
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -51,8 +51,8 @@ def mark_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """
     made = ["keep_id", "group_size", "kept", "text_sha256"]
     kept = [c for c in (keep or [id_col]) if c not in made]
-    carried = F.struct(*[named(c) for c in kept] or [F.lit(1)]).alias("_row")
-    rows = cut(df.select(carried, named(id_col).alias("_id"), digest(named(text_col)).alias("text_sha256")))
+    carried = F.struct(*[column_of(c) for c in kept] or [F.lit(1)]).alias("_row")
+    rows = cut(df.select(carried, column_of(id_col).alias("_id"), digest(column_of(text_col)).alias("text_sha256")))
     total = rows.count()
     rows, groups = _groups(rows, total)
     maybe = hot_join(rows.filter("_maybe"), groups, ["text_sha256"], "_rows", total)
@@ -74,12 +74,12 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     A second reading of the texts: rows whose digest isn't in the Bloom filter of repeated digests
     pass straight through; only the others meet the groups in a shuffle.
     """
-    rows = cut(df.select(named(id_col).alias("_id"), digest(named(text_col)).alias("text_sha256")))
+    rows = cut(df.select(column_of(id_col).alias("_id"), digest(column_of(text_col)).alias("text_sha256")))
     total = rows.count()
     _, groups = _groups(rows, total)
     bits = bloom.bits_for(groups.count())
     pages = bloom.members(groups.select(F.xxhash64("text_sha256").alias("_key")), "_key", bits)
-    whole = df.select(packed(df).alias("_row"), named(id_col).alias("_id"), digest(named(text_col)).alias("text_sha256"))
+    whole = df.select(packed(df).alias("_row"), column_of(id_col).alias("_id"), digest(column_of(text_col)).alias("text_sha256"))
     whole = bloom.probe(whole.withColumn("_key", F.xxhash64("text_sha256")), "_key", pages, bits, "_maybe")
     stays = F.col("_n").isNull() | F.col("_keep").eqNullSafe(F.col("_id"))
     maybe = hot_join(whole.filter("_maybe"), groups, ["text_sha256"], "_rows", total).filter(stays)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.llm.arrow import append_columns, text_view
-from framewright.llm.joins import hot_join, named
+from framewright.llm.joins import column_of, hot_join
 from framewright.llm.lineage import cut
 from framewright.llm.text import mix
 
@@ -209,8 +209,8 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     label is neither good nor toxic, and a null id has none. Repeated ids count as a row each. An empty corpus
     gives no rows. Other columns aren't read. Texts are compared by SHA-256; a null text is an empty one.
     """
-    text = F.coalesce(named(text_col), F.lit(""))
-    slim = docs.select(named(id_col).alias("doc_id"), F.coalesce(named(part_col).cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("text_key"), text.alias("text"))
+    text = F.coalesce(column_of(text_col), F.lit(""))
+    slim = docs.select(column_of(id_col).alias("doc_id"), F.coalesce(column_of(part_col).cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("text_key"), text.alias("text"))
     filters = text_filters()
     flagged = cut(flag(measure(slim, keep=["doc_id", "part", "text_key"]), filters).select("doc_id", "part", "text_key", "mask"))
     marked = mark_repeats(flagged, len(filters))

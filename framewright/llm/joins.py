@@ -23,7 +23,7 @@ def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, t
     return first.filter("_met").drop("_met").unionByName(rest.join(groups.filter(F.col(weight) < least).drop(weight), keys, "left"))
 
 
-def named(name: str) -> Column:
+def column_of(name: str) -> Column:
     """The column of exactly that name, whatever is in it."""
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -31,7 +31,7 @@ def named(name: str) -> Column:
 def packed(df: DataFrame) -> Column:
     """All columns of a caller's frame as one struct: beside it, helper columns clash with none of them.
     ``select("<its name>.*")`` gives them back as they were."""
-    return F.struct(*[named(c) for c in df.columns])
+    return F.struct(*[column_of(c) for c in df.columns])
 
 
 def unused(names: list[str], wish: str) -> str:

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from framewright.llm.arrow import give_back, slices, text_view
-from framewright.llm.joins import named, unused
+from framewright.llm.joins import column_of, unused
 from framewright.llm.lineage import cut
 from framewright.llm.text import U64, Words, combine, mix, words
 
@@ -175,7 +175,7 @@ def count_blocks(docs: DataFrame, text_col: str, n: int) -> DataFrame:
             yield from blocks(held, False)
             yield from blocks(held_pairs, True)
 
-    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(column_of(text_col).cast("string"), F.lit(""))
     return docs.select(text.alias("text")).mapInArrow(run, BLOCK)
 
 
@@ -280,7 +280,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     session's settings and the layout of the table, and a range's segment stays small at any size. An
     empty frame gives a model of no tokens, by which every n-gram is new.
     """
-    size = docs.agg(F.sum(F.octet_length(named(text_col).cast("string")))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(column_of(text_col).cast("string")))).first()[0] or 0
     n = max(LEAST_RANGES, -(-size // RANGE_BYTES))
     merged = cut(count_blocks(docs, text_col, n).groupBy("range").applyInArrow(merge, MERGED))
     n_tokens, n_words = (x or 0 for x in merged.agg(F.sum("n_tokens"), F.sum("n_words")).first())
@@ -414,8 +414,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] |
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in SCORED.names]
     source = unused(kept, "_framewright_text")
-    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
-    frame = df.select(*[named(c) for c in kept], text.alias(source))
+    text = F.coalesce(column_of(text_col).cast("string"), F.lit(""))
+    frame = df.select(*[column_of(c) for c in kept], text.alias(source))
     schema = T.StructType([frame.schema[c] for c in kept] + list(SCORED.fields))
     # Rows travel with what they ask, so blocks are made once and the same on both ways.
     asked = frame.mapInArrow(_asked(source, model.n), ASKED).groupBy("range")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from framewright.llm.joins import named, packed
+from framewright.llm.joins import column_of, packed
 from framewright.llm.lineage import cut
 
 ARITY = 16
@@ -355,13 +355,13 @@ def build(
     holds, which ``proofs`` folds in place of the leaf. ``keep`` (default: all columns) are carried to the proofs.
     An empty frame has no root and no proofs. A lone row's digest is its group's root, a lone group's root the root.
     """
-    source = {c: named(c) for c in columns}
+    source = {c: column_of(c) for c in columns}
     leaf = leaf_digest(list(source.values()))
     other = F.lit(None).cast("string")
     if candidate:
         other = F.when(candidate_where if candidate_where is not None else F.lit(True), leaf_digest(list((source | dict(candidate)).values())))
-    kept = df if keep is None else df.select(*[named(c) for c in keep])
-    rows = df.select(named(group_col).cast("string").alias("_group"), named(id_col).alias("_id"), leaf.alias("_leaf"), other.alias("_candidate"), packed(kept).alias("_row"), F.monotonically_increasing_id().alias("_tie"))
+    kept = df if keep is None else df.select(*[column_of(c) for c in keep])
+    rows = df.select(column_of(group_col).cast("string").alias("_group"), column_of(id_col).alias("_id"), leaf.alias("_leaf"), other.alias("_candidate"), packed(kept).alias("_row"), F.monotonically_increasing_id().alias("_tie"))
     order = ["_group", "_id", "_leaf", "_tie"]  # equal rows are dealt to several ranges by the last
     sc = df.sparkSession.sparkContext
     n = min(MOST_PARTITIONS, max(sc.defaultParallelism, -(-df.count() // PARTITION_ROWS)))

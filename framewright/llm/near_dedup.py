@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from framewright.llm import bloom
 from framewright.llm.arrow import append_columns
 from framewright.llm.components import connected_components
-from framewright.llm.joins import hot_join, named
+from framewright.llm.joins import column_of, hot_join
 from framewright.llm.lineage import cut
 from framewright.llm.text import U64, mix, shingles, words
 
@@ -92,7 +92,7 @@ def sketches(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "
 
         return run
 
-    rows = df.select(named(id_col).alias("doc_id"), named(text_col).alias("_text"))
+    rows = df.select(column_of(id_col).alias("doc_id"), column_of(text_col).alias("_text"))
     return append_columns(rows, "_text", SKETCH, make, ["doc_id"])
 
 
@@ -326,7 +326,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     hashes of its shingles. A text of any length is read whole, by one task. Other columns are left out.
     An empty frame gives an empty frame.
     """
-    docs = df.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
+    docs = df.select(column_of(id_col).alias("doc_id"), column_of(text_col).alias("text"))
     sketched = cut(sketches(docs, size))
     classes = cut(classes_of(sketched))
     total = sketched.count()

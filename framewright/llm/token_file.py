@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from framewright.llm.arrow import slices, text_view
 from framewright.llm.bpe import byte_alphabet
-from framewright.llm.joins import named
+from framewright.llm.joins import column_of
 
 #: Fixed value: the constant that the record format adds to a rotated checksum.
 MASK_DELTA = 0xA282EAD8
@@ -176,8 +176,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     number from the bytes of text. An id that fills several ranges is dealt among them. A text of any
     length is one record. An empty frame gives no records.
     """
-    doc_id = named(id_col).cast("long")
-    rows = df.select(doc_id.alias("doc_id"), named(text_col).cast("string").alias("text"))
+    doc_id = column_of(id_col).cast("long")
+    rows = df.select(doc_id.alias("doc_id"), column_of(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
     n = min(MOST_TASKS, max(1, -(-(size or 0) // TASK_BYTES)))
     quantiles = rows.select(F.percentile_approx(F.coalesce("doc_id", F.lit(NO_ID)), [k / n for k in range(1, n)], max(10_000, 20 * n)).alias("q")).first()["q"] if n > 1 else []
