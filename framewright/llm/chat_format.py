@@ -347,9 +347,9 @@ def turns_of(lines: list[str], states: list[int], own: Context) -> list[Turn]:
 
 
 def _closed(text: str, m: Marker | None) -> str:
-    """Without the tag that closes the turn, where the turn began with one of its kind."""
-    end = _CLOSING.search(text) if m else None
-    if not end or end["xml"] and not (m.style.startswith("<>") and end["xml"].lower() == m.name):
+    """Without the tag that closes the turn, where the turn began with one of its kind: elsewhere it is text."""
+    end = _CLOSING.search(text) if m and m.shape == "tag" else None
+    if not end or bool(end["xml"]) != m.style.startswith("<>") or end["xml"] and end["xml"].lower() != m.name:
         return text
     return text[: end.start()].strip()
 
