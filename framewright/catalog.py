@@ -12,7 +12,9 @@ from framewright.operators import audit, dedupe, evaluate, quality, queue, scan
 from framewright.operators.evaluate import Rule
 from framewright.plans import api, views
 from framewright.plans.scratch import shared_folder
-from framewright.schemas import JOB_METADATA, QUEUE as QUEUE_COLUMNS, SIGNATURE
+from framewright.schemas import AUDIT as AUDIT_COLUMNS
+from framewright.schemas import JOB_METADATA, SIGNATURE
+from framewright.schemas import QUEUE as QUEUE_COLUMNS
 from framewright.sources.keyed import KeyedTable
 from framewright.streaming import stateful
 
@@ -219,9 +221,7 @@ def sink_metadata(spark, d):
     SELECT 'again', 'info', event_id % 10 FROM events) GROUP BY ALL""")
 def sink_audit(spark, d):
     """All events appended to a keyed table in two batches, numbered without a gap; the second batch comes twice and counts once."""
-    from framewright.schemas import AUDIT as columns
-
-    table = KeyedTable.create(spark, shared_folder(spark), columns, "seq_id", 16)
+    table = KeyedTable.create(spark, shared_folder(spark), AUDIT_COLUMNS, "seq_id", 16)
     k = F.col("event_id")
     events = views.table(spark, d, "events").select("event_type", F.when(k % 2 == 0, "info").otherwise("warning").alias("severity"), audit.payload(k=k % 10).alias("payload_json"), now().alias("timestamp"))
     table.append(events, "seq_id", ("log", 0))
