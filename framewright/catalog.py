@@ -16,7 +16,7 @@ from framewright.schemas import AUDIT as AUDIT_COLUMNS
 from framewright.schemas import JOB_METADATA, SIGNATURE
 from framewright.schemas import QUEUE as QUEUE_COLUMNS
 from framewright.sources.keyed import KeyedTable
-from framewright.streaming import stateful
+from framewright.streaming import stateful, streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -293,13 +293,33 @@ def dedupe_exact(spark, d):
     return dedupe.mark_duplicates(views.files(spark, d)).select("path", "is_duplicate")
 
 
-@query(f"""WITH f AS (SELECT *, min(seq) OVER (PARTITION BY size) AS hidden FROM {FILES}),
+DEDUPE_LIVE_SQL = f"""WITH f AS (SELECT *, min(seq) OVER (PARTITION BY size) AS hidden FROM {FILES}),
     g AS (SELECT size, signature, min(seq) AS first FROM f WHERE seq > hidden GROUP BY 1, 2)
-    SELECT path, coalesce(seq > hidden AND seq > first, false) AS is_duplicate FROM f LEFT JOIN g USING (size, signature)""")
+    SELECT path, coalesce(seq > hidden AND seq > first, false) AS is_duplicate FROM f LEFT JOIN g USING (size, signature)"""
+
+
+@query(DEDUPE_LIVE_SQL)
 def dedupe_live(spark, d):
     return dedupe.mark_duplicates(views.files(spark, d), "live").select("path", "is_duplicate")
 
 
+def in_slices(df, column, n):
+    """A table by ranges of a column, in order; nulls come first."""
+    ends = df.stat.approxQuantile(column, [k / n for k in range(1, n)], 0.01)
+    edges = [None, *sorted(set(ends)), None]
+    above = lambda a: F.lit(True) if a is None else F.col(column) > a
+    upto = lambda b: F.lit(True) if b is None else F.col(column) <= b
+    return [df.filter(F.coalesce(above(a) & upto(b), F.lit(a is None))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+@query(DEDUPE_LIVE_SQL)
+def stream_dedupe_live(spark, d):
+    """The live index as a stream, over all files in slices, with a restart after each."""
+    files = views.files(spark, d).drop("lang")
+    made = streams.replay(in_slices(files, "seq", 4), stateful.live_duplicates, shared_folder(spark))
+    return made.select("path", "is_duplicate")
+
+
 @query(f"SELECT count(DISTINCT size) AS unique_files FROM {FILES}")
 def unique_sizes(spark, d):
     return dedupe.unique_sizes(views.files(spark, d))
@@ -511,12 +531,23 @@ def signatures_recent(spark, d):
     return dedupe.signatures_since(rows, dt.datetime(1996, 1, 1)).select("path")
 
 
-@query(f"SELECT event_type AS channel, round(coalesce(sum(vmaf) FILTER (vmaf > 0), 0), 4) AS sum, count(*) FILTER (vmaf > 0) AS count, round(coalesce(avg(vmaf) FILTER (vmaf > 0), 0), 6) AS mean FROM {AUDIT} GROUP BY 1")
+RUNNING_SQL = f"SELECT event_type AS channel, round(coalesce(sum(vmaf) FILTER (vmaf > 0), 0), 4) AS sum, count(*) FILTER (vmaf > 0) AS count, round(coalesce(avg(vmaf) FILTER (vmaf > 0), 0), 6) AS mean FROM {AUDIT} GROUP BY 1"
+
+
+@query(RUNNING_SQL)
 def running_vmaf(spark, d):
     rows = stateful.running_mean(views.audit(spark, d).withColumnRenamed("event_type", "channel"))
     return rows.select("channel", F.round("sum", 4).alias("sum"), "count", F.round("mean", 6).alias("mean"))
 
 
+@query(RUNNING_SQL)
+def stream_running_vmaf(spark, d):
+    """Sums and counts kept over slices of the events, with a restart after each."""
+    rows = views.audit(spark, d).select("seq_id", F.col("event_type").alias("channel"), "vmaf")
+    made = streams.replay(in_slices(rows, "seq_id", 3), stateful.running_mean, shared_folder(spark), "complete")
+    return made.select("channel", F.round("sum", 4).alias("sum"), "count", F.round("mean", 6).alias("mean"))
+
+
 @query("""SELECT state, count(*) AS n FROM (SELECT CASE WHEN l_returnflag = 'A' THEN 'skipped' WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'completed'
     WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN CASE WHEN l_orderkey % 4 < 3 THEN 'pending' ELSE 'permanently_failed' END
     WHEN l_returnflag = 'N' AND l_linenumber = 2 THEN 'permanently_failed' WHEN l_returnflag = 'N' AND l_discount = 0 THEN 'skipped'
