@@ -806,7 +806,8 @@ def size_sql(n: str) -> str:
 def size_texts(spark, d):
     """Sizes of every unit, ties of rounding among them."""
     n, o, p, s = (F.col(f"l_{c}") for c in ("linenumber", "orderkey", "partkey", "suppkey"))
-    size = F.when(n == 1, p).when(n == 2, p * s).when(n == 3, p * 128).when(n == 4, o * 131072).otherwise(o * p * s * 1048576)
+    wide = o.cast("decimal(38,0)")  # the product of three keys passes 64 bits
+    size = F.when(n == 1, p).when(n == 2, p * s).when(n == 3, p * 128).when(n == 4, o * 131072).otherwise(wide * p * s * 1048576)
     return views.table(spark, d, "lineitem").select(o, n, S.format_bytes(size).alias("text"))
 
 

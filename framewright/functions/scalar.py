@@ -92,6 +92,7 @@ def fixed(x: Column, decimals: int) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
+    """A size with its unit; also one past 64 bits, as a decimal, in EB."""
     out = F.format_string("%d B", n.cast("long"))
     for k, unit in enumerate("KMGTPE", 1):
         out = F.when(n >= 1024**k, F.concat(fixed(n / 1024.0**k, 2), F.lit(f" {unit}B"))).otherwise(out)

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from framewright import catalog
 from framewright.functions import scalar as S
 from framewright.operators import audit, dedupe, evaluate, quality, queue, scan
 from framewright.operators.evaluate import AudioPolicy, Rule
@@ -361,3 +362,10 @@ def test_duplicates_of_null_sizes_and_single_files(spark):
     none = dict.fromkeys(r[0] for r in rows)
     assert {r["path"]: r["original"] for r in dedupe.mark_duplicates(files).collect()} == none | {"/b": "/a", "/c": "/a"}
     assert {r["path"]: r["original"] for r in dedupe.mark_duplicates(files, "live").collect()} == none | {"/c": "/b"}
+
+
+def test_sizes_past_64_bits(spark, tmp_path):
+    rows = [(900_000, 120_000, 6_000, 5), (7, 3, 2, 5), (900_000, 120_000, 6_000, 2), (1, 5, 1, 1)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r["l_orderkey"], r["l_linenumber"]): r["text"] for r in catalog.size_texts(spark, str(tmp_path)).collect()}
+    assert got == {(900_000, 5): "589.35 EB", (7, 5): "42.00 MB", (900_000, 2): "686.65 MB", (1, 1): "5 B"}
