@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.joins import column_of, packed
+from framewright.llm.joins import column_of, packed, shuffled
 from framewright.llm.lineage import cut
 
 #: Slots a key is given, and the largest filter, as a power of two of its slots.
@@ -112,5 +112,5 @@ def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     pages = members(gone.select(F.xxhash64("_gone").alias("_key")), "_key", bits)
     rows = df.select(packed(df).alias("_row"), column_of(id_col).alias("_id"))
     whole = probe(rows.withColumn("_key", F.xxhash64("_id")), "_key", pages, bits, "_maybe")
-    maybe = whole.filter("_maybe").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    maybe = whole.filter("_maybe").join(shuffled(gone), F.col("_id") == F.col("_gone"), "left_anti")
     return whole.filter("not _maybe").select("_row.*").unionByName(maybe.select("_row.*"))

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.001
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input. Below Spark's threshold, which counts compressed bytes, it would be
+    broadcast, and the driver would hold many times that; so it isn't, whatever its size."""
+    return df.hint("merge")
+
+
 def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """Left join of ``rows`` to ``groups``, which are unique in ``keys`` and count their rows in ``weight``.
 
@@ -20,7 +26,7 @@ def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, t
     hot = F.broadcast(groups.filter(F.col(weight) >= least).drop(weight).withColumn("_met", F.lit(True)))
     first = rows.join(hot, keys, "left")
     rest = first.filter("_met IS NULL").drop("_met", *made)
-    return first.filter("_met").drop("_met").unionByName(rest.join(groups.filter(F.col(weight) < least).drop(weight), keys, "left"))
+    return first.filter("_met").drop("_met").unionByName(rest.join(shuffled(groups.filter(F.col(weight) < least).drop(weight)), keys, "left"))
 
 
 def column_of(name: str) -> Column:

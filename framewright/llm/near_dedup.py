@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from framewright.llm import bloom
 from framewright.llm.arrow import append_columns
 from framewright.llm.components import connected_components
-from framewright.llm.joins import column_of, hot_join
+from framewright.llm.joins import column_of, hot_join, shuffled
 from framewright.llm.lineage import cut
 from framewright.llm.text import U64, mix, shingles, words
 
@@ -47,6 +47,8 @@ COLD = 32
 #: Tuple lists, how many values a tuple has, and how many values the larger of two sets is to have below
 #: their common limit (less than ``K`` by four standard errors).
 BANDS, TUPLE, BELOW = 56, 4, 40
+#: Bands that join most of a large group, before the others' keys are made.
+OPENING = 8
 #: Members of a large cluster that all others are compared with first.
 CENTRAL = 8
 #: Classes, and elements of their sets, that one side of a block holds.
@@ -109,23 +111,23 @@ def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(pairs a < b of classes that may be linked, classes with few values outside long lists)."""
     listed = classes.select("cls", "n", F.posexplode(F.slice("sketch", 1, LISTED)).alias("pos", "value"))
     often = listed.groupBy("value").agg(F.count("*").alias("f")).filter("f > 1")
-    met = cut(listed.join(often, "value"))
+    met = cut(listed.join(shuffled(often), "value"))
     cold, hot = met.filter(F.col("f") <= COLD), met.filter(F.col("f") > COLD)
     x = cold.select("value", F.col("cls").alias("a"), F.col("n").alias("n_a"))
     y = cold.select("value", F.col("cls").alias("b"), F.col("n").alias("n_b"))
-    shared = x.join(y, "value").filter((F.col("a") < F.col("b")) & _near_sizes(F.col("n_a"), F.col("n_b"), percent))
+    shared = x.join(shuffled(y), "value").filter((F.col("a") < F.col("b")) & _near_sizes(F.col("n_a"), F.col("n_b"), percent))
     shared = shared.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("n_a", "n_b")).alias("n"))
     in_hot = cut(hot.filter(F.col("pos") < TOLD).groupBy("cls").agg(F.count("*").alias("in_hot")))
     table = F.create_map(*[F.lit(v) for m in range(TOLD + 1) for v in (m, least_shared(m, percent / 100))])
     for end in ("a", "b"):
         hot_of = in_hot.select(F.col("cls").alias(end), F.col("in_hot").alias(f"hot_{end}"))
-        shared = shared.join(hot_of, end, "left").fillna(0, [f"hot_{end}"])
+        shared = shared.join(shuffled(hot_of), end, "left").fillna(0, [f"hot_{end}"])
     told = F.least(F.lit(TOLD), F.col("n")) - F.greatest("hot_a", "hot_b")
     told = F.greatest(F.lit(0), told).cast("int")
     pairs = shared.filter(F.col("shared") >= F.element_at(table, told)).select("a", "b")
 
     # Sets of fewer than four shingles are linked to equal sets only, which are one class already.
-    few = in_hot.join(classes, "cls").filter((F.col("n") > 3) & (F.least(F.lit(TOLD), F.col("n")) - F.col("in_hot") < ENOUGH))
+    few = in_hot.join(shuffled(classes), "cls").filter((F.col("n") > 3) & (F.least(F.lit(TOLD), F.col("n")) - F.col("in_hot") < ENOUGH))
     return pairs, few.select("cls", "n", "in_hot", "sketch")
 
 
@@ -148,8 +150,8 @@ def limits(n: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the sketch, key): a key for each band and limit of a sketch, of the ``TUPLE`` values below
+def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int, bands: range = range(BANDS)) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the sketch, key): a key for each of the bands and each limit of a sketch, of the ``TUPLE`` values below
     the limit that come first in that band's order."""
     size = np.array([len(x) for x in sketches])
     values = np.zeros((len(sketches), K), U64)
@@ -159,7 +161,7 @@ def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int) -> tuple
     where, keys = [], []
     for own, end, live in ((tag, limit, np.ones(len(n), bool)), (tag_2, limit_2, tag_2 != tag)):
         below = inside & (values < np.minimum(end, 2.0**63).astype(U64)[:, None])
-        for band in range(BANDS):
+        for band in bands:
             salt = mix(np.array([band + 0xB0], U64))[0]
             order = np.where(below, mix(values ^ salt), U64(0xFFFFFFFFFFFFFFFF))
             first = np.sort(np.partition(order, TUPLE - 1, axis=1)[:, :TUPLE], axis=1)
@@ -169,28 +171,40 @@ def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int) -> tuple
     return np.concatenate(where), np.concatenate(keys)
 
 
-def clusters(few: DataFrame, percent: int) -> DataFrame:
-    """(cls, n, in_hot, cluster, size, elements) of classes that tuple lists connect to others."""
+def keys_of(rows: DataFrame, percent: int, bands: range) -> DataFrame:
+    """(cls, key) of (cls, n, sketch) rows, for some of the bands."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                cls, n, sketch = (batch.column(i).slice(at, 512) for i in range(3))
+                where, made = tuple_keys([x.values.to_numpy() for x in sketch], n.to_numpy(), percent, bands)
+                yield pa.RecordBatch.from_arrays([pa.array(cls.to_numpy()[where]), pa.array(made.view(np.int64))], names=KEYS.names)
+
+    return rows.mapInArrow(run, KEYS)
 
-    def keys(rows: DataFrame) -> DataFrame:
-        """(cls, key) of (cls, n, sketch) rows."""
 
-        def run(batches):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    cls, n, sketch = (batch.column(i).slice(at, 512) for i in range(3))
-                    where, made = tuple_keys([x.values.to_numpy() for x in sketch], n.to_numpy(), percent)
-                    yield pa.RecordBatch.from_arrays([pa.array(cls.to_numpy()[where]), pa.array(made.view(np.int64))], names=KEYS.names)
+def key_links(named: DataFrame) -> DataFrame:
+    """Links (a, b) of (cls, key) rows: from each to the smallest of its key, for keys that several have."""
+    lists = named.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first <> last")
+    met = named.join(shuffled(cut(lists.select("key", "first"))), "key").filter("cls <> first")
+    return met.select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
 
-        return rows.mapInArrow(run, KEYS)
 
-    def links(named: DataFrame) -> DataFrame:
-        """Links of (cls, key) rows: from each to the smallest of its key, for keys that several have."""
-        lists = named.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first <> last")
-        return named.join(cut(lists.select("key", "first")), "key").filter("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
+def later_keys(few: DataFrame, opening: DataFrame, percent: int) -> DataFrame:
+    """Distinct (cls, key) of the bands after the first ``OPENING``, where a class goes by the smallest that the links of
+    those first bands join it to. Most of a group goes by few then, which bear a key once."""
+    held = opening.groupBy("a").agg(F.min("b").alias("b"))
+    rows = few.join(shuffled(held), F.col("cls") == F.col("a"), "left").select(F.coalesce("b", "cls").alias("cls"), "n", "sketch")
+    return keys_of(rows, percent, range(OPENING, BANDS)).distinct()
 
-    connected = connected_components(links(keys(few.select("cls", "n", "sketch"))))
-    found = cut(connected.toDF("cls", "cluster").join(few.select("cls", "n", "in_hot"), "cls"))
+
+def clusters(few: DataFrame, percent: int) -> DataFrame:
+    """(cls, n, in_hot, cluster, size, elements) of classes that tuple lists connect to others."""
+    slim = few.select("cls", "n", "sketch")
+    opening = cut(key_links(keys_of(slim, percent, range(OPENING))))
+    connected = connected_components(opening.unionByName(key_links(later_keys(slim, opening, percent))))
+    found = cut(connected.toDF("cls", "cluster").join(shuffled(few.select("cls", "n", "in_hot")), "cls"))
     sizes = found.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.count("*").alias("_rows"))
     return cut(hot_join(found, cut(sizes), ["cluster"], "_rows", found.count()))
 
@@ -248,7 +262,7 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt into ``k_own`` blocks and all into ``k_other``, by a hash of the class; each pair of blocks is one
     small group. Rows are copied once for each block they meet.
     """
-    rows, h = members.join(sets, "cls"), F.xxhash64("cls")
+    rows, h = members.join(shuffled(sets), "cls"), F.xxhash64("cls")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     own = rows.filter("asks").select("cluster", F.pmod(h, F.col("k_own")).cast("int").alias("i"), each("k_other").alias("j"), "cls", "comp", "set", F.lit(True).alias("asks"))
     others = rows.select("cluster", each("k_own").alias("i"), F.pmod(h, F.col("k_other")).cast("int").alias("j"), "cls", "comp", "set", F.lit(False).alias("asks"))
@@ -262,7 +276,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     least = t - 5 * math.sqrt(t * (1 - t) / K)
     x = classes.select(F.col("cls").alias("a"), F.col("sketch").alias("s_a"))
     y = classes.select(F.col("cls").alias("b"), F.col("sketch").alias("s_b"))
-    both = pairs.join(x, "a").join(y, "b")
+    both = pairs.join(shuffled(x), "a").join(shuffled(y), "b")
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, K)
     common = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
     return both.filter(common >= least * F.size(union)).select("a", "b")
@@ -274,7 +288,7 @@ def sets_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, size: int) ->
     A Bloom filter of bounded size finds the rows that bear the ids of those classes, so only (about)
     their sets shuffle; a row's keys tell which class it is of, should ids repeat.
     """
-    named = cut(classes.select("cls", "key_a", "key_b", "n", "first_id").join(ends, "cls", "left_semi"))
+    named = cut(classes.select("cls", "key_a", "key_b", "n", "first_id").join(shuffled(ends), "cls", "left_semi"))
     bits = bloom.bits_for(named.count())
     pages = bloom.members(named.select(F.xxhash64("first_id").alias("_key")), "_key", bits)
     some = bloom.probe(docs.select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id")), "_key", pages, bits, "_in").filter("_in")
@@ -288,13 +302,13 @@ def sets_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, size: int) ->
         return run
 
     sets = append_columns(some, "text", schema, make, []).dropDuplicates(KEY)
-    return sets.join(named, KEY).select("cls", "set")
+    return sets.join(shuffled(named), KEY).select("cls", "set")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with ``100 * intersection >= percent * union`` of their full sets."""
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("s_a")), "a")
-    both = both.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("s_b")), "b")
+    both = pairs.join(shuffled(sets.select(F.col("cls").alias("a"), F.col("set").alias("s_a"))), "a")
+    both = both.join(shuffled(sets.select(F.col("cls").alias("b"), F.col("set").alias("s_b"))), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.filter(common * 100 >= (F.size("s_a") + F.size("s_b") - common) * percent).select("a", "b")
 
@@ -339,14 +353,14 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     whole = F.col("size") <= BLOCK
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("in_hot"), F.xxhash64("cls")))
     central = grouped.filter(~whole).select("cluster", "cls", "in_hot", rank.alias("rank")).filter(F.col("rank") <= CENTRAL)
-    asks = grouped.join(central.select("cls", "rank"), "cls", "left").withColumn("asks", whole | F.col("rank").isNotNull())
+    asks = grouped.join(shuffled(central.select("cls", "rank")), "cls", "left").withColumn("asks", whole | F.col("rank").isNotNull())
     k = blocks_for(F.col("size"), F.col("elements"))
     asks = cut(asks.select("cluster", "cls", F.col("cls").alias("comp"), "asks", F.when(whole, k).otherwise(1).alias("k_own"), k.alias("k_other")))
     links = cut(links.unionByName(block_links(asks, sets, percent).select("a", "b")))
     components = connected_components(links)
     large = grouped.filter(~whole)
     if not large.isEmpty():
-        large = cut(large.join(components, F.col("cls") == F.col("node"), "left").select("cluster", "cls", "n", "size", "elements", F.coalesce("component", "cls").alias("comp")))
+        large = cut(large.join(shuffled(components), F.col("cls") == F.col("node"), "left").select("cluster", "cls", "n", "size", "elements", F.coalesce("component", "cls").alias("comp")))
         parts = large.groupBy("cluster", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("e"))
         tops = parts.groupBy("cluster").agg(F.max(F.struct("m", "comp", "e")).alias("top"), F.sum("m").alias("_rows"), F.sum("e").alias("e"))
         left = blocks_for(F.col("_rows") - F.col("top.m"), F.col("e") - F.col("top.e"))
@@ -358,12 +372,12 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
             joined = connected_components(more, "comp_a", "comp_b").select(F.col("node").alias("old"), F.col("component").alias("new"))
             alone = large.filter("cls = comp").select(F.col("cls").alias("node"), F.col("comp").alias("component"))
             known = components.unionByName(alone).distinct()
-            components = cut(known.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")))
+            components = cut(known.join(shuffled(joined), F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")))
     # A component goes by the smallest id in it; a class without links by its own.
-    linked = cut(classes.select(*KEY, "cls", "first_id", "members").join(components.select(F.col("node").alias("cls"), "component"), "cls"))
+    linked = cut(classes.select(*KEY, "cls", "first_id", "members").join(shuffled(components.select(F.col("node").alias("cls"), "component")), "cls"))
     smallest = cut(linked.groupBy("component").agg(F.min("first_id").alias("_component"), F.count("*").alias("_rows")))
     named = hot_join(linked, smallest, ["component"], "_rows", linked.count()).select(*KEY, "members", "_component")
-    alone = classes.join(components, F.col("cls") == F.col("node"), "left_anti").select(*KEY, "members", F.col("first_id").alias("_component"))
+    alone = classes.join(shuffled(components), F.col("cls") == F.col("node"), "left_anti").select(*KEY, "members", F.col("first_id").alias("_component"))
     named = cut(named.unionByName(alone))
     both = hot_join(sketched.drop("sketch").withColumnRenamed("n_shingles", "n"), named, KEY, "members", total).withColumnRenamed("n", "n_shingles")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))

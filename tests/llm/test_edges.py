@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from framewright.llm import bloom, decontam, exact_dedup, html_extract, lm_score, near_dedup, quality, queries, toxicity
+from framewright.llm import bloom, components, decontam, exact_dedup, html_extract, lm_score, near_dedup, quality, queries, toxicity
 from framewright.llm.labelled import Sample
 from framewright.llm.text import mix, words
 
@@ -297,3 +297,29 @@ def test_every_query_on_empty_tables(spark, tmp_path):
     for name, query in queries.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_large_group_gives_few_keys_after_its_first_bands(spark):
+    """And clusters are those of all bands' keys at once."""
+    rng, group = np.random.default_rng(3), 300
+    base = rng.integers(0, 2**63, 1200)
+    sets = [np.unique(np.concatenate([np.delete(base, rng.integers(0, 1200, 25)), rng.integers(0, 2**63, 25)])) for _ in range(group)]
+    sets += [np.unique(rng.integers(0, 2**63, 1200)) for _ in range(20)]
+    rows = [(i, len(s), 24, s[: near_dedup.K].tolist()) for i, s in enumerate(sets)]
+    few = spark.createDataFrame(rows, "cls bigint, n bigint, in_hot bigint, sketch array<bigint>").localCheckpoint()
+    got = {r["cls"]: r["cluster"] for r in near_dedup.clusters(few, 80).collect()}
+    assert got == dict.fromkeys(range(group), 0)
+    slim = few.select("cls", "n", "sketch")
+    every = near_dedup.keys_of(slim, 80, range(near_dedup.BANDS))
+    opening = near_dedup.key_links(near_dedup.keys_of(slim, 80, range(near_dedup.OPENING))).localCheckpoint()
+    assert near_dedup.later_keys(slim, opening, 80).count() < every.count() / 4
+
+
+def test_links_are_not_broadcast(spark, monkeypatch):
+    """Sides that grow with the input stay off the driver, also where they are small enough for Spark's threshold."""
+    plans, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: (cut(df), plans.append(df._jdf.queryExecution().toString()))[0])
+    links = spark.createDataFrame([(k, k + 1) for k in range(60)], "a bigint, b bigint")
+    assert {r["component"] for r in components.connected_components(links).collect()} == {0}
+    assert plans
+    assert not any("BroadcastHashJoin" in p for p in plans)
