@@ -15,7 +15,7 @@ from framewright.plans.scratch import shared_folder
 from framewright.schemas import AUDIT as AUDIT_COLUMNS
 from framewright.schemas import JOB_METADATA, SIGNATURE
 from framewright.schemas import QUEUE as QUEUE_COLUMNS
-from framewright.sources.keyed import KeyedTable
+from framewright.sources.keyed import KeyedTable, buckets_for
 from framewright.streaming import stateful, streams
 
 QUERIES: dict = {}
@@ -192,7 +192,7 @@ def enqueue_new(spark, d):
 def sink_queue(spark, d):
     """The same through the keyed sink, twice: the second time enters nothing."""
     q = views.queue(spark, d)
-    table = KeyedTable.create(spark, shared_folder(spark), QUEUE_COLUMNS, "file_path", 16)
+    table = KeyedTable.create(spark, shared_folder(spark), QUEUE_COLUMNS, "file_path", buckets_for(q.count()))
     table.upsert(q)
     paths = new_paths(spark, d).select("file_path", F.lit("pending").alias("state"), F.lit(50).alias("priority"), F.lit(0).alias("retry_count"), now().alias("created_at"), now().alias("scheduled_at"))
     table.insert_new(paths, "id", ("scan", 0))
@@ -207,7 +207,7 @@ def sink_queue(spark, d):
 def sink_metadata(spark, d):
     """Metadata kept in a keyed table: loaded, changed by all orders (the last one of a job counts), some jobs deleted. When
     a row was made stays as it was."""
-    table = KeyedTable.create(spark, shared_folder(spark), JOB_METADATA, "queue_id", 16)
+    table = KeyedTable.create(spark, shared_folder(spark), JOB_METADATA, "queue_id", buckets_for(views.table(spark, d, "customer").count()))
     at = lambda k: F.timestamp_seconds(F.lit(k))
     c, o = views.table(spark, d, "customer"), views.table(spark, d, "orders")
     table.upsert(c.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("queue_id"), F.col("c_mktsegment").alias("preset"), F.col("c_nationkey").alias("bitrate"), at(0).alias("created_at")))
@@ -221,7 +221,7 @@ def sink_metadata(spark, d):
     SELECT 'again', 'info', event_id % 10 FROM events) GROUP BY ALL""")
 def sink_audit(spark, d):
     """All events appended to a keyed table in two batches, numbered without a gap; the second batch comes twice and counts once."""
-    table = KeyedTable.create(spark, shared_folder(spark), AUDIT_COLUMNS, "seq_id", 16)
+    table = KeyedTable.create(spark, shared_folder(spark), AUDIT_COLUMNS, "seq_id", buckets_for(views.table(spark, d, "events").count()))
     k = F.col("event_id")
     events = views.table(spark, d, "events").select("event_type", F.when(k % 2 == 0, "info").otherwise("warning").alias("severity"), audit.payload(k=k % 10).alias("payload_json"), now().alias("timestamp"))
     table.append(events, "seq_id", ("log", 0))
@@ -238,7 +238,7 @@ def sink_audit(spark, d):
     FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS size FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def sink_signatures(spark, d):
     """Signatures in a keyed table: a scan starts first_seen anew where it doesn't give it."""
-    table = KeyedTable.create(spark, shared_folder(spark), SIGNATURE, "path", 16)
+    table = KeyedTable.create(spark, shared_folder(spark), SIGNATURE, "path", buckets_for(views.table(spark, d, "customer").count()))
     key, blob = lambda x: F.concat(F.lit("/f/"), x.cast("string")).alias("path"), F.encode(F.lit("h"), "UTF-8")
     zero = F.timestamp_seconds(F.lit(0))
     table.upsert(views.table(spark, d, "customer").select(key(F.col("c_custkey")), blob.alias("first_mb_hash"), blob.alias("last_mb_hash"), zero.alias("first_seen"), zero.alias("last_scanned")))

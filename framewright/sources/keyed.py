@@ -31,9 +31,16 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 #: The most buckets of a table: a version file names the files of each.
 MOST_BUCKETS = 1 << 16
+#: Rows and bytes that a task gathers for a row group, and rows that a bucket is given by ``buckets_for``.
+_GROUP_ROWS, _GROUP_BYTES, _BUCKET_ROWS = 1 << 17, 16 << 20, 1 << 18
 _BUCKET = "_bucket"
 
 
+def buckets_for(rows: int, least: int = 16) -> int:
+    """How many buckets a table of about so many rows takes, so that a task's share doesn't grow with it."""
+    return min(MOST_BUCKETS, max(least, -(-rows // _BUCKET_ROWS)))
+
+
 class Conflict(RuntimeError):
     """Another writer committed since the version that a change was made from."""
 
@@ -115,6 +122,13 @@ class KeyedWriter(DataSourceArrowWriter):
         fs.create_dir(posixpath.join(root, "data"))
         done: list[tuple[int, str, int]] = []
         writer, bucket, name, rows = None, None, "", 0
+        held: list[pa.Table] = []
+
+        def flush() -> None:
+            if held:
+                writer.write_table(pa.concat_tables(held))
+                held.clear()
+
         try:
             for batch in iterator:
                 buckets = batch.column(batch.schema.get_field_index(_BUCKET))
@@ -124,14 +138,18 @@ class KeyedWriter(DataSourceArrowWriter):
                 for b, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist(), strict=True) if ends else ():
                     if b != bucket:
                         if writer:
+                            flush()
                             writer.close()
                             done.append((bucket, name, rows))
                         bucket, rows, name = b, 0, f"data/{b:05d}-{uuid.uuid4().hex}.parquet"
                         writer = pq.ParquetWriter(posixpath.join(root, name), data.schema, filesystem=fs)
-                    writer.write_table(data.slice(at, end - at))
+                    held.append(data.slice(at, end - at))
+                    if sum(t.num_rows for t in held) >= _GROUP_ROWS or sum(t.nbytes for t in held) >= _GROUP_BYTES:
+                        flush()
                     rows += end - at
                     at = end
             if writer:
+                flush()
                 writer.close()
                 done.append((bucket, name, rows))
         except BaseException:
@@ -222,6 +240,8 @@ class KeyedTable:
         touched = self._touched(fixed, now)
         if not touched:
             return now.number
+        if not any(now.files.get(str(b)) for b in touched):  # nothing to merge with
+            return self._write(self._bucketed(fixed, now).repartition(self._tasks(touched), _BUCKET), now, touched, "replace", batch=batch)
         old = self._rows(now, touched)
         both = self._bucketed(old.withColumn("_rank", F.lit(0)).unionByName(fixed.withColumn("_rank", F.lit(1))), now)
         dealt = both.repartition(self._tasks(touched), _BUCKET)
@@ -246,13 +266,15 @@ class KeyedTable:
         if self._is_in(now, batch):
             return now.number
         columns = [c for c in new.columns if c in now.columns.names]
-        one = new.select(*columns).filter(F.col(now.key).isNotNull())
+        one = new.select(*columns).filter(F.col(now.key).isNotNull()).distinct()  # by hash, so what follows sorts less
         rest = [c for c in columns if c != now.key]
-        some = self._staged(one.groupBy(now.key).agg(*[F.min(F.struct(*rest)).alias("_r")]).select(now.key, "_r.*") if rest else one.distinct())
+        least = F.min_by(F.struct(*rest), F.struct(*rest)).alias("_r") if rest else None  # beside ``min`` Spark drops the distinct
+        some = self._staged(one.groupBy(now.key).agg(least).select(now.key, "_r.*") if rest else one)
         touched = self._touched(some, now)
         if not touched:
             return now.number
-        unknown = some.join(self._rows(now, touched).select(now.key), now.key, "left_anti")
+        # The table's keys grow with it: they are shuffled, also where they are few enough for a broadcast.
+        unknown = some.join(self._rows(now, touched).select(now.key).hint("merge"), now.key, "left_anti")
         return self._append(unknown, now, number, batch)
 
     def append(self, new: DataFrame, number: str, batch: tuple[str, int] | None = None) -> int:
@@ -307,10 +329,12 @@ class KeyedTable:
     def _latest(df: DataFrame, key: str, keep_first: Sequence[str], rank: str, beside: Sequence[str] = ()) -> DataFrame:
         """One row for each key, summed up before any shuffle: the last by rank, ``keep_first`` columns of the first."""
         values = [c for c in df.columns if c not in (key, rank, *beside)]
-        aggs = [(F.min_by if c in keep_first else F.max_by)(F.struct(c), rank)[c].alias(c) for c in values]
+        parts = [(fn, [c for c in values if (c in keep_first) == first]) for fn, first in ((F.max_by, False), (F.min_by, True))]
+        aggs = [fn(F.struct(*some), rank).alias(f"_{k}") for k, (fn, some) in enumerate(parts) if some]
         if not aggs:
             return df.select(*beside, key).distinct()
-        return df.groupBy(*beside, key).agg(*aggs).select(*[c for c in df.columns if c != rank])
+        made = {c: F.col(f"_{k}")[c].alias(c) for k, (_, some) in enumerate(parts) for c in some}
+        return df.groupBy(*beside, key).agg(*aggs).select(*[made.get(c, c) for c in df.columns if c != rank])
 
     def _staged(self, df: DataFrame) -> DataFrame:
         """``df`` computed once; ``vacuum`` removes what is left of it."""

@@ -8,6 +8,7 @@ import random
 import time
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +284,18 @@ def test_figures_round_as_printf_does(spark):
     values = [1.005, 0.125, 2.675, 1.115, 0.375, 1e15 / 7, -0.125, 0.0]
     got = spark.createDataFrame([(v,) for v in values], "v double").select(S.fixed(F.col("v"), 2)).collect()
     assert [r[0] for r in got] == ["%.2f" % v for v in values]
+
+
+def test_a_bucket_is_written_in_large_groups_and_buckets_follow_rows(spark, tmp_path):
+    table = KeyedTable.create(spark, str(tmp_path / "t"), ROWS, "id", 1)
+    assert table.upsert(load(spark, 50_000)) == 1
+    assert table.upsert(load(spark, 10).withColumn("v", F.lit(2))) == 2
+    (file,) = table.version().files["0"]
+    assert pq.ParquetFile(f"{table.path}/{file}").num_row_groups == 1
+    assert table.read().groupBy("v").count().orderBy("v").collect() == [(1, 49_990), (2, 10)]
+    assert [keyed.buckets_for(n) for n in (0, 9_000_000, 10**12)] == [16, 35, keyed.MOST_BUCKETS]
+
+
+def test_of_new_rows_of_a_key_the_least_is_added(spark, table):
+    new = spark.createDataFrame([(1, "b", 1, 1), (1, "a", 2, 2), (1, "b", 1, 1), (2, None, None, None)], ROWS)
+    assert table.insert_new(new) == 1 and rows(table.read()) == [(1, "a", 2, 2), (2, None, None, None)]
