@@ -315,8 +315,10 @@ def in_slices(df, column, n):
 @query(DEDUPE_LIVE_SQL)
 def stream_dedupe_live(spark, d):
     """The live index as a stream, over all files in slices, with a restart after each."""
-    files = views.files(spark, d).drop("lang")
-    made = streams.replay(in_slices(files, "seq", 4), stateful.live_duplicates, shared_folder(spark))
+    folder = shared_folder(spark)
+    views.files(spark, d).drop("lang").write.parquet(f"{folder}/files")  # texts are read and hashed once, not for each slice
+    files = spark.read.parquet(f"{folder}/files")
+    made = streams.replay(in_slices(files, "seq", 4), stateful.live_duplicates, folder)
     return made.select("path", "is_duplicate")
 
 

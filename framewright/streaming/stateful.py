@@ -195,24 +195,36 @@ class LiveDuplicates(StatefulProcessor):
         self.originals = handle.getMapState("originals", "signature string", "path string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = not self.paths.exists()
+        # Each question to the state is a message to the JVM: what this call put in it knows, and where the state was empty, that is all.
+        empty = first = not self.paths.exists()
+        paths, originals = set(), {}
         for row in sorted(rows, key=lambda r: r.seq):
             original = None
             if first:
                 first = False
-                self.paths.updateValue((row.path,), (True,))
+                self._add_path(row.path, paths)
                 if row.stored is not None:
-                    self.originals.updateValue((row.stored,), (row.path,))
-            elif not self.paths.containsKey((row.path,)):
+                    self._add_original(row.stored, row.path, originals)
+            elif row.path not in paths and (empty or not self.paths.containsKey((row.path,))):
                 signature = self.hash_of(row.path, key[0]) if self.hash_of else row.signature
                 if signature is not None:
-                    if self.originals.containsKey((signature,)):
-                        original = self.originals.getValue((signature,))[0]
+                    if signature in originals:
+                        original = originals[signature]
+                    elif not empty and self.originals.containsKey((signature,)):
+                        original = originals[signature] = self.originals.getValue((signature,))[0]
                     else:
-                        self.originals.updateValue((signature,), (row.path,))
-                        self.paths.updateValue((row.path,), (True,))
+                        self._add_original(signature, row.path, originals)
+                        self._add_path(row.path, paths)
             yield Row(path=row.path, size=key[0], seq=row.seq, is_duplicate=original is not None, original=original)
 
+    def _add_path(self, path: str, paths: set) -> None:
+        self.paths.updateValue((path,), (True,))
+        paths.add(path)
+
+    def _add_original(self, signature: str, path: str, originals: dict) -> None:
+        self.originals.updateValue((signature,), (path,))
+        originals[signature] = path
+
 
 def live_duplicates(files: DataFrame, hash_of: Callable[[str, int], str | None] | None = None) -> DataFrame:
     """``dedupe.mark_duplicates(mode="live")`` as a stream: (path, size, seq, is_duplicate, original), a row for each file.

@@ -7,6 +7,7 @@ import os
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from framewright.operators import audit, dedupe
@@ -270,3 +271,27 @@ def test_no_limit_keeps_no_state(spark):
     rows = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1), "x")], "event_id bigint, channel string, timestamp timestamp, more string")
     assert stateful.within_rate(rows, 0).columns == ["event_id", "channel", "timestamp"]
     assert stateful.running_mean(rows.select("channel", F.lit(1.0).alias("vmaf"))).first()["mean"] == 1.0
+
+
+def test_a_new_size_asks_its_state_once():
+    asked = []
+
+    class Held(dict):
+        def exists(self):
+            asked.append("exists")
+            return bool(self)
+
+        def containsKey(self, k):
+            asked.append(k)
+            return k in self
+
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    held = {}
+    processor = stateful.LiveDuplicates(None)
+    processor.init(type("Handle", (), {"getMapState": lambda self, name, *_: held.setdefault(name, Held())})())
+    rows = lambda *some: [Row(path=p, seq=i, signature=s, stored=None) for i, (p, s) in enumerate(some)]
+    run = lambda *some: [r["original"] for r in processor.handleInputRows((9,), iter(rows(*some)), None)]
+    assert run(("/a", "s"), ("/b", "s"), ("/c", "s"), ("/b", "s"), ("/d", "t"), ("/a", "s"), ("/e", None)) == [None, None, "/b", None, None, None, None]
+    assert asked == ["exists"]
+    assert run(("/f", "t"), ("/b", "s"), ("/g", "u"), ("/h", "u"), ("/a", "s")) == ["/d", None, None, "/g", None]
