@@ -927,17 +927,17 @@ def rate_limited(spark, d):
     return audit.within_rate(order, 2).select(F.col("event_id.event_id").alias("event_id"), "channel", F.unix_timestamp("timestamp").alias("minute"))
 
 
-@query("""SELECT event_type, CASE WHEN event_id % 2 = 0 THEN 'info' ELSE 'warning' END AS severity, '{"event":' || event_id || '}' AS payload_json, (SELECT count(*) FROM events) AS numbers FROM events""")
+@query("""SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY event_id) AS seq_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'info' ELSE 'warning' END AS severity, '{"event":' || event_id || '}' AS payload_json, (SELECT count(*) FROM events) AS numbers FROM events""")
 def audit_appended(spark, d):
-    """Every event appended to the log once more; ``numbers``: how many distinct numbers right after the log's last they have."""
+    """Every event appended to the log once more, each with its number, in the order of events; ``numbers``: how many distinct numbers right after the log's last they have."""
     k = F.col("event_id")
-    new = views.table(spark, d, "events").select("event_type", F.when(k % 2 == 0, "").otherwise("warning").alias("severity"), audit.payload(event=k).alias("payload_json"))
+    new = views.table(spark, d, "events").select("event_id", "event_type", F.when(k % 2 == 0, "").otherwise("warning").alias("severity"), audit.payload(event=k).alias("payload_json"))
     log = views.audit(spark, d).select("seq_id", F.col("ts").alias("timestamp"), "event_type", F.lit("info").alias("severity"), "payload_json")
     last = log.agg(F.max("seq_id")).first()[0]
-    added = audit.append_events(log, new, now()).filter(F.col("seq_id") > last)
+    added = audit.append_events(log, new, now(), "event_id").filter(F.col("seq_id") > last)
     n = F.count_distinct("seq_id")
     ends = added.agg(F.when(F.max("seq_id") == last + n, n).alias("numbers"))
-    return added.select("event_type", "severity", "payload_json").crossJoin(F.broadcast(ends))  # one row
+    return added.select("seq_id", "event_type", "severity", "payload_json").crossJoin(F.broadcast(ends))  # one row
 
 
 BATCHES_SQL = f"""(SELECT queue_id, n, completed, failed, saved_bytes, avg_vmaf, 'Transcode Batch: ' || n || ' processed' AS title,

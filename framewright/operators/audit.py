@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import scalar as S
-from framewright.operators.queue import number_rows, starts_of
+from framewright.operators.queue import number_in_order, number_rows, starts_of
 from framewright.schemas import PAYLOAD
 
 #: Audit events that carry a job's figures.
@@ -62,11 +62,11 @@ def outcome_payload(event_type: Column, fields: dict[str, Column]) -> Column:
     return case
 
 
-def append_events(audit: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """The log with ``new`` (event_type, severity, payload_json) after it, numbered on from its last event, in no
-    promised order. An empty severity is ``info``. ``sources.keyed.KeyedTable.append`` does the same for a stored log."""
+def append_events(audit: DataFrame, new: DataFrame, now: Column, order: str | None = None) -> DataFrame:
+    """The log with ``new`` (event_type, severity, payload_json) after it, numbered on from its last event, in
+    the order of column ``order`` (distinct whole numbers), without one in no promised order. An empty severity is ``info``. ``sources.keyed.KeyedTable.append`` does the same for a stored log."""
     last = audit.agg(F.coalesce(F.max("seq_id"), F.lit(0)).alias("_last"))  # one row
-    numbered = number_rows(new.withColumn("_key", F.struct("event_type", "severity", "payload_json")), "_key")
+    numbered = number_in_order(new, order) if order else number_rows(new.withColumn("_key", F.struct("event_type", "severity", "payload_json")), "_key")
     rows = numbered.crossJoin(F.broadcast(last))
     rows = rows.select((F.col("_last") + F.col("_n")).cast("bigint").alias("seq_id"), now.alias("timestamp"), "event_type", F.coalesce(F.nullif("severity", F.lit("")), F.lit("info")).alias("severity"), "payload_json")
     return audit.select(*rows.columns).unionByName(rows)

@@ -120,6 +120,15 @@ def number_rows(df: DataFrame, key: str, blocks: int = 1024) -> DataFrame:
     return rows.withColumn("_k", within).join(starts, "_block").withColumn("_n", F.col("_before") + F.col("_k")).drop("_block", "_k", "_before")
 
 
+def number_in_order(df: DataFrame, order: str, width: int = 1 << 14) -> DataFrame:
+    """Adds ``_n``, 1 to the number of rows, in the order of a column of distinct whole numbers. Rows are counted by ranges of
+    it first, so no task orders all."""
+    rows = df.withColumn("_block", F.floor(F.col(order) / width))
+    starts = starts_of(rows.groupBy("_block").agg(F.count("*").alias("_size")))
+    within = F.row_number().over(Window.partitionBy("_block").orderBy(order))
+    return rows.withColumn("_k", within).join(starts, "_block").withColumn("_n", F.col("_before") + F.col("_k")).drop("_block", "_k", "_before")
+
+
 def starts_of(sizes: DataFrame, span: int = 1024) -> DataFrame:
     """(_block, _before): rows in all blocks before each, of (_block, _size). Blocks are summed up by spans first, so no task
     orders more than a span of blocks or all spans."""

@@ -369,3 +369,10 @@ def test_sizes_past_64_bits(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {(r["l_orderkey"], r["l_linenumber"]): r["text"] for r in catalog.size_texts(spark, str(tmp_path)).collect()}
     assert got == {(900_000, 5): "589.35 EB", (7, 5): "42.00 MB", (900_000, 2): "686.65 MB", (1, 1): "5 B"}
+
+
+def test_appended_events_are_numbered_in_order(spark):
+    log = spark.createDataFrame([(7, dt.datetime(2024, 1, 1), "e", "info", "{}")], "seq_id bigint, timestamp timestamp, event_type string, severity string, payload_json string")
+    new = spark.createDataFrame([(k, "e", "", str(k)) for k in (90_000, -5, 3, 40_000, 20_000)], "k bigint, event_type string, severity string, payload_json string")
+    got = {r["seq_id"]: r["payload_json"] for r in audit.append_events(log, new, F.current_timestamp(), "k").collect()}
+    assert got == {7: "{}", 8: "-5", 9: "3", 10: "20000", 11: "40000", 12: "90000"}
