@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +87,22 @@ def probe(df: DataFrame, key_col: str, pages: DataFrame, bits: int, out: str) ->
     )
 
 
+def collected(pages: DataFrame, bits: int) -> np.ndarray:
+    """The filter's bytes, for tasks in Python; ``MAX_BITS`` bounds them."""
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for page, bitmap in pages.collect():
+        at = page * _PAGE // 8
+        out[at : at + _PAGE // 8] = np.frombuffer(bitmap, np.uint8)[: len(out) - at]
+    return out
+
+
+def holds(filter_bytes: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    """Whether every slot of each unsigned key is set, as ``probe`` tells it."""
+    a, b = keys & np.uint64((1 << bits) - 1), keys >> np.uint64(64 - bits)
+    first, second = (filter_bytes[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8) for s in (a, b))
+    return (first & second & 1).astype(bool)
+
+
 def met_again(rows: DataFrame, key_col: str, total: int, out: str) -> DataFrame:
     """Adds boolean ``out``: false only where no other of the ``total`` rows has the same key.
 

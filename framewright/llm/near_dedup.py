@@ -10,8 +10,9 @@ with equal sets are one class from the start. Between classes:
 3. The rest are verified exactly on full sets.
 
 Classes with few values outside longer lists (big groups of near copies, texts of very common words)
-get lists by *tuples* of retained values, ``BANDS`` of them, which part texts of common words; classes
-that such lists connect are a cluster. A cluster is compared exactly on full sets, in blocks that
+get lists by *tuples* of retained values, ``BANDS`` of them, which part texts of common words (tuples of
+a value that no other of these classes retains are not made: they meet nothing); classes that such
+lists connect are a cluster. A cluster is compared exactly on full sets, in blocks that
 multiply incidence matrices and give links only: small clusters whole; large ones first against a few
 central members, and then every member that is not in the largest component so far against all others.
 So each group is linked whole without forming its pairs.
@@ -28,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +51,8 @@ COLD = 32
 BANDS, TUPLE, BELOW = 56, 4, 40
 #: Bands that join most of a large group, before the others' keys are made.
 OPENING = 8
+#: Classes whose keys one task makes.
+DEALT = 1024
 #: Members of a large cluster that all others are compared with first.
 CENTRAL = 8
 #: Classes, and elements of their sets, that one side of a block holds.
@@ -132,6 +136,7 @@ def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 
 KEYS = T.StructType([T.StructField("cls", T.LongType()), T.StructField("key", T.LongType())])
+VALUES = T.StructType([T.StructField("value", T.LongType()), T.StructField("f", T.LongType())])
 
 
 def limits(n: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -150,13 +155,35 @@ def limits(n: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int, bands: range = range(BANDS)) -> tuple[np.ndarray, np.ndarray]:
+def shared_values(few: DataFrame) -> tuple[Broadcast, int]:
+    """(Bloom filter, its bits) of the (mixed) values that at least two of the sketches hold.
+
+    Each task counts its own values first, so one that all sketches hold costs a row a batch. The filter has a bound;
+    past its capacity it holds more values than it should, never fewer.
+    """
+
+    def run(batches):
+        for batch in batches:
+            values, f = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(values.view(U64)).view(np.int64)), pa.array(f)], names=VALUES.names)
+
+    counted = few.select("sketch").mapInArrow(run, VALUES).groupBy("value").agg(F.sum("f").alias("f"))
+    often = cut(counted.filter("f > 1").select("value"))
+    bits = bloom.bits_for(often.count())
+    return few.sparkSession.sparkContext.broadcast(bloom.collected(bloom.members(often, "value", bits), bits)), bits
+
+
+def tuple_keys(
+    sketches: list[np.ndarray], n: np.ndarray, percent: int, bands: range = range(BANDS), shared: tuple[np.ndarray, int] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(place of the sketch, key): a key for each of the bands and each limit of a sketch, of the ``TUPLE`` values below
-    the limit that come first in that band's order."""
+    the limit that come first in that band's order. Given the filter of ``shared_values``, keys of a value that it
+    doesn't hold are left out: no other sketch has them."""
     size = np.array([len(x) for x in sketches])
     values = np.zeros((len(sketches), K), U64)
     inside = np.arange(K)[None, :] < size[:, None]
     values[inside] = np.concatenate([*sketches, np.zeros(0, np.int64)]).view(U64)
+    alone = inside & ~bloom.holds(*shared, mix(values)) if shared else None
     (tag, limit), (tag_2, limit_2) = limits(n, percent)
     where, keys = [], []
     for own, end, live in ((tag, limit, np.ones(len(n), bool)), (tag_2, limit_2, tag_2 != tag)):
@@ -166,44 +193,56 @@ def tuple_keys(sketches: list[np.ndarray], n: np.ndarray, percent: int, bands: r
             order = np.where(below, mix(values ^ salt), U64(0xFFFFFFFFFFFFFFFF))
             first = np.sort(np.partition(order, TUPLE - 1, axis=1)[:, :TUPLE], axis=1)
             key = mix((mix(first) * np.arange(1, 2 * TUPLE, 2, dtype=U64)).sum(axis=1, dtype=U64) + salt + own.astype(U64))
-            where.append(np.flatnonzero(live))
-            keys.append(key[live])
+            made = live if alone is None else live & ~(alone & below & (order <= first[:, -1:])).any(axis=1)
+            where.append(np.flatnonzero(made))
+            keys.append(key[made])
     return np.concatenate(where), np.concatenate(keys)
 
 
-def keys_of(rows: DataFrame, percent: int, bands: range) -> DataFrame:
-    """(cls, key) of (cls, n, sketch) rows, for some of the bands."""
+def keys_of(rows: DataFrame, percent: int, bands: range, shared: tuple[Broadcast, int] | None = None) -> DataFrame:
+    """(cls, key) of (cls, n, sketch) rows, for some of the bands; each once in a batch, where rows bear one class.
+    With the filter of ``shared_values``, without keys that only one row has for sure."""
 
     def run(batches):
+        held = shared and (shared[0].value, shared[1])
         for batch in batches:
+            found = [np.zeros((2, 0), np.int64)]
             for at in range(0, batch.num_rows, 512):
                 cls, n, sketch = (batch.column(i).slice(at, 512) for i in range(3))
-                where, made = tuple_keys([x.values.to_numpy() for x in sketch], n.to_numpy(), percent, bands)
-                yield pa.RecordBatch.from_arrays([pa.array(cls.to_numpy()[where]), pa.array(made.view(np.int64))], names=KEYS.names)
+                where, made = tuple_keys([x.values.to_numpy() for x in sketch], n.to_numpy(), percent, bands, held)
+                found.append(np.stack((cls.to_numpy()[where], made.view(np.int64))))
+            found = np.concatenate(found, axis=1)
+            found = found[:, np.lexsort(found)]
+            first = np.ones(found.shape[1], bool)
+            first[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in found], names=KEYS.names)
 
     return rows.mapInArrow(run, KEYS)
 
 
 def key_links(named: DataFrame) -> DataFrame:
     """Links (a, b) of (cls, key) rows: from each to the smallest of its key, for keys that several have."""
+    named = cut(named)  # read twice, made once
     lists = named.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first <> last")
     met = named.join(shuffled(cut(lists.select("key", "first"))), "key").filter("cls <> first")
     return met.select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
 
 
-def later_keys(few: DataFrame, opening: DataFrame, percent: int) -> DataFrame:
+def later_keys(few: DataFrame, opening: DataFrame, percent: int, shared: tuple[Broadcast, int] | None = None, tasks: int | None = None) -> DataFrame:
     """Distinct (cls, key) of the bands after the first ``OPENING``, where a class goes by the smallest that the links of
     those first bands join it to. Most of a group goes by few then, which bear a key once."""
     held = opening.groupBy("a").agg(F.min("b").alias("b"))
     rows = few.join(shuffled(held), F.col("cls") == F.col("a"), "left").select(F.coalesce("b", "cls").alias("cls"), "n", "sketch")
-    return keys_of(rows, percent, range(OPENING, BANDS)).distinct()
+    return keys_of(rows.coalesce(tasks) if tasks else rows, percent, range(OPENING, BANDS), shared).distinct()
 
 
 def clusters(few: DataFrame, percent: int) -> DataFrame:
     """(cls, n, in_hot, cluster, size, elements) of classes that tuple lists connect to others."""
+    tasks = math.ceil(max(1, few.count()) / DEALT)
     slim = few.select("cls", "n", "sketch")
-    opening = cut(key_links(keys_of(slim, percent, range(OPENING))))
-    connected = connected_components(opening.unionByName(key_links(later_keys(slim, opening, percent))))
+    shared = shared_values(slim.coalesce(tasks))
+    opening = cut(key_links(keys_of(slim.coalesce(tasks), percent, range(OPENING), shared)))
+    connected = connected_components(opening.unionByName(key_links(later_keys(slim, opening, percent, shared, tasks))))
     found = cut(connected.toDF("cls", "cluster").join(shuffled(few.select("cls", "n", "in_hot")), "cls"))
     sizes = found.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.count("*").alias("_rows"))
     return cut(hot_join(found, cut(sizes), ["cluster"], "_rows", found.count()))

@@ -315,6 +315,39 @@ def test_a_large_group_gives_few_keys_after_its_first_bands(spark):
     assert near_dedup.later_keys(slim, opening, 80).count() < every.count() / 4
 
 
+def test_keys_that_meet_nothing_are_not_made(spark, monkeypatch):
+    """Rows made, each time that a plan makes them: few a class where most tuples hold a value of one class's own.
+    Twice the group gives no more than twice the rows, and the classes that keys connect are those of all keys."""
+    keys_of, made = near_dedup.keys_of, spark.sparkContext.accumulator(0)
+
+    def counted(*given):
+        def run(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return keys_of(*given).mapInArrow(run, near_dedup.KEYS)
+
+    rows_of = {}
+    for group in (300, 600):
+        rng = np.random.default_rng(11)
+        base = rng.integers(0, 2**63, 400)
+        sets = [np.unique(np.concatenate([np.delete(base, rng.integers(0, 400, 80)), rng.integers(0, 2**63, 80)])) for _ in range(group)]
+        sets += [np.unique(rng.integers(0, 2**63, size)) for size in (4, 5, 30, 70, 900) for _ in range(10)]
+        sets += [np.append(s[:-1], s[-1] - 1) for s in sets[group : group + 20]]
+        rows = [(i, len(s), 24, s[: near_dedup.K].tolist()) for i, s in enumerate(sets)]
+        few = spark.createDataFrame(rows, "cls bigint, n bigint, in_hot bigint, sketch array<bigint>").localCheckpoint()
+        every = keys_of(few.select("cls", "n", "sketch"), 80, range(near_dedup.BANDS))
+        want = {r["node"]: r["component"] for r in components.connected_components(near_dedup.key_links(every)).collect()}
+        monkeypatch.setattr(near_dedup, "keys_of", counted)
+        made.value = 0
+        assert {r["cls"]: r["cluster"] for r in near_dedup.clusters(few, 80).collect()} == want
+        monkeypatch.setattr(near_dedup, "keys_of", keys_of)
+        rows_of[group] = made.value
+        assert 0 < made.value < 60 * len(sets)
+    assert rows_of[600] < 2.2 * rows_of[300]
+
+
 def test_links_are_not_broadcast(spark, monkeypatch):
     """Sides that grow with the input stay off the driver, also where they are small enough for Spark's threshold."""
     plans, cut = [], components.cut
